@@ -37,6 +37,15 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(c).cast(kinds[k]).alias(k) if k in kinds else F.col(c).alias(k) for k, c in columns.items()])
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join in which null equals null; the keys are the left side's."""
+    right = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return left.join(right, same, how).drop(*[f"__{k}" for k in keys])
+
+
 def text_volume(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     """Rows and bytes of text, to size the partitioning."""
     row = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
