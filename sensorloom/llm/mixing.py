@@ -102,8 +102,8 @@ def mix(docs: DataFrame, weights: tuple = (1, 2, 3), most: int = 3, seed: int =
     Of docs(doc_id, text, source): a null text has no words, a null source is a source of its own, rows
     without doc_id are units like others, and rows that agree in id, text and source are one unit that is
     taken for all its copies. A source of no words has target 0 and is not taken. A source's taken words miss
-    its target by half the words of one unit at most, by far less as a rule. An empty table gives empty results. Other columns are
-    ignored.
+    its target by less than one unit's words, by far less as a rule. An empty table gives empty results.
+    Other columns are ignored.
     """
     spark = docs.sparkSession
     sized = materialize(units(docs), "units")
@@ -141,15 +141,19 @@ def mix(docs: DataFrame, weights: tuple = (1, 2, 3), most: int = 3, seed: int =
     quota = quota.select("shard", "sid", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("pos"))
     given = draws.join(quota, ["sid", "pos"]).select("sid", "blk", "epoch", "left", "shard")
     taken = dealt.where("size > 0").join(given, ["sid", "blk"])
-    inside = Window.partitionBy("sid", "blk", "epoch").orderBy(F.xxhash64(F.lit(seed + 2), "doc_id", "row"), "doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("sid", "blk", "epoch").orderBy(F.xxhash64(F.lit(seed + 2), "doc_id", "row"), "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)
     words = F.col("size") * F.col("copies")
-    # Of the block at the border: units in permuted order up to the middle of the one that crosses the border,
-    # then the one more whose words come closest to what is left.
-    part = taken.where("left is not null").withColumn("before", F.coalesce(F.sum(words).over(inside), F.lit(0))).withColumn("first", F.col("before") + words / 2 <= F.col("left"))
+    # Of the block at the border: units in permuted order as long as they fit; a few times again of those that
+    # still could; then the one more whose words come closest to what is left.
+    part = taken.where("left is not null").withColumn("in", F.lit(False))
     whole = Window.partitionBy("sid", "blk", "epoch")
-    part = part.withColumn("gap", F.col("left") - F.coalesce(F.sum(F.when(F.col("first"), words)).over(whole), F.lit(0)))
-    near = F.row_number().over(whole.orderBy("first", F.abs(words - F.col("gap")), "doc_id", "row")) == 1
-    part = part.withColumn("last", near & ~F.col("first") & (F.abs(words - F.col("gap")) < F.abs("gap"))).where("first OR last").drop("before", "first", "gap", "last")
+    gap = F.col("left") - F.coalesce(F.sum(F.when(F.col("in"), words)).over(whole), F.lit(0))
+    for _ in range(4):
+        part = part.withColumn("gap", gap).withColumn("fits", ~F.col("in") & (words <= F.col("gap")))
+        part = part.withColumn("in", F.col("in") | (F.col("fits") & (F.sum(F.when(F.col("fits"), words)).over(inside) <= F.col("gap"))))
+    part = part.withColumn("gap", gap).withColumn("off", F.when(~F.col("in"), F.abs(words - F.col("gap"))))
+    nearest = F.row_number().over(whole.orderBy(F.col("off").asc_nulls_last(), "doc_id", "row")) == 1
+    part = part.withColumn("one", nearest & (F.col("off") < F.col("gap"))).where("in OR one").drop("in", "one", "gap", "off", "fits")
     taken = taken.where("left is null").unionByName(part)
     return dealt, taken.select("doc_id", "row", "epoch", "shard", F.xxhash64(F.lit(seed + 3), "shard", "epoch", "doc_id", "row").alias("place"))
 
