@@ -38,7 +38,10 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, salts:
     stream = Window.partitionBy("h1", "h2", "salt").orderBy("doc", "pos")
     firsts = salted.withColumn("before", F.lag("doc").over(stream)).where(F.col("before").isNull() | (F.col("before") != F.col("doc")))
     frequent = firsts.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("keeper")).where(F.col("n") >= min_docs)
-    gone = lines.join(frequent.select("h1", "h2", "keeper"), ["h1", "h2"]).where(F.col("doc") != F.col("keeper"))
+    # A frequent key's lines meet it in as many places as there are salts.
+    frequent = frequent.select("h1", "h2", "keeper", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    salt = F.pmod(F.xxhash64("doc"), F.lit(salts)).cast("int")
+    gone = lines.withColumn("salt", salt).join(frequent, ["h1", "h2", "salt"]).where(F.col("doc") != F.col("keeper"))
     words = gone.groupBy("doc", "row", F.expr("pos div 64").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
     return words.groupBy("doc", "row").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("gone"))
 
