@@ -7,17 +7,20 @@ from pyspark.sql import functions as F
 
 from ..config import CHANNELS, Guard
 
-BY_TIME = Window.partitionBy("device").orderBy("ts")
+
+def by_time():
+    """A device's rounds in order of time."""
+    return Window.partitionBy("device").orderBy("ts")
 
 
 def cold_start(rounds: DataFrame, gap: int) -> DataFrame:
     """Adds cold: more than `gap` seconds since the device's round before (false for the first)."""
-    return rounds.withColumn("cold", F.coalesce(F.col("ts") - F.lag("ts").over(BY_TIME) > gap, F.lit(False)))
+    return rounds.withColumn("cold", F.coalesce(F.col("ts") - F.lag("ts").over(by_time()) > gap, F.lit(False)))
 
 
 def warmup(rounds: DataFrame, n: int) -> DataFrame:
     """Adds number (from 1) and warmup: the first n rounds of a device, the n-th included, complete or not."""
-    return rounds.withColumn("number", F.row_number().over(BY_TIME)).withColumn("warmup", F.col("number") <= n)
+    return rounds.withColumn("number", F.row_number().over(by_time())).withColumn("warmup", F.col("number") <= n)
 
 
 def channel_rows(rounds: DataFrame, *also: str) -> DataFrame:
@@ -33,7 +36,7 @@ def repeat_runs(rounds: DataFrame, guard: Guard, cold_gap: int) -> DataFrame:
     rounds do not touch it, a cold start ends all runs of a device. At its threshold a run is stuck, or floor
     if its value is one that may repeat; below it length and start are reported as 0.
     """
-    cold = cold_start(rounds, cold_gap).withColumn("era", F.sum(F.col("cold").cast("int")).over(BY_TIME))
+    cold = cold_start(rounds, cold_gap).withColumn("era", F.sum(F.col("cold").cast("int")).over(by_time()))
     cells = channel_rows(cold, "era").where(F.col("x").isNotNull())
     series = Window.partitionBy("device", "channel").orderBy("ts")
     before = F.lag(F.struct("x", "ts", "era")).over(series)
@@ -63,7 +66,7 @@ def run_ends(rounds: DataFrame, guard: Guard, cold_gap: int) -> DataFrame:
 
 def gaps(rounds: DataFrame, longer: int) -> DataFrame:
     """device, start, stop, seconds of every gap between a device's rounds that is longer than `longer`."""
-    before = F.lag("ts").over(BY_TIME)
+    before = F.lag("ts").over(by_time())
     rows = rounds.select("device", before.alias("start"), F.col("ts").alias("stop"))
     return rows.where(F.col("stop") - F.col("start") > longer).withColumn("seconds", F.col("stop") - F.col("start"))
 
@@ -75,5 +78,5 @@ def longest_gaps(rounds: DataFrame, longer: int, n: int = 100) -> DataFrame:
 
 def last_rounds(rounds: DataFrame, length: int) -> DataFrame:
     """device, ts, ring: the ts of the last `length` rounds, oldest first."""
-    ring = F.collect_list("ts").over(BY_TIME.rowsBetween(-(length - 1), 0))
+    ring = F.collect_list("ts").over(by_time().rowsBetween(-(length - 1), 0))
     return rounds.select("device", "ts", ring.alias("ring"))

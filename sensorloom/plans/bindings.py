@@ -38,7 +38,7 @@ def values(spark: SparkSession, sf_dir: str) -> DataFrame:
 READINGS = f"""
 readings AS (
   SELECT event_id AS seq, user_id % {DEVICES} AS device, CAST(floor(epoch(ts) / {PERIOD}) * {PERIOD} AS BIGINT) AS ts,
-         CAST(floor(epoch(ts)) AS BIGINT) AS at, event_type AS sensor,
+         CAST(floor(epoch(ts)) AS BIGINT) AS sec, event_type AS sensor,
          CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 WHEN 'view' THEN 4 END AS channel, value
   FROM events
 )"""

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import basic
+
 
 def queries():
-    return {}
+    return {name: q for module in (basic,) for name, q in module.Q.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: q for module in (basic,) for name, q in module.S.items()}
