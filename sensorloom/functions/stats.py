@@ -28,7 +28,7 @@ def betainc(a, b, x) -> np.ndarray:
             c = np.where(np.abs(c) < tiny, tiny, c)
             step = c * d
             h = h * step
-        if np.all(np.abs(step - 1) < 1e-15):
+        if np.all(np.abs(step - 1) < 1e-14):
             break
     value = np.where(y <= 0, 0.0, front * h)
     return np.where(swap, 1 - value, value)
@@ -38,7 +38,7 @@ def _inverse(cdf, target, low, high) -> np.ndarray:
     """Bisection to the last bits of a rising function."""
     low, high = np.broadcast_arrays(np.asarray(low, float), np.asarray(high, float))
     low, high = low.copy(), high.copy()
-    for _ in range(100):
+    for _ in range(64):
         middle = (low + high) / 2
         below = cdf(middle) < target
         low, high = np.where(below, middle, low), np.where(below, high, middle)

@@ -1,0 +1,236 @@
+"""The context channel: a reconstruction model over count windows, scored against calibration errors.
+
+One small LSTM autoencoder a device: the last state of an encoder is repeated and decoded, the target is the
+window backwards. Training is a grouped map (one device a task); scoring is a map over windows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..config import CHANNELS
+
+
+@dataclass(frozen=True)
+class Training:
+    """Settings of a device's model; the last weights are kept when training stops early."""
+
+    hidden: int = 16
+    rate: float = 1e-3
+    batch: int = 64
+    epochs: int = 300
+    patience: int = 20
+    least_gain: float = 1e-6
+    clip: float = 39072.0
+    seed: int = 42
+    weights: tuple[float, ...] = (1.0,) * CHANNELS
+
+
+def _sigmoid(x):
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+
+@dataclass
+class Autoencoder:
+    """Two LSTM layers and a linear output; parameters in one dict."""
+
+    p: dict = field(default_factory=dict)
+
+    @classmethod
+    def fresh(cls, channels: int, hidden: int, seed: int) -> Autoencoder:
+        random = np.random.default_rng(seed)
+        xavier = lambda n, m: random.normal(0, (2 / (n + m)) ** 0.5, (n, m))
+        p = {"We": xavier(channels + hidden, 4 * hidden), "be": np.zeros(4 * hidden), "Wd": xavier(2 * hidden, 4 * hidden), "bd": np.zeros(4 * hidden), "Wo": xavier(hidden, channels), "bo": np.zeros(channels)}
+        p["be"][hidden : 2 * hidden] = p["bd"][hidden : 2 * hidden] = 1.0
+        return cls(p)
+
+    def layer(self, x: np.ndarray, w: np.ndarray, b: np.ndarray):
+        """States of an LSTM over x (n, steps, inputs), with what the way back needs."""
+        n, steps, _ = x.shape
+        hidden = len(b) // 4
+        h, c, kept, out = np.zeros((n, hidden)), np.zeros((n, hidden)), [], np.empty((n, steps, hidden))
+        for t in range(steps):
+            z = np.concatenate([x[:, t], h], axis=1)
+            a = z @ w + b
+            i, f, o, g = _sigmoid(a[:, :hidden]), _sigmoid(a[:, hidden : 2 * hidden]), _sigmoid(a[:, 2 * hidden : 3 * hidden]), np.tanh(a[:, 3 * hidden :])
+            before, c = c, f * c + i * g
+            tc = np.tanh(c)
+            h = o * tc
+            out[:, t] = h
+            kept.append((z, i, f, o, g, before, tc))
+        return out, kept
+
+    def back(self, dout: np.ndarray, w: np.ndarray, kept: list, inputs: int):
+        """Gradients of an LSTM's weights and of its inputs."""
+        hidden = w.shape[1] // 4
+        dw, db, dx = np.zeros_like(w), np.zeros(4 * hidden), np.zeros((*dout.shape[:2], inputs))
+        dh, dc = np.zeros_like(dout[:, 0]), np.zeros_like(dout[:, 0])
+        for t in range(dout.shape[1] - 1, -1, -1):
+            z, i, f, o, g, before, tc = kept[t]
+            dh = dh + dout[:, t]
+            dc = dc + dh * o * (1 - tc * tc)
+            da = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)], axis=1)
+            dw += z.T @ da
+            db += da.sum(0)
+            dz = da @ w.T
+            dx[:, t], dh, dc = dz[:, :inputs], dz[:, inputs:], dc * f
+        return dw, db, dx
+
+    def forward(self, x: np.ndarray):
+        encoded, k1 = self.layer(x, self.p["We"], self.p["be"])
+        code = np.repeat(encoded[:, -1:], x.shape[1], axis=1)
+        decoded, k2 = self.layer(code, self.p["Wd"], self.p["bd"])
+        return decoded @ self.p["Wo"] + self.p["bo"], (k1, k2, decoded)
+
+    def reconstruct(self, x: np.ndarray) -> np.ndarray:
+        """The windows as the model gives them back, in the windows' own order."""
+        return self.forward(x)[0][:, ::-1]
+
+    def gradients(self, x: np.ndarray, valid: np.ndarray, weights: np.ndarray) -> tuple[float, dict]:
+        target, mask = x[:, ::-1], valid[:, ::-1] * weights
+        y, (k1, k2, decoded) = self.forward(x)
+        total = max(mask.sum(), 1e-12)
+        dy = 2 * mask * (y - target) / total
+        g = {"Wo": np.einsum("nth,ntc->hc", decoded, dy), "bo": dy.sum((0, 1))}
+        hidden = self.p["Wo"].shape[0]
+        g["Wd"], g["bd"], dcode = self.back(dy @ self.p["Wo"].T, self.p["Wd"], k2, hidden)
+        dlast = np.zeros((*x.shape[:2], hidden))
+        dlast[:, -1] = dcode.sum(1)
+        g["We"], g["be"], _ = self.back(dlast, self.p["We"], k1, x.shape[2])
+        return float((mask * (y - target) ** 2).sum() / total), g
+
+    def fit(self, x: np.ndarray, valid: np.ndarray, held: np.ndarray, t: Training) -> list[tuple[int, float, float, float]]:
+        """Adam with clipped gradients; stops when the held-out loss has not improved for `patience` epochs. Epoch, losses, gradient norm."""
+        random, weights = np.random.default_rng(t.seed), np.array(t.weights)
+        m = {k: np.zeros_like(v) for k, v in self.p.items()}
+        v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
+        step, best, since, log = 0, np.inf, 0, []
+        for epoch in range(1, t.epochs + 1):
+            losses, norms = [], []
+            order = random.permutation(len(x))
+            for lo in range(0, len(x), t.batch):
+                at = order[lo : lo + t.batch]
+                loss, g = self.gradients(x[at], valid[at], weights)
+                norm = sum(float((q * q).sum()) for q in g.values()) ** 0.5
+                losses.append(loss)
+                norms.append(norm)
+                step += 1
+                for k in self.p:
+                    q = g[k] * min(1.0, t.clip / max(float(np.sqrt((g[k] ** 2).sum())), 1e-30))
+                    m[k] = 0.9 * m[k] + 0.1 * q
+                    v2[k] = 0.999 * v2[k] + 0.001 * q * q
+                    self.p[k] = self.p[k] - t.rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v2[k] / (1 - 0.999**step)) + 1e-8)
+            # The early-stopping loss is not masked.
+            test = float((weights * (self.reconstruct(held) - held) ** 2).sum() / max(held.size * weights.mean(), 1e-12)) if len(held) else float(np.mean(losses))
+            log.append((epoch, float(np.mean(losses)), test, float(np.mean(norms))))
+            if test < best - t.least_gain:
+                best, since = test, 0
+            else:
+                since += 1
+                if since >= t.patience:
+                    break
+        return log
+
+    def pack(self) -> bytes:
+        return np.concatenate([self.p[k].ravel() for k in sorted(self.p)]).astype("<f8").tobytes()
+
+    @classmethod
+    def unpack(cls, raw: bytes, channels: int, hidden: int) -> Autoencoder:
+        own, flat, at = cls.fresh(channels, hidden, 0), np.frombuffer(raw, "<f8"), 0
+        for k in sorted(own.p):
+            n = own.p[k].size
+            own.p[k] = flat[at : at + n].reshape(own.p[k].shape).copy()
+            at += n
+        if at != len(flat):
+            raise ValueError("the stored model has another size")
+        return own
+
+
+def stacked(column) -> np.ndarray:
+    return np.array([[list(r) for r in w] for w in column], float)
+
+
+def weighted_error(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted mean squared error of each window, and its plain error by channel."""
+    square = (x - y) ** 2
+    return (square * weights).sum((1, 2)) / (weights.sum() * x.shape[1]), square.mean(1)
+
+
+MODEL = "device long, hidden int, epochs int, train_loss double, model binary, median double, iqr double, inverse array<double>, center array<double>"
+
+
+def train(windows: DataFrame, t: Training) -> DataFrame:
+    """A model for each device of windows(device, window, part, x): fitted on train, stopped by early, calibrated on calibrate.
+
+    median and iqr are of the calibration errors; inverse is that of their channels' covariance (population,
+    with a small ridge), center their mean.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("window")
+        part = {k: stacked(pdf.loc[pdf["part"] == k, "x"]) for k in ("train", "early", "calibrate")}
+        if not len(part["train"]) or not len(part["calibrate"]):
+            return pd.DataFrame(columns=["device", "hidden", "epochs", "train_loss", "model", "median", "iqr", "inverse", "center"])
+        own = Autoencoder.fresh(part["train"].shape[2], t.hidden, t.seed)
+        log = own.fit(part["train"], np.ones_like(part["train"]), part["early"], t)
+        errors, each = weighted_error(part["calibrate"], own.reconstruct(part["calibrate"]), np.array(t.weights))
+        q = np.percentile(errors, [25, 50, 75])
+        cov = np.atleast_2d(np.cov(each.T, bias=True)) + 1e-4 * np.eye(each.shape[1])
+        row = (pdf["device"].iloc[0], t.hidden, len(log), log[-1][1], own.pack(), q[1], max(q[2] - q[0], 1e-12), np.linalg.inv(cov).ravel().tolist(), each.mean(0).tolist())
+        return pd.DataFrame([row], columns=["device", "hidden", "epochs", "train_loss", "model", "median", "iqr", "inverse", "center"])
+
+    return windows.where("part <> 'online'").select("device", "window", "part", "x").groupBy("device").applyInPandas(run, MODEL)
+
+
+def score(windows: DataFrame, models: DataFrame, limit: float = 2.22, weights: tuple[float, ...] = (1.0,) * CHANNELS) -> DataFrame:
+    """device, window, start, stop, wmse, score, mahalanobis, above of windows(device, window, start, stop, x).
+
+    Each window meets its device's model by a join; windows of a batch that share a model are scored together.
+    """
+    both = windows.select("device", "window", "start", "stop", "x").join(models, "device")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for _, own in pdf.groupby("device", sort=False):
+                first = own.iloc[0]
+                x = stacked(own["x"])
+                model = Autoencoder.unpack(first["model"], x.shape[2], int(first["hidden"]))
+                errors, each = weighted_error(x, model.reconstruct(x), np.array(weights))
+                inverse = np.array(first["inverse"]).reshape(x.shape[2], -1)
+                off = each - np.array(first["center"])
+                z = (errors - first["median"]) / first["iqr"]
+                yield pd.DataFrame({"device": own["device"], "window": own["window"], "start": own["start"], "stop": own["stop"], "wmse": errors, "score": z, "mahalanobis": np.sqrt(np.maximum(0, np.einsum("ni,ij,nj->n", off, inverse, off))), "above": z >= limit})
+
+    return both.mapInPandas(run, "device long, window long, start long, stop long, wmse double, score double, mahalanobis double, above boolean")
+
+
+def zero_baseline(windows: DataFrame) -> DataFrame:
+    """device, part, windows, wmse: the error of a model that gives back zeros, which any model should beat."""
+    squares = F.aggregate("x", F.lit(0.0), lambda s, r: s + F.aggregate(r, F.lit(0.0), lambda a, v: a + v * v))
+    return windows.groupBy("device", "part").agg(F.count(F.lit(1)).alias("windows"), F.avg(squares / (F.size("x") * CHANNELS)).alias("wmse"))
+
+
+def grid(windows: DataFrame, settings: list[Training]) -> DataFrame:
+    """setting, device, epochs, train_loss, median, iqr of every setting: each (setting, device) is a task of its own."""
+    table = dict(enumerate(settings))
+    rows = windows.where("part <> 'online'").select("device", "window", "part", "x", F.explode(F.array(*[F.lit(k) for k in table])).alias("setting"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        t = table[int(pdf["setting"].iloc[0])]
+        pdf = pdf.sort_values("window")
+        part = {k: stacked(pdf.loc[pdf["part"] == k, "x"]) for k in ("train", "early", "calibrate")}
+        if not len(part["train"]) or not len(part["calibrate"]):
+            return pd.DataFrame({"setting": [], "device": [], "epochs": [], "train_loss": [], "median": [], "iqr": []})
+        own = Autoencoder.fresh(part["train"].shape[2], t.hidden, t.seed)
+        log = own.fit(part["train"], np.ones_like(part["train"]), part["early"], t)
+        errors, _ = weighted_error(part["calibrate"], own.reconstruct(part["calibrate"]), np.array(t.weights))
+        q = np.percentile(errors, [25, 50, 75])
+        return pd.DataFrame({"setting": [pdf["setting"].iloc[0]], "device": [pdf["device"].iloc[0]], "epochs": [len(log)], "train_loss": [log[-1][1]], "median": [q[1]], "iqr": [q[2] - q[0]]})
+
+    return rows.groupBy("setting", "device").applyInPandas(run, "setting int, device long, epochs int, train_loss double, median double, iqr double")

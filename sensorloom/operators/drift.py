@@ -39,17 +39,23 @@ def tables(confidence: float = 0.99, rho: float = 0.5, longest: int = 2016) -> p
         f = f_ppf(p, c - 1, w - c - 1)
         return rho - t_ppf(p, welch(c, w, f)) * np.sqrt(1 / c + f / (w - c))
 
-    rows = []
-    for w in range(LEAST, longest + 1):
-        step = (w + 63) // 64
-        coarse = np.arange(w - 2, 1, -step)
-        good = np.flatnonzero(slack(coarse.astype(float), float(w)) >= 0)
-        cut, found = w // 2, False
-        if len(good):
-            fine = np.arange(coarse[good[0]], min(coarse[good[0]] + step, w - 1))
-            cut, found = int(fine[slack(fine.astype(float), float(w)) >= 0].max()), True
-        rows.append((w, cut, found))
-    out = pd.DataFrame(rows, columns=["w", "cut", "root_found"])
+    sizes = np.arange(LEAST, longest + 1)
+    steps = (sizes + 63) // 64
+
+    def largest(low, high, step):
+        """For each window the largest good cut among low, low + step, ... up to high, or 0; all windows at once."""
+        cuts = [np.arange(h, l - 1, -s) for l, h, s in zip(low, high, step)]
+        of = np.repeat(np.arange(len(sizes)), [len(c) for c in cuts])
+        every = np.concatenate(cuts)
+        good = slack(every.astype(float), sizes[of].astype(float)) >= 0
+        best = np.zeros(len(sizes), np.int64)
+        np.maximum.at(best, of[good], every[good])
+        return best
+
+    coarse = largest(np.full(len(sizes), 2), sizes - 2, steps)
+    fine = largest(np.maximum(coarse, 2), np.minimum(coarse + steps - 1, sizes - 2), np.ones_like(steps))
+    found = coarse > 0
+    out = pd.DataFrame({"w": sizes, "cut": np.where(found, fine, sizes // 2), "root_found": found})
     c, w = out["cut"].to_numpy(float), out["w"].to_numpy(float)
     out["f_crit"] = f_ppf(p, w - c - 1, c - 1)
     out["t_crit"] = t_ppf(p, welch(c, w, f_ppf(p, c - 1, w - c - 1)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..config import EVENTS, Guard, Scaler
 from ..functions.arrays import rounded
 from ..operators import ingest, profile, quality, scaling
-from .bindings import CELLS, DEVICES, PERIOD, READINGS, ROUNDS, VALUES, readings, rounds, table, values
+from .bindings import CELLS, DEVICES, PERIOD, READINGS, ROUNDS, VALUES, readings, rounds, values
 
 GUARD = Guard(thresholds=(2, 2, 2, 2, 2), floors={0: (10.0,)}, gap=2 * PERIOD)
 COLD = 4 * PERIOD
@@ -397,4 +397,3 @@ def mic_distribution(spark, sf_dir):
     return profile.value_counts(readings(spark, sf_dir), 0)
 
 
-__all__ = ["Q", "S", "table"]

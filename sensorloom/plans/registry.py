@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import basic
+from . import basic, decisions, windowed
+
+MODULES = (basic, windowed, decisions)
 
 
 def queries():
-    return {name: q for module in (basic,) for name, q in module.Q.items()}
+    return {name: q for module in MODULES for name, q in module.Q.items()}
 
 
 def oracle_sql():
-    return {name: q for module in (basic,) for name, q in module.S.items()}
+    return {name: q for module in MODULES for name, q in module.S.items()}
