@@ -239,7 +239,8 @@ def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
                 ids = [np.frombuffer(table.encode_bytes(t), "<i4") for t in part["text"]]
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "ids": ids, "decoded": [table.decode(i.tolist()) for i in ids]})
 
-    return pick(docs, doc_id="doc_id", text="text").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, ids array<int>, decoded string")
+    rows = pick(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")).alias("text"))  # pandas would round ids beside nulls
+    return rows.mapInPandas(run, "doc_id string, ids array<int>, decoded string").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def digests(docs: DataFrame, model_path: str) -> DataFrame:
@@ -250,4 +251,5 @@ def digests(docs: DataFrame, model_path: str) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": [len(x) for x in pdf["ids"]], "ids_sha256": [hashlib.sha256(np.asarray(x, "<u4").tobytes()).hexdigest() for x in pdf["ids"]], "decoded_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in pdf["decoded"]]})
 
-    return encode_decode(docs, model_path).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    coded = encode_decode(docs, model_path).withColumn("doc_id", F.col("doc_id").cast("string"))
+    return coded.mapInPandas(run, "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -350,7 +350,7 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
     others; an empty table gives an empty result; other columns are ignored.
     """
     weights = field.w
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string"
+    schema = "doc_id string, n_email long, n_ip long, n_card long, n_phone long, base string, spans string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Field(weights)
@@ -366,7 +366,8 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             yield out
 
-    return pick(docs, doc_id="doc_id", text="text").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, schema)
+    rows = pick(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")).alias("text"))  # pandas would round ids beside nulls
+    return rows.mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def find_personal_data(docs: DataFrame, **how) -> DataFrame:

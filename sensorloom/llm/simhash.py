@@ -64,7 +64,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 part = pdf.iloc[lo : lo + 256]
                 yield pd.DataFrame({"doc_id": part["doc_id"], "fp": fingerprints_of(list(part["text"])).view(np.int64)})
 
-    return pick(docs, doc_id="doc_id", text="text").mapInPandas(run, "doc_id long, fp long")
+    rows = pick(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("string"), "text")  # pandas would round ids beside nulls
+    return rows.mapInPandas(run, "doc_id string, fp long").select(F.col("doc_id").cast("long"), "fp")
 
 
 def ring_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -43,8 +43,7 @@ class Block:
     def __init__(self, pdf: pd.DataFrame, window: int, cache: WordHashes):
         self.window, self.v = window, cover_for(window)
         self.size = window - self.v + 1
-        self.ids = pdf["doc_id"].fillna(NO_ID).astype("int64").to_numpy() if len(pdf) else np.empty(0, np.int64)
-        self.null = pdf["doc_id"].isna().to_numpy()
+        self.ids = pdf["doc_id"].to_numpy(np.int64)
         self.words = [t.encode("utf-8", "surrogatepass").split() if isinstance(t, str) else [] for t in pdf["text"]]
         self.hashes = [cache.of(w) if len(w) >= window else np.empty(0, U64) for w in self.words]
         self.residues = np.zeros(self.v, bool)
@@ -110,7 +109,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, block_bytes: int = 6_000_0
     are one document to this rule: neither is smaller. Rows without doc_id come after all others and take
     nothing from each other. An empty table gives an empty result. Other columns are ignored.
     """
-    docs = pick(docs, doc_id="doc_id", text="text")
+    docs = pick(docs, doc_id="doc_id", text="text").select(F.coalesce("doc_id", F.lit(int(NO_ID))).alias("doc_id"), "text")
     _, volume = text_volume(docs)
     n_blocks, n_buckets = max(12, -(-volume // block_bytes)), max(16, min(4096, -(-volume // bucket_bytes)))
     blocks = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks))).groupBy("block")
@@ -196,10 +195,10 @@ def remove_repeats(docs: DataFrame, window: int = 13, block_bytes: int = 6_000_0
         rows = []
         for i, words, g in zip(range(len(pdf)), block.words, gone):
             kept = words if g is None else list(compress(words, ~g))
-            rows.append((None if block.null[i] else block.ids[i], b" ".join(kept).decode("utf-8", "surrogatepass"), len(words), len(words) - len(kept)))
-        out = pd.DataFrame(rows, columns=columns)
-        return out.astype({"doc_id": "Int64"})
+            rows.append((block.ids[i], b" ".join(kept).decode("utf-8", "surrogatepass"), len(words), len(words) - len(kept)))
+        return pd.DataFrame(rows, columns=columns)
 
     shared = blocks.applyInPandas(send_anchors, "bucket int, block long, once binary, twice binary").groupBy("bucket").applyInPandas(find_shared, "block long, bucket int, shared binary")
     first = blocks.cogroup(shared.groupBy("block")).applyInPandas(send_windows, "bucket int, block long, first binary, second binary, doc binary, many binary").groupBy("bucket").applyInPandas(find_first, "block long, first binary, second binary, least binary")
-    return blocks.cogroup(first.groupBy("block")).applyInPandas(drop_words, "doc_id long, text string, n_words long, n_removed long")
+    kept = blocks.cogroup(first.groupBy("block")).applyInPandas(drop_words, "doc_id long, text string, n_words long, n_removed long")
+    return kept.withColumn("doc_id", F.nullif("doc_id", F.lit(int(NO_ID))))
