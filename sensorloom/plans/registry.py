@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import basic, decisions, windowed
+from . import basic, decisions, moving, windowed
 
-MODULES = (basic, windowed, decisions)
+MODULES = (basic, windowed, decisions, moving)
 
 
 def queries():
