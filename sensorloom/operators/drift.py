@@ -161,7 +161,7 @@ def drift_events(elements: DataFrame, confidence: float = 0.99, rho: float = 0.5
         frame = pd.DataFrame(out).reindex(columns=COLUMNS)
         frame.insert(0, "device", pdf["device"].iloc[0])
         kinds = {c: "Int64" for c in ("window_len", "hist_len", "new_len", "checked", "candidate_ts", "ts")}
-        return frame.astype(kinds | {c: "float64" for c in ("hist_mean", "hist_sd", "new_mean", "new_sd", "hist_median", "magnitude", "reference", "threshold", "last_median")} | {"during_check": "boolean"})
+        return frame.astype(kinds | {c: "float64" for c in ("hist_mean", "hist_sd", "new_mean", "new_sd", "hist_median", "magnitude", "reference", "threshold", "last_median")} | {"during_check": "boolean", "level": object, "test": object})
 
     return elements.select("device", "ts", "value", "generation").groupBy("device").applyInPandas(run, SCHEMA)
 

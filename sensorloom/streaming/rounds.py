@@ -69,7 +69,7 @@ class DriftProcessor(StatefulProcessor):
         if out:
             frame = pd.DataFrame(out).reindex(columns=COLUMNS)
             frame.insert(0, "device", key[0])
-            yield frame.astype({c: "Int64" for c in ("window_len", "hist_len", "new_len", "checked", "candidate_ts", "ts")} | {"during_check": "boolean"})
+            yield frame.astype({c: "Int64" for c in ("window_len", "hist_len", "new_len", "checked", "candidate_ts", "ts")} | {"during_check": "boolean", "level": object, "test": object})
 
     def close(self) -> None:
         pass
