@@ -55,7 +55,7 @@ def text_volume(docs: DataFrame, text: str = "text") -> tuple[int, int]:
 class WordHashes(dict):
     """64-bit hashes of words (bytes), remembered for a bounded number of words."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 

@@ -32,7 +32,7 @@ NORMAL, CONTROL, BYTE = 1, 3, 6  # kinds of pieces (fixed values of the file for
 class PieceTable:
     """A SentencePiece BPE model with byte fallback, a leading space mark and no other normalisation."""
 
-    def __init__(self, model: bytes, most: int = 600_000):
+    def __init__(self, model: bytes, most: int = 300_000):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         proto = pb.ModelProto()

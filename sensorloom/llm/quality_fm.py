@@ -76,7 +76,7 @@ class Machine:
 
 
 def fit(x: np.ndarray, y: np.ndarray, factors: int = 8, rounds: int = 120, rate: float = 0.02, shrink: float = 1e-4, seed: int = 7) -> Machine:
-    """Logistic loss with weight decay, full batches, Adam steps. No rows: a machine that gives every text 0.5."""
+    """Logistic loss with weight decay, full batches, Adam steps. No rows: a machine that gives every text 0.5. x is overwritten."""
     random = np.random.default_rng(seed)
     width = x.shape[1]
     mean, scale = np.zeros(width, np.float32), np.ones(width, np.float32)
@@ -88,7 +88,8 @@ def fit(x: np.ndarray, y: np.ndarray, factors: int = 8, rounds: int = 120, rate:
     # Words are scaled together, so that rare ones stay small; each statistic by its own spread.
     scale[:BUCKETS] = max(1e-6, float(x[:, :BUCKETS].std())) * 4
     scale[BUCKETS:] = np.maximum(x[:, BUCKETS:].std(0), 1e-3)
-    z = (x - mean) / scale
+    z = np.subtract(x, mean, out=x)
+    z /= scale
     m.factors[:] = random.normal(0, 0.02, (width, factors))
     theta = np.concatenate([m.factors, m.linear[:, None]], axis=1)
     first, second, bias, b1, b2 = np.zeros_like(theta), np.zeros_like(theta), float(np.log(y.mean() / (1 - y.mean()))), 0.0, 0.0
@@ -134,7 +135,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> Machine:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     got = texts.join(F.broadcast(known), "doc_id").mapInPandas(run, kinds).orderBy(F.xxhash64("doc_id"), "doc_id", "y", "x").limit(sample).toPandas()
     x = np.stack([np.frombuffer(r, np.float16) for r in got["x"]]).astype(np.float32) if len(got) else np.zeros((0, WIDTH), np.float32)
-    return fit(x, got["y"].to_numpy(np.float32))
+    y = got["y"].to_numpy(np.float32)
+    del got
+    return fit(x, y)
 
 
 def score(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:
