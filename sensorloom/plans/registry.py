@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import basic, decisions, moving, windowed
+from . import basic, checks, decisions, moving, windowed
 
-MODULES = (basic, windowed, decisions, moving)
+MODULES = (basic, windowed, decisions, moving, checks)
 
 
 def queries():
