@@ -146,7 +146,7 @@ def src_inject(spark, sf_dir):
 
 @query(f"""WITH {INJECTED}, alarms AS (SELECT device, sec AS ts FROM changed WHERE value > 300),
 rate AS (SELECT device, count(*) FILTER (WHERE value > 300) / count(*) AS rate FROM changed WHERE sec < {START + 5 * DAY} GROUP BY device)
-SELECT spec, s.device, count(a.ts) > 0 AS detected, count(a.ts) AS hits, min(a.ts) - s.start AS delay, round(1 - pow(1 - coalesce(max(rate), 0), ceil((s.stop - s.start) / {PERIOD})), 6) + 0.0 AS chance
+SELECT spec, CAST(s.device AS BIGINT) AS device, count(a.ts) > 0 AS detected, count(a.ts) AS hits, min(a.ts) - s.start AS delay, round(1 - pow(1 - coalesce(max(rate), 0), ceil((s.stop - s.start) / {PERIOD})), 6) + 0.0 AS chance
 FROM specs s LEFT JOIN alarms a ON a.device = s.device AND a.ts >= s.start AND a.ts < s.stop LEFT JOIN rate r ON r.device = s.device GROUP BY spec, s.device, s.start, s.stop""")
 def recall_table(spark, sf_dir):
     r = injected(spark, sf_dir)
