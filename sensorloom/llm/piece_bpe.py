@@ -220,12 +220,11 @@ def table_of(model: bytes) -> PieceTable:
     return _TABLES[key]
 
 
-def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, ids (array of int, with begin and end id) and decoded text for each row of docs(doc_id, text).
+def packed(docs: DataFrame, model_path: str) -> DataFrame:
+    """doc_id, packed (ids as little-endian unsigned 32-bit integers) and decoded text for each row of docs(doc_id, text).
 
-    The ids equal those of the library. A null text is encoded like an empty one: begin and end id alone,
-    decoded to an empty text. Repeated rows give repeated rows; no row is dropped; other columns are ignored.
-    The model file (half a MB, of fixed size) is read once on the driver and travels with the tasks.
+    The model file (half a MB, of fixed size) is read once on the driver and travels with the tasks. One Python
+    stage does it all: a second one would double the workers, and each may come to hold a table and its caches.
     """
     with open(model_path, "rb") as f:
         model = f.read()
@@ -236,20 +235,29 @@ def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
         for pdf in batches:
             for lo in range(0, len(pdf), 500):
                 part = pdf.iloc[lo : lo + 500]
-                ids = [np.frombuffer(table.encode_bytes(t), "<i4") for t in part["text"]]
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "ids": ids, "decoded": [table.decode(i.tolist()) for i in ids]})
+                ids = [table.encode_bytes(t) for t in part["text"]]
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "packed": ids, "decoded": [table.decode(np.frombuffer(i, "<u4").tolist()) for i in ids]})
 
     rows = pick(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")).alias("text"))  # pandas would round ids beside nulls
-    return rows.mapInPandas(run, "doc_id string, ids array<int>, decoded string").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return rows.mapInPandas(run, "doc_id string, packed binary, decoded string").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def digests(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: what encode_decode gives, with the ids hashed as little-endian unsigned 32-bit integers."""
-    import hashlib
+def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
+    """doc_id, ids (array of int, with begin and end id) and decoded text for each row of docs(doc_id, text).
+
+    The ids equal those of the library. A null text is encoded like an empty one: begin and end id alone,
+    decoded to an empty text. Repeated rows give repeated rows; no row is dropped; other columns are ignored.
+    """
+    digits = F.hex("packed")
+    # Eight hexadecimal digits an id, bytes from the lowest up.
+    at = lambda k, b: F.substring(digits, (8 * k + 2 * b + 1).cast("int"), F.lit(2))
+    n = (F.octet_length("packed") / 4).cast("int")
+    ids = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.conv(F.concat(at(k, 3), at(k, 2), at(k, 1), at(k, 0)), 16, 10).cast("int"))
+    return packed(docs, model_path).select("doc_id", ids.alias("ids"), "decoded")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": [len(x) for x in pdf["ids"]], "ids_sha256": [hashlib.sha256(np.asarray(x, "<u4").tobytes()).hexdigest() for x in pdf["ids"]], "decoded_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in pdf["decoded"]]})
 
-    coded = encode_decode(docs, model_path).withColumn("doc_id", F.col("doc_id").cast("string"))
-    return coded.mapInPandas(run, "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumn("doc_id", F.col("doc_id").cast("long"))
+def digests(docs: DataFrame, model_path: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: digests of the packed ids and of the decoded text in UTF-8."""
+    return packed(docs, model_path).select(
+        "doc_id", (F.octet_length("packed") / 4).cast("long").alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+    )
