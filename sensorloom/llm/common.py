@@ -46,6 +46,18 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(right, same, how).drop(*[f"__{k}" for k in keys])
 
 
+#: Rows of an Arrow batch of texts. Spark's default of 10,000 is unbounded memory where texts are long.
+BATCH_ROWS = 500
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches have at most BATCH_ROWS rows."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def text_volume(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     """Rows and bytes of text, to size the partitioning."""
     row = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
@@ -86,13 +98,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def window_hashes(values: np.ndarray, size: int, factor: int) -> np.ndarray:
-    """A hash of each run of `size` consecutive values: a polynomial in an odd factor modulo 2**64, mixed."""
+def window_hashes(values: np.ndarray, size: int, factor: int, starts: np.ndarray | None = None) -> np.ndarray:
+    """A hash of each run of `size` consecutive values, or of those at some starts: a polynomial in an odd factor modulo 2**64, mixed."""
     n = len(values) - size + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    total = np.zeros(n, np.uint64)
+    total = np.zeros(n if starts is None else len(starts), np.uint64)
     for k in range(size):
         total *= np.uint64(factor)
-        total += values[k : k + n]
+        total += values[k : k + n] if starts is None else values[starts + k]
     return mixed(total)

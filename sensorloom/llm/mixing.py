@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import join_null_safe, materialize
+from .common import join_null_safe, materialize, small_batches
 
 #: A table of sources has one row each and is handled whole; more than this are refused, never cut.
 MOST_SOURCES = 100_000
@@ -34,7 +34,7 @@ def word_count(texts: pd.Series) -> pd.Series:
 
 def units(docs: DataFrame) -> DataFrame:
     """doc_id, row, source, size, copies: rows that agree in all of it are one unit, drawn together."""
-    rows = docs.select(
+    rows = small_batches(docs).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64("text", "source").alias("row"),
         F.col("source").cast("string").alias("source"),

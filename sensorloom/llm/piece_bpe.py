@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, small_batches
 
 MARK = "▁"  # stands for a space (fixed value)
 NORMAL, CONTROL, BYTE = 1, 3, 6  # kinds of pieces (fixed values of the file format)
@@ -238,7 +238,7 @@ def packed(docs: DataFrame, model_path: str) -> DataFrame:
                 ids = [table.encode_bytes(t) for t in part["text"]]
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "packed": ids, "decoded": [table.decode(np.frombuffer(i, "<u4").tolist()) for i in ids]})
 
-    rows = pick(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")).alias("text"))  # pandas would round ids beside nulls
+    rows = pick(small_batches(docs), doc_id="doc_id", text="text").select(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")).alias("text"))  # pandas would round ids beside nulls
     return rows.mapInPandas(run, "doc_id string, packed binary, decoded string").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import cached_words
+from .common import cached_words, small_batches
 
 BUCKETS = 2048  # of hashed words
 #: Byte classes of the structure statistics (fixed values).
@@ -132,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> Machine:
                 x = features(list(part["text"])).astype(np.float16)
                 yield pd.DataFrame({"x": [r.tobytes() for r in x], "y": part["y"], "doc_id": part["doc_id"]})
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     got = texts.join(F.broadcast(known), "doc_id").mapInPandas(run, kinds).orderBy(F.xxhash64("doc_id"), "doc_id", "y", "x").limit(sample).toPandas()
     x = np.stack([np.frombuffer(r, np.float16) for r in got["x"]]).astype(np.float32) if len(got) else np.zeros((0, WIDTH), np.float32)
     y = got["y"].to_numpy(np.float32)
@@ -143,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> Machine:
 def score(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:
     """docs with score (0 to 1) and predicted (1 if score >= threshold); a null text is an empty one."""
     columns = [c for c in docs.columns if c not in ("score", "predicted", "__text")]
-    whole = docs.select(*[F.col(f"`{c}`") for c in columns], F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("__text"))
+    whole = small_batches(docs).select(*[F.col(f"`{c}`") for c in columns], F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("__text"))
 
     @F.pandas_udf(DoubleType())
     def of(texts: pd.Series) -> pd.Series:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pick
+from .common import materialize, pick, small_batches
 from .components import connected
 
 U64 = np.uint64
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 part = pdf.iloc[lo : lo + 256]
                 yield pd.DataFrame({"doc_id": part["doc_id"], "fp": fingerprints_of(list(part["text"])).view(np.int64)})
 
-    rows = pick(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("string"), "text")  # pandas would round ids beside nulls
+    rows = pick(small_batches(docs), doc_id="doc_id", text="text").select(F.col("doc_id").cast("string"), "text")  # pandas would round ids beside nulls
     return rows.mapInPandas(run, "doc_id string, fp long").select(F.col("doc_id").cast("long"), "fp")
 
 
@@ -119,6 +119,20 @@ def forest(fp: np.ndarray, i: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def larger(batches: Iterator[pd.DataFrame], rows: int = 16_384) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and fingerprints of batches, gathered until there are so many."""
+    keys, prints, n = [], [], 0
+    for pdf in batches:
+        keys.append(pdf["key"].to_numpy(np.int64))
+        prints.append(pdf["fp"].to_numpy(np.int64).view(U64))
+        n += len(pdf)
+        if n >= rows:
+            yield np.concatenate(keys), np.concatenate(prints)
+            keys, prints, n = [], [], 0
+    if n:
+        yield np.concatenate(keys), np.concatenate(prints)
+
+
 EDGES = "kind int, a long, b long, key long, blk int"
 
 
@@ -172,11 +186,8 @@ def link_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if going_on:
                 cut_key = None
 
-    for pdf in batches:
-        key = np.concatenate([key, pdf["key"].to_numpy(np.int64)])
-        fp = np.concatenate([fp, pdf["fp"].to_numpy(np.int64).view(U64)])
-        if not len(key):
-            continue
+    for more_keys, more_prints in larger(batches):
+        key, fp = np.concatenate([key, more_keys]), np.concatenate([fp, more_prints])
         yield from flush(key, fp, False)
         start = np.searchsorted(key, key[-1]) if (key[:-1] <= key[1:]).all() else np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))[-1]
         key, fp = key[start:], fp[start:]
