@@ -8,7 +8,7 @@ anchor of `window - v + 1` words there lies within the run. Only anchors at cove
 Data moves in blocks of documents. A block sends each of its distinct anchors once, as packed 32-bit values
 dealt to buckets, so that a passage that a third of the corpus holds costs a bucket one value a block, never
 a row a document. The reply tells the block which of its anchors other blocks hold too. In the second round
-the blocks send 128-bit hashes of the windows around shared anchors with the smallest doc_id that holds them,
+the blocks send 96-bit hashes of the windows around shared anchors with the smallest doc_id that holds them,
 and get back the smallest in the corpus. Anchor values may collide, which only costs work; window hashes
 decide. The texts are shuffled once, and the three passes over them read the same exchange.
 """
@@ -43,8 +43,9 @@ class Block:
     def __init__(self, pdf: pd.DataFrame, window: int, cache: WordHashes):
         self.window, self.v = window, cover_for(window)
         self.size = window - self.v + 1
+        pdf = pdf.sort_values("doc_id", kind="stable")
         self.ids = pdf["doc_id"].to_numpy(np.int64)
-        self.words = [t.encode("utf-8", "surrogatepass").split() if isinstance(t, str) else [] for t in pdf["text"]]
+        self.words = [t.split() if t is not None else [] for t in pdf["text"]]
         self.hashes = [cache.of(w) if len(w) >= window else np.empty(0, U64) for w in self.words]
         self.residues = np.zeros(self.v, bool)
         self.residues[list(COVERS[self.v])] = True
@@ -62,22 +63,34 @@ class Block:
         found, n = np.unique(np.concatenate([*each, np.empty(0, U64)]), return_counts=True)
         return found, n > 1
 
-    def windows(self, shared: np.ndarray | None):
-        """For each document: starts and both hash halves of the windows that hold a shared anchor (None: of all)."""
+    def windows(self, shared: np.ndarray):
+        """For each document with any: its number, and starts and both hash halves of the windows that hold a shared anchor."""
         for k, (at, a) in enumerate(self.anchors()):
             h = self.hashes[k]
-            n = max(0, len(h) - self.window + 1)
-            if shared is None:
-                starts = np.arange(n)
-            else:
-                hit = np.zeros(len(h) + 1, np.int32)
-                hit[at[member(a, shared)]] = 1
-                total = np.concatenate([[0], np.cumsum(hit)])
-                starts = np.flatnonzero(total[self.v : self.v + n] > total[:n]) if n else np.empty(0, np.int64)
-            if not len(starts):
-                yield k, starts, np.empty(0, U64), np.empty(0, U64)
-            else:
-                yield k, starts, window_hashes(h, self.window, FIRST)[starts], window_hashes(h, self.window, SECOND)[starts]
+            n = len(h) - self.window + 1
+            if n <= 0:
+                continue
+            hit = np.zeros(len(h) + 1, np.int32)
+            hit[at[member(a, shared)]] = 1
+            total = np.concatenate([[0], np.cumsum(hit)])
+            starts = np.flatnonzero(total[self.v : self.v + n] > total[:n])
+            if len(starts):
+                yield k, starts, window_hashes(h, self.window, FIRST, starts), short(window_hashes(h, self.window, SECOND, starts))
+
+
+def short(values: np.ndarray) -> np.ndarray:
+    """The low 32 bits."""
+    return (values & U64(0xFFFFFFFF)).astype(np.uint32)
+
+
+def by_hash(first: np.ndarray, second: np.ndarray, doc: np.ndarray, in_order: bool) -> np.ndarray:
+    """The order by both hash halves and document. in_order: documents are already, so one stable sort does unless first halves collide."""
+    if in_order:
+        order = np.argsort(first, kind="stable")
+        a, b = first[order], second[order]
+        if not ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():
+            return order
+    return np.lexsort((doc, second, first))
 
 
 def member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -97,10 +110,6 @@ def dealt(values: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int,
     return bucket, [(b, order[cuts[b] : cuts[b + 1]]) for b in range(buckets) if cuts[b] < cuts[b + 1]]
 
 
-def small(values: np.ndarray) -> np.ndarray:
-    return (values & U64(0xFFFFFFFF)).astype(np.uint32)
-
-
 def remove_repeats(docs: DataFrame, window: int = 13, block_bytes: int = 6_000_000, bucket_bytes: int = 16_000_000) -> DataFrame:
     """doc_id, text (words that stay, joined by one space), n_words, n_removed for each row of docs(doc_id, text).
 
@@ -109,7 +118,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, block_bytes: int = 6_000_0
     are one document to this rule: neither is smaller. Rows without doc_id come after all others and take
     nothing from each other. An empty table gives an empty result. Other columns are ignored.
     """
-    docs = pick(docs, doc_id="doc_id", text="text").select(F.coalesce("doc_id", F.lit(int(NO_ID))).alias("doc_id"), "text")
+    docs = pick(docs, doc_id="doc_id", text="text").select(F.coalesce("doc_id", F.lit(int(NO_ID))).alias("doc_id"), F.col("text").cast("binary").alias("text"))
     _, volume = text_volume(docs)
     n_blocks, n_buckets = max(12, -(-volume // block_bytes)), max(16, min(4096, -(-volume // bucket_bytes)))
     blocks = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks))).groupBy("block")
@@ -118,7 +127,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, block_bytes: int = 6_000_0
         found, twice = Block(pdf, window, cached_words()).counted()
         _, groups = dealt(found, n_buckets)
         block = pdf["block"].iloc[0]
-        return pd.DataFrame([(b, block, small(found[i[~twice[i]]]).tobytes(), small(found[i[twice[i]]]).tobytes()) for b, i in groups], columns=["bucket", "block", "once", "twice"])
+        return pd.DataFrame([(b, block, short(found[i[~twice[i]]]).tobytes(), short(found[i[twice[i]]]).tobytes()) for b, i in groups], columns=["bucket", "block", "once", "twice"])
 
     def find_shared(pdf: pd.DataFrame) -> pd.DataFrame:
         once = [np.frombuffer(x, np.uint32) for x in pdf["once"]]
@@ -129,34 +138,40 @@ def remove_repeats(docs: DataFrame, window: int = 13, block_bytes: int = 6_000_0
         return pd.DataFrame([r for r in rows if r[2]], columns=["block", "bucket", "shared"])
 
     def send_windows(pdf: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
-        columns = ["bucket", "block", "first", "second", "doc", "many"]
+        columns = ["bucket", "block", "first", "second", "docs", "doc", "many"]
         if not len(pdf):
             return pd.DataFrame(columns=columns)
         block = Block(pdf, window, cached_words())
         found, twice = block.counted()
         bucket, _ = dealt(found, n_buckets)
         told = np.sort(np.concatenate([np.frombuffer(x, np.uint32).astype(U64) | U64(b) << U64(32) for b, x in zip(shared["bucket"], shared["shared"])] or [np.empty(0, U64)]))
-        hits = found[twice | member(bucket << U64(32) | small(found).astype(U64), told)]
-        parts = [(np.full(len(a), k), a, b) for k, _, a, b in block.windows(hits) if len(a)]
+        hits = found[twice | member(bucket << U64(32) | short(found).astype(U64), told)]
+        parts = [(np.full(len(a), k, np.uint32), a, b) for k, _, a, b in block.windows(hits)]
         if not parts:
             return pd.DataFrame(columns=columns)
         k, a, b = (np.concatenate(x) for x in zip(*parts))
-        doc = block.ids[k]
-        order = np.lexsort((doc, b, a))
-        a, b, doc = a[order], b[order], doc[order]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        at = np.flatnonzero(new)
+        order = by_hash(a, b, k, True)
+        a, b, k = a[order], b[order], k[order]
+        at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
         last = np.concatenate([at[1:], [len(a)]]) - 1
-        many = doc[last] > doc[at]
-        a, b, doc = a[at], b[at], doc[at]
+        many = block.ids[k[last]] > block.ids[k[at]]
+        a, b, k = a[at], b[at], k[at]
         _, groups = dealt(a, n_buckets)
-        number = pdf["block"].iloc[0]
-        return pd.DataFrame([(g, number, a[i].tobytes(), b[i].tobytes(), doc[i].tobytes(), many[i].tobytes()) for g, i in groups], columns=columns)
+        number, rows = pdf["block"].iloc[0], []
+        for g, i in groups:
+            # Documents once a bucket; windows name them by their number there.
+            own, place = np.unique(k[i], return_inverse=True)
+            rows.append((g, number, a[i].tobytes(), b[i].tobytes(), block.ids[own].tobytes(), place.astype(np.uint16 if len(own) <= 65536 else np.uint32).tobytes(), np.packbits(many[i]).tobytes()))
+        return pd.DataFrame(rows, columns=columns)
 
     def find_first(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, doc, many = (np.concatenate([np.frombuffer(x, kind) for x in pdf[c]]) for c, kind in (("first", U64), ("second", U64), ("doc", np.int64), ("many", bool)))
-        block = np.repeat(pdf["block"].to_numpy(), [len(x) // 8 for x in pdf["first"]])
-        order = np.lexsort((doc, b, a))
+        sizes = [len(x) // 8 for x in pdf["first"]]
+        a = np.concatenate([np.frombuffer(x, U64) for x in pdf["first"]])
+        b = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["second"]])
+        doc = np.concatenate([np.frombuffer(d, np.int64)[np.frombuffer(p, np.uint16 if len(p) == 2 * n else np.uint32)] for d, p, n in zip(pdf["docs"], pdf["doc"], sizes)])
+        many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x, n in zip(pdf["many"], sizes)])
+        block = np.repeat(pdf["block"].to_numpy(), sizes)
+        order = by_hash(a, b, doc, False)
         a, b, doc, many, block = a[order], b[order], doc[order], many[order], block[order]
         new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
         least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
@@ -173,32 +188,34 @@ def remove_repeats(docs: DataFrame, window: int = 13, block_bytes: int = 6_000_0
         block = Block(pdf, window, cached_words())
         gone = [None] * len(pdf)
         if len(told):
-            a, b, least = (np.concatenate([np.frombuffer(x, kind) for x in told[c]]) for c, kind in (("first", U64), ("second", U64), ("least", np.int64)))
+            a, b, least = (np.concatenate([np.frombuffer(x, kind) for x in told[c]]) for c, kind in (("first", U64), ("second", np.uint32), ("least", np.int64)))
             order = np.lexsort((b, a))
             a, b, least = a[order], b[order], least[order]
             plain = len(a) < 2 or not (a[1:] == a[:-1]).any()
             by_pair = None if plain else {(int(x), int(y)): int(z) for x, y, z in zip(a, b, least)}
-            for k, starts, x, y in block.windows(None):
+            for k, h in enumerate(block.hashes):
+                x = window_hashes(h, window, FIRST)
                 at = np.flatnonzero(member(x, a))
                 if not len(at):
                     continue
+                y = short(window_hashes(h, window, SECOND, at))
                 if plain:
                     j = np.searchsorted(a, x[at])
-                    hit = (b[j] == y[at]) & (least[j] < block.ids[k])
+                    hit = (b[j] == y) & (least[j] < block.ids[k])
                 else:
-                    hit = np.array([by_pair.get((int(p), int(q)), NO_ID) < block.ids[k] for p, q in zip(x[at], y[at])], bool)
+                    hit = np.array([by_pair.get((int(p), int(q)), NO_ID) < block.ids[k] for p, q in zip(x[at], y)], bool)
                 if hit.any():
-                    edge = np.zeros(len(block.words[k]) + 1, np.int32)
-                    edge[starts[at[hit]]] += 1
-                    edge[starts[at[hit]] + window] -= 1
+                    edge = np.zeros(len(h) + 1, np.int32)
+                    edge[at[hit]] += 1
+                    edge[at[hit] + window] -= 1
                     gone[k] = np.cumsum(edge)[:-1] > 0
         rows = []
-        for i, words, g in zip(range(len(pdf)), block.words, gone):
+        for i, words, g in zip(block.ids, block.words, gone):
             kept = words if g is None else list(compress(words, ~g))
-            rows.append((block.ids[i], b" ".join(kept).decode("utf-8", "surrogatepass"), len(words), len(words) - len(kept)))
+            rows.append((i, b" ".join(kept).decode("utf-8", "surrogatepass"), len(words), len(words) - len(kept)))
         return pd.DataFrame(rows, columns=columns)
 
     shared = blocks.applyInPandas(send_anchors, "bucket int, block long, once binary, twice binary").groupBy("bucket").applyInPandas(find_shared, "block long, bucket int, shared binary")
-    first = blocks.cogroup(shared.groupBy("block")).applyInPandas(send_windows, "bucket int, block long, first binary, second binary, doc binary, many binary").groupBy("bucket").applyInPandas(find_first, "block long, first binary, second binary, least binary")
+    first = blocks.cogroup(shared.groupBy("block")).applyInPandas(send_windows, "bucket int, block long, first binary, second binary, docs binary, doc binary, many binary").groupBy("bucket").applyInPandas(find_first, "block long, first binary, second binary, least binary")
     kept = blocks.cogroup(first.groupBy("block")).applyInPandas(drop_words, "doc_id long, text string, n_words long, n_removed long")
     return kept.withColumn("doc_id", F.nullif("doc_id", F.lit(int(NO_ID))))
