@@ -2,16 +2,17 @@
 
 Templates are short licence sentences. Their words, with function words left out, are posted with their
 positions. Of the documents' words only those in the vocabulary of the templates are kept, with positions:
-one pass over the texts, after which they are not needed any more. Document frequencies of the vocabulary
-(a bounded table: one row a word) give each document's rarest licence words. A template is a candidate where
-one of those words stands; the postings of all its words are then intersected by relative position, that is,
-counted by document, template and offset. A template is found if its mandatory phrase stands there whole and
-enough of its words do.
+one pass over the texts, after which they are not needed any more. Document frequencies over all documents
+(a bounded table: one row a word) give each template's rare token: its mandatory word with the highest IDF. A
+template is a candidate in every document in which its rare token stands, however many others are; the
+postings of all its words are then intersected by relative position, that is, counted by document, template
+and offset. A template is found if its mandatory phrase stands there whole and enough of its words do. As the
+rare token is part of that phrase, the choice of token costs or saves work but changes no result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_null_safe, materialize
@@ -69,8 +70,14 @@ def rules() -> list[tuple[int, str, bool, int, int]]:
     return out
 
 
+def mandatory() -> list[tuple[int, str, int]]:
+    """The postings of the mandatory positions alone."""
+    need = {k: mask for k, _, _, mask, _ in rules()}
+    return [(k, w, p) for k, w, p in postings() if need[k] >> p & 1]
+
+
 def licence_words(docs: DataFrame) -> DataFrame:
-    """doc_id, row, n_words, hits (array of position and word): one pass over the texts."""
+    """doc_id, row, n_words, seen (distinct mandatory words), hits (array of position and word): one pass over the texts."""
     vocabulary = sorted({w for _, w, _ in postings()})
     text = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
     parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), F.split(text, BREAK).alias("w"))
@@ -81,10 +88,18 @@ def licence_words(docs: DataFrame) -> DataFrame:
     found = F.expr(f"filter(transform(w, (x, i) -> named_struct('pos', i - lead, 'word', x)), h -> h.word IN ({known}))")
     none = F.expr("cast(array() as array<struct<pos: int, word: string>>)")
     close = F.arrays_overlap("w", F.array(*map(F.lit, STRONG)))
-    return parts.select("doc_id", "row", "n_words", F.when(close, found).otherwise(none).alias("hits"))
+    seen = F.array_intersect("w", F.array(*map(F.lit, sorted({w for _, w, _ in mandatory()}))))
+    return parts.select("doc_id", "row", "n_words", seen.alias("seen"), F.when(close, found).otherwise(none).alias("hits"))
+
+
+def rare_tokens(words: DataFrame) -> DataFrame:
+    """template, rare: of each template's mandatory words the one that the fewest documents hold, one row a template."""
+    df = words.select(F.explode("seen").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    posted = words.sparkSession.createDataFrame(mandatory(), "template int, word string, at int").join(df, "word", "left")
+    return posted.groupBy("template").agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), "word")).alias("rare"))
 
 
-def scan(docs: DataFrame, rare: int = 3, enough: float = 0.6) -> DataFrame:
+def scan(docs: DataFrame, enough: float = 0.6) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row of docs(doc_id, text).
 
     n_base counts all places of the base phrases; first_word and last_word are the smallest and the largest
@@ -96,19 +111,17 @@ def scan(docs: DataFrame, rare: int = 3, enough: float = 0.6) -> DataFrame:
     spark = docs.sparkSession
     words = materialize(licence_words(docs), "licence-words")
     close = words.where(F.size("hits") > 0)
-    each = close.select("doc_id", "row", "hits.word").select(F.explode(F.array_distinct("word")).alias("word"))
-    weight = each.groupBy("word").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", -F.log("df"))  # up to the same constant for all words
     posted = spark.createDataFrame(postings(), "template int, word string, at int")
     rule = spark.createDataFrame(rules(), "template int, label string, base boolean, need long, posts int")
-    hits = close.dropDuplicates(["doc_id", "row"]).select("doc_id", "row", F.explode("hits").alias("h")).select("doc_id", "row", "h.pos", "h.word")
-    # Both are bounded by the templates' vocabulary.
-    hits = hits.join(F.broadcast(weight), "word")
-    rank = F.dense_rank().over(Window.partitionBy("doc_id", "row").orderBy(F.col("idf").desc(), "word"))
-    votes = hits.withColumn("rare", rank <= rare).join(F.broadcast(posted), "word").withColumn("start", F.col("pos") - F.col("at"))
-    places = votes.groupBy("doc_id", "row", "template", "start").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"), F.max("rare").alias("rare"))
+    # The three tables are bounded by the templates.
+    rare = F.broadcast(rare_tokens(words))
+    tried = close.dropDuplicates(["doc_id", "row"]).join(rare, F.expr("array_contains(hits.word, rare)"))
+    hits = tried.select("doc_id", "row", "template", F.explode("hits").alias("h")).select("doc_id", "row", "template", "h.pos", "h.word")
+    votes = hits.join(F.broadcast(posted), ["template", "word"]).withColumn("start", F.col("pos") - F.col("at"))
+    places = votes.groupBy("doc_id", "row", "template", "start").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"))
     places = places.join(F.broadcast(rule), "template").where(F.col("mask").bitwiseAND(F.col("need")) == F.col("need"))
     share = F.bit_count("mask") / F.col("posts")
-    places = places.where(F.col("base") | (F.col("rare") & (share >= enough)))
+    places = places.where(F.col("base") | (share >= enough))
     base = F.when(F.col("base"), F.col("start"))
     found = places.groupBy("doc_id", "row").agg(
         F.count(base).alias("n_base"),

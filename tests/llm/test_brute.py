@@ -149,6 +149,34 @@ def test_license_base(spark):
         assert (got[r["doc_id"] + 100]["n_words"], got[r["doc_id"] + 100]["n_base"]) == (len(w), n)
 
 
+def test_license_scan_finds_every_template_of_a_file(spark):
+    """A file with several licences, among ordinary words that licences also use, keeps all labels; brute force over all templates."""
+    rng = random.Random(4)
+    plain = [w for _, w, _ in license_scan.postings()] + [f"w{k}" for k in range(60)]
+    texts = ["under the GNU General Public License version 3. Released under the MIT License. Licensed under the Apache License, Version 2.0. Licensed under CC BY-NC 4.0"]
+    for _ in range(60):
+        parts = [rng.choice(license_scan.TEMPLATES)[1].upper() for _ in range(rng.randrange(5))] + [" ".join(rng.choices(plain, k=rng.randrange(30))) for _ in range(4)]
+        rng.shuffle(parts)
+        texts.append(". ".join(parts))
+    posted = {}
+    for t, w, at in license_scan.postings():
+        posted.setdefault(t, []).append((at, w))
+
+    def labels(text):
+        w = re.findall("[a-z0-9]+", text.lower())
+        out = set()
+        for t, label, base, need, n in license_scan.rules():
+            for start in range(-20, len(w)):
+                mask = sum(1 << at for at, x in posted[t] if 0 <= start + at < len(w) and w[start + at] == x)
+                if mask & need == need and (base or mask.bit_count() >= 0.6 * n):
+                    out.add(label)
+        return ",".join(sorted(out))
+
+    got = {r["doc_id"]: r["labels"] for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0] == "apache,apache-2.0,cc-by,cc-by-nc,gpl,gpl-3.0,mit"
+    assert got == {k: labels(t) for k, t in enumerate(texts)}
+
+
 def test_mixture_hits_targets(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     a, b = (sorted(map(tuple, mixing.mixture_report(docs).collect())) for _ in range(2))
