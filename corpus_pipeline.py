@@ -36,8 +36,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each document and digests of them and of the decoded text."""
-    return piece_bpe.digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    """The token ids of each document (packed: little-endian unsigned 32-bit integers), the decoded text, and digests of both."""
+    return piece_bpe.with_digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 STAGES = [

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import pick, small_batches
@@ -256,8 +256,16 @@ def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
     return packed(docs, model_path).select("doc_id", ids.alias("ids"), "decoded")
 
 
+def digest_columns() -> list[Column]:
+    """n_tokens, ids_sha256, decoded_sha256 of a row of packed()."""
+    return [(F.octet_length("packed") / 4).cast("long").alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")]
+
+
 def digests(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: digests of the packed ids and of the decoded text in UTF-8."""
-    return packed(docs, model_path).select(
-        "doc_id", (F.octet_length("packed") / 4).cast("long").alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
-    )
+    return packed(docs, model_path).select("doc_id", *digest_columns())
+
+
+def with_digests(docs: DataFrame, model_path: str) -> DataFrame:
+    """doc_id, packed, decoded of packed() with the digests beside them."""
+    return packed(docs, model_path).select("doc_id", "packed", "decoded", *digest_columns())

@@ -216,3 +216,98 @@ def test_pipeline_stages(spark):
         assert docs.columns == columns, name
     rows = pipeline.run(spark, SF)
     assert rows.count() == docs.count() > 50
+
+
+def rows_of(df, columns=None):
+    return sorted((tuple(bytes(v) if isinstance(v, bytearray) else v for v in r) for r in df.select(*(columns or df.columns)).collect()), key=repr)
+
+
+def test_pipeline_rows_equal_brute_force(spark):
+    """Each stage's rows, from what the stage before returned, and those of the whole run."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    spm = pytest.importorskip("sentencepiece")
+    stage = dict(pipeline.STAGES)
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    at = {c: k for k, c in enumerate(docs.columns)}
+
+    def after(name, given):
+        return rows_of(stage[name](spark, spark.createDataFrame(given, docs.schema), SF))
+
+    # Quality: the machine's score with all pairs written out.
+    machine, given = quality_fm.train(docs, labels), rows_of(docs)
+    x = ((quality_fm.features([(r[at["text"]] or "").encode() for r in given]) - machine.mean) / machine.scale).astype(float)
+    pairs = machine.factors.astype(float) @ machine.factors.astype(float).T
+    np.fill_diagonal(pairs, 0)
+    score = 1 / (1 + np.exp(-np.clip(machine.bias + x @ machine.linear + 0.5 * np.einsum("ri,ij,rj->r", x, pairs, x, optimize=True), -30, 30)))
+    got = after("quality classifier", given)
+    assert got == [r for r, s in zip(given, score) if s >= 0.3] and 0 < len(got) < len(given)
+
+    # Lines: of a line in three documents or more, the one in the largest doc_id stays.
+    given, holders = got, {}
+    key = lambda line: re.sub("[A-Z]", lambda m: m.group().lower(), line.strip(" \t\n\v\f\r"))
+    for r in given:
+        for line in r[at["text"]].split("\n"):
+            if len(key(line)) >= 20:
+                holders.setdefault(key(line), set()).add(r[at["doc_id"]])
+    want = []
+    for r in given:
+        lines = r[at["text"]].split("\n")
+        left = [x for x in lines if len(holders.get(key(x), ())) < 3 or max(holders[key(x)]) == r[at["doc_id"]]]
+        own = {"text": "\n".join(left), "n_chars": len("\n".join(left))} if len(left) < len(lines) else {}
+        want.append(tuple(own.get(c, r[at[c]]) for c in docs.columns))
+    got = after("line dedup", given)
+    assert got == sorted(want, key=repr) and got != given
+
+    # Near copies: all pairs of fingerprints.
+    given, prints = got, []
+    for r in given:
+        w = r[at["text"]].encode().lower().split()
+        h = [xxhash.xxh64_intdigest(b" ".join(w[k : k + 4]), 42) for k in range(max(1, len(w) - 3))] if w else []
+        prints.append(sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in h) > len(h)))
+    root = list(range(len(given)))
+    for a in range(len(given)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= 4 and root[a] != root[b]:
+                old, new = root[a], root[b]
+                root = [new if r == old else r for r in root]
+    least = {}
+    for k, r in enumerate(given):
+        least[root[k]] = min(least.get(root[k], r[at["doc_id"]]), r[at["doc_id"]])
+    got = after("SimHash near-dedup", given)
+    assert got == [r for k, r in enumerate(given) if r[at["doc_id"]] == least[root[k]]] and len(got) < len(given)
+
+    # Mixing: a draw, so what holds of every draw. Whole rows only, each at most three times and as often as the
+    # others of its source, or once more; words miss a source's target by less than one row's.
+    given = got
+    got = after("mixing to target weights", given)
+    size = {r: len((r[at["text"]] or "").encode().split()) for r in given}
+    times = {r: got.count(r) for r in given}
+    assert sum(times.values()) == len(got)
+    sources = sorted({r[at["source"]] for r in given})
+    have = {s: sum(n for r, n in size.items() if r[at["source"]] == s) for s in sources}
+    weight, target, free = {s: k % 3 + 1 for k, s in enumerate(sources)}, {}, set(sources)
+    while free:
+        level = (sum(have.values()) - sum(target.values())) / sum(weight[s] for s in free)
+        full = {s for s in free if weight[s] * level > 3 * have[s]}
+        target |= {s: 3 * have[s] for s in full} if full else {s: weight[s] * level for s in free}
+        free = free - full if full else set()
+    for s in sources:
+        n = [times[r] for r in given if r[at["source"]] == s and size[r]]
+        assert max(n) <= 3 and max(n) - min(n) <= 1
+        assert abs(sum(size[r] * times[r] for r in given if r[at["source"]] == s) - target[s]) < max(size[r] for r in given if r[at["source"]] == s)
+
+    # Tokens: the library.
+    import hashlib
+
+    import public_tokenizers
+
+    lib = spm.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = []
+    for r in got:
+        ids = lib.encode(r[at["text"]] or "", add_bos=True, add_eos=True)
+        raw, text = np.array(ids, "<u4").tobytes(), lib.decode(ids)
+        want.append((r[at["doc_id"]], raw, text, len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+    columns = ["doc_id", "packed", "decoded", "n_tokens", "ids_sha256", "decoded_sha256"]
+    last = stage["SentencePiece"](spark, spark.createDataFrame(got, docs.schema), SF)
+    assert last.columns == columns and rows_of(last) == sorted(want, key=repr)
+    assert rows_of(pipeline.run(spark, SF), columns) == sorted(want, key=repr)
