@@ -7,7 +7,7 @@ under applyInPandas, or, with the same `update`, in a streaming state processor.
 from __future__ import annotations
 
 from collections import deque
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -64,23 +64,40 @@ def tables(confidence: float = 0.99, rho: float = 0.5, longest: int = 2016) -> p
 
 @dataclass
 class Detector:
-    """The adaptive window: update(x) gives an alarm's statistics or None."""
+    """The adaptive window: update(x) gives an alarm's statistics or None.
+
+    The window is a stretch of a buffer twice its length, so its parts are views. Sums are taken over them
+    anew: differences of running sums would lose the small spreads that the tests depend on.
+    """
 
     table: dict
     longest: int
-    window: deque = field(default_factory=deque)
     f_without_rise: int = 0
     t_skipped: int = 0
 
+    def __post_init__(self):
+        self.buffer, self.lo, self.hi = np.empty(2 * self.longest), 0, 0
+
+    @property
+    def window(self) -> np.ndarray:
+        return self.buffer[self.lo : self.hi]
+
+    def append(self, x: float) -> None:
+        if self.hi == len(self.buffer):
+            rest = self.window[-self.longest :].copy()
+            self.lo, self.hi = 0, len(rest)
+            self.buffer[: self.hi] = rest
+        self.buffer[self.hi] = x
+        self.hi += 1
+        self.lo = max(self.lo, self.hi - self.longest)
+
     def update(self, x: float) -> dict | None:
-        self.window.append(x)
-        if len(self.window) > self.longest:
-            self.window.popleft()
-        n = len(self.window)
+        self.append(x)
+        values = self.window
+        n = len(values)
         if n < LEAST:
             return None
         cut, f_crit, t_crit = self.table[n]
-        values = np.fromiter(self.window, float, n)
         old, new = values[:cut], values[cut:]
         var = [max(0.0, v.var(ddof=1)) if len(v) > 1 else 0.0 for v in (old, new)]
         sd = [v**0.5 for v in var]
@@ -100,7 +117,7 @@ class Detector:
         if test is None:
             return None
         alarm = {"test": test, "window_len": n, "hist_len": len(old), "new_len": len(new), "hist_mean": old.mean(), "hist_sd": sd[0], "new_mean": new.mean(), "new_sd": sd[1], "hist_median": float(np.median(old)), "magnitude": (new.mean() - old.mean()) / (sd[0] + BETA)}
-        self.window.clear()
+        self.lo = self.hi = 0
         return alarm
 
 

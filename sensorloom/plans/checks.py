@@ -119,7 +119,7 @@ def mcod_cold_clear(spark, sf_dir):
     return review.cleared_outliers(points(spark, sf_dir), W, 2 * PERIOD)
 
 
-SETTINGS = [{"confidence": c, "rho": 0.5, "longest": 120, "patience": k} for c in (0.99, 0.999) for k in (12, 36)]
+SETTINGS = [{"confidence": c, "rho": 0.5, "longest": 2016, "patience": k} for c in (0.99, 0.999) for k in (12, 36)]
 
 
 @query()
@@ -132,13 +132,13 @@ def perf_layer(spark, sf_dir):
     """Drift of the medians of 40 readings each."""
     e = elements(spark, sf_dir).select("device", (F.floor(F.col("ts") / 40) * 600).alias("ts"), "value")
     medians = e.groupBy("device", "ts").agg(F.percentile("value", F.lit(0.5)).alias("value")).withColumn("generation", F.lit(1))
-    return drift.drift_events(medians, longest=120, patience=12)
+    return drift.drift_events(medians, patience=12)
 
 
 @query()
 def perf_tracker(spark, sf_dir):
     e = elements(spark, sf_dir)
-    return review.confirmed_spans(drift.drift_events(e, longest=120, patience=12), e)
+    return review.confirmed_spans(drift.drift_events(e, patience=12), e)
 
 
 @query(f"""WITH {STATES}, n AS (SELECT device, day, count(*) FILTER (WHERE deviated) AS n, count(transition) AS t FROM states GROUP BY ALL)

@@ -123,13 +123,13 @@ def drift_stream(spark, sf_dir):
     """The drift events of the batch query, from keyed state over three batches; batch where no RocksDB store is configured."""
     rows = in_order(spark, sf_dir)
     if "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", ""):
-        return drift.drift_events(rows, longest=200)
+        return drift.drift_events(rows)
     path, out, state = (scratch(spark, x) for x in ("elements", "out", "state"))
     rows = rows.cache()
     last = rows.agg(F.max("ts")).first()[0]
     for part in range(3):  # each part arrives after the one before was read
         rows.where(F.col("ts").between(part * (last + 1) // 3, (part + 1) * (last + 1) // 3 - 1)).write.mode("append").parquet(path)
-        found = streams.run_to_end(streams.drift_stream(spark.readStream.schema(rows.schema).parquet(path), longest=200), out, state, "append")
+        found = streams.run_to_end(streams.drift_stream(spark.readStream.schema(rows.schema).parquet(path)), out, state, "append")
     rows.unpersist()
     return found
 

@@ -271,19 +271,19 @@ def elements(spark, sf_dir):
 
 @query()
 def optwin_update(spark, sf_dir):
-    return drift.detector_counters(elements(spark, sf_dir), longest=200)
+    return drift.detector_counters(elements(spark, sf_dir))
 
 
 @query()
 def drift_gate(spark, sf_dir):
-    return drift.drift_events(elements(spark, sf_dir), longest=200, patience=36)
+    return drift.drift_events(elements(spark, sf_dir), patience=36)
 
 
 @query()
 def burst(spark, sf_dir):
     e = elements(spark, sf_dir).select("device", (F.floor(F.col("ts") / 40) * 600).alias("ts"), "value")
     b = e.groupBy("device", "ts").agg(F.count(F.lit(1)).alias("admitted"), F.count_if(F.col("value") > 150).alias("outliers"))
-    return drift.bursts(b, longest=200)
+    return drift.bursts(b)
 
 
 @query()

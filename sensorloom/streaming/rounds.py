@@ -58,7 +58,8 @@ class DriftProcessor(StatefulProcessor):
         detector, gate = Detector(self.table, self.longest), Gate(self.rho, self.patience)
         if self.state.exists():
             window, pending, ts, threshold, reference, seen, last = self.state.get()
-            detector.window.extend(window)
+            for v in window:
+                detector.append(v)
             if pending:
                 gate.pending = {"ts": ts, "threshold": threshold, "reference": reference, "seen": seen, "last": deque(last, maxlen=6)}
         out = []
