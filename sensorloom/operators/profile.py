@@ -62,11 +62,11 @@ def keep_first(readings: DataFrame) -> DataFrame:
     return readings.withColumn("k", first).where("k = 1").drop("k")
 
 
-def uptime_matrix(readings: DataFrame, devices: list[int]) -> DataFrame:
-    """day, d0, d1, ...: readings by day and device."""
+def uptime_matrix(readings: DataFrame, width: int = 8) -> DataFrame:
+    """day, block, d0, d1, ...: readings by day and device, `width` devices a block, so that a fleet of any size has as many columns."""
     day = F.date_format(F.timestamp_seconds("at"), "yyyy-MM-dd")
-    wide = readings.groupBy(day.alias("day")).pivot("device", devices).agg(F.count(F.lit(1)))
-    return wide.select("day", *[F.coalesce(F.col(f"`{d}`"), F.lit(0)).alias(f"d{d}") for d in devices])
+    rows = readings.groupBy(day.alias("day"), F.floor(F.col("device") / width).alias("block"))
+    return rows.agg(*[F.count_if(F.col("device") % width == d).alias(f"d{d}") for d in range(width)])
 
 
 def rounds_per_day(rounds: DataFrame) -> DataFrame:

@@ -80,10 +80,10 @@ def zero_share(readings: DataFrame) -> DataFrame:
     return readings.groupBy("device", "sensor").agg(F.count_if(F.col("value") == 0).alias("zero"), F.count_if(F.col("value") != 0).alias("other"))
 
 
-def model_input(rounds: DataFrame, dark_device: int) -> DataFrame:
-    """Rounds as the model sees them: the dark device's last channel is zero."""
+def model_input(rounds: DataFrame, dark: Column) -> DataFrame:
+    """Rounds as the model sees them: the last channel of dark devices is zero."""
     last = f"x{CHANNELS - 1}"
-    return rounds.withColumn(last, F.when(F.col("device") == dark_device, 0.0).otherwise(F.col(last)))
+    return rounds.withColumn(last, F.when(dark, 0.0).otherwise(F.col(last)))
 
 
 def error_calibration(errors: DataFrame) -> DataFrame:

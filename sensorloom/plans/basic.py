@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..config import EVENTS, Guard, Scaler
 from ..functions.arrays import rounded
 from ..operators import ingest, profile, quality, scaling
-from .bindings import CELLS, DEVICES, PERIOD, READINGS, ROUNDS, VALUES, readings, rounds, values
+from .bindings import CELLS, PERIOD, READINGS, ROUNDS, VALUES, readings, rounds, values
 
 GUARD = Guard(thresholds=(2, 2, 2, 2, 2), floors={0: (10.0,)}, gap=2 * PERIOD)
 COLD = 4 * PERIOD
@@ -318,9 +318,9 @@ def dedup_keep_first(spark, sf_dir):
     return profile.keep_first(readings(spark, sf_dir)).select("seq", "device", "ts", "sensor", "value")
 
 
-@query(f"WITH {READINGS} SELECT strftime(to_timestamp(sec) AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, {', '.join(f'count(*) FILTER (WHERE device = {d}) AS d{d}' for d in range(DEVICES))} FROM readings GROUP BY day")
+@query(f"WITH {READINGS} SELECT strftime(to_timestamp(sec) AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, device // 8 AS block, {', '.join(f'count(*) FILTER (WHERE device % 8 = {d}) AS d{d}' for d in range(8))} FROM readings GROUP BY day, block")
 def uptime_matrix(spark, sf_dir):
-    return profile.uptime_matrix(readings(spark, sf_dir), list(range(DEVICES)))
+    return profile.uptime_matrix(readings(spark, sf_dir))
 
 
 @query(f"WITH {ROUNDS} SELECT device, strftime(to_timestamp(ts) AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, count(*) AS rounds FROM rounds GROUP BY ALL")

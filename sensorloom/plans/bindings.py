@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..config import EVENTS
 from ..operators import ingest
 
-DEVICES, PERIOD = 8, EVENTS.period
+PERIOD = EVENTS.period
+#: Users and suppliers that make one device: devices grow with the tables, a device's own series does not.
+USERS, SUPPLIERS = 20, 12
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,10 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """seq, device, ts, at, sensor, value: events by device, in rounds of PERIOD seconds; at is the exact second."""
+    """seq, device, ts, at, sensor, value: events by group of users, in rounds of PERIOD seconds; at is the exact second."""
     e = table(spark, sf_dir, "events")
     at = F.unix_timestamp(F.col("ts").cast("timestamp"))
-    return e.select(F.col("event_id").alias("seq"), (F.col("user_id") % DEVICES).alias("device"), (F.floor(at / PERIOD) * PERIOD).alias("ts"), at.alias("at"), F.col("event_type").alias("sensor"), "value")
+    return e.select(F.col("event_id").alias("seq"), F.expr(f"user_id div {USERS}").alias("device"), (F.floor(at / PERIOD) * PERIOD).alias("ts"), at.alias("at"), F.col("event_type").alias("sensor"), "value")
 
 
 def rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,13 +33,13 @@ def values(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     day = F.unix_date(F.col("l_shipdate").cast("date"))
     cells = F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax", F.col("l_extendedprice") * (1 - F.col("l_discount")))
-    return li.select((F.col("l_suppkey") % DEVICES).alias("device"), day.alias("day"), F.posexplode(cells).alias("channel", "x"))
+    return li.select(F.expr(f"l_suppkey div {SUPPLIERS}").alias("device"), day.alias("day"), F.posexplode(cells).alias("channel", "x"))
 
 
 #: The same in SQL, as the start of a WITH clause.
 READINGS = f"""
 readings AS (
-  SELECT event_id AS seq, user_id % {DEVICES} AS device, CAST(floor(epoch(ts) / {PERIOD}) * {PERIOD} AS BIGINT) AS ts,
+  SELECT event_id AS seq, user_id // {USERS} AS device, CAST(floor(epoch(ts) / {PERIOD}) * {PERIOD} AS BIGINT) AS ts,
          CAST(floor(epoch(ts)) AS BIGINT) AS sec, event_type AS sensor,
          CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 WHEN 'view' THEN 4 END AS channel, value
   FROM events
@@ -53,13 +55,12 @@ ROUNDS = f"""{READINGS}, rounds AS (
 )"""
 
 CELLS = f"""{ROUNDS}, cells AS (
-  SELECT device, ts, 0 AS channel, x0 AS x FROM rounds UNION ALL SELECT device, ts, 1, x1 FROM rounds UNION ALL
-  SELECT device, ts, 2, x2 FROM rounds UNION ALL SELECT device, ts, 3, x3 FROM rounds UNION ALL SELECT device, ts, 4, x4 FROM rounds
+  SELECT device, ts, unnest([0, 1, 2, 3, 4]) AS channel, unnest([x0, x1, x2, x3, x4]) AS x FROM rounds
 )"""
 
 VALUES = f"""
 vals AS (
-  SELECT l_suppkey % {DEVICES} AS device, CAST(CAST(l_shipdate AS DATE) - DATE '1970-01-01' AS INTEGER) AS day,
+  SELECT l_suppkey // {SUPPLIERS} AS device, CAST(CAST(l_shipdate AS DATE) - DATE '1970-01-01' AS INTEGER) AS day,
          unnest([0, 1, 2, 3, 4]) AS channel, unnest([l_quantity, l_extendedprice, l_discount, l_tax, l_extendedprice * (1 - l_discount)]) AS x
   FROM lineitem
 )"""

@@ -77,9 +77,9 @@ def sample_random(spark, sf_dir):
     return review.sampled(readings(spark, sf_dir), "seq", 200).select("seq", "device", "ts", "sensor", "value")
 
 
-@query(f"WITH {READINGS} SELECT device, sensor, CAST({START} AS BIGINT) AS start, CAST({START + DAY} AS BIGINT) AS stop, 'step' AS kind, round((quantile_cont(value, 0.9) - quantile_cont(value, 0.1)) * 0.5, 6) AS magnitude FROM readings WHERE device < 2 GROUP BY device, sensor")
+@query(f"WITH {READINGS} SELECT device, sensor, CAST({START} AS BIGINT) AS start, CAST({START + DAY} AS BIGINT) AS stop, 'step' AS kind, round((quantile_cont(value, 0.9) - quantile_cont(value, 0.1)) * 0.5, 6) AS magnitude FROM readings GROUP BY device, sensor")
 def injection_plan(spark, sf_dir):
-    return review.plan_injections(readings(spark, sf_dir), F.col("device") < 2, START, DAY, 0.5).withColumn("magnitude", rounded(F.col("magnitude")))
+    return review.plan_injections(readings(spark, sf_dir), F.lit(True), START, DAY, 0.5).withColumn("magnitude", rounded(F.col("magnitude")))
 
 
 @query(f"WITH {READINGS} SELECT device, sensor, count(*) FILTER (WHERE floor(value / 10) = 0) AS zero, count(*) FILTER (WHERE floor(value / 10) <> 0) AS other FROM readings GROUP BY ALL")
@@ -87,9 +87,9 @@ def accel_zero(spark, sf_dir):
     return review.zero_share(readings(spark, sf_dir).withColumn("value", F.floor(F.col("value") / 10)))
 
 
-@query(f"WITH {ROUNDS} SELECT device, round(sum(CASE WHEN device = 6 THEN 0.0 ELSE x4 END), 4) + 0.0 AS total FROM rounds GROUP BY device")
+@query(f"WITH {ROUNDS} SELECT device, round(sum(CASE WHEN device % 8 = 6 THEN 0.0 ELSE x4 END), 4) + 0.0 AS total FROM rounds GROUP BY device")
 def zero_g_light(spark, sf_dir):
-    return review.model_input(rounds(spark, sf_dir), 6).groupBy("device").agg(rounded(F.sum("x4"), 4).alias("total"))
+    return review.model_input(rounds(spark, sf_dir), F.col("device") % 8 == 6).groupBy("device").agg(rounded(F.sum("x4"), 4).alias("total"))
 
 
 @query(f"""WITH {POINTS}, e AS (SELECT device, (x0-50)^2 AS e0, (x1-50)^2 AS e1, ((x0-50)^2+(x1-50)^2+(x2-50)^2+(x3-50)^2+(x4-50)^2) / 5 AS e FROM pts)
@@ -99,12 +99,12 @@ def m3_calibrate(spark, sf_dir):
     return review.error_calibration(e).select("device", rounded(F.col("median"), 4).alias("median"), rounded(F.col("iqr"), 4).alias("iqr"), rounded(F.col("cov01"), 2).alias("cov01"))
 
 
-@query(f"""WITH {PROBE}, l AS (SELECT device, k, mean_rate FROM probe WHERE radius = 30), r AS (SELECT device, k, mean_rate FROM probe WHERE radius = 60 AND device <> 3)
+@query(f"""WITH {PROBE}, l AS (SELECT device, k, mean_rate FROM probe WHERE radius = 30), r AS (SELECT device, k, mean_rate FROM probe WHERE radius = 60 AND device % 8 <> 3)
 SELECT count(*) FILTER (WHERE l.device IS NOT NULL AND r.device IS NOT NULL AND abs(l.mean_rate - r.mean_rate) <= 0.01) AS same, count(*) FILTER (WHERE l.device IS NOT NULL AND r.device IS NOT NULL AND abs(l.mean_rate - r.mean_rate) > 0.01) AS different,
 count(*) FILTER (WHERE r.device IS NULL) AS only_left, count(*) FILTER (WHERE l.device IS NULL) AS only_right FROM l FULL JOIN r ON l.device = r.device AND l.k = r.k""")
 def probe_compare(spark, sf_dir):
     p = probed(spark, sf_dir)
-    return review.compare_tables(p.where("radius = 30"), p.where("radius = 60 AND device <> 3"), ["device", "k"], "mean_rate", 0.01)
+    return review.compare_tables(p.where("radius = 30"), p.where("radius = 60 AND device % 8 <> 3"), ["device", "k"], "mean_rate", 0.01)
 
 
 CLEARED = f"""{POINTS}, era AS (SELECT *, sum(cold) OVER (PARTITION BY device ORDER BY ts) AS era FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY device ORDER BY ts) > {2 * PERIOD} THEN 1 ELSE 0 END AS cold FROM pts)),

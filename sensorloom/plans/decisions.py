@@ -73,7 +73,7 @@ def site_condition(spark, sf_dir):
     return fleet.site_flags(flagged(spark, sf_dir), RULES).where("past > 0").select("device", "tick", "past")
 
 
-ALERTS = f"""{FLAGS}, marks AS (SELECT *, tick % (5 * {DAY}) = 0 AND device = 2 AS drift, ctx_max > 300 AS transient, ctx_max > 400 AS switch,
+ALERTS = f"""{FLAGS}, marks AS (SELECT *, tick % (5 * {DAY}) = 0 AND device % 8 = 2 AS drift, ctx_max > 300 AS transient, ctx_max > 400 AS switch,
   (pflag AND n_point >= "limit") OR (cflag AND n_context >= "limit") AS wide FROM site),
 labelled AS (SELECT device, tick, CASE WHEN bad THEN 'QUALITY' WHEN switch THEN 'SWITCH' WHEN drift THEN 'DRIFT' WHEN (pflag OR cflag) AND past >= 2 THEN 'SITE' WHEN transient THEN 'TRANSIENT' WHEN wide THEN 'ENVIRONMENT' WHEN pflag OR cflag THEN 'ANOMALY' END AS label,
   CASE WHEN CASE WHEN bad THEN n_bad >= greatest(2, ceil(3 * devices / 4)) ELSE wide END THEN 'global' ELSE 'local' END AS scope, bad, n_bad, pflag, cflag, n_point, n_context FROM marks),
@@ -82,7 +82,7 @@ alerts AS (SELECT device, tick, label, scope, CAST(CASE WHEN bad THEN n_bad ELSE
 
 def labelled(spark, sf_dir):
     f = flagged(spark, sf_dir)
-    drifting = f.where((F.col("tick") % (5 * DAY) == 0) & (F.col("device") == 2))
+    drifting = f.where((F.col("tick") % (5 * DAY) == 0) & (F.col("device") % 8 == 2))
     return fleet.alerts(f, drifting, f.where("ctx_max > 300"), f.where("ctx_max > 400"), RULES)
 
 
@@ -91,19 +91,19 @@ def alert_tick(spark, sf_dir):
     return labelled(spark, sf_dir)
 
 
-STATES = f"""{DAYS}, marked AS (SELECT *, 0.0 AS missing, CASE WHEN day % 5 = 0 AND device = 1 THEN 0.5 ELSE 0.0 END AS guard, day = 4 AS calibration FROM dayrows),
+STATES = f"""{DAYS}, marked AS (SELECT *, 0.0 AS missing, CASE WHEN day % 5 = 0 AND device % 8 = 1 THEN 0.5 ELSE 0.0 END AS guard, day = 4 AS calibration FROM dayrows),
 ev AS (SELECT *, NOT calibration AND missing <= 0.2 AND guard <= 0.2 AS evaluable FROM marked),
 mk AS (SELECT *, CASE WHEN evaluable AND p < 0.002 AND d > 0.05 THEN true WHEN evaluable AND d <= 0.05 THEN false END AS mark FROM ev),
 dv AS (SELECT *, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY device, channel ORDER BY day), false) AS deviated FROM mk),
 states AS (SELECT *, CASE WHEN deviated AND NOT coalesce(lag(deviated) OVER w, false) THEN 'DEVIATE' WHEN NOT deviated AND coalesce(lag(deviated) OVER w, false) THEN 'RECOVER' END AS transition FROM dv WINDOW w AS (PARTITION BY device, channel ORDER BY day)),
-pers AS (SELECT device, day, channel, CASE WHEN coalesce(prev = day - 1 AND was, false) THEN 'TWO_DAYS' WHEN device = 3 THEN 'BOTH_LAYERS' END AS form FROM (SELECT *, lag(day) OVER w AS prev, lag(deviated) OVER w AS was FROM states WINDOW w AS (PARTITION BY device, channel ORDER BY day)) WHERE evaluable AND deviated)"""
+pers AS (SELECT device, day, channel, CASE WHEN coalesce(prev = day - 1 AND was, false) THEN 'TWO_DAYS' WHEN device % 8 = 3 THEN 'BOTH_LAYERS' END AS form FROM (SELECT *, lag(day) OVER w AS prev, lag(deviated) OVER w AS was FROM states WINDOW w AS (PARTITION BY device, channel ORDER BY day)) WHERE evaluable AND deviated)"""
 
 
 def states(spark, sf_dir):
     ref, own = reference(spark, sf_dir)
     # A low reference limit makes plain samples deviate now and then.
     s = scaling.day_stats(own, ref, scaling.reference_edges(ref, BINS))
-    s = s.withColumn("missing", F.lit(0.0)).withColumn("guard", F.when((F.col("day") % 5 == 0) & (F.col("device") == 1), 0.5).otherwise(0.0)).withColumn("calibration", F.col("day") == 4)
+    s = s.withColumn("missing", F.lit(0.0)).withColumn("guard", F.when((F.col("day") % 5 == 0) & (F.col("device") % 8 == 1), 0.5).otherwise(0.0)).withColumn("calibration", F.col("day") == 4)
     return fleet.day_states(s, LIMITS, RULES)
 
 
@@ -114,7 +114,7 @@ def day_state(spark, sf_dir):
 
 def lasting(spark, sf_dir):
     s = states(spark, sf_dir)
-    return fleet.persistent(s, s.where("device = 3").select("device", "day"))
+    return fleet.persistent(s, s.where("device % 8 = 3").select("device", "day"))
 
 
 @query(f"WITH {STATES} SELECT device, day, channel, form FROM pers WHERE form IS NOT NULL")

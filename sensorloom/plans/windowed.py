@@ -47,6 +47,19 @@ def sliding_3600_60(spark, sf_dir):
     return outliers.outliers(points(spark, sf_dir), W)
 
 
+#: The default geometry: an hour's window every minute, over rounds brought to ten seconds each.
+FULL = Sliding(radius=60.0)
+FULL_SQL = f"""{ROUNDS}, pts AS (SELECT device, ts // {PERIOD} * 10 AS ts, x0, x1, x2, x3, x4 FROM rounds WHERE NOT incomplete),
+ends AS (SELECT device, ts, unnest(generate_series((ts // {FULL.slide} + 1) * {FULL.slide}, ((ts + {FULL.window}) // {FULL.slide}) * {FULL.slide}, {FULL.slide})) AS window_end FROM pts),
+pairs AS (SELECT a.device, a.ts, b.ts AS other FROM pts a JOIN pts b ON a.device = b.device AND a.ts <> b.ts AND abs(a.ts - b.ts) < {FULL.window} WHERE sqrt((a.x0-b.x0)^2+(a.x1-b.x1)^2+(a.x2-b.x2)^2+(a.x3-b.x3)^2+(a.x4-b.x4)^2) <= {FULL.radius}),
+near AS (SELECT e.device, e.ts, e.window_end, count(p.other) AS neighbours FROM ends e LEFT JOIN pairs p ON e.device = p.device AND e.ts = p.ts AND p.other >= e.window_end - {FULL.window} AND p.other < e.window_end GROUP BY ALL)"""
+
+
+@query(f"WITH {FULL_SQL} SELECT device, ts, window_end, neighbours FROM near WHERE neighbours < {FULL.k}")
+def sliding_full(spark, sf_dir):
+    return outliers.outliers(points(spark, sf_dir).withColumn("ts", F.floor(F.col("ts") / PERIOD) * 10), FULL)
+
+
 @query(f"WITH {POINTS} SELECT device, ts, window_end FROM found")
 def mcod_slide(spark, sf_dir):
     return outliers.clustered_outliers(points(spark, sf_dir), W).select("device", "ts", "window_end")
@@ -266,7 +279,7 @@ def replay_verify(spark, sf_dir):
 
 def elements(spark, sf_dir):
     """Elements for drift detection: a device's readings in order, with the injected faults in them."""
-    return injected(spark, sf_dir).select("device", F.col("seq").alias("ts"), F.least("value", F.lit(1000.0)).alias("value"), F.lit(1).alias("generation"))
+    return injected(spark, sf_dir).select("device", F.col("seq").alias("ts"), "value", F.lit(1).alias("generation"))
 
 
 @query()

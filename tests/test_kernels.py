@@ -83,3 +83,38 @@ def test_training_lowers_the_loss_and_models_survive_packing():
     log = own.fit(x, np.ones_like(x), x[:5], context.Training(hidden=6, epochs=30, rate=1e-2, batch=16, weights=(1.0, 1.0)))
     assert log[-1][1] < 0.6 * log[0][1]
     assert np.allclose(context.Autoencoder.unpack(own.pack(), 2, 6).reconstruct(x), own.reconstruct(x))
+
+
+@pytest.mark.parametrize("geometry", [(3600, 60, 10, 10), (600, 60, 7, 4), (240, 240, 60, 2), (300, 120, 11, 3)])
+def test_outliers_equal_plain_counts(spark, geometry):
+    """Every window of every point, whether or not times are multiples of the slide; dense and sparse stretches, as clusters and as pairs."""
+    window, slide, period, k = geometry
+    s, rng = Sliding(window=window, slide=slide, radius=1.0, k=k), random.Random(5)
+    centers, rows = [(0.0,) * 5, (3.0,) * 5, (9.0, 0.0, 9.0, 0.0, 9.0)], []
+    for device in (1, 2):
+        t = 10_000 * device
+        for n in range(160):
+            t += rng.choice([1, 1, 1, 2]) * period + (5 * window if n == 90 else 0)
+            spread = 0.2 if n // 20 % 2 == 0 else 1.5
+            rows.append((device, t, *[v + rng.gauss(0, spread) for v in rng.choice(centers)]))
+    points = spark.createDataFrame(rows, "device long, ts long, x0 double, x1 double, x2 double, x3 double, x4 double")
+    want, sizes = {}, {}
+    for d, t, *x in rows:
+        for end in range((t // slide + 1) * slide, t + window + 1, slide):
+            held = [(u, y) for e, u, *y in rows if e == d and end - window <= u < end]
+            sizes[d, end] = len(held)
+            n = sum(math.dist(x, y) <= 1.0 for u, y in held if u != t)
+            if n < k:
+                want[d, t, end] = n
+    got = {(r["device"], r["ts"], r["window_end"]): r["neighbours"] for r in outliers.outliers(points, s).collect()}
+    assert got == want and want
+    assert {(r["device"], r["window_end"]): r["points"] for r in outliers.window_sizes(points, s).collect()} == sizes
+    clustered = sorted((r["device"], r["ts"], r["window_end"]) for r in outliers.clustered_outliers(points, s, span=3).collect())
+    assert clustered == sorted(want)
+    rates = {}
+    for (d, _, end), n in want.items():
+        rates[d, end] = rates.get((d, end), 0) + 1
+    p = {(r["device"], r["k"]): (r["slides"], r["mean_rate"]) for r in outliers.probe(points, s, [0.5, 1.0], [k, k + 2]).where("radius = 1.0").collect()}
+    for d in (1, 2):
+        mine = [e for e in sizes if e[0] == d]
+        assert p[d, k] == (len(mine), pytest.approx(sum(rates.get(e, 0) / sizes[e] for e in mine) / len(mine)))
