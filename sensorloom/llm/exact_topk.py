@@ -1,9 +1,13 @@
 """Exact top-k by inner product, with pivot-table elimination.
 
-Distances from every vector to a set of pivots are computed once. For a query they give, by the triangle
-inequality, a lower bound of its distance to a candidate, the largest over all pivots; and as
-2 q.x = |q|^2 + |x|^2 - d(q, x)^2, an upper bound of the score. Candidates are evaluated in the order of their
-bounds until no bound reaches the k-th best score: the result is exact.
+Distances from every vector to a set of pivots are computed once. By the triangle inequality each gives a lower
+bound |d(q, p) - d(x, p)| of a candidate's distance to a query. Taken together they give the largest bound that
+they allow: they place a vector's projection on the flat that the pivots span, and its height above it, and two
+vectors are no nearer than these are apart (simplex projection), which is never less than any single pivot's
+bound. As 2 q.x = |q|^2 + |x|^2 - d(q, x)^2, a lower bound of the distance is an upper bound of the score.
+Candidates are evaluated in the order of their bounds until no bound reaches the k-th best score: the result is
+exact. A query starts with the k-th best score of a bounded sample, and cells of rows whose ball around a pivot
+cannot reach it are not read.
 """
 
 from __future__ import annotations
@@ -12,9 +16,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import as_matrix, search, usable
+from .vectors import Index, best, looked_up, usable
 
 LIMIT = 2.0**53  # whole numbers up to here are exact in a double
+SHARD_ROWS = 8192
+EVEN = 0.05  # pivots stand at least this share of the first one's distance off the flat of those before
 
 
 def exact_products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -26,20 +32,112 @@ def exact_products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.array([max(-(2**63), min(2**63 - 1, v)) for v in wide], np.int64)
 
 
-def pivots_of(vectors: DataFrame, count: int, sample: int) -> np.ndarray:
-    """Vectors far from one another, out of a bounded sample: the rows with the smallest hashes."""
-    rows = vectors.select("v").orderBy(F.xxhash64("vec_id", "uid"), "vec_id", "uid").limit(sample).toPandas()
-    points = as_matrix(rows["v"])
-    if not len(points):
-        return points
-    chosen, far = [0], np.linalg.norm(points - points[0], axis=1)
-    while len(chosen) < min(count, len(points)):
-        chosen.append(int(far.argmax()))
-        far = np.minimum(far, np.linalg.norm(points - points[chosen[-1]], axis=1))
-    return points[chosen]
+class PivotTable(Index):
+    """Pivots out of a sample, each as far as can be from the flat of those before it."""
+
+    def __init__(self, sample: tuple, width: int, cells: int, top: int, pivots: int, chunk: int):
+        _, self.uids, self.points = sample
+        self.top, self.chunk = top, chunk
+        points = self.points if len(self.points) else np.zeros((1, width))
+        # A pivot far out of proportion would cost the others' digits.
+        norm = np.sqrt((points * points).sum(1))
+        points = points[norm <= 100 * np.median(norm)] if (norm <= 100 * np.median(norm)).any() else points
+        chosen, rest, basis = [0], points - points[0], []
+        first = None
+        while len(chosen) <= min(pivots, width):
+            height = np.sqrt((rest * rest).sum(1))
+            far = int(height.argmax())
+            first = height[far] if first is None else first
+            if not height[far] > EVEN * first or not height[far] > 0:
+                break
+            basis.append(rest[far] / height[far])
+            rest = rest - np.outer(rest @ basis[-1], basis[-1])
+            chosen.append(far)
+        self.pivots = points[chosen]
+        edges = self.pivots[1:] - self.pivots[0]
+        # Rows of `solve` turn inner products with the edges into coordinates along an orthonormal basis.
+        q, r = np.linalg.qr(edges.T) if len(edges) else (np.zeros((width, 0)), np.zeros((0, 0)))
+        self.solve, self.square = (np.linalg.inv(r.T) if len(edges) else r), (edges * edges).sum(1)
+        # Cells: balls around centres that are far from one another; their radius is found from the rows.
+        self.cells = max(1, min(cells, len(points)))
+        centers, away = [0], np.linalg.norm(points - points[0], axis=1)
+        while len(centers) < self.cells:
+            centers.append(int(away.argmax()))
+            away = np.minimum(away, np.linalg.norm(points - points[centers[-1]], axis=1))
+        self.centers = points[centers]
+
+    def cell_of(self, m: np.ndarray) -> np.ndarray:
+        return far_from(m, self.centers).argmin(1).astype(np.int32)
+
+    def table_of(self, m: np.ndarray) -> np.ndarray:
+        """Distances to the pivots, as coordinates in their flat and height above it."""
+        far = far_from(m, self.pivots)
+        inner = (far[:, :1] ** 2 - far[:, 1:] ** 2 + self.square) / 2
+        flat = inner @ self.solve.T
+        height = np.sqrt(np.maximum(0, far[:, 0] ** 2 - (flat * flat).sum(1)))
+        return np.column_stack([flat, height])
+
+    def reach_of(self, m: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        return np.sqrt(((m - self.centers[cells]) ** 2).sum(1))
+
+    def learn(self, reach: np.ndarray) -> None:
+        self.radius = reach
+
+    def limits(self, uids: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """The k-th best score in the sample; none where there are too few others or doubles could round."""
+        out = np.full(len(m), -np.inf)
+        if len(self.points) > self.top and np.abs(self.points).max() * np.abs(m).max(initial=0) * m.shape[1] < LIMIT:
+            scores = m @ self.points.T
+            scores[uids[:, None] == self.uids[None]] = -np.inf
+            out = np.partition(scores, -self.top, axis=1)[:, -self.top]
+        return out
+
+    def wanted(self, m: np.ndarray, limits: np.ndarray) -> list[np.ndarray]:
+        norm = np.sqrt((m * m).sum(1))
+        bound = m @ self.centers.T + norm[:, None] * self.radius[None]
+        slack = 1e-6 * (norm[:, None] ** 2 + (self.centers**2).sum(1)[None] + self.radius[None] ** 2) + 1
+        return [np.flatnonzero(b >= v).astype(np.int32) for b, v in zip(bound + slack, limits)]
+
+    def search(self, c, c_table, q, q_table, itself, limits, top):
+        origin, most = self.pivots[0], (self.pivots**2).sum(1).max()
+        c_square, q_square = (c * c).sum(1), (q * q).sum(1)
+        for lo in range(0, len(q), 64):
+            # q.x = (q - o).(x - o) + q.o + x.o - o.o; the first term is at most that of the tables.
+            bound = q_table[lo : lo + 64] @ c_table.T + (q[lo : lo + 64] @ origin)[:, None] + (c @ origin - origin @ origin)[None]
+            bound += 1e-6 * (c_square[None] + q_square[lo : lo + 64, None] + most) + 1
+            for k, line in enumerate(bound, lo):
+                if itself[k] >= 0:
+                    line[itself[k]] = -np.inf
+                at = np.flatnonzero(line >= limits[k]) if limits[k] > -np.inf else np.flatnonzero(line > -np.inf)
+                order = at[np.argsort(-line[at], kind="stable")]
+                kept, scores, looked, step = np.empty(0, np.int64), np.empty(0, np.int64), 0, self.chunk
+                while looked < len(order):
+                    at = order[looked : looked + step]
+                    if len(kept) == top and line[at[0]] < scores[-1]:
+                        break
+                    looked, step = looked + len(at), 2 * step
+                    both = np.concatenate([kept, at])
+                    value = np.concatenate([scores, exact_products(c[at], q[k])])
+                    if (value > -(2**63)).all():
+                        pick = np.lexsort((both, -value))[:top]
+                    else:
+                        pick = np.array(sorted(range(len(both)), key=lambda j: (-int(value[j]), both[j]))[:top])
+                    kept, scores = both[pick], value[pick]
+                yield k, kept, scores, looked
+
+
+def far_from(m: np.ndarray, points: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, (m * m).sum(1)[:, None] + (points * points).sum(1)[None] - 2 * m @ points.T))
+
+
+def found_products(vectors: DataFrame, every: int = 100, top: int = 10, scale: float = 1024.0, pivots: int = 60, chunk: int = 32, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """What top_products() ranks, with the number of rows that each query was compared with (see looked_up())."""
+    rows = usable(vectors, zero=True)
+    rows = rows.select("vec_id", F.transform("v", lambda x: _floor(x, scale)).alias("v"))
+    return looked_up(rows, every, top, shard_rows, lambda sample, width, cells: PivotTable(sample, width, cells, top, pivots, chunk), -1)
 
 
-def top_products(vectors: DataFrame, every: int = 100, top: int = 10, scale: float = 1024.0, pivots: int = 32, chunk: int = 256) -> DataFrame:
+def top_products(vectors: DataFrame, every: int = 100, top: int = 10, **how) -> DataFrame:
     """query_id, rank, vec_id, score for each row of vectors(vec_id, embedding) whose vec_id `every` divides.
 
     Components become floor(scale * x); the score is their inner product, highest first, ties to the smaller
@@ -48,38 +146,7 @@ def top_products(vectors: DataFrame, every: int = 100, top: int = 10, scale: flo
     rows: each is a query of its own and a candidate of the other. Scores beyond 64 bits stay at the limit.
     With fewer than `top` candidates all are returned; with none, or an empty table, nothing is.
     """
-    rows = usable(vectors, zero=True)
-    rows = rows.select("vec_id", "uid", F.transform("v", lambda x: _floor(x, scale)).alias("v"))
-    table = pivots_of(rows, pivots, 1024)
-
-    def kernel(c_uid, c_id, c, q_uid, q_id, q):
-        width = max(c.shape[1], table.shape[1] if len(table) else 0)
-        wide = lambda m: np.pad(m, ((0, 0), (0, width - m.shape[1])))
-        c, q, p = wide(c), wide(q), wide(table) if len(table) else np.zeros((1, width))
-        to_pivot = lambda m: np.sqrt(np.maximum(0, (m * m).sum(1)[:, None] + (p * p).sum(1)[None] - 2 * m @ p.T))
-        c_table, q_table = to_pivot(c).T.copy(), to_pivot(q)
-        c_square, q_square = (c * c).sum(1), (q * q).sum(1)
-        for k in range(len(q)):
-            low = np.zeros(len(c))
-            for d, row in zip(q_table[k], c_table):
-                np.maximum(low, np.abs(row - d), out=low)
-            slack = 1e-6 * (c_square + q_square[k]) + 1
-            bound = (c_square + q_square[k] - low * low) / 2 + slack
-            order = np.argsort(-bound, kind="stable")
-            order = order[(c_id[order] != q_id[k]) | (c_uid[order] != q_uid[k])]
-            kept, scores = np.empty(0, np.int64), np.empty(0, np.int64)
-            for lo in range(0, len(order), chunk):
-                at = order[lo : lo + chunk]
-                if len(kept) == top and bound[at[0]] < scores[-1]:
-                    break
-                at = np.concatenate([kept, at])
-                new = np.concatenate([scores, exact_products(c[at[len(kept) :]], q[k])])
-                best = np.lexsort((c_uid[at], c_id[at], -new))[:top] if (new > -(2**63)).all() else np.array(sorted(range(len(at)), key=lambda j: (-int(new[j]), c_id[at[j]], c_uid[at[j]]))[:top])
-                kept, scores = at[best], new[best]
-            if len(kept):
-                yield k, kept, scores
-
-    return search(rows, every, top, kernel, "long", -1)
+    return best(found_products(vectors, every, top, **how), top, -1)
 
 
 def _floor(x, scale: float):

@@ -1,78 +1,161 @@
-"""Dealing a stated set of query vectors against all vectors, shard by shard."""
+"""Dealing a stated set of query vectors against all vectors, shard by shard.
+
+An index splits the space into cells that a bounded sample of rows lays out; every row lies in one cell, and a
+cell with many rows is cut into parts by hash. The sample also gives each query a limit that its k-th best
+score is certain to reach, so that cells which cannot do so are left out before anything is shuffled. Queries
+go in groups of one cell to the parts they still need, and a part's rows only to the groups that need them.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a shard of candidates, and of a group of queries: what one task holds.
-SHARD_ROWS, QUERY_ROWS = 2048, 1024
+from .common import materialize
+
+#: Rows of the sample that reaches the driver.
+SAMPLE = 4096
+MOST_CELLS, MOST_TASKS = 512, 4096
+#: Queries of a group.
+QUERY_ROWS = 1024
 
 
-def as_matrix(column: pd.Series) -> np.ndarray:
+def usable(vectors: DataFrame, zero: bool) -> DataFrame:
+    """vec_id, v (array of double): rows with an id and a vector of finite components; zero: all-zero vectors too."""
+    v = F.col("embedding").cast("array<double>")
+    good = F.col("vec_id").isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("embedding")).where(F.coalesce(good, F.lit(False)))
+    if not zero:
+        rows = rows.where(F.exists(v, lambda x: x != 0))
+    return rows.select("vec_id", v.alias("v"))
+
+
+def as_matrix(column: pd.Series, width: int) -> np.ndarray:
     """Rows of numbers as a matrix of doubles; shorter rows end in zeros."""
-    width = max((len(x) for x in column), default=0)
     out = np.zeros((len(column), width))
     for k, x in enumerate(column):
         out[k, : len(x)] = x
     return out
 
 
-def usable(vectors: DataFrame, zero: bool) -> DataFrame:
-    """uid, vec_id, v (array of double): rows with an id and a vector of finite components; zero: all-zero vectors too.
+def packed(m: np.ndarray) -> list[bytes]:
+    return [r.tobytes() for r in np.ascontiguousarray(m, float)]
+
+
+def unpacked(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), float).reshape(len(column), -1)
+
+
+class Index:
+    """What an operator brings: a layout of cells, rows' tables, limits of queries, and the search of a part.
 
-    uid tells rows apart that share a vec_id.
+    cells: their number. cell_of(m): each row's cell. table_of(m): numbers of each row that are computed once,
+    or nothing. reach_of(m, cells): how far rows are from their cells' centres; learn(reach): the farthest of each
+    cell. limits(uids, m): what a query's result is certain to reach. wanted(m, limits): the cells that may still
+    hold results of each query. search(...): yields (query, positions, scores, rows looked at) for each query.
     """
-    v = F.col("embedding").cast("array<double>")
-    good = F.col("vec_id").isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("embedding")).where(F.coalesce(good, F.lit(False)))
-    if not zero:
-        rows = rows.where(F.exists(v, lambda x: x != 0))
-    rows = rows.select("vec_id", v.alias("v"), F.xxhash64(v).alias("h"))
-    return rows.withColumn("uid", F.row_number().over(Window.partitionBy("vec_id").orderBy("h"))).drop("h")
 
+    cells: int = 1
+
+    def table_of(self, m: np.ndarray) -> np.ndarray:
+        return np.zeros((len(m), 0))
+
+    def reach_of(self, m: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        return np.zeros(len(m))
 
-def search(vectors: DataFrame, every: int, top: int, kernel: Callable, score: str, best_first: int) -> DataFrame:
-    """query_id, rank, vec_id, score: the `top` best candidates of each row whose vec_id is divisible by `every`.
+    def learn(self, reach: np.ndarray) -> None:
+        pass
 
-    kernel(candidates' uids, ids, matrix, queries' uids, ids, matrix) yields (query position, candidates'
-    positions, scores) of the best in a shard; best_first is 1 for small scores first, -1 for large ones.
-    Queries in groups meet shards of candidates on an explicit key (shard, group), so a task holds one shard
-    and one group; what remains of a query is `top` rows a shard.
+
+def sample_of(rows: DataFrame, width: int, size: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, uids and vectors of at most `size` rows: those with the smallest hashes."""
+    got = rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id", "uid").limit(size).toPandas()
+    return got["vec_id"].to_numpy(np.int64), got["uid"].to_numpy(np.int64), as_matrix(got["v"], width)
+
+
+def looked_up(vectors: DataFrame, every: int, top: int, shard_rows: int, index_of, best_first: int) -> DataFrame:
+    """query_id, query_uid, vec_id, uid, score (double or long), looked: what search() of every part found.
+
+    looked counts the rows that a query was compared with in a part; it stands on the first row of each, which
+    has no vec_id where nothing was found. index_of(sample, width) builds the Index on the driver.
     """
-    n = vectors.count()
-    shards, groups = max(1, -(-n // SHARD_ROWS)), max(1, -(-n // every // QUERY_ROWS))
-    spread = F.pmod(F.xxhash64("vec_id", "uid"), F.lit(shards)).cast("int")
-    grouped = F.pmod(F.xxhash64(F.lit(7), "vec_id", "uid"), F.lit(groups)).cast("int")
-    candidates = vectors.select(spread.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"), "uid", "vec_id", "v")
-    queries = vectors.where(F.col("vec_id") % every == 0).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), grouped.alias("grp"), "uid", "vec_id", "v")
+    kept = materialize(vectors.withColumn("uid", F.monotonically_increasing_id()), "vectors")
+    asks = F.coalesce(F.count_if(F.col("vec_id") % every == 0), F.lit(0))
+    n, width = kept.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    width = max(1, width)
+    index: Index = index_of(sample_of(kept, width), width, max(1, min(MOST_CELLS, -(-n // shard_rows))))
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            m = as_matrix(pdf["v"], width)
+            cells = index.cell_of(m)
+            yield pd.DataFrame({"vec_id": pdf["vec_id"], "uid": pdf["uid"], "cell": cells, "reach": index.reach_of(m, cells), "v": packed(m), "t": packed(index.table_of(m))})
+
+    routed = materialize(kept.mapInPandas(route, "vec_id long, uid long, cell int, reach double, v binary, t binary"), "routed")
+    # One row a cell, of which there are at most MOST_CELLS.
+    held = routed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), asks.alias("asks"), F.max("reach").alias("reach")).collect()
+    sizes = {r["cell"]: (r["n"], r["asks"]) for r in held}
+    reach = {r["cell"]: r["reach"] for r in held}
+    index.learn(np.array([reach.get(c, 0.0) for c in range(index.cells)]))
+    routed = routed.drop("reach")
+    many = lambda k, rows: F.array(*[F.lit(max(1, -(-sizes.get(c, (0, 0))[k] // rows))) for c in range(index.cells)])
+    parts, groups = many(0, shard_rows), many(1, QUERY_ROWS)
+    hashed = lambda seed, count: F.pmod(F.xxhash64(F.lit(seed), "vec_id", "uid"), count).cast("int")
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            m = unpacked(pdf["v"])
+            limit = index.limits(pdf["uid"].to_numpy(), m)
+            yield pdf.assign(limit=limit, cells=[c.tolist() for c in index.wanted(m, limit)])
+
+    own = routed.where(F.col("vec_id") % every == 0)
+    own = own.mapInPandas(ask, "vec_id long, uid long, cell int, v binary, t binary, limit double, cells array<int>")
+    own = materialize(own.withColumn("grp", F.struct("cell", hashed(7, F.element_at(groups, F.col("cell") + 1)).alias("part"))).drop("cell"), "asked")
+    sent = own.withColumn("cell", F.explode("cells")).drop("cells").withColumn("part", F.explode(F.sequence(F.lit(0), F.element_at(parts, F.col("cell") + 1) - 1)))
+    need = sent.select(F.col("cell").alias("c"), F.col("part").alias("p"), F.col("grp").alias("g")).distinct()
+    rows = routed.withColumn("part", hashed(3, F.element_at(parts, F.col("cell") + 1))).join(need, (F.col("cell") == F.col("c")) & (F.col("part") == F.col("p")))
 
     def run(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        parts = []
+        columns = ["query_id", "query_uid", "vec_id", "uid", "score", "looked"]
+        out = []
         if len(c) and len(q):
-            both = as_matrix(pd.concat([c["v"], q["v"]]))
-            c_id, q_id, c_uid, q_uid = (x.to_numpy() for x in (c["vec_id"], q["vec_id"], c["uid"], q["uid"]))
-            for k, at, scores in kernel(c_uid, c_id, both[: len(c)], q_uid, q_id, both[len(c) :]):
-                parts.append(pd.DataFrame({"query_id": q_id[k], "query_uid": q_uid[k], "vec_id": c_id[at], "uid": c_uid[at], "score": scores}))
-        return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "query_uid": [], "vec_id": [], "uid": [], "score": []})
-
-    found = candidates.groupBy("shard", "grp").cogroup(queries.groupBy("shard", "grp")).applyInPandas(run, f"query_id long, query_uid int, vec_id long, uid int, score {score}")
+            c = c.sort_values(["vec_id", "uid"])
+            c_id, c_uid, q_id, q_uid = (x.to_numpy(np.int64) for x in (c["vec_id"], c["uid"], q["vec_id"], q["uid"]))
+            place = {u: k for k, u in enumerate(c_uid.tolist())}
+            itself = np.array([place.get(u, -1) for u in q_uid.tolist()])
+            for k, at, scores, looked in index.search(unpacked(c["v"]), unpacked(c["t"]), unpacked(q["v"]), unpacked(q["t"]), itself, q["limit"].to_numpy(float), top):
+                first = {"query_id": q_id[k], "query_uid": q_uid[k]}
+                if len(at):
+                    out.append(pd.DataFrame({**first, "vec_id": c_id[at], "uid": c_uid[at], "score": scores, "looked": [looked] + [0] * (len(at) - 1)}))
+                else:
+                    out.append(pd.DataFrame({**first, "vec_id": [None], "uid": [None], "score": [None], "looked": [looked]}))
+        found = pd.concat([x.astype(object) for x in out]) if out else pd.DataFrame(columns=columns)
+        return found[columns]
+
+    kind = "double" if best_first > 0 else "long"
+    # A pair of part and group is much work on little data: pairs are spread by number, not by bytes.
+    total = lambda k, rows: sum(max(1, -(-sizes.get(c, (0, 0))[k] // rows)) for c in range(index.cells))
+    tasks = min(MOST_TASKS, total(0, shard_rows) * total(1, QUERY_ROWS))
+    rows = rows.select("c", "p", "g", "vec_id", "uid", "v", "t").repartition(tasks, "c", "p", "g")
+    sent = sent.repartition(tasks, "cell", "part", "grp")
+    return rows.groupBy("c", "p", "g").cogroup(sent.groupBy("cell", "part", "grp")).applyInPandas(run, f"query_id long, query_uid long, vec_id long, uid long, score {kind}, looked long")
+
+
+def best(found: DataFrame, top: int, best_first: int) -> DataFrame:
+    """query_id, rank, vec_id, score of looked_up()'s rows: the `top` best of each query; best_first is 1 for small scores first, -1 for large ones."""
     order = [F.col("score").asc() if best_first > 0 else F.col("score").desc(), "vec_id", "uid"]
     rank = F.row_number().over(Window.partitionBy("query_id", "query_uid").orderBy(*order))
-    return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    return found.where("vec_id IS NOT NULL").withColumn("rank", rank.cast("int")).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
-def best_of(scores: np.ndarray, ids: np.ndarray, uids: np.ndarray, top: int) -> np.ndarray:
-    """Positions of the `top` smallest scores, ties to smaller ids."""
+def best_of(scores: np.ndarray, top: int) -> np.ndarray:
+    """Positions of the `top` smallest scores, ties to the first; rows of a part stand in the order of their ids."""
     if len(scores) > 4 * top:
         cut = np.partition(scores, top - 1)[top - 1]
         near = np.flatnonzero(scores <= cut)
-    else:
-        near = np.arange(len(scores))
-    return near[np.lexsort((uids[near], ids[near], scores[near]))[:top]]
-
-
+        return near[np.argsort(scores[near], kind="stable")[:top]]
+    return np.argsort(scores, kind="stable")[:top]
