@@ -1,10 +1,11 @@
 """Nearest neighbours with a vantage-point tree per shard.
 
-Each shard of vectors gets its own tree: a node's vantage point splits its vectors at the median distance
-into a near and a far half. A group of queries walks the tree together; the half that a query's distance
-points to comes first, and the other is left out if `factor` times the distance to the border exceeds the
-query's k-th best distance so far. Factor 1 is the triangle inequality: the search is exact. Larger factors
-prune more and may miss neighbours. Every row is in some shard's tree.
+A node's vantage point splits its vectors at the median distance into a near and a far half. A query visits the
+half that its distance points to, and leaves the other out if `factor` times the distance to the border exceeds
+the query's k-th best distance so far. Factor 1 is the triangle inequality: the search is exact. Larger factors
+prune more and may miss neighbours. The top of the tree is grown on a bounded sample and deals the rows to
+shards: by the same rule a query is only sent to the shards that it cannot leave out. Every row is in some
+shard's tree. A query begins with its k-th best distance in the sample, so that it prunes from the start.
 """
 
 from __future__ import annotations
@@ -12,70 +13,151 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .vectors import best_of, search, usable
+from .vectors import Index, best, best_of, looked_up, usable
 
-LEAF = 128
+LEAF = 32
+SHARD_ROWS = 16_384
+
+
+def spread_point(points: np.ndarray, rows: np.ndarray, random: np.random.Generator) -> np.ndarray:
+    """Of a few of the rows the one whose distances to some others differ most."""
+    tries = random.choice(rows, min(8, len(rows)), replace=False)
+    sample = points[random.choice(rows, min(64, len(rows)), replace=False)]
+    spread = [np.linalg.norm(sample - points[t], axis=1).std() for t in tries]
+    return points[tries[int(np.argmax(spread))]]
+
+
+def grow(points: np.ndarray, rows: np.ndarray, leaf: int, random: np.random.Generator):
+    """A leaf: its rows; a node: vantage point, border, near and far half."""
+    if len(rows) <= leaf:
+        return rows
+    vantage = spread_point(points, rows, random)
+    far = np.linalg.norm(points[rows] - vantage, axis=1)
+    order = np.argsort(far, kind="stable")
+    half = len(rows) // 2
+    inner, outer = order[:half], order[half:]
+    border = (far[inner].max() + far[outer].min()) / 2
+    return vantage, border, grow(points, rows[inner], leaf, random), grow(points, rows[outer], leaf, random)
 
 
 class Tree:
-    """A vantage-point tree over the rows of a matrix."""
-
-    def __init__(self, points: np.ndarray, seed: int = 0):
-        self.points, self.random = points, np.random.default_rng(seed)
-        self.root = self.grow(np.arange(len(points)))
-
-    def grow(self, rows: np.ndarray):
-        if len(rows) <= LEAF:
-            return rows
-        tries = self.random.choice(rows, min(8, len(rows)), replace=False)
-        sample = self.points[self.random.choice(rows, min(64, len(rows)), replace=False)]
-        spread = [np.linalg.norm(sample - self.points[t], axis=1).std() for t in tries]
-        vantage = self.points[tries[int(np.argmax(spread))]]
-        far = np.linalg.norm(self.points[rows] - vantage, axis=1)
-        order = np.argsort(far, kind="stable")
-        half = len(rows) // 2
-        inner, outer = order[:half], order[half:]
-        border = (far[inner].max() + far[outer].min()) / 2
-        return vantage, border, self.grow(rows[inner]), self.grow(rows[outer])
-
-    def search(self, queries: np.ndarray, top: int, factor: float, ids: np.ndarray, uids: np.ndarray, own: np.ndarray):
-        """For each query the positions and distances of its best rows; own: the query's own row, -1 if it is not here."""
-        best = [np.empty(0, np.int64)] * len(queries)
-        score = [np.empty(0)] * len(queries)
-        limit = np.full(len(queries), np.inf)
+    """A vantage-point tree over the rows of a matrix, which stand in the order that decides ties."""
+
+    def __init__(self, points: np.ndarray, leaf: int = LEAF, seed: int = 0):
+        self.points, self.square = points, (points * points).sum(1)
+        self.root = grow(points, np.arange(len(points)), leaf, np.random.default_rng(seed))
+
+    def search(self, queries: np.ndarray, top: int, factor: float, itself: np.ndarray, limits: np.ndarray):
+        """For each query the positions and distances of its best rows, and how many rows it was compared with; itself: the query's own row, -1 if it is not here."""
+        found: list = [(np.empty(0, np.int64), np.empty(0))] * len(queries)
+        limit, looked = limits.copy(), np.zeros(len(queries), np.int64)
+        square = (queries * queries).sum(1)
 
         def visit(node, at: np.ndarray):
             if not len(at):
                 return
             if not isinstance(node, tuple):
-                rough = (queries[at] ** 2).sum(1)[:, None] + (self.points[node] ** 2).sum(1)[None] - 2 * queries[at] @ self.points[node].T
-                for k, line in zip(at, rough):
-                    slack = 1e-9 * (1 + abs(line).max(initial=0))
-                    near = node[(line <= limit[k] ** 2 + slack + 1e-9 * (queries[k] ** 2).sum()) & (node != own[k])]
-                    if not len(near):
-                        continue
+                looked[at] += len(node)
+                rough = square[at, None] + self.square[node][None] - 2 * queries[at] @ self.points[node].T
+                slack = 1e-9 * (1 + square[at, None] + self.square[node][None])
+                close = (rough <= limit[at, None] ** 2 + slack) & (node[None] != itself[at, None])
+                for k, line in zip(at[close.any(1)], close[close.any(1)]):
+                    near = node[line]
                     exact = np.sqrt(((self.points[near] - queries[k]) ** 2).sum(1))
-                    rows, d = np.concatenate([best[k], near]), np.concatenate([score[k], exact])
-                    keep = best_of(d, ids[rows], uids[rows], top)
-                    best[k], score[k] = rows[keep], d[keep]
+                    rows, d = np.concatenate([found[k][0], near]), np.concatenate([found[k][1], exact])
+                    order = np.argsort(rows, kind="stable")
+                    rows, d = rows[order], d[order]
+                    keep = best_of(d, top)
+                    found[k] = rows[keep], d[keep]
                     if len(keep) == top:
-                        limit[k] = d[keep[-1]]
+                        limit[k] = min(limit[k], d[keep[-1]])
                 return
             vantage, border, inner, outer = node
             gap = np.linalg.norm(queries[at] - vantage, axis=1) - border
+            # Queries go through a node together, so that it is visited once; they came with a limit already.
             inside = gap < 0
-            visit(inner, at[inside])
-            visit(outer, at[~inside])
-            slack = 1e-9 * (1 + border)
-            late = factor * (np.abs(gap) - slack) <= limit[at]
-            visit(outer, at[inside & late])
-            visit(inner, at[~inside & late])
+            visit(inner, at[inside | reaches(gap, border, factor, limit[at])])
+            visit(outer, at[~inside | reaches(gap, border, factor, limit[at])])
 
         visit(self.root, np.arange(len(queries)))
-        return best, score
+        return found, looked
+
+
+def reaches(gap: np.ndarray, border: float, factor: float, limit: np.ndarray) -> np.ndarray:
+    """Which queries cannot leave out the other side of a border."""
+    return factor * (np.abs(gap) - 1e-9 * (1 + border)) <= limit
+
+
+class Forest(Index):
+    """The top of the tree over a sample; its leaves are the cells, and each part of a cell has a tree of its own."""
+
+    def __init__(self, sample: tuple, width: int, cells: int, top: int, factor: float, leaf: int):
+        _, self.uids, self.points = sample
+        self.top, self.factor, self.leaf = top, factor, leaf
+        self.leaves: list = []
+        size = max(1, -(-len(self.points) // cells))
+        root = grow(self.points, np.arange(len(self.points)), size, np.random.default_rng(1)) if cells > 1 and len(self.points) > cells else np.empty(0, np.int64)
+        self.root = self.numbered(root)
+        self.cells = len(self.leaves)
+
+    def numbered(self, node):
+        """The tree with numbers for leaves."""
+        if isinstance(node, tuple):
+            return node[0], node[1], self.numbered(node[2]), self.numbered(node[3])
+        self.leaves.append(node)
+        return len(self.leaves) - 1
 
+    def cell_of(self, m: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(m), np.int32)
 
-def nearest(vectors: DataFrame, every: int = 100, top: int = 10, factor: float = 1.0) -> DataFrame:
+        def down(node, at):
+            if not isinstance(node, tuple):
+                out[at] = node
+                return
+            inside = np.linalg.norm(m[at] - node[0], axis=1) < node[1]
+            down(node[2], at[inside])
+            down(node[3], at[~inside])
+
+        down(self.root, np.arange(len(m)))
+        return out
+
+    def limits(self, uids: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """The k-th best distance in the sample; none where it has too few others."""
+        if len(self.points) <= self.top:
+            return np.full(len(m), np.inf)
+        square = (m * m).sum(1)[:, None] + (self.points**2).sum(1)[None]
+        far = square + 1e-9 * (1 + square) - 2 * m @ self.points.T
+        far[uids[:, None] == self.uids[None]] = np.inf
+        return np.sqrt(np.maximum(0, np.partition(far, self.top - 1, axis=1)[:, self.top - 1]))
+
+    def wanted(self, m: np.ndarray, limits: np.ndarray) -> list[np.ndarray]:
+        out: list[list] = [[] for _ in m]
+
+        def down(node, at):
+            if not isinstance(node, tuple):
+                for k in at.tolist():
+                    out[k].append(node)
+                return
+            gap = np.linalg.norm(m[at] - node[0], axis=1) - node[1]
+            late = reaches(gap, node[1], self.factor, limits[at])
+            down(node[2], at[(gap < 0) | late])
+            down(node[3], at[(gap >= 0) | late])
+
+        down(self.root, np.arange(len(m)))
+        return [np.array(x, np.int32) for x in out]
+
+    def search(self, c, c_table, q, q_table, itself, limits, top):
+        found, looked = Tree(c, self.leaf).search(q, top, self.factor, itself, limits)
+        for k, (rows, far) in enumerate(found):
+            yield k, rows, far, int(looked[k])
+
+
+def found_near(vectors: DataFrame, every: int = 100, top: int = 10, factor: float = 1.0, leaf: int = LEAF, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """What nearest() ranks, with the number of rows that each query was compared with (see looked_up())."""
+    return looked_up(usable(vectors, zero=False), every, top, shard_rows, lambda sample, width, cells: Forest(sample, width, cells, top, factor, leaf), 1)
+
+
+def nearest(vectors: DataFrame, every: int = 100, top: int = 10, factor: float = 1.0, **how) -> DataFrame:
     """query_id, rank, vec_id, score for each row of vectors(vec_id, embedding) whose vec_id `every` divides.
 
     score is the Euclidean distance in doubles, smallest first, ties to the smaller vec_id. Rows without an
@@ -84,13 +166,4 @@ def nearest(vectors: DataFrame, every: int = 100, top: int = 10, factor: float =
     query of its own and a candidate of the other. With fewer than `top` candidates all are returned; with
     none, or an empty table, nothing is.
     """
-
-    def kernel(c_uid, c_id, c, q_uid, q_id, q):
-        place = {(i, u): k for k, (i, u) in enumerate(zip(c_id, c_uid))}
-        own = np.array([place.get((i, u), -1) for i, u in zip(q_id, q_uid)])
-        best, score = Tree(c).search(q, top, factor, c_id, c_uid, own)
-        for k in range(len(q)):
-            if len(best[k]):
-                yield k, best[k], score[k]
-
-    return search(usable(vectors, zero=False), every, top, kernel, "double", 1)
+    return best(found_near(vectors, every, top, factor, **how), top, 1)
