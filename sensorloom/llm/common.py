@@ -15,9 +15,12 @@ SPACE = "\\x20\\x09-\\x0D"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share. Only where all run on one machine may it be unset: then it is one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="sensorloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -46,18 +49,25 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(right, same, how).drop(*[f"__{k}" for k in keys])
 
 
-#: Rows of an Arrow batch of texts. Spark's default of 10,000 is unbounded memory where texts are long.
-BATCH_ROWS = 500
+#: Bytes of an Arrow batch of texts, which Python holds several times over, and its rows.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 500
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, in a session whose Arrow batches have at most BATCH_ROWS rows."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
+    """df, in a session whose Arrow batches have at most BATCH_BYTES (or one row) and BATCH_ROWS; tighter settings stay."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b").rstrip("b")) > BATCH_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df
 
 
+def row_hash(*columns: str):
+    """A hash of columns of a row in which a null differs from any value, and from a null elsewhere."""
+    return F.xxhash64(*[part for c in columns for part in (F.col(c).isNull(), F.col(c))])
+
+
 def text_volume(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     """Rows and bytes of text, to size the partitioning."""
     row = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
@@ -98,8 +108,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def window_hashes(values: np.ndarray, size: int, factor: int, starts: np.ndarray | None = None) -> np.ndarray:
-    """A hash of each run of `size` consecutive values, or of those at some starts: a polynomial in an odd factor modulo 2**64, mixed."""
+def window_hashes(values: np.ndarray, size: int, factor: int, starts: np.ndarray | None = None, keep: np.ndarray | None = None) -> np.ndarray:
+    """A hash of each run of `size` consecutive values: a polynomial in an odd factor modulo 2**64, mixed.
+
+    starts: of the runs that begin there alone, gathered one by one; keep: the same, out of all runs' polynomials,
+    which is faster for many.
+    """
     n = len(values) - size + 1
     if n <= 0:
         return np.empty(0, np.uint64)
@@ -107,4 +121,4 @@ def window_hashes(values: np.ndarray, size: int, factor: int, starts: np.ndarray
     for k in range(size):
         total *= np.uint64(factor)
         total += values[k : k + n] if starts is None else values[starts + k]
-    return mixed(total)
+    return mixed(total if keep is None else total[keep])
