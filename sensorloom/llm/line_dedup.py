@@ -2,9 +2,11 @@
 
 Lines travel as 128-bit hashes of their keys with document and position. They are range-partitioned by hash
 and salted by document, so that one line that a third of all rows hold is spread over many ranges, and sorted
-within by document and position; a window streams over each range and keeps a key's first occurrence in each
+within by document and position; a window streams over each range and marks a key's first occurrence in each
 document. Counting those and taking the largest document adds up to one row a key and range before it is
-shuffled again. The lines to go come back to the documents as bitmaps: 64 lines a word, words without a
+shuffled again. Frequent keys then meet their lines: a key with more than one in HOT of all lines by broadcast
+(there are fewer than HOT such keys, whatever the input), the others in a shuffled join, in which no key has
+more than that share. The lines to go come back to the documents as bitmaps: 64 lines a word, words without a
 dropped line left out. The texts themselves move once, to meet their bitmaps.
 """
 
@@ -18,9 +20,11 @@ from .common import materialize
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANK = " \t\n\x0b\x0c\r"
 NO_ID = -(2**63)  # a row without doc_id comes before all others
+HOT = 1000
+SALT_ROWS = 4_000_000  # lines that one salt stands for
 
 
-def line_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, salts: int = 32) -> DataFrame:
+def line_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """doc, row, gone: for each document that loses lines, a map from word number to the 64 lines' bits.
 
     doc is doc_id, or the smallest long for null; row is a hash of the text, so that rows that share a doc_id
@@ -34,14 +38,16 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, salts:
     key = F.translate("line", UPPER, LOWER)
     lines = lines.where(F.char_length("line") >= min_chars).select("doc", "row", "pos", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"))
     lines = materialize(lines, "lines")
+    total = lines.count()
+    salts = max(32, -(-total // SALT_ROWS))
     salted = lines.select("h1", "h2", "doc", "pos", F.pmod(F.xxhash64("doc"), F.lit(salts)).alias("salt")).repartitionByRange("h1", "h2", "salt")
-    stream = Window.partitionBy("h1", "h2", "salt").orderBy("doc", "pos")
-    firsts = salted.withColumn("before", F.lag("doc").over(stream)).where(F.col("before").isNull() | (F.col("before") != F.col("doc")))
-    frequent = firsts.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("keeper")).where(F.col("n") >= min_docs)
-    # A frequent key's lines meet it in as many places as there are salts.
-    frequent = frequent.select("h1", "h2", "keeper", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    salt = F.pmod(F.xxhash64("doc"), F.lit(salts)).cast("int")
-    gone = lines.withColumn("salt", salt).join(frequent, ["h1", "h2", "salt"]).where(F.col("doc") != F.col("keeper"))
+    before = F.lag("doc").over(Window.partitionBy("h1", "h2", "salt").orderBy("doc", "pos"))
+    firsts = salted.select("h1", "h2", "doc", F.coalesce(before != F.col("doc"), F.lit(True)).alias("first"))
+    keys = firsts.groupBy("h1", "h2").agg(F.count_if("first").alias("n"), F.max("doc").alias("keeper"), F.count(F.lit(1)).alias("lines"))
+    keys = materialize(keys.where(F.col("n") >= min_docs).select("h1", "h2", "keeper", (F.col("lines") * HOT > total).alias("hot")), "keys")
+    hot = F.broadcast(keys.where("hot").select("h1", "h2", "keeper"))
+    rest = lines.join(hot.select("h1", "h2"), ["h1", "h2"], "left_anti").join(keys.where("NOT hot").select("h1", "h2", "keeper"), ["h1", "h2"])
+    gone = lines.join(hot, ["h1", "h2"]).unionByName(rest).where(F.col("doc") != F.col("keeper"))
     words = gone.groupBy("doc", "row", F.expr("pos div 64").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
     return words.groupBy("doc", "row").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("gone"))
 
