@@ -1,20 +1,22 @@
 """Personal data by a semi-Markov conditional random field.
 
-Base spans come from fixed patterns. The field adds more: a text's tokens are cut into segments, each either
-one plain token or an entity of up to MOST_TOKENS tokens with a type, and a dynamic program over bounded
-entities finds the best cut, so boundaries and types are chosen together. Features describe whole spans: the
-shape of the span's characters, its digits and their groups, and the words before it; a transition weight
-joins neighbouring segments. Plain tokens far from any digit or '@' score zero in every cut, so only the
-windows around such tokens are decoded, which changes nothing.
-
-The field is fitted to maximise the likelihood of base spans in windows of a bounded sample of documents. Each
-window is also shown with typing noise (a digit changed, '+' lost, '@' spelled out), which the patterns miss.
+Base spans come from fixed patterns. The field adds more: a text's tokens (runs of letters, runs of digits,
+single marks) are cut into segments, each either one plain token or an entity of up to MOST_TOKENS tokens with
+a type, and a dynamic program over bounded entities finds the best cut, so boundaries and types are chosen
+together. Features describe whole spans: digits and their groups, marks, an address sign or one that is spelled
+out, check digits, and what stands before and after; a transition weight joins neighbouring segments. Only spans
+that could be an entity at all (see `possible`) are candidates, and plain tokens score zero, so a text is read as
+a stream of windows around tokens that such a span needs; nothing is cut off, however long a token or a text is.
+
+The field is fitted to maximise the likelihood of the spans in windows of a bounded sample of documents: base
+spans as they stand, the same with typing noise that the patterns miss (other separators, a lost '+', a spelled
+'@', a wrong digit after a word that announces a card), and numbers that are no personal data.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,10 +34,10 @@ IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-TRIGGER = re.compile(r"[0-9@]")
-BLANKS = re.compile(r"[^\x20\x09-\x0D]+")
-MOST_TOKENS = 4
-EDGE = "\"'<>[]{}|.,;:!?$%&#*"  # not part of an entity at its ends
+MOST_TOKENS = 16
+TOKEN = re.compile(r"[0-9]+|[^\W0-9_]+|[^\x20\x09-\x0D]")
+#: A spelled-out address sign: in brackets, or before a name with a (spelled) dot.
+SPELLED = re.compile(r"(?i:[(\[][\x20]?at[\x20]?[)\]]|(?<=[\x20])at(?=[\x20][a-z0-9-]+(?:\.[a-z]|[\x20]\(?dot\)?[\x20])))")
 
 
 def luhn(digits: str) -> bool:
@@ -87,273 +89,352 @@ def emails(text: str) -> Iterator[re.Match]:
         at = text.find("@", max(at + 1, done))
 
 
-def tokens(text: str, lo: int, hi: int) -> list[tuple[int, int]]:
-    """Starts and ends of the runs of non-blanks in text[lo:hi], rid of EDGE at both ends."""
-    out = []
-    for m in BLANKS.finditer(text[lo:hi]):
+def stream(text: str) -> Iterator[list[tuple[int, int, bool]]]:
+    """Windows: tokens (start, end, hot) around hot ones, MOST_TOKENS on both sides. Hot tokens hold a digit or an address sign."""
+    signs = {m.start() + m.group().lower().index("at") for m in SPELLED.finditer(text)} if SPELLED.search(text) else ()
+    before: deque = deque(maxlen=MOST_TOKENS)
+    window: list = []
+    since = 0
+    for m in TOKEN.finditer(text):
         s, e = m.span()
-        word = m.group()
-        s += len(word) - len(word.lstrip(EDGE))
-        e -= len(word) - len(word.rstrip(EDGE))
-        if s < e:
-            out.append((lo + s, lo + e))
-    return out
+        c = text[s]
+        token = (s, e, "0" <= c <= "9" or c == "@" or s in signs)
+        if token[2]:
+            if not window:
+                window = list(before)
+            since = 0
+        if window or token[2]:
+            window.append(token)
+            since += 1
+            if since > MOST_TOKENS:
+                yield window
+                before.clear()
+                before.extend(window[-MOST_TOKENS:])
+                window = []
+        else:
+            before.append(token)
+    if window:
+        yield window
+
+
+def possible(text: str, window: list, i: int, j: int, digits: int, dots: int, sign: bool) -> bool:
+    """Whether tokens i to j - 1 could be an entity: they begin and end well, stand in one line, and hold an address sign among letters, seven digits, or four dotted numbers."""
+    first, last = text[window[i][0]], text[window[j - 1][0]]
+    if not (first.isalnum() or first in "+(") or not (last.isalnum() or last == ")"):
+        return False
+    return digits >= 7 or (sign and i + 2 < j) or (digits >= 4 and dots >= 3)
 
 
-def windows(text: str) -> Iterator[tuple[list[tuple[int, int]], list[bool]]]:
-    """The tokens of each stretch around digits and '@', with some tokens on both sides, and which hold such a character.
-
-    A stretch is cut after 24 such tokens, so that one of any length is decoded in bounded pieces.
-    """
-    stretch: list[tuple[int, int]] = []
-    near = 0
-    for m in TRIGGER.finditer(text):
-        if m.start() < near:
-            continue
-        lo = max(0, m.start() - 160)
-        left = max(text.rfind(c, lo, m.start()) for c in " \t\n\x0b\x0c\r") + 1 or lo
-        near = BLANKS.match(text, left).end()
-        if stretch and (left - stretch[-1][1] > 40 or len(stretch) >= 24):
-            yield from cut(text, stretch)
-            stretch = []
-        stretch.append((left, near))
-    if stretch:
-        yield from cut(text, stretch)
-
-
-def cut(text: str, stretch: list[tuple[int, int]]) -> Iterator[tuple[list[tuple[int, int]], list[bool]]]:
-    """The tokens from up to 60 characters before a stretch to 30 after it."""
-    before = text[max(0, stretch[0][0] - 60) : stretch[0][0]]
-    lo = stretch[0][0] - (len(before) - before.find(" ") - 1 if " " in before else 0)
-    hi = min(len(text), stretch[-1][1] + 30)
-    found = tokens(text, lo, hi)
-    if found and hi < len(text) and found[-1][1] == hi:
-        found.pop()
-    if found:
-        yield found, [bool(TRIGGER.search(text, s, min(e, s + 200))) for s, e in found]
-
-
-@lru_cache(100_000)
-def shape(text: str) -> tuple[str, ...]:
-    """Features of a span's characters as a whole."""
-    digits = sum(c.isascii() and c.isdigit() for c in text)
-    groups = re.findall(r"[0-9]+", text)
-    letters = sum(c.isalpha() for c in text)
-    out = ["bias", f"digits={min(digits, 20)}", f"groups={min(len(groups), 6)}", f"lens={','.join(str(min(len(g), 9)) for g in groups[:5])}"]
-    out.append(f"letters={'none' if not letters else 'few' if letters <= 4 else 'many'}")
-    marks = "".join(sorted(set(re.findall(r"[^\w\s]", text))))
-    out += [f"marks={marks[:8]}", f"blanks={min(text.count(' '), 4)}", f"first={kind_of(text[0])}", f"last={kind_of(text[-1])}"]
-    if groups and not letters and len(groups) == 4 and text.count(".") == 3:
-        out.append("quad" if all(int_at_most(g, 255) for g in groups) else "bad-quad")
-    spelled = re.search(r" at | \(at\) | \[at\] ", text)
-    out.append(f"address={'@' in text},{bool(spelled)},{'many' if letters > 4 else 'few'}")
-    if "@" in text:
-        out.append(f"at={text.count('@') if text.count('@') < 3 else 3},{'.' in text.rpartition('@')[2]},{text[0] != '@'}")
-    if spelled:
-        out.append(f"spelled-at,{'.' in text.rpartition(' ')[2]}")
+#: Fixed values. Words that announce an entity.
+CUES = {"mail": "mail", "email": "mail", "contact": "any", "address": "any", "tel": "phone", "phone": "phone", "call": "phone", "fax": "phone", "mobile": "phone", "card": "card", "visa": "card", "mastercard": "card", "ip": "ip", "host": "ip", "server": "ip"}
+ADDRESS = re.compile(r"(?i)[a-z0-9._%+-]+[\x20]?(?:@|[(\[]?[\x20]?at[\x20]?[)\]]?)[\x20]?[a-z0-9-]+(?:[\x20]?(?:\.|[(\[]?[\x20]?dot[\x20]?[)\]]?)[\x20]?[a-z0-9-]+)+")
+
+
+def features(text: str, window: list, i: int, j: int) -> tuple[str, ...]:
+    """Features of tokens i to j - 1 as one span, and of its surroundings."""
+    s, e = window[i][0], window[j - 1][1]
+    return (*shape(text[s:e]), *around(text, window, i, j))
+
+
+@lru_cache(20_000)
+def shape(span: str) -> tuple[str, ...]:
+    groups = re.findall(r"[0-9]+", span)
+    n = sum(map(len, groups))
+    letters = sum(c.isalpha() for c in span)
+    kinds = "none" if not letters else "few" if letters <= 4 else "many"
+    marks = "".join(sorted(set(re.findall(r"[^\w\s]", span))))[:8]
+    # Exact numbers of digits matter where there is nothing else: not beside letters, nor in four short numbers.
+    quad = not letters and len(groups) == 4 and max(map(len, groups)) <= 3
+    size = ("0" if not n else "1-4" if n <= 4 else "5+") if letters else "quad" if quad else str(min(n, 20))
+    lens = "" if letters or quad else ",".join(str(min(len(g), 9)) for g in groups[:6])
+    out = ["bias", f"n={size},{kinds}", f"lens={lens},{kinds}", f"marks={marks},{kinds}", f"first={span[0] if not span[0].isalnum() else 'd' if span[0].isdigit() else 'a'}", f"blanks={min(span.count(' '), 5)}"]
+    if not letters:
+        if 13 <= n <= 19:
+            good = luhn("".join(groups))
+            out += [f"check={good}", f"check={good},{n == 16},{marks}"]
+        if quad and span.count(".") == 3:
+            out.append("quad" if all(int_at_most(g, 255) for g in groups) else "bad-quad")
+        if re.fullmatch(r"(?:\+?0{0,2}1[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}", span):
+            out.append("three-three-four")
+        if re.fullmatch(r"[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}(?: [0-9:]*)?", span):
+            out.append("date")
+    else:
+        whole = ADDRESS.fullmatch(span)
+        out.append(f"address={bool(whole)},{'@' in span}")
     return tuple(out)
 
 
-def kind_of(c: str) -> str:
-    return "d" if c.isdigit() else "a" if c.isalpha() else c
-
-
-def span_features(text: str, window: list[tuple[int, int]], i: int, j: int) -> tuple[str, ...]:
-    """Features of tokens i to j - 1 as one span."""
-    span = text[window[i][0] : min(window[j - 1][1], window[i][0] + 200)]
-    before = text[window[i - 1][0] : window[i - 1][1]][:24].lower() if i else ""
-    return (*shape(span), f"before={'digit' if DIGIT.search(before) else before if before in CUES else 'word'}", f"tokens={j - i}")
-
-
-#: Fixed values. Words that announce an entity.
-CUES = frozenset("mail email e-mail contact tel phone call fax card visa ip host address from to".split())
+def around(text: str, window: list, i: int, j: int) -> tuple[str, ...]:
+    """Whether the span is glued to its neighbours, and what announces it: a cue up to three tokens before."""
+    s, e = window[i][0], window[j - 1][1]
+    left, right = text[s - 1] if s else " ", text[e] if e < len(text) else " "
+    more = text[e + 1] if e + 1 < len(text) else " "
+    glue = lambda c: "blank" if c.isspace() else "alnum" if c.isalnum() else "mark"
+    # A mark that goes on to more letters or digits glues, one that ends a sentence does not.
+    joins = right in ".-@_:/+%" and more.isalnum()
+    cue = next((CUES[w] for k in range(max(0, i - 3), i) if (w := text[window[k][0] : min(window[k][1], window[k][0] + 12)].lower()) in CUES), "no")
+    digits = sum(window[k][1] - window[k][0] for k in range(i, j) if text[window[k][0]].isdigit())
+    letters = any(text[window[k][0]].isalpha() for k in range(i, j))
+    return (f"left={glue(left)},{left in '.-@_:/+%'}", f"right={glue(right)},{joins}", f"cue={cue},{min(digits, 20)},{letters}", f"tokens={min(j - i, 8)}")
 
 
 class Field:
-    """Weights of (type, feature) and of (type, type)."""
-
-    def __init__(self, weights: dict | None = None):
-        self.w = weights or {}
-
-    def candidates(self, text: str, window, hot) -> dict:
-        """Feature tuples of every bounded entity segment that holds a digit or '@', by (start, end)."""
-        n = len(window)
-        return {(i, j): span_features(text, window, i, j) for i in range(n) for j in range(i + 1, min(n, i + MOST_TOKENS) + 1) if any(hot[i:j])}
+    """Weights of each feature for each type, and of each type after each other, plain tokens last."""
+
+    def __init__(self, weights: dict | None = None, cross: list | None = None):
+        self.weights = weights or {}
+        self.cross = cross or [[0.0] * (len(KINDS) + 1) for _ in range(len(KINDS) + 1)]
+
+    def candidates(self, text: str, window: list) -> dict:
+        """Feature tuples of every possible entity segment, by (start, end)."""
+        out, n = {}, len(window)
+        for i in range(n):
+            digits, dots, sign, hot = 0, 0, False, False
+            for j in range(i + 1, min(n, i + MOST_TOKENS) + 1):
+                s, e, own = window[j - 1]
+                if j > i + 1 and ("\n" in text[window[j - 2][1] : s] or s - window[j - 2][1] > 2):
+                    break
+                c = text[s]
+                if "0" <= c <= "9":
+                    digits += e - s
+                elif own:
+                    sign = True
+                dots += c == "."
+                hot = hot or own
+                if hot and possible(text, window, i, j, digits, dots, sign):
+                    out[i, j] = features(text, window, i, j)
+        return out
 
     def scores(self, found: dict) -> dict:
-        w = self.w
-        return {at: [sum(w.get((t, f), 0.0) for f in fs) for t in range(len(KINDS))] for at, fs in found.items()}
+        none = [0.0] * len(KINDS)
+        return {at: [sum(x) for x in zip(*[self.weights.get(f, none) for f in fs])] for at, fs in found.items()}
 
     def best(self, n: int, scores: dict) -> list[tuple[int, int, int]]:
         """The best cut's entities (start, end, type): dynamic programming over positions and the last segment's type."""
         types = len(KINDS) + 1  # the last one is plain
-        alpha = [[-1e18] * types for _ in range(n + 1)]
-        back: list[list] = [[None] * types for _ in range(n + 1)]
-        alpha[0][-1] = 0.0
+        last, cross = types - 1, self.cross
+        ends: dict[int, list] = {}
+        for (i, j), own in scores.items():
+            ends.setdefault(j, []).append((i, own))
+        alpha = np.full((n + 1, types), -1e18)
+        size, come = np.zeros((n + 1, types), np.int8), np.zeros((n + 1, types), np.int8)
+        alpha[0, last] = 0.0
         for j in range(1, n + 1):
-            for t in range(types):
-                for i in [j - 1] if t == types - 1 else range(max(0, j - MOST_TOKENS), j):
-                    own = 0.0 if t == types - 1 else scores[i, j][t] if (i, j) in scores else None
-                    if own is None:
-                        continue
-                    for p in range(types):
-                        v = alpha[i][p] + own + self.w.get((p, t), 0.0)
-                        if v > alpha[j][t]:
-                            alpha[j][t], back[j][t] = v, (i, p)
-        out, j, t = [], n, max(range(types), key=lambda k: alpha[n][k])
+            p = max(range(types), key=lambda q: alpha[j - 1][q] + cross[q][last])
+            alpha[j, last], size[j, last], come[j, last] = alpha[j - 1][p] + cross[p][last], 1, p
+            for i, own in ends.get(j, ()):
+                for t in range(last):
+                    p = max(range(types), key=lambda q: alpha[i][q] + cross[q][t])
+                    v = alpha[i][p] + own[t] + cross[p][t]
+                    if v > alpha[j, t]:
+                        alpha[j, t], size[j, t], come[j, t] = v, j - i, p
+        out, j, t = [], n, int(alpha[n].argmax())
         while j:
-            i, p = back[j][t]
-            if t < types - 1:
-                out.append((i, j, t))
-            j, t = i, p
+            if t < last:
+                out.append((j - int(size[j, t]), j, t))
+            j, t = j - int(size[j, t]), int(come[j, t])
         return out[::-1]
 
-    def learn(self, n: int, found: dict, gold: list[tuple[int, int, int]], rate: float) -> None:
-        """One ascent step on the log-likelihood of a window's cut: observed less expected features."""
-        types, w = len(KINDS) + 1, self.w
-        scores = self.scores(found)
-        cross = np.array([[w.get((p, t), 0.0) for t in range(types)] for p in range(types)])
-        forward, backward = np.full((n + 1, types), -1e18), np.full((n + 1, types), -1e18)
-        forward[0, -1], backward[n] = 0.0, 0.0
-        into: list[list] = [[] for _ in range(n + 1)]
-        for (i, j), s in scores.items():
-            into[j] += [(i, t, s[t]) for t in range(types - 1)]
-        for j in range(1, n + 1):
-            into[j].append((j - 1, types - 1, 0.0))
-        for j in range(1, n + 1):
-            for i, t, s in into[j]:
-                forward[j, t] = np.logaddexp(forward[j, t], s + np.logaddexp.reduce(forward[i] + cross[:, t]))
-        for j in range(n, 0, -1):
-            for i, t, s in into[j]:
-                backward[i] = np.logaddexp(backward[i], cross[:, t] + s + backward[j, t])
-        total = np.logaddexp.reduce(forward[n])
-        step: Counter = Counter()
-        for j in range(1, n + 1):
-            for i, t, s in into[j]:
-                each = np.exp(np.minimum(0, forward[i] + cross[:, t] + s + backward[j, t] - total))
-                p = float(each.sum())
-                if p > 1e-4:
-                    for f in found[i, j] if t < types - 1 else ():
-                        step[t, f] -= p
-                    for q in range(types):
-                        step[q, t] -= float(each[q])
-        marked = {j: (i, t) for i, j, t in gold}
-        j, path = n, []
-        while j:
-            i, t = marked.get(j, (j - 1, types - 1))
-            path.append((i, j, t))
-            j = i
-        last = types - 1
-        for i, j, t in reversed(path):
-            for f in found[i, j] if t < types - 1 else ():
-                step[t, f] += 1
-            step[last, t] += 1
-            last = t
-        for k, v in step.items():
-            w[k] = w.get(k, 0.0) * (1 - 1e-4) + rate * v
-
     def added(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         """kind, start, end of the entities that no base span touches."""
-        if not TRIGGER.search(text):
-            return []
         out = []
-        for window, hot in windows(text):
-            # Where a base span has taken every hot token, the field has nothing to add.
-            if all(not h or any(a < e and s < b for _, a, b in base) for (s, e), h in zip(window, hot)):
+        for window in stream(text) if DIGIT.search(text) or "@" in text or SPELLED.search(text) else ():
+            near = [(a, b) for _, a, b in base if a < window[-1][1] and window[0][0] < b]
+            taken = [any(a < e and s < b for a, b in near) for s, e, _ in window] if near else [False] * len(window)
+            # Where base spans have taken every hot token, the field has nothing to add.
+            if not any(hot and not t for (_, _, hot), t in zip(window, taken)):
                 continue
-            for i, j, t in self.best(len(window), self.scores(self.candidates(text, window, hot))):
+            found = self.candidates(text, window)
+            found = {(i, j): f for (i, j), f in found.items() if not any(taken[i:j])} if near else found
+            for i, j, t in self.best(len(window), self.scores(found)) if found else ():
                 s, e = window[i][0], window[j - 1][1]
-                if not any(a < e and s < b for _, a, b in base) and not any(a < e and s < b for _, a, b in out):
+                if not out or s >= out[-1][2]:
                     out.append((t, s, e))
         return out
 
 
-def gold_of(window: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Base spans as token segments; those that no bounded segment covers exactly are left out."""
-    starts, ends = {s: k for k, (s, _) in enumerate(window)}, {e: k + 1 for k, (_, e) in enumerate(window)}
+class Trainer:
+    """Fits a Field by ascent on the log-likelihood of windows' cuts, with a rate of its own for each weight."""
+
+    def __init__(self, examples: list[tuple[int, dict, list]]):
+        """examples: number of tokens, candidates' features by (start, end), gold segments (start, end, type)."""
+        self.index = {f: k for k, f in enumerate(sorted({f for _, found, _ in examples for fs in found.values() for f in fs}))}
+        n, types = len(self.index), len(KINDS) + 1
+        # The last row stands for no feature and stays zero.
+        self.w, self.squares = np.zeros((n + 1, types - 1)), np.full((n + 1, types - 1), 1e-2)
+        self.cross, self.cross_squares = np.zeros((types, types)), np.full((types, types), 1e-2)
+        self.examples = []
+        for size, found, gold in examples:
+            at = sorted(found)
+            most = max(len(found[x]) for x in at)
+            rows = np.full((len(at), most), n)
+            for k, x in enumerate(at):
+                rows[k, : len(found[x])] = [self.index[f] for f in found[x]]
+            starts, ends = np.array(at).T
+            self.examples.append((size, rows, starts, ends, [np.flatnonzero(starts == i) for i in range(size)], [np.flatnonzero(ends == j) for j in range(size + 1)], {at.index((i, j)): t for i, j, t in gold}))
+
+    def step(self, example: tuple, rate: float) -> None:
+        n, rows, starts, ends, from_, upto, gold = example
+        last, cross = len(KINDS), self.cross
+        score = self.w[rows].sum(1)
+        forward, into, backward = (np.full((n + 1, last + 1), -1e18) for _ in range(3))
+        forward[0, last] = 0.0
+        into[0] = cross[last]  # what a segment that starts here with a type comes from
+        for j in range(1, n + 1):
+            forward[j, last] = into[j - 1, last]
+            if len(upto[j]):
+                forward[j, :last] = np.logaddexp.reduce(score[upto[j]] + into[starts[upto[j]], :last], axis=0)
+            into[j] = np.logaddexp.reduce(forward[j][:, None] + cross, axis=0)
+        backward[n] = 0.0
+        for i in range(n - 1, -1, -1):
+            ahead = [cross[:, last] + backward[i + 1, last]]
+            if len(from_[i]):
+                own = np.logaddexp.reduce(score[from_[i]] + backward[ends[from_[i]], :last], axis=0)
+                ahead += list((cross[:, :last] + own).T)
+            backward[i] = np.logaddexp.reduce(np.array(ahead), axis=0)
+        total = np.logaddexp.reduce(forward[n])
+        share = np.exp(np.minimum(0, into[starts, :last] + score + backward[ends, :last] - total))
+        grad = -share
+        each = -np.exp(np.minimum(0, forward[starts][:, :, None] + cross[None, :, :last] + (score + backward[ends, :last])[:, None] - total)).sum(0)
+        plain = -np.exp(np.minimum(0, forward[:n] + cross[None, :, last] + backward[1:, last][:, None] - total)).sum(0)
+        step = np.column_stack([each, plain])
+        came, j = last, 0
+        begins = {int(starts[k]): (k, t) for k, t in gold.items()}
+        while j < n:
+            k, t = begins.get(j, (None, last))
+            if k is not None:
+                grad[k, t] += 1
+            step[came, t] += 1
+            came, j = t, int(ends[k]) if k is not None else j + 1
+        change = np.zeros_like(self.w)
+        np.add.at(change, rows, grad[:, None, :])
+        touched = np.unique(rows)
+        touched = touched[touched < len(self.index)]
+        own = change[touched]
+        self.squares[touched] += own * own
+        self.w[touched] += rate * own / np.sqrt(self.squares[touched])
+        self.cross_squares += step * step
+        self.cross += rate * step / np.sqrt(self.cross_squares)
+
+    def field(self) -> Field:
+        return Field({f: self.w[k].tolist() for f, k in self.index.items()}, self.cross.tolist())
+
+
+def gold_of(window: list, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]] | None:
+    """The spans within a window as token segments; nothing if one of them is not a bounded segment."""
+    starts, ends = {s: k for k, (s, _, _) in enumerate(window)}, {e: k + 1 for k, (_, e, _) in enumerate(window)}
     out, upto = [], 0
-    for t, s, e in sorted(base, key=lambda x: x[1]):
+    for t, s, e in sorted(spans, key=lambda x: x[1]):
+        if e <= window[0][0] or s >= window[-1][1]:
+            continue
         i, j = starts.get(s), ends.get(e)
-        if i is not None and j is not None and upto <= i < j <= i + MOST_TOKENS:
-            out.append((i, j, t))
-            upto = j
+        if i is None or j is None or not upto <= i < j <= i + MOST_TOKENS:
+            return None
+        out.append((i, j, t))
+        upto = j
     return out
 
 
-def noisy(text: str, spans: list[tuple[int, int, int]], number: int) -> tuple[str, list[tuple[int, int, int]]]:
-    """The text with typing noise in its spans, and where they now are."""
-    out, moved, at = [], [], 0
-    size = 0
-    for k, (t, s, e) in enumerate(sorted(spans, key=lambda x: x[1])):
-        if s < at:
-            continue
-        own = text[s:e]
-        if t == 0:
-            own = own.replace("@", " at ")
-        elif t == 2:
-            p = 3 + (number + k) % 9
-            own = own[:p] + str((ord(own[p]) - 45) % 10) + own[p + 1 :] if own[p].isdigit() else own
-            if (number + k) % 2 and own.isdigit():
-                own = " -"[(number + k) % 4 // 2].join(own[p : p + 4] for p in range(0, len(own), 4))
-        elif t == 3:
-            own = own[1:] if (number + k) % 2 else own[1:].partition(" ")[2] or own[1:]
-        out += [text[at:s], own]
-        size += s - at
-        moved.append((t, size, size + len(own)))
-        size += len(own)
-        at = e
-    return "".join([*out, text[at:]]), moved
+def variants(kind: int, own: str, number: int) -> list[tuple[str, bool]]:
+    """Ways of writing a base span that the patterns miss, with a cue before some, and lookalikes (false)."""
+    digits = re.sub("[^0-9]", "", own)
+    pick = lambda *forms: forms[number % len(forms)]
+    if kind == 0:
+        user, _, host = own.partition("@")
+        if number % 3 == 1:
+            user = user.replace(".", pick("_", "", "-"))
+        elif number % 3 == 2:
+            user, host = re.sub("[0-9]+", "", user).strip(".-_%+") or "a", ".".join(p for x in host.split(".") if (p := re.sub("[0-9]+", "", x).strip("-")))
+        return [(f"{user}{pick(' at ', ' (at) ', ' [at] ', ' @ ', '(at)')}{host}", True), (f"{user}{pick(' at ', ' (at) ')}{host.replace('.', pick(' dot ', ' (dot) '))}", True), (f"{user} {pick('at', 'and')} {host.replace('.', ' ')}", False)]
+    if kind == 1:
+        parts = own.split(".")
+        return [(pick("[.]", " . ", "(.)").join(parts), True), (".".join([str(int(parts[0]) + 300), *parts[1:]]), False), (".".join(parts[:3]), False)]
+    if kind == 2:
+        wrong = digits[:5] + str((int(digits[5]) + 1 + number % 8) % 10) + digits[6:]
+        four = lambda x, c: c.join(x[p : p + 4] for p in range(0, len(x), 4))
+        cue = pick("card", "visa", "card no.", "Mastercard")
+        return [(four(digits, pick(".", "/")), True), (f"{cue} {pick(wrong, four(wrong, ' '), four(wrong, '-'))}", True), (f"{pick('order', 'id', 'no.', 'ref')} {wrong}", False), (wrong, False), (four(wrong, pick(" ", "-")), True)]
+    short = digits[-10:]
+    a, b, c = short[:3], short[3:6], short[6:]
+    cue = pick("tel", "phone", "call", "fax")
+    return [(f"({a}) {b}{pick('-', ' ', '.')}{c}", True), (pick(f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"1-{a}-{b}-{c}", f"001 {a} {b} {c}"), True), (f"{cue} {pick(short, f'({a}) {b}-{c}', f'{a}-{b}-{c}', f'1 {a} {b} {c}')}", True), (f"{pick('order', 'id', 'no.', 'of')} {short}", False)]
 
 
 #: Fixed values. Numbers that are no personal data, shown in place of spans.
-PLAIN = ("12.5", "2024", "35", "1,250", "3.0", "17", "0.5", "10:30", "1999-12-31", "600")
+PLAIN = ("12.5", "2024", "35", "1,250", "3.0", "17", "0.5", "10:30", "1999-12-31", "600", "2024-01-01 10:30", "1,234,567,890", "12345678", "978-3-16-148410-0", "3.14159265", "31.12.1999", "f33e61083db5dbdf4bd2369d", "1.2.3", "2024010112", "100 000 000")
 
 
-def erased(text: str, spans: list[tuple[int, int, int]], number: int) -> str:
-    """The text with plain numbers in place of its spans."""
-    out, at = [], 0
-    for k, (_, s, e) in enumerate(sorted(spans, key=lambda x: x[1])):
-        if s >= at:
-            out += [text[at:s], PLAIN[(number + k) % len(PLAIN)]]
+def shown(text: str, spans: list[tuple[int, int, int]], number: int) -> Iterator[tuple[str, list[tuple[int, int, int]]]]:
+    """A window's text with its spans as they are, then for each kind of variant with other writings in their place, and with plain numbers."""
+    yield text, spans
+    spans = sorted(spans, key=lambda x: x[1])
+    for turn in range(6):
+        out, moved, at, size = [], [], 0, 0
+        for k, (t, s, e) in enumerate(spans):
+            if s < at:
+                continue
+            forms = variants(t, text[s:e], number + k + turn)
+            own, real = forms[turn] if turn < len(forms) else (PLAIN[(number + k + turn) % len(PLAIN)], False)
+            out += [text[at:s], own]
+            size += s - at
+            if real:
+                cue = re.match(r"(?:card no\.|[A-Za-z]+) (?=[0-9(])", own) if t in (2, 3) else None
+                moved.append((t, size + (cue.end() if cue else 0), size + len(own)))
+            size += len(own)
             at = e
-    return "".join([*out, text[at:]])
+        yield "".join([*out, text[at:]]), moved
+
 
+def train(docs: DataFrame, sample: int = 1500, rounds: int = 4, most_windows: int = 160, most_chars: int = 1000) -> Field:
+    """Fits on windows of at most `sample` documents with a base span: distinct texts with the smallest hashes.
 
-def train(docs: DataFrame, sample: int = 1500, rounds: int = 4, most_windows: int = 500) -> Field:
-    """Fits on the windows of at most `sample` documents with a digit or '@' that reach the driver: distinct texts with the smallest hashes."""
+    Of each document at most four windows of up to `most_chars` characters with a base span reach the driver,
+    and `most_windows` in all: that bounds what it holds. Each is shown as it stands and in seven other ways.
+    """
     rows = docs.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("text").alias("h"), "text")
-    chosen = rows.select("h").distinct().orderBy("h").limit(sample)
-    texts = rows.join(F.broadcast(chosen), "h").groupBy("h").agg(F.min("text").alias("text")).orderBy("h").limit(sample).collect()
-    texts = [r["text"] for r in texts]
-    shown = []
-    for number, text in enumerate(texts):
-        spans = base_spans(text)
-        versions = [(text, spans)] + ([noisy(text, spans, number), (erased(text, spans, number), [])] if spans else [])
-        for body, where in versions:
-            for window, hot in windows(body):
-                shown.append((len(window), body, window, hot, gold_of(window, where)))
-    shown = [x for x in shown if x[0] <= 40][:most_windows]
-    field = Field()
-    ready = [(n, field.candidates(body, window, hot), gold) for n, body, window, hot, gold in shown]
-    ready = [(n, found, gold) for n, found, gold in ready if all((i, j) in found for i, j, _ in gold)]
+
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for h, text in zip(pdf["h"], pdf["text"]):
+                base, n = base_spans(text), 0
+                for k, window in enumerate(stream(text)) if base else ():
+                    lo, hi = window[0][0], window[-1][1]
+                    if n < 4 and hi - lo <= most_chars and any(lo <= s and e <= hi for _, s, e in base):
+                        out.append((h, k, text[lo:hi]))
+                        n += 1
+            yield pd.DataFrame(out, columns=["h", "k", "piece"])
+
+    chosen = small_batches(rows).select("h").distinct().orderBy("h").limit(sample)
+    found = rows.join(F.broadcast(chosen), "h").mapInPandas(pieces, "h long, k int, piece string")
+    found = found.dropDuplicates(["h", "k"]).orderBy("h", "k").limit(most_windows).collect()
+    ready, field = [], Field()
+    for number, piece in enumerate(sorted({r["piece"] for r in found})):
+        for body, spans in shown(piece, base_spans(piece), number):
+            for window in stream(body):
+                gold = gold_of(window, spans)
+                own = field.candidates(body, window) if gold is not None else {}
+                if own and all((i, j) in own for i, j, _ in gold):
+                    ready.append((len(window), own, gold))
+    trainer = Trainer(ready)
     for r in range(rounds):
-        for n, found, gold in ready:
-            field.learn(n, found, gold, 0.2 / (1 + r))
-    return field
+        for example in trainer.examples:
+            trainer.step(example, 0.5 / (1 + r))
+    return trainer.field()
 
 
 def find(docs: DataFrame, field: Field) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base (spans), spans (base and added) for each row of docs(doc_id, text).
+    """doc_id, n_email, n_ip, n_card, n_phone, n_spans, base (spans), spans (base and added) for each row of docs(doc_id, text).
 
     Spans are kind:start:end in code points, end exclusive, by kind and start, joined by commas. The counts
-    are of base spans. A null or empty text has none. Rows without doc_id and repeated rows are reported like
+    by kind are of base spans, n_spans is of all. A null or empty text has none. Rows without doc_id and repeated rows are reported like
     others; an empty table gives an empty result; other columns are ignored.
     """
-    weights = field.w
-    schema = "doc_id string, n_email long, n_ip long, n_card long, n_phone long, base string, spans string"
+    weights, cross = field.weights, field.cross
+    schema = "doc_id string, n_email long, n_ip long, n_card long, n_phone long, n_spans long, base string, spans string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Field(weights)
+        own = Field(weights, cross)
         text_of = lambda spans: ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in sorted(spans))
         for pdf in batches:
             rows = []
@@ -361,8 +442,8 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
                 base = base_spans(text)
                 every = base + own.added(text, base)
                 n = Counter(k for k, _, _ in base)
-                rows.append((n[0], n[1], n[2], n[3], text_of(base), text_of(every)))
-            out = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base", "spans"])
+                rows.append((n[0], n[1], n[2], n[3], len(every), text_of(base), text_of(every)))
+            out = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "n_spans", "base", "spans"])
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             yield out
 
