@@ -142,15 +142,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> Machine:
 
 def score(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:
     """docs with score (0 to 1) and predicted (1 if score >= threshold); a null text is an empty one."""
-    columns = [c for c in docs.columns if c not in ("score", "predicted", "__text")]
-    whole = small_batches(docs).select(*[F.col(f"`{c}`") for c in columns], F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("__text"))
+    columns, own = [c for c in docs.columns if c not in ("score", "predicted")], "__text"
+    while own in columns:
+        own += "_"
+    whole = small_batches(docs).select(*[F.col(f"`{c}`") for c in columns], F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias(own))
 
     @F.pandas_udf(DoubleType())
     def of(texts: pd.Series) -> pd.Series:
         parts = [machine.score(features(list(texts.iloc[lo : lo + 256]))) for lo in range(0, len(texts), 256)]
         return pd.Series(np.concatenate(parts) if parts else np.empty(0))
 
-    return whole.withColumn("score", of("__text")).withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop("__text")
+    return whole.withColumn("score", of(own)).withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop(own)
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = 6000, threshold: float = 0.3) -> DataFrame:

@@ -136,7 +136,7 @@ def larger(batches: Iterator[pd.DataFrame], rows: int = 16_384) -> Iterator[tupl
 EDGES = "kind int, a long, b long, key long, blk int"
 
 
-def link_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def link_runs(batches: Iterator[pd.DataFrame], block: int = BLOCK) -> Iterator[pd.DataFrame]:
     """Streams rows sorted by key: links within keys (kind 0), and the blocks of keys that are too large (kind 1)."""
     key, fp = np.empty(0, np.int64), np.empty(0, U64)
     cut_key, number = None, 0
@@ -179,9 +179,9 @@ def link_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if e - s <= 8 and not going_on:
                 continue
             number = number if going_on else 0
-            whole = e - s <= BLOCK and not going_on
-            for lo in range(s, e, BLOCK):
-                yield from run_of(int(key[s]), fp[lo : min(lo + BLOCK, e)], not whole)
+            whole = e - s <= block and not going_on
+            for lo in range(s, e, block):
+                yield from run_of(int(key[s]), fp[lo : min(lo + block, e)], not whole)
                 number += 1
             if going_on:
                 cut_key = None
@@ -191,17 +191,17 @@ def link_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from flush(key, fp, False)
         start = np.searchsorted(key, key[-1]) if (key[:-1] <= key[1:]).all() else np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))[-1]
         key, fp = key[start:], fp[start:]
-        while len(key) >= 2 * BLOCK:  # one key goes on and on: its blocks leave
+        while len(key) >= 2 * block:  # one key goes on and on: its blocks leave
             if cut_key != key[0]:
                 cut_key, number = key[0], 0
-            yield from run_of(int(key[0]), fp[:BLOCK], True)
+            yield from run_of(int(key[0]), fp[:block], True)
             number += 1
-            key, fp = key[BLOCK:], fp[BLOCK:]
+            key, fp = key[block:], fp[block:]
     if len(key):
         yield from flush(key, fp, True)
 
 
-def near_links(distinct: DataFrame) -> DataFrame:
+def near_links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     """a, b: links that join every two fingerprints of distinct(fp) that differ in at most MOST bits, and only such."""
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -216,7 +216,7 @@ def near_links(distinct: DataFrame) -> DataFrame:
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     rows = distinct.select("fp").mapInPandas(keyed, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
-    found = materialize(rows.mapInPandas(link_runs, EDGES), "near")
+    found = materialize(rows.mapInPandas(lambda batches: link_runs(batches, block), EDGES), "near")
     cut = found.where("kind = 1").select("key", "blk", F.col("a").alias("fp"))
     blocks = cut.groupBy("key").agg(F.max("blk").alias("last"))
     dealt = cut.join(blocks, "key").select("key", "fp", "blk", F.explode(F.sequence(F.lit(0), "last")).alias("other")).where("blk != other")
@@ -224,7 +224,7 @@ def near_links(distinct: DataFrame) -> DataFrame:
     return found.where("kind = 0").select("a", "b").union(more).distinct()
 
 
-def near_components(docs: DataFrame) -> DataFrame:
+def near_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, fp, component_id for each row of docs(doc_id, text).
 
     Fingerprints that differ in at most 4 bits link; component_id is the smallest doc_id that a row reaches,
@@ -234,7 +234,7 @@ def near_components(docs: DataFrame) -> DataFrame:
     """
     prints = materialize(fingerprints(docs), "prints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected(near_links(distinct))
+    roots = connected(near_links(distinct, block))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = materialize(rooted, "roots")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

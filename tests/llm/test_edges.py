@@ -16,7 +16,7 @@ DOCS = [
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    clash = {c: F.lit(1) for c in ("row", "pos", "line", "h1", "block", "shard", "fp", "size", "score", "hits", "gone", "rest", "epoch", "uid", "v")}
+    clash = {c: F.lit(1) for c in ("row", "pos", "line", "h1", "block", "shard", "fp", "size", "score", "hits", "gone", "rest", "epoch", "uid", "v", "__text", "none", "team", "bin", "cell", "part", "grp", "c", "p", "g", "limit")}
     return spark.createDataFrame(DOCS, SCHEMA).withColumns(clash).cache()
 
 
@@ -94,7 +94,7 @@ VECTORS = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (100, [0.5, 2.0]), (1, None), (2, [
 
 
 def test_vectors(spark):
-    v = spark.createDataFrame(VECTORS, "vec_id long, embedding array<float>").withColumns({c: F.lit(1) for c in ("uid", "v", "shard", "grp", "h", "score", "rank")})
+    v = spark.createDataFrame(VECTORS, "vec_id long, embedding array<float>").withColumns({c: F.lit(1) for c in ("uid", "v", "shard", "grp", "h", "score", "rank", "cell", "part", "c", "p", "g", "t", "limit", "cells", "looked")})
     top = exact_topk.top_products(v, top=3).orderBy("query_id", "rank").collect()
     assert len(top) == 9 and [r["vec_id"] for r in top if r["query_id"] == 100] == [7, 0, 0]
     near = vptree.nearest(v, top=3).orderBy("query_id", "rank").collect()
@@ -102,3 +102,26 @@ def test_vectors(spark):
     assert 5 not in {r["vec_id"] for r in near} and 8 not in {r["vec_id"] for r in near}
     none = v.where("vec_id > 1000")
     assert exact_topk.top_products(none).count() == 0 and vptree.nearest(none).count() == 0
+
+
+def test_ids_that_are_all_queries(spark):
+    """Groups are sized by the queries that there are, not by a share of the rows."""
+    v = spark.range(500).select((F.col("id") * 100).alias("vec_id"), F.array(F.rand(1), F.rand(2)).cast("array<float>").alias("embedding"))
+    assert exact_topk.top_products(v, top=2).count() == 1000 and vptree.nearest(v, top=2).count() == 1000
+
+
+def test_largest_long_is_an_id(spark):
+    docs = spark.createDataFrame([(2**63 - 1, WORDS), (None, WORDS), (1, "other")], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(docs).collect()}
+    assert set(got) == {2**63 - 1, None, 1}
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
+    from sensorloom.llm import common
+
+    class Elsewhere:
+        conf = type("conf", (), {"get": staticmethod(lambda *a: None)})()
+        sparkContext = type("context", (), {"master": "spark://host:7077"})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Elsewhere())
