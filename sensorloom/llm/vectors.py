@@ -64,6 +64,10 @@ class Index:
     def table_of(self, m: np.ndarray) -> np.ndarray:
         return np.zeros((len(m), 0))
 
+    def first(self, uids: np.ndarray, m: np.ndarray, limits: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """ids, uids and scores of what a query has found in the sample, if a search may miss as many."""
+        return [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))] * len(m)
+
     def reach_of(self, m: np.ndarray, cells: np.ndarray) -> np.ndarray:
         return np.zeros(len(m))
 
@@ -110,12 +114,13 @@ def looked_up(vectors: DataFrame, every: int, top: int, shard_rows: int, index_o
         for pdf in batches:
             m = unpacked(pdf["v"])
             limit = index.limits(pdf["uid"].to_numpy(), m)
-            yield pdf.assign(limit=limit, cells=[c.tolist() for c in index.wanted(m, limit)])
+            seen = index.first(pdf["uid"].to_numpy(), m, limit)
+            yield pdf.assign(limit=limit, cells=[c.tolist() for c in index.wanted(m, limit)], **{c: [x[k].tolist() for x in seen] for k, c in enumerate(("ids", "uids", "scores"))})
 
     own = routed.where(F.col("vec_id") % every == 0)
-    own = own.mapInPandas(ask, "vec_id long, uid long, cell int, v binary, t binary, limit double, cells array<int>")
+    own = own.mapInPandas(ask, "vec_id long, uid long, cell int, v binary, t binary, limit double, cells array<int>, ids array<long>, uids array<long>, scores array<double>")
     own = materialize(own.withColumn("grp", F.struct("cell", hashed(7, F.element_at(groups, F.col("cell") + 1)).alias("part"))).drop("cell"), "asked")
-    sent = own.withColumn("cell", F.explode("cells")).drop("cells").withColumn("part", F.explode(F.sequence(F.lit(0), F.element_at(parts, F.col("cell") + 1) - 1)))
+    sent = own.drop("ids", "uids", "scores").withColumn("cell", F.explode("cells")).drop("cells").withColumn("part", F.explode(F.sequence(F.lit(0), F.element_at(parts, F.col("cell") + 1) - 1)))
     need = sent.select(F.col("cell").alias("c"), F.col("part").alias("p"), F.col("grp").alias("g")).distinct()
     rows = routed.withColumn("part", hashed(3, F.element_at(parts, F.col("cell") + 1))).join(need, (F.col("cell") == F.col("c")) & (F.col("part") == F.col("p")))
 
@@ -142,14 +147,17 @@ def looked_up(vectors: DataFrame, every: int, top: int, shard_rows: int, index_o
     tasks = min(MOST_TASKS, total(0, shard_rows) * total(1, QUERY_ROWS))
     rows = rows.select("c", "p", "g", "vec_id", "uid", "v", "t").repartition(tasks, "c", "p", "g")
     sent = sent.repartition(tasks, "cell", "part", "grp")
-    return rows.groupBy("c", "p", "g").cogroup(sent.groupBy("cell", "part", "grp")).applyInPandas(run, f"query_id long, query_uid long, vec_id long, uid long, score {kind}, looked long")
+    found = rows.groupBy("c", "p", "g").cogroup(sent.groupBy("cell", "part", "grp")).applyInPandas(run, f"query_id long, query_uid long, vec_id long, uid long, score {kind}, looked long")
+    seen = own.select(F.col("vec_id").alias("query_id"), F.col("uid").alias("query_uid"), F.explode(F.arrays_zip("ids", "uids", "scores")).alias("s"))
+    return found.unionByName(seen.select("query_id", "query_uid", F.col("s.ids").alias("vec_id"), F.col("s.uids").alias("uid"), F.col("s.scores").cast(kind).alias("score"), F.lit(0).cast("long").alias("looked")))
 
 
 def best(found: DataFrame, top: int, best_first: int) -> DataFrame:
     """query_id, rank, vec_id, score of looked_up()'s rows: the `top` best of each query; best_first is 1 for small scores first, -1 for large ones."""
     order = [F.col("score").asc() if best_first > 0 else F.col("score").desc(), "vec_id", "uid"]
     rank = F.row_number().over(Window.partitionBy("query_id", "query_uid").orderBy(*order))
-    return found.where("vec_id IS NOT NULL").withColumn("rank", rank.cast("int")).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    # What the sample gave may have been found again.
+    return found.where("vec_id IS NOT NULL").dropDuplicates(["query_id", "query_uid", "uid"]).withColumn("rank", rank.cast("int")).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
 def best_of(scores: np.ndarray, top: int) -> np.ndarray:

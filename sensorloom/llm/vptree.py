@@ -92,7 +92,7 @@ class Forest(Index):
     """The top of the tree over a sample; its leaves are the cells, and each part of a cell has a tree of its own."""
 
     def __init__(self, sample: tuple, width: int, cells: int, top: int, factor: float, leaf: int):
-        _, self.uids, self.points = sample
+        self.ids, self.uids, self.points = sample
         self.top, self.factor, self.leaf = top, factor, leaf
         self.leaves: list = []
         size = max(1, -(-len(self.points) // cells))
@@ -130,6 +130,16 @@ class Forest(Index):
         far[uids[:, None] == self.uids[None]] = np.inf
         return np.sqrt(np.maximum(0, np.partition(far, self.top - 1, axis=1)[:, self.top - 1]))
 
+    def first(self, uids: np.ndarray, m: np.ndarray, limits: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The sample's best: what pruning leaves out is made up from them, so that a query has as many results as there can be."""
+        out = []
+        for q, limit, uid in zip(m, limits, uids):
+            far = np.sqrt(((self.points - q) ** 2).sum(1))
+            at = np.flatnonzero((far <= limit) & (self.uids != uid))
+            at = at[np.lexsort((self.uids[at], self.ids[at], far[at]))[: self.top]]
+            out.append((self.ids[at], self.uids[at], far[at]))
+        return out
+
     def wanted(self, m: np.ndarray, limits: np.ndarray) -> list[np.ndarray]:
         out: list[list] = [[] for _ in m]
 

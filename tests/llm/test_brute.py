@@ -191,6 +191,7 @@ def test_vector_searches(spark, shard_rows):
     near = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in vptree.nearest(v, factor=1.0, shard_rows=shard_rows).collect()}
     relaxed = vptree.found_near(v, factor=queries.VP_FACTOR, shard_rows=shard_rows).cache()
     some = {(r["query_id"], r["vec_id"]): r["score"] for r in vectors.best(relaxed, 10, 1).collect()}
+    assert vptree.nearest(v, factor=50.0, shard_rows=shard_rows).count() == len(some) == 10 * (ids % 100 == 0).sum()  # pruning never leaves a query with fewer
     hits, asked = 0, np.flatnonzero(ids % 100 == 0)
     for k in asked:
         s, d = whole @ whole[k], np.sqrt(((e - e[k]) ** 2).sum(1))
