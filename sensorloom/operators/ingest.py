@@ -102,17 +102,38 @@ def unpack_mask(masked: DataFrame) -> DataFrame:
     return masked.select("device", "ts", F.explode(F.sequence(F.lit(0), F.lit(CHANNELS - 1))).alias("channel"), "missing_mask").select("device", "ts", "channel", (F.expr("shiftright(missing_mask, channel)") % 2 == 1).alias("missing"))
 
 
-def monitor(rounds: DataFrame, width: int) -> DataFrame:
-    """Tumbling windows of `width` seconds: sums, the union of missing masks, and the last round's incompleteness."""
+def guard_masks(cells: DataFrame) -> DataFrame:
+    """device, ts, stuck_mask, floor_mask, run_len, run_start (arrays by channel) of cells as the guard of repeated values marks them."""
+    bits = lambda c: F.bit_or(F.when(F.col(c), F.expr("shiftleft(1, channel)")).otherwise(0)).cast("int")
+    by_channel = lambda c: F.array(*[F.coalesce(F.max(F.when(F.col("channel") == k, F.col(c))), F.lit(0)) for k in range(CHANNELS)])
+    return cells.groupBy("device", "ts").agg(bits("stuck").alias("stuck_mask"), bits("floor").alias("floor_mask"), by_channel("run_len").alias("run_len"), by_channel("run_start").alias("run_start"))
+
+
+def monitor(rounds: DataFrame, cells: DataFrame, width: int) -> DataFrame:
+    """Tumbling windows of `width` seconds: sums, unions of masks, and the last round's incompleteness and runs of equal values.
+
+    rounds(device, ts, incomplete, dup_keys, unknown_sensor, censored, warmup, cold), cells as for guard_masks().
+    """
     end = ((F.floor(F.col("ts") / width) + 1) * width).alias("window_end")
-    bits = rounds.join(mask_bits(rounds), ["device", "ts"]) if "missing_mask" not in rounds.columns else rounds
-    return bits.groupBy("device", end).agg(
+    rows = rounds.join(mask_bits(rounds), ["device", "ts"]).join(guard_masks(cells), ["device", "ts"], "left")
+    rows = rows.withColumn("stuck_mask", F.coalesce("stuck_mask", F.lit(0))).withColumn("floor_mask", F.coalesce("floor_mask", F.lit(0)))
+    none = F.array_repeat(F.lit(0).cast("long"), CHANNELS)
+    return rows.groupBy("device", end).agg(
         F.count(F.lit(1)).alias("rounds"),
         F.count_if("incomplete").alias("incomplete"),
         F.sum("dup_keys").alias("dup_keys"),
         F.sum("unknown_sensor").alias("unknown_sensor"),
+        F.count_if("censored").alias("censored"),
+        F.count_if("warmup").alias("warmup"),
+        F.count_if("cold").alias("cold"),
         F.bit_or("missing_mask").alias("missing_mask"),
+        F.count_if(F.col("stuck_mask") != 0).alias("stuck_rounds"),
+        F.bit_or("stuck_mask").alias("stuck_mask"),
+        F.count_if(F.col("floor_mask") != 0).alias("floor_rounds"),
+        F.bit_or("floor_mask").alias("floor_mask"),
         F.max_by("incomplete", "ts").alias("last_incomplete"),
+        F.max_by(F.coalesce("run_len", none), "ts").alias("run_len"),
+        F.max_by(F.coalesce("run_start", none), "ts").alias("run_start"),
     )
 
 

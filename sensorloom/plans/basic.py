@@ -66,16 +66,6 @@ def round_assemble(spark, sf_dir):
     return rounds(spark, sf_dir).select("device", "ts", "x0", "x1", "x2", "x3", "x4", "dup_keys", "unknown_sensor", "incomplete")
 
 
-@query(f"""WITH {ROUNDS}, bits AS (
-  SELECT *, (x0 IS NULL)::INTEGER + 2 * (x1 IS NULL)::INTEGER + 4 * (x2 IS NULL)::INTEGER + 8 * (x3 IS NULL)::INTEGER + 16 * (x4 IS NULL)::INTEGER AS m FROM rounds
-)
-SELECT device, CAST((floor(ts / 86400) + 1) * 86400 AS BIGINT) AS window_end, count(*) AS rounds, count(*) FILTER (WHERE incomplete) AS incomplete, CAST(sum(dup_keys) AS BIGINT) AS dup_keys,
-       CAST(sum(unknown_sensor) AS BIGINT) AS unknown_sensor, CAST(bit_or(m) AS INTEGER) AS missing_mask, arg_max(incomplete, ts) AS last_incomplete
-FROM bits GROUP BY device, window_end""")
-def monitor_60s(spark, sf_dir):
-    return ingest.monitor(rounds(spark, sf_dir), 4 * PERIOD)
-
-
 @query(f"""WITH {ROUNDS} SELECT device, ts, CAST((x0 IS NULL)::INTEGER + 2 * (x1 IS NULL)::INTEGER + 4 * (x2 IS NULL)::INTEGER + 8 * (x3 IS NULL)::INTEGER + 16 * (x4 IS NULL)::INTEGER AS INTEGER) AS missing_mask FROM rounds""")
 def mask_bits(spark, sf_dir):
     return ingest.mask_bits(rounds(spark, sf_dir))
@@ -136,6 +126,28 @@ marks AS (
 counted AS (SELECT *, row_number() OVER (PARTITION BY device, channel, run ORDER BY ts) AS n, min(ts) OVER (PARTITION BY device, channel, run) AS start FROM runs)"""
 
 
+@query(f"""WITH {RUNS}, marked AS (
+  SELECT *, row_number() OVER w <= {WARMUP} AS warmup, coalesce(ts - lag(ts) OVER w > {COLD}, false) AS cold FROM rounds WINDOW w AS (PARTITION BY device ORDER BY ts)
+), g AS (
+  SELECT device, ts, CAST(bit_or(CASE WHEN n >= 2 AND NOT (channel = 0 AND x = 10.0) THEN 1 << CAST(channel AS INTEGER) ELSE 0 END) AS INTEGER) AS s, CAST(bit_or(CASE WHEN n >= 2 AND channel = 0 AND x = 10.0 THEN 1 ELSE 0 END) AS INTEGER) AS f,
+    {', '.join(f'coalesce(max(CASE WHEN channel = {c} AND n >= 2 THEN n END), 0) AS l{c}, coalesce(max(CASE WHEN channel = {c} AND n >= 2 THEN start END), 0) AS b{c}' for c in range(5))}
+  FROM counted GROUP BY device, ts
+), bits AS (
+  SELECT m.*, (x0 IS NULL)::INTEGER + 2 * (x1 IS NULL)::INTEGER + 4 * (x2 IS NULL)::INTEGER + 8 * (x3 IS NULL)::INTEGER + 16 * (x4 IS NULL)::INTEGER AS m, coalesce(s, 0) AS s, coalesce(f, 0) AS f,
+    concat_ws(',', {', '.join(f'coalesce(l{c}, 0)' for c in range(5))}) AS lens, concat_ws(',', {', '.join(f'coalesce(b{c}, 0)' for c in range(5))}) AS begins
+  FROM marked m LEFT JOIN g USING (device, ts)
+)
+SELECT device, CAST((floor(ts / 86400) + 1) * 86400 AS BIGINT) AS window_end, count(*) AS rounds, count(*) FILTER (WHERE incomplete) AS incomplete, CAST(sum(dup_keys) AS BIGINT) AS dup_keys,
+       CAST(sum(unknown_sensor) AS BIGINT) AS unknown_sensor, count(*) FILTER (WHERE censored) AS censored, count(*) FILTER (WHERE warmup) AS warmup, count(*) FILTER (WHERE cold) AS cold,
+       CAST(bit_or(m) AS INTEGER) AS missing_mask, count(*) FILTER (WHERE s <> 0) AS stuck_rounds, bit_or(s) AS stuck_mask, count(*) FILTER (WHERE f <> 0) AS floor_rounds, bit_or(f) AS floor_mask,
+       arg_max(incomplete, ts) AS last_incomplete, arg_max(lens, ts) AS run_len, arg_max(begins, ts) AS run_start
+FROM bits GROUP BY device, window_end""")
+def monitor_60s(spark, sf_dir):
+    m = ingest.monitor(marked(spark, sf_dir), quality.repeat_runs(coarse(spark, sf_dir), GUARD, COLD), 4 * PERIOD)
+    flat = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return m.select(*[flat(c) if c in ("run_len", "run_start") else c for c in m.columns])
+
+
 @query(f"""WITH {RUNS} SELECT device, ts, CAST(channel AS INTEGER) AS channel, CASE WHEN n >= 2 THEN n ELSE 0 END AS run_len, CASE WHEN n >= 2 THEN start ELSE 0 END AS run_start,
 n >= 2 AND NOT (channel = 0 AND x = 10.0) AS stuck, n >= 2 AND channel = 0 AND x = 10.0 AS "floor", n = 2 AS crossed FROM counted""")
 def repeat_run_guard(spark, sf_dir):

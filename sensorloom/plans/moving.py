@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..config import EVENTS
 from ..functions.arrays import rounded
-from ..operators import drift
 from ..sources import files
 from ..streaming import rounds as streams
 from .basic import LINES, lines
@@ -87,50 +86,63 @@ def snk_csv(spark, sf_dir):
 
 
 def stream(spark, sf_dir, parts: int = 3):
-    """The events as a stream of files in order of time, a few files a trigger."""
+    """The events as a stream of files in order of time, one a trigger, then two heartbeats far ahead, then early events once more, which come too late."""
     path = scratch(spark, "stream")
     r = readings(spark, sf_dir).withColumn("time", F.timestamp_seconds("at"))
-    r.repartitionByRange(parts, "at").sortWithinPartitions("at").write.parquet(path)
+    low, high = r.agg(F.min("at"), F.max("at")).first()
+    step = (high - low) // parts + 1
+    for k in range(parts):
+        r.where(F.col("at").between(low + k * step, low + (k + 1) * step - 1)).coalesce(1).write.mode("append").parquet(path)
+    for ahead in (0, 1):
+        beat = r.limit(1).select(F.lit(-1).cast("long").alias("seq"), F.lit(-1).cast("long").alias("device"), "ts", F.lit(high + 90 * 86400 + ahead).cast("long").alias("at"), "sensor", "value")
+        beat.withColumn("time", F.timestamp_seconds("at")).select(*r.columns).write.mode("append").parquet(path)
+    r.where(F.col("at") < low + step // 2).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def run(spark, streamed):
+    """What a stream has closed, without its heartbeats."""
+    return streams.run_to_end(streamed, scratch(spark, "out"), scratch(spark, "state"), "append").where("device >= 0")
+
+
 @query(f"WITH {READINGS} SELECT device, CAST((sec // 86400 + 1) * 86400 AS BIGINT) AS window_end, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM readings GROUP BY ALL")
 def tumbling_60(spark, sf_dir):
-    out = streams.run_to_end(streams.monitor_stream(stream(spark, sf_dir), 86400), scratch(spark, "out"), scratch(spark, "state"), "complete")
-    return out.withColumn("total", rounded(F.col("total"), 4))
+    return run(spark, streams.monitor_stream(stream(spark, sf_dir), 86400)).withColumn("total", rounded(F.col("total"), 4))
 
 
 @query(f"WITH {ROUNDS} SELECT device, ts, x0, x1, x2, x3, x4, dup_keys FROM rounds")
 def watermark_source(spark, sf_dir):
-    return streams.run_to_end(streams.round_stream(stream(spark, sf_dir), EVENTS, 30 * 86400), scratch(spark, "out"), scratch(spark, "state"), "complete")
+    return run(spark, streams.round_stream(stream(spark, sf_dir), EVENTS))
 
 
 @query(f"""WITH {READINGS}, e AS (SELECT device, value, unnest(generate_series((sec // {PERIOD} + 1) * {PERIOD}, ((sec + {4 * PERIOD}) // {PERIOD}) * {PERIOD}, {PERIOD})) AS window_end FROM readings)
 SELECT device, CAST(window_end AS BIGINT) AS window_end, count(*) AS n, max(value) AS high FROM e GROUP BY ALL""")
 def sliding_stream(spark, sf_dir):
-    return streams.run_to_end(streams.sliding_stream(stream(spark, sf_dir), 4 * PERIOD, PERIOD), scratch(spark, "out"), scratch(spark, "state"), "complete")
-
+    return run(spark, streams.sliding_stream(stream(spark, sf_dir), 4 * PERIOD, PERIOD))
 
-def in_order(spark, sf_dir):
-    """Elements in order of seq, in files of a third each."""
-    from .windowed import elements
 
-    return elements(spark, sf_dir)
+STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 @query()
 def drift_stream(spark, sf_dir):
-    """The drift events of the batch query, from keyed state over three batches; batch where no RocksDB store is configured."""
-    rows = in_order(spark, sf_dir)
-    if "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", ""):
-        return drift.drift_events(rows)
+    """The drift events of drift_gate, from keyed state over three batches. The state needs a RocksDB store: the session's setting is lent and given back."""
+    from .windowed import elements
+
     path, out, state = (scratch(spark, x) for x in ("elements", "out", "state"))
-    rows = rows.cache()
-    last = rows.agg(F.max("ts")).first()[0]
-    for part in range(3):  # each part arrives after the one before was read
-        rows.where(F.col("ts").between(part * (last + 1) // 3, (part + 1) * (last + 1) // 3 - 1)).write.mode("append").parquet(path)
-        found = streams.run_to_end(streams.drift_stream(spark.readStream.schema(rows.schema).parquet(path)), out, state, "append")
-    rows.unpersist()
+    rows = elements(spark, sf_dir)
+    last = rows.agg(F.max("ts")).first()[0] or 0
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for part in range(3):  # each part arrives after the one before was read
+            rows.where(F.col("ts").between(part * (last + 1) // 3, (part + 1) * (last + 1) // 3 - 1)).write.mode("append").parquet(path)
+            found = streams.run_to_end(streams.drift_stream(spark.readStream.schema(rows.schema).parquet(path)), out, state, "append")
+    finally:
+        if before is None:
+            spark.conf.unset(STORE)
+        else:
+            spark.conf.set(STORE, before)
     return found
 
 
