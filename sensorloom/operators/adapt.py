@@ -10,20 +10,37 @@ from .quality import channel_rows
 from .scaling import transformed
 
 
-def schedule(commands: DataFrame, rounds: DataFrame) -> DataFrame:
-    """commands(device, level, effective_at, decided_at, seq) with verdict: late, ignored or the ts of the round that executes it.
+def schedule(commands: DataFrame, rounds: DataFrame, warm: int = 0, lag: int = 0) -> DataFrame:
+    """commands(device, level, effective_at, decided_at, seq) with verdict and executes, the ts of the round that executes it.
 
-    A command is late if its device had a round at or after effective_at before it was decided; levels but 0,
-    1 and 2 are ignored; the others run on the first round at or after effective_at, in order of effective_at
-    and seq.
+    A command is ignored if its level is none of 0, 1 and 2. It is late by watermark if the watermark, `lag`
+    seconds behind the time of decision, has reached effective_at; else late by a processed round if the device
+    has a round from effective_at up to that time. The others wait for the first round at or after effective_at:
+    before the device's first `warm` rounds are over they are dropped (pre_freeze); then level 0 is executed and
+    levels 1 and 2 are forwarded, of those that meet the same round only the last by effective_at and seq
+    (replaced).
     """
-    marks = rounds.select("device", F.col("ts").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("long").alias("decided_at"))
-    asked = commands.select("device", F.col("effective_at").alias("at"), F.lit(0).alias("kind"), F.col("seq").cast("long").alias("seq"), F.col("level").cast("int").alias("level"), F.col("decided_at").cast("long").alias("decided_at"))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    order = Window.partitionBy("device").orderBy("ts")
+    marks = rounds.select("device", F.col("ts").alias("at"), F.lit(1).alias("kind"), none("long", "seq"), none("int", "level"), none("long", "decided_at"), F.row_number().over(order).alias("number"))
+    asked = commands.select("device", F.col("effective_at").alias("at"), F.lit(0).alias("kind"), F.col("seq").cast("long").alias("seq"), F.col("level").cast("int").alias("level"), F.col("decided_at").cast("long").alias("decided_at"), none("int", "number"))
     ahead = Window.partitionBy("device").orderBy("at", "kind", "seq").rowsBetween(1, Window.unboundedFollowing)
-    rows = marks.unionByName(asked).withColumn("executes", F.first(F.when(F.col("kind") == 1, F.col("at")), ignorenulls=True).over(ahead)).where("kind = 0")
-    late = F.col("at") <= F.col("decided_at")
-    verdict = F.when(~F.col("level").isin(0, 1, 2), "ignored").when(late, "late").when(F.col("executes").isNull(), "waiting").otherwise("executed")
-    return rows.select("device", "seq", "level", F.col("at").alias("effective_at"), verdict.alias("verdict"), F.when(verdict == "executed", F.col("executes")).alias("executes"))
+    next_round = F.first(F.when(F.col("kind") == 1, F.struct("at", "number")), ignorenulls=True).over(ahead)
+    rows = marks.unionByName(asked).withColumn("next", next_round).where("kind = 0")
+    verdict = (
+        F.when(~F.col("level").isin(0, 1, 2), "ignored")
+        .when(F.col("at") <= F.col("decided_at") - lag, "late_watermark")
+        .when(F.col("next.at") <= F.col("decided_at"), "late_processed")
+        .when(F.col("next").isNull(), "waiting")
+        .when(F.col("next.number") <= warm, "pre_freeze")
+        .when(F.col("level") == 0, "executed")
+        .otherwise("forwarded")
+    )
+    rows = rows.withColumn("verdict", verdict)
+    last = F.row_number().over(Window.partitionBy("device", "verdict", "next.at").orderBy(F.col("at").desc(), F.col("seq").desc()))
+    verdict = F.when((F.col("verdict") == "forwarded") & (F.col("last") > 1), "replaced").otherwise(F.col("verdict"))
+    rows = rows.withColumn("last", last).withColumn("verdict", verdict)
+    return rows.select("device", "seq", "level", F.col("at").alias("effective_at"), "verdict", F.when(F.col("verdict").isin("executed", "forwarded"), F.col("next.at")).alias("executes"))
 
 
 def versions(rounds: DataFrame, scheduled: DataFrame, warm: int) -> DataFrame:

@@ -159,28 +159,32 @@ def episode_cluster(spark, sf_dir):
     return fleet.episodes(marks, 2 * DAY, 3)
 
 
-COMMANDS = [(1, 0, START + 12 * DAY, START + 11 * DAY, 1), (1, 0, START + 20 * DAY + 100, START + 19 * DAY, 2), (2, 0, START + 15 * DAY, START + 16 * DAY, 1), (3, 1, START + 14 * DAY, START + 13 * DAY, 1), (4, 7, START + 14 * DAY, START + 13 * DAY, 1), (5, 0, START + 90 * DAY, START + 13 * DAY, 1)]
+#: Commands that every device of the fleet gets: level, effective and decided after START, seq. One for each verdict, and some that meet.
+WARM, LAG = 20, 55
+COMMANDS = [(0, 12 * DAY, 11 * DAY, 1), (0, 20 * DAY + 100, 19 * DAY, 2), (0, 15 * DAY, 16 * DAY, 3), (1, 14 * DAY, 13 * DAY, 4), (2, 14 * DAY - 50, 13 * DAY, 5), (7, 14 * DAY, 13 * DAY, 6), (0, 90 * DAY, 13 * DAY, 7), (0, 2 * DAY, DAY, 8), (0, 18 * DAY, 18 * DAY + 30, 9), (2, 22 * DAY, 21 * DAY, 10)]
 COMMAND_ROWS = ", ".join(map(str, COMMANDS))
-SCHEDULED = f"""{ROUNDS}, commands(device, level, effective_at, decided_at, seq) AS (VALUES {COMMAND_ROWS}),
-sched AS (SELECT c.device, CAST(seq AS BIGINT) AS seq, level, CAST(effective_at AS BIGINT) AS effective_at,
-  CASE WHEN level NOT IN (0, 1, 2) THEN 'ignored' WHEN effective_at <= decided_at THEN 'late' WHEN (SELECT min(ts) FROM rounds r WHERE r.device = c.device AND ts >= effective_at) IS NULL THEN 'waiting' ELSE 'executed' END AS verdict,
-  (SELECT min(ts) FROM rounds r WHERE r.device = c.device AND ts >= effective_at) AS first_ts FROM commands c)"""
+SCHEDULED = f"""{ROUNDS}, commands AS (SELECT device, level, {START} + e AS effective_at, {START} + d AS decided_at, seq FROM (SELECT DISTINCT device FROM rounds) CROSS JOIN (VALUES {COMMAND_ROWS}) c(level, e, d, seq)),
+numbered AS (SELECT device, ts, row_number() OVER (PARTITION BY device ORDER BY ts) AS number FROM rounds),
+met AS (SELECT c.device, CAST(c.seq AS BIGINT) AS seq, c.level, CAST(c.effective_at AS BIGINT) AS effective_at, c.decided_at, min(n.ts) AS first_ts, min(n.number) AS number FROM commands c LEFT JOIN numbered n ON n.device = c.device AND n.ts >= c.effective_at GROUP BY ALL),
+judged AS (SELECT *, CASE WHEN level NOT IN (0, 1, 2) THEN 'ignored' WHEN effective_at <= decided_at - {LAG} THEN 'late_watermark' WHEN first_ts <= decided_at THEN 'late_processed' WHEN first_ts IS NULL THEN 'waiting' WHEN number <= {WARM} THEN 'pre_freeze' WHEN level = 0 THEN 'executed' ELSE 'forwarded' END AS v FROM met),
+sched AS (SELECT *, CASE WHEN v = 'forwarded' AND row_number() OVER (PARTITION BY device, v, first_ts ORDER BY effective_at DESC, seq DESC) > 1 THEN 'replaced' ELSE v END AS verdict FROM judged)"""
 
 
 def scheduled(spark, sf_dir):
-    commands = spark.createDataFrame(COMMANDS, "device long, level int, effective_at long, decided_at long, seq int")
-    return adapt.schedule(commands, rounds(spark, sf_dir))
+    r = rounds(spark, sf_dir)
+    each = F.array(*[F.struct(F.lit(level).alias("level"), F.lit(START + e).cast("long").alias("effective_at"), F.lit(START + d).cast("long").alias("decided_at"), F.lit(seq).alias("seq")) for level, e, d, seq in COMMANDS])
+    return adapt.schedule(r.select("device").distinct().select("device", F.explode(each).alias("c")).select("device", "c.*"), r, WARM, LAG)
 
 
-@query(f"WITH {SCHEDULED} SELECT CAST(device AS BIGINT) AS device, seq, level, effective_at, verdict, CASE WHEN verdict = 'executed' THEN first_ts END AS executes FROM sched")
+@query(f"WITH {SCHEDULED} SELECT CAST(device AS BIGINT) AS device, seq, level, effective_at, verdict, CASE WHEN verdict IN ('executed', 'forwarded') THEN first_ts END AS executes FROM sched")
 def command_schedule(spark, sf_dir):
     return scheduled(spark, sf_dir)
 
 
-@query(f"""WITH {SCHEDULED}, w AS (SELECT device, ts FROM (SELECT device, ts, row_number() OVER (PARTITION BY device ORDER BY ts) AS n FROM rounds) WHERE n > 20)
+@query(f"""WITH {SCHEDULED}, w AS (SELECT device, ts FROM (SELECT device, ts, row_number() OVER (PARTITION BY device ORDER BY ts) AS n FROM rounds) WHERE n > {WARM})
 SELECT w.device, w.ts, CAST(coalesce((SELECT arg_max(seq, first_ts * 100 + seq) + 1 FROM sched s WHERE s.device = w.device AND verdict = 'executed' AND level = 0 AND first_ts <= w.ts AND EXISTS (SELECT 1 FROM w q WHERE q.device = s.device AND q.ts = s.first_ts)), 1) AS BIGINT) AS version FROM w""")
 def version_tag(spark, sf_dir):
-    return adapt.versions(rounds(spark, sf_dir), scheduled(spark, sf_dir), 20)
+    return adapt.versions(rounds(spark, sf_dir), scheduled(spark, sf_dir), WARM)
 
 
 RE = f"""{SCHEDULED}, ex AS (SELECT device, seq + 1 AS version, effective_at FROM sched WHERE verdict = 'executed' AND level = 0),
