@@ -34,28 +34,38 @@ def betainc(a, b, x) -> np.ndarray:
     return np.where(swap, 1 - value, value)
 
 
-def _inverse(cdf, target, low, high) -> np.ndarray:
-    """Bisection to the last bits of a rising function."""
-    low, high = np.broadcast_arrays(np.asarray(low, float), np.asarray(high, float))
-    low, high = low.copy(), high.copy()
-    for _ in range(64):
-        middle = (low + high) / 2
-        below = cdf(middle) < target
-        low, high = np.where(below, middle, low), np.where(below, high, middle)
-    return (low + high) / 2
+def _beta_inverse(a, b, target) -> np.ndarray:
+    """Where betainc(a, b, x) reaches the target: bisection until close, then Newton steps kept within the bracket."""
+    a, b = np.broadcast_arrays(np.asarray(a, float), np.asarray(b, float))
+    low, high = np.zeros(a.shape), np.ones(a.shape)
+    scale = _lgamma(a + b) - _lgamma(a) - _lgamma(b)
+    x = (low + high) / 2
+    for k in range(64):
+        off = betainc(a, b, x) - target
+        low, high = np.where(off < 0, x, low), np.where(off < 0, high, x)
+        new = (low + high) / 2
+        if k >= 16:
+            with np.errstate(all="ignore"):
+                newton = x - off / np.exp(scale + (a - 1) * np.log(x) + (b - 1) * np.log1p(-x))
+            new = np.where((newton > low) & (newton < high), newton, new)
+            if np.all(np.abs(new - x) <= 1e-13 * new):  # the next step would be below the last digits
+                x = new
+                break
+        x = new
+    return x
 
 
 def f_ppf(p: float, d1, d2) -> np.ndarray:
     """The quantile of the F distribution."""
     d1, d2 = np.broadcast_arrays(np.asarray(d1, float), np.asarray(d2, float))
-    x = _inverse(lambda v: betainc(d1 / 2, d2 / 2, v), p, np.zeros_like(d1), np.ones_like(d1))
+    x = _beta_inverse(d1 / 2, d2 / 2, p)
     return d2 * x / (d1 * (1 - x))
 
 
 def t_ppf(p: float, df) -> np.ndarray:
     """The quantile of Student's t for p >= 0.5."""
     df = np.asarray(df, float)
-    x = _inverse(lambda v: betainc(df / 2, 0.5, v), 2 * (1 - p), np.zeros_like(df), np.ones_like(df))
+    x = _beta_inverse(df / 2, 0.5, 2 * (1 - p))
     return np.sqrt(df * (1 - x) / x)
 
 

@@ -42,14 +42,19 @@ def tables(confidence: float = 0.99, rho: float = 0.5, longest: int = 2016) -> p
     sizes = np.arange(LEAST, longest + 1)
     steps = (sizes + 63) // 64
 
-    def largest(low, high, step):
-        """For each window the largest good cut among low, low + step, ... up to high, or 0; all windows at once."""
-        cuts = [np.arange(h, l - 1, -s) for l, h, s in zip(low, high, step)]
-        of = np.repeat(np.arange(len(sizes)), [len(c) for c in cuts])
-        every = np.concatenate(cuts)
-        good = slack(every.astype(float), sizes[of].astype(float)) >= 0
-        best = np.zeros(len(sizes), np.int64)
-        np.maximum.at(best, of[good], every[good])
+    def largest(low, high, step, some=8):
+        """For each window the largest good cut among high, high - step, ... down to low, or 0: `some` cuts at a time, for the windows that still look for one."""
+        best, top = np.zeros(len(sizes), np.int64), high.astype(np.int64)
+        at = np.flatnonzero(top >= low)
+        while len(at):
+            cuts = top[at][:, None] - np.arange(some)[None] * step[at][:, None]
+            inside = cuts >= low[at][:, None]
+            tried = np.where(inside, cuts, low[at][:, None])
+            good = inside & (slack(tried.astype(float), np.broadcast_to(sizes[at][:, None], tried.shape).astype(float)) >= 0)
+            best[at] = np.where(good, cuts, 0).max(1)
+            at = at[best[at] == 0]
+            top[at] -= some * step[at]
+            at = at[top[at] >= low[at]]
         return best
 
     coarse = largest(np.full(len(sizes), 2), sizes - 2, steps)
