@@ -166,6 +166,11 @@ def lookup(confidence: float, rho: float, longest: int) -> dict:
     return {int(r.w): (int(r.cut), float(r.f_crit), float(r.t_crit)) for r in tables(confidence, rho, longest).itertuples()}
 
 
+def by_device(rows: DataFrame):
+    """Groups of a device, in as many partitions as the session has for shuffles: much work on few bytes, which adaptive execution would put into one task."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "device").groupBy("device")
+
+
 def drift_events(elements: DataFrame, confidence: float = 0.99, rho: float = 0.5, longest: int = 2016, patience: int = 36) -> DataFrame:
     """Drift events of elements(device, ts, value, generation): a change of generation clears detector and gate.
 
@@ -185,7 +190,7 @@ def drift_events(elements: DataFrame, confidence: float = 0.99, rho: float = 0.5
         kinds = {c: "Int64" for c in ("window_len", "hist_len", "new_len", "checked", "candidate_ts", "ts")}
         return frame.astype(kinds | {c: "float64" for c in ("hist_mean", "hist_sd", "new_mean", "new_sd", "hist_median", "magnitude", "reference", "threshold", "last_median")} | {"during_check": "boolean", "level": object, "test": object})
 
-    return elements.select("device", "ts", "value", "generation").groupBy("device").applyInPandas(run, SCHEMA)
+    return by_device(elements.select("device", "ts", "value", "generation")).applyInPandas(run, SCHEMA)
 
 
 def detector_counters(elements: DataFrame, confidence: float = 0.99, rho: float = 0.5, longest: int = 2016) -> DataFrame:
@@ -197,7 +202,7 @@ def detector_counters(elements: DataFrame, confidence: float = 0.99, rho: float
         alarms = sum(d.update(float(x)) is not None for x in pdf.sort_values("ts", kind="stable")["value"])
         return pd.DataFrame({"device": [pdf["device"].iloc[0]], "elements": [len(pdf)], "alarms": [alarms], "f_without_rise": [d.f_without_rise], "t_skipped": [d.t_skipped]})
 
-    return elements.select("device", "ts", "value").groupBy("device").applyInPandas(run, "device long, elements long, alarms long, f_without_rise long, t_skipped long")
+    return by_device(elements.select("device", "ts", "value")).applyInPandas(run, "device long, elements long, alarms long, f_without_rise long, t_skipped long")
 
 
 def bursts(bins: DataFrame, width: int = 600, follow: int = 3600, confidence: float = 0.99, rho: float = 0.5, longest: int = 2016) -> DataFrame:
@@ -233,7 +238,7 @@ def bursts(bins: DataFrame, width: int = 600, follow: int = 3600, confidence: fl
         frame.insert(0, "device", pdf["device"].iloc[0] if len(pdf) else None)
         return frame
 
-    return bins.select("device", "ts", "admitted", "outliers").groupBy("device").applyInPandas(run, "device long, ts long, size long, peak double, duration long, emitted_at long")
+    return by_device(bins.select("device", "ts", "admitted", "outliers")).applyInPandas(run, "device long, ts long, size long, peak double, duration long, emitted_at long")
 
 
 def hoeffding_events(elements: DataFrame, weight: float = 0.05, warn: float = 0.005, alarm: float = 0.001) -> DataFrame:
@@ -258,4 +263,4 @@ def hoeffding_events(elements: DataFrame, weight: float = 0.05, warn: float = 0.
                     fresh = True
         return pd.DataFrame({"device": np.full(len(out), pdf["device"].iloc[0]), "ts": np.array(out, np.int64)})
 
-    return elements.select("device", "ts", "flag").groupBy("device").applyInPandas(run, "device long, ts long")
+    return by_device(elements.select("device", "ts", "flag")).applyInPandas(run, "device long, ts long")
