@@ -41,35 +41,66 @@ def normalize(rounds: DataFrame, parameters: DataFrame, fleet: Fleet) -> DataFra
     return own.select("device", "ts", "channel", z.alias("z"))
 
 
-def reference_edges(values: DataFrame, bins: int) -> DataFrame:
-    """device, channel, edge: distinct order statistics at floor(j (m - 1) / bins), j = 0..bins. values(device, channel, x)."""
+def ranked(values: DataFrame, bins: int) -> DataFrame:
+    """device, channel, x, n, after, m, chosen of a reference's distinct values: each holds the ranks after - n .. after - 1 of m.
+
+    chosen marks the order statistics at floor(j (m - 1) / bins), j = 0..bins. Equal values are counted before
+    they are put in order, so a quantised channel sorts few rows.
+    """
     own = Window.partitionBy("device", "channel")
-    ranked = values.withColumn("r", F.row_number().over(own.orderBy("x")) - 1).withColumn("m", F.count(F.lit(1)).over(own))
-    # A rank is chosen if some j maps to it: the smallest j with j (m - 1) >= r bins has to floor back to r.
-    j = F.ceil(F.col("r") * bins / F.greatest(F.col("m") - 1, F.lit(1)))
-    chosen = (F.col("m") == 1) | ((j <= bins) & (F.floor(j * (F.col("m") - 1) / bins) == F.col("r")))
-    return ranked.where(chosen).select("device", "channel", F.col("x").alias("edge")).distinct()
+    counted = values.where(F.col("x").isNotNull()).groupBy("device", "channel", "x").agg(F.count(F.lit(1)).alias("n"))
+    rows = counted.withColumn("after", F.sum("n").over(own.orderBy("x"))).withColumn("m", F.sum("n").over(own))
+    # A value is chosen if some j maps into its ranks: the smallest j that reaches the first one decides.
+    j = F.ceil((F.col("after") - F.col("n")) * bins / F.greatest(F.col("m") - 1, F.lit(1)))
+    return rows.withColumn("chosen", (F.col("m") == 1) | ((j <= bins) & (F.floor(j * (F.col("m") - 1) / bins) < F.col("after"))))
+
+
+def reference_edges(values: DataFrame, bins: int) -> DataFrame:
+    """device, channel, edge: the chosen order statistics of values(device, channel, x)."""
+    return ranked(values, bins).where("chosen").select("device", "channel", F.col("x").alias("edge"))
+
+
+def at_rank(p: float, m, first, last, x):
+    """The linear percentile of m values, as a sum over rows that hold the ranks first..last."""
+    place = p * (m - 1)
+    low, high = F.floor(place), F.ceil(place)
+    share = place - low
+    return F.sum(F.when(low.between(first, last), x * (1 - share))) + F.sum(F.when((high > low) & high.between(first, last), x * share).otherwise(0.0))
 
 
-def cell_of(values: DataFrame, edges: DataFrame) -> DataFrame:
-    """Adds cell: 0 below the first edge, 1 at it, i for (edge i-1, edge i], one more above the last.
+def reference_model(values: DataFrame, bins: int) -> DataFrame:
+    """device, channel, m, edges, shares, p10, p50, p90: a row for each reference; shares are its cumulative shares at its edges.
 
-    Values and edges are merged and scanned in order, so no value meets every edge.
+    Each cell of a reference ends in an edge, so the shares hold its whole histogram.
     """
-    marks = edges.select("device", "channel", F.col("edge").alias("x"), F.lit(0).alias("side"))
-    rows = values.withColumn("side", F.lit(1))
-    both = rows.unionByName(marks, allowMissingColumns=True)
-    # The number of edges strictly below x; an edge equal to x closes the cell that x lies in.
-    order = Window.partitionBy("device", "channel").orderBy("x").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).over(order)
-    at = F.max(F.when(F.col("side") == 0, 1).otherwise(0)).over(Window.partitionBy("device", "channel", "x"))
-    scanned = both.withColumn("cell", F.when(at == 1, upto).otherwise(F.when(upto == 0, 0).otherwise(upto + 1)).cast("int"))
-    return scanned.where("side = 1").drop("side")
-
-
-def histogram(values: DataFrame, edges: DataFrame) -> DataFrame:
+    first, last = F.col("after") - F.col("n"), F.col("after") - 1
+    marks = F.array_sort(F.collect_list(F.when(F.col("chosen"), F.struct("x", (F.col("after") / F.col("m")).alias("share")))))
+    each = ranked(values, bins).groupBy("device", "channel").agg(F.max("m").alias("m"), marks.alias("marks"), *[at_rank(q / 100, F.col("m"), first, last, F.col("x")).alias(f"p{q}") for q in (10, 50, 90)])
+    return each.select("device", "channel", "m", F.col("marks.x").alias("edges"), F.col("marks.share").alias("shares"), "p10", "p50", "p90")
+
+
+def placed(rows: DataFrame, bins: int) -> DataFrame:
+    """Adds cell, x's place among the array edges: 0 below the first edge, 1 at it, i for (edge i-1, edge i], one more above the last.
+
+    Found by halving steps, a chain of plain expressions over an array of at most bins + 1 edges.
+    """
+    rows = rows.withColumn("below", F.lit(0))
+    for k in reversed(range((bins + 1).bit_length())):
+        # Beyond the last edge get() is null and no step is taken.
+        rows = rows.withColumn("below", F.col("below") + F.when(F.get("edges", F.col("below") + (2**k - 1)) < F.col("x"), 2**k).otherwise(0))
+    at = F.coalesce(F.get("edges", F.col("below")) == F.col("x"), F.lit(False))
+    return rows.withColumn("cell", F.when(~at & (F.col("below") == 0), 0).otherwise(F.col("below") + 1)).drop("below")
+
+
+def cell_of(values: DataFrame, edges: DataFrame, bins: int = 400) -> DataFrame:
+    """Adds cell, see placed; values without edges and nulls are left out. Values are not sorted and meet no row an edge."""
+    lists = edges.groupBy("device", "channel").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+    return placed(values.where(F.col("x").isNotNull()).join(lists, ["device", "channel"]), bins).drop("edges")
+
+
+def histogram(values: DataFrame, edges: DataFrame, bins: int = 400) -> DataFrame:
     """device, channel, cell, n."""
-    return cell_of(values, edges).groupBy("device", "channel", "cell").agg(F.count(F.lit(1)).alias("n"))
+    return cell_of(values, edges, bins).groupBy("device", "channel", "cell").agg(F.count(F.lit(1)).alias("n"))
 
 
 def ks_p(d, n, m):
@@ -79,42 +110,48 @@ def ks_p(d, n, m):
     return F.when(lam < 1e-3, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * terms)))
 
 
-def day_stats(days: DataFrame, reference: DataFrame, edges: DataFrame) -> DataFrame:
+def day_stats(days: DataFrame, model: DataFrame, bins: int = 400) -> DataFrame:
     """device, day, channel, n, d, p, shift, width_x, max_cell_mass of each day against the reference.
 
-    days(device, day, channel, x), reference(device, channel, x). The distance is taken over the reference's
+    days(device, day, channel, x), model as of reference_model. The distance is taken over the reference's
     cells; shift and width are in units of the reference's P90 - P10 (null where that is not positive).
+
+    Values move once, to their device and channel, and are put in order once a day. Between cells that the day
+    uses only the reference's share grows, so the distance lies at the first or last value of a cell.
     """
-    ref = histogram(reference, edges).withColumnRenamed("n", "r")
-    own = cell_of(days, edges).groupBy("device", "day", "channel", "cell").agg(F.count(F.lit(1)).alias("c"))
-    keys = own.select("device", "day", "channel").distinct()
-    # Only cells that the day or the reference uses can change a cumulative share.
-    frame = keys.join(ref, ["device", "channel"]).select("device", "day", "channel", "cell", F.lit(0).cast("long").alias("c"), "r")
-    frame = frame.unionByName(own.withColumn("r", F.lit(0).cast("long"))).groupBy("device", "day", "channel", "cell").agg(F.sum("c").alias("c"), F.sum("r").alias("r"))
+    rows = placed(days.where(F.col("x").isNotNull()).join(model.select("device", "channel", "edges", "shares"), ["device", "channel"]), bins)
+    share = lambda cell: F.when(cell < 1, 0.0).otherwise(F.coalesce(F.get("shares", cell - 1), F.lit(1.0)))
+    rows = rows.select("device", "day", "channel", "x", "cell", share(F.col("cell")).alias("upto"), share(F.col("cell") - 1).alias("before"))
     part = Window.partitionBy("device", "day", "channel")
-    upto = part.orderBy("cell")
-    frame = frame.withColumn("n", F.sum("c").over(part)).withColumn("m", F.sum("r").over(part))
-    gap = F.abs(F.sum("c").over(upto) / F.col("n") - F.sum("r").over(upto) / F.col("m"))
-    stats = frame.withColumn("gap", gap).groupBy("device", "day", "channel").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.max("gap").alias("d"), (F.max("c") / F.max("n")).alias("max_cell_mass"))
-    tens = F.array(*map(F.lit, (0.1, 0.5, 0.9)))
-    mine = days.groupBy("device", "day", "channel").agg(F.percentile("x", tens).alias("q"))
-    base = reference.groupBy("device", "channel").agg(F.percentile("x", tens).alias("b"))
-    width = F.col("b")[2] - F.col("b")[0]
-    rows = stats.join(mine, ["device", "day", "channel"]).join(base, ["device", "channel"])
+    order = part.orderBy("x")
+    rows = rows.withColumn("r", F.row_number().over(order)).withColumn("first", F.lag("cell", 1, -1).over(order) != F.col("cell")).withColumn("last", F.lead("cell", 1, -1).over(order) != F.col("cell"))
+    begun = F.max(F.when(F.col("first"), F.col("r"))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("begun", begun).withColumn("n", F.count(F.lit(1)).over(part))
+    r, n = F.col("r"), F.col("n")
+    gap = F.greatest(F.when(F.col("last"), F.abs(r / n - F.col("upto"))), F.when(F.col("first"), F.abs((r - 1) / n - F.col("before"))))
+    mass = F.max(F.when(F.col("last"), (r - F.col("begun") + 1) / n))
+    stats = rows.groupBy("device", "day", "channel").agg(
+        F.max("n").alias("n"), F.max(gap).alias("d"), mass.alias("max_cell_mass"), *[at_rank(q / 100, n, r - 1, r - 1, F.col("x")).alias(f"q{q}") for q in (10, 50, 90)]
+    )
+    rows = stats.join(model.select("device", "channel", "m", "p10", "p50", "p90"), ["device", "channel"])
+    width = F.col("p90") - F.col("p10")
     return rows.select(
         "device", "day", "channel", "n", "d", ks_p(F.col("d"), F.col("n"), F.col("m")).alias("p"),
-        F.when(width > 0, (F.col("q")[1] - F.col("b")[1]) / width).alias("shift"), F.when(width > 0, (F.col("q")[2] - F.col("q")[0]) / width).alias("width_x"), "max_cell_mass",
+        F.when(width > 0, (F.col("q50") - F.col("p50")) / width).alias("shift"), F.when(width > 0, (F.col("q90") - F.col("q10")) / width).alias("width_x"), "max_cell_mass",
     )
 
 
 def ks_exact(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, n, m, d: the two-sample KS distance on the merged values. left and right have keys and x."""
-    both = left.select(*keys, "x", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(right.select(*keys, "x", F.lit(0).alias("a"), F.lit(1).alias("b")))
-    each = both.groupBy(*keys, "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    part, upto = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("x")
-    each = each.withColumn("n", F.sum("a").over(part)).withColumn("m", F.sum("b").over(part))
-    gap = F.abs(F.sum("a").over(upto) / F.col("n") - F.sum("b").over(upto) / F.col("m"))
-    return each.where("n > 0 AND m > 0").withColumn("gap", gap).groupBy(*keys).agg(F.max("n").alias("n"), F.max("m").alias("m"), F.max("gap").alias("d"))
+    """keys, n, m, d: the two-sample KS distance on the merged values. left and right have keys and x.
+
+    Both sides move once, to their key; totals and running sums use that one exchange.
+    """
+    both = left.select(*keys, "x", F.lit(1).alias("a")).unionByName(right.select(*keys, "x", F.lit(0).alias("a"))).where(F.col("x").isNotNull()).repartition(*keys)
+    totals = both.groupBy(*keys).agg(F.sum("a").alias("n"), F.sum(1 - F.col("a")).alias("m")).where("n > 0 AND m > 0")
+    upto = Window.partitionBy(*keys).orderBy("x")  # equal values count together
+    each = both.select(*keys, F.sum("a").over(upto).alias("ca"), F.sum(1 - F.col("a")).over(upto).alias("cb")).join(totals, keys)
+    gap = F.abs(F.col("ca") / F.col("n") - F.col("cb") / F.col("m"))
+    return each.groupBy(*keys).agg(F.max("n").alias("n"), F.max("m").alias("m"), F.max(gap).alias("d"))
 
 
 def g_statistic(left: DataFrame, right: DataFrame, keys: list[str], smooth: float = 0.5) -> DataFrame:

@@ -211,8 +211,7 @@ edges AS (SELECT DISTINCT device, channel, x AS edge FROM ranked JOIN (SELECT un
 
 def reference(spark, sf_dir):
     v = values(spark, sf_dir)
-    first = v.agg(F.min("day")).first()[0]
-    days = v.withColumn("d", F.col("day") - F.lit(first))
+    days = v.withColumn("d", F.col("day") - v.agg(F.min("day")).scalar())
     return days.where("d < 400").select("device", "channel", "x"), days.where("d >= 400").select("device", F.floor(F.col("d") / 100).alias("day"), "channel", "x")
 
 
@@ -229,7 +228,7 @@ CELL_OF = "CASE WHEN list_contains(es, x) THEN CAST(list_position(es, x) AS INTE
 @query(f"WITH {REFERENCE}{CELL_SQL} SELECT device, CAST(channel AS INTEGER) AS channel, {CELL_OF} AS cell, count(*) AS n FROM ref JOIN e USING (device, channel) GROUP BY ALL")
 def ref_cells(spark, sf_dir):
     ref, _ = reference(spark, sf_dir)
-    return scaling.histogram(ref, scaling.reference_edges(ref, BINS))
+    return scaling.histogram(ref, scaling.reference_edges(ref, BINS), BINS)
 
 
 DAYS = f"""{REFERENCE}{CELL_SQL}, own AS (SELECT device, CAST(floor(d / 100) AS BIGINT) AS day, channel, x FROM days WHERE d >= 400),
@@ -250,7 +249,7 @@ dayrows AS (SELECT device, day, CAST(channel AS INTEGER) AS channel, CAST(n AS B
 @query(f"WITH {DAYS} SELECT device, day, channel, n, round(d, 6) + 0.0 AS d, round(p, 6) + 0.0 AS p, round(shift, 6) + 0.0 AS shift, round(width_x, 6) + 0.0 AS width_x, round(max_cell_mass, 6) + 0.0 AS max_cell_mass FROM dayrows")
 def day_stats(spark, sf_dir):
     ref, own = reference(spark, sf_dir)
-    s = scaling.day_stats(own, ref, scaling.reference_edges(ref, BINS))
+    s = scaling.day_stats(own, scaling.reference_model(ref, BINS), BINS)
     return s.select("device", "day", "channel", "n", *[rounded(F.col(c)).alias(c) for c in ("d", "p", "shift", "width_x", "max_cell_mass")])
 
 
@@ -272,7 +271,7 @@ FROM t GROUP BY device, channel""")
 def g_test(spark, sf_dir):
     ref, own = reference(spark, sf_dir)
     edges = scaling.reference_edges(ref, BINS)
-    g = scaling.g_statistic(scaling.histogram(ref, edges), scaling.histogram(own.select("device", "channel", "x"), edges), ["device", "channel"])
+    g = scaling.g_statistic(scaling.histogram(ref, edges, BINS), scaling.histogram(own.select("device", "channel", "x"), edges, BINS), ["device", "channel"])
     return g.select("device", "channel", "cells", rounded(F.col("g")).alias("g"), rounded(F.col("kl")).alias("kl"))
 
 

@@ -102,7 +102,7 @@ pers AS (SELECT device, day, channel, CASE WHEN coalesce(prev = day - 1 AND was,
 def states(spark, sf_dir):
     ref, own = reference(spark, sf_dir)
     # A low reference limit makes plain samples deviate now and then.
-    s = scaling.day_stats(own, ref, scaling.reference_edges(ref, BINS))
+    s = scaling.day_stats(own, scaling.reference_model(ref, BINS), BINS)
     s = s.withColumn("missing", F.lit(0.0)).withColumn("guard", F.when((F.col("day") % 5 == 0) & (F.col("device") % 8 == 1), 0.5).otherwise(0.0)).withColumn("calibration", F.col("day") == 4)
     return fleet.day_states(s, LIMITS, RULES)
 
