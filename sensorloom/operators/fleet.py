@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Channels whose means are watched, the active ones.
+ACTIVE = (0, 1, 2)
 #: Labels of an alert, the first that applies is given.
 LABELS = ("QUALITY", "SWITCH", "DRIFT", "SITE", "TRANSIENT", "ENVIRONMENT", "ANOMALY")
 
@@ -23,7 +25,9 @@ class Rules:
     context_share: float = 0.5
     context_windows: int = 6  # context windows in a tick
     site_days: int = 7
-    site_flags: int = 7
+    site_flags: int = 3
+    baseline_days: int = 10
+    sync: float = 0.5  # a mean off its baseline by this share of the reference's P90 - P10
     alpha: float = 0.01
     upgrade_days: int = 7
     cooldown_days: int = 7
@@ -44,12 +48,13 @@ def tick_of(ts: Column, rules: Rules) -> Column:
 
 
 def observations(rounds: DataFrame, outliers: DataFrame, context: DataFrame, rules: Rules) -> DataFrame:
-    """device, tick, rounds, admitted, guard_rounds, outlier_rounds, ctx_above, ctx_max, mean0: a device's tick.
+    """device, tick, rounds, admitted, guard_rounds, outlier_rounds, ctx_above, ctx_max, and for active channels c sum{c}, n{c}, mean{c}: a device's tick.
 
-    rounds(device, ts, incomplete, stuck, x0), outliers(device, ts), context(device, ts, score, above).
+    rounds(device, ts, incomplete, stuck, x0, x1, x2), outliers(device, ts), context(device, ts, score, above).
     """
     own = rounds.groupBy("device", tick_of(F.col("ts"), rules).alias("tick")).agg(
-        F.count(F.lit(1)).alias("rounds"), F.count_if(~F.col("incomplete")).alias("admitted"), F.count_if("stuck").alias("guard_rounds"), F.avg("x0").alias("mean0")
+        F.count(F.lit(1)).alias("rounds"), F.count_if(~F.col("incomplete")).alias("admitted"), F.count_if("stuck").alias("guard_rounds"),
+        *[f(f"x{c}").alias(f"{name}{c}") for c in ACTIVE for f, name in ((F.sum, "sum"), (F.count, "n"), (F.avg, "mean"))],
     )
     points = outliers.groupBy("device", tick_of(F.col("ts"), rules).alias("tick")).agg(F.count_distinct("ts").alias("outlier_rounds"))
     scored = context.groupBy("device", tick_of(F.col("ts"), rules).alias("tick")).agg(F.count_if("above").alias("ctx_above"), F.max("score").alias("ctx_max"))
@@ -79,33 +84,56 @@ def with_fleet(flagged: DataFrame) -> DataFrame:
     return rows.withColumn("limit", threshold(F.col("present")).cast("long"))
 
 
-def site_flags(flagged: DataFrame, rules: Rules) -> DataFrame:
-    """Adds past: on how many of the last site_days days the device was flagged at the same time of day."""
-    day = F.floor(F.col("tick") / 86400)
-    order = Window.partitionBy("device", F.col("tick") % 86400).orderBy(day).rangeBetween(-rules.site_days, -1)
-    return flagged.withColumn("past", F.coalesce(F.sum((F.col("pflag") | F.col("cflag")).cast("long")).over(order), F.lit(0)))
-
+def site_flags(flagged: DataFrame, reference: DataFrame, rules: Rules) -> DataFrame:
+    """Adds past, off, site: a device that was flagged often at this time of day and whose mean has left its baseline.
 
-def alerts(flagged: DataFrame, drifting: DataFrame, transient: DataFrame, switching: DataFrame, rules: Rules) -> DataFrame:
+    reference(device, frozen, width0, width1, width2): the day on which a device's reference begins, and the
+    reference's P90 - P10 for each active channel, null where there is none. past counts the days among the last
+    site_days that were flagged at the same time of day. The baseline is the mean at that time of day over the
+    first baseline_days; while it is gathered there is no site condition.
+    """
+    day = F.floor(F.col("tick") / 86400)
+    slot = Window.partitionBy("device", F.col("tick") % 86400)
+    rows = flagged.join(reference, "device", "left")
+    past = F.sum((F.col("pflag") | F.col("cflag")).cast("long")).over(slot.orderBy(day).rangeBetween(-rules.site_days, -1))
+    early = day.between(F.col("frozen"), F.col("frozen") + rules.baseline_days - 1)
+    off = F.lit(False)
+    for c in ACTIVE:
+        base = F.sum(F.when(early, F.col(f"sum{c}"))).over(slot) / F.sum(F.when(early, F.col(f"n{c}"))).over(slot)
+        off = off | F.coalesce(F.abs(F.col(f"mean{c}") - base) > rules.sync * F.col(f"width{c}"), F.lit(False))
+    rows = rows.withColumn("past", F.coalesce(past, F.lit(0))).withColumn("off", off)
+    later = F.coalesce(day >= F.col("frozen") + rules.baseline_days, F.lit(False))
+    return rows.withColumn("site", (F.col("past") >= rules.site_flags - 1) & F.col("off") & later).drop("frozen", *[f"width{c}" for c in ACTIVE])
+
+
+def alerts(flagged: DataFrame, reference: DataFrame, drifting: DataFrame, transient: DataFrame, switching: DataFrame, rules: Rules) -> DataFrame:
     """device, tick, label, scope, co of every tick with a label.
 
     drifting, transient and switching are (device, tick) of an open drift, a confirmed score or deviating
-    data, and a burst with deviating data. The first label of LABELS that applies is given.
+    data, and a burst with deviating data. The first label of LABELS that applies is given. Its scope is global
+    if the fleet shares its cause: as many devices of good quality as the limit, or of all devices for QUALITY.
+    co counts the devices that share it: none for SITE, the device itself for ANOMALY.
     """
     mark = lambda df, name: df.select("device", "tick").distinct().withColumn(name, F.lit(True))
-    rows = site_flags(with_fleet(flagged), rules)
-    for df, name in ((drifting, "drift"), (transient, "transient"), (switching, "switch")):
-        rows = rows.join(mark(df, name), ["device", "tick"], "left")
-    is_ = lambda c: F.coalesce(F.col(c), F.lit(False))
+    rows = site_flags(with_fleet(flagged), reference, rules)
+    names = ("drift", "transient", "switch")
+    for df, name in zip((drifting, transient, switching), names):
+        rows = rows.join(mark(df, name), ["device", "tick"], "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
+    fleet, good = Window.partitionBy("tick"), ~F.col("bad")
     any_flag = F.col("pflag") | F.col("cflag")
+    for name in names:
+        rows = rows.withColumn(f"n_{name}", F.count_if(good & F.col(name)).over(fleet))
+    rows = rows.withColumn("n_any", F.count_if(good & any_flag).over(fleet))
     wide = (F.col("pflag") & (F.col("n_point") >= F.col("limit"))) | (F.col("cflag") & (F.col("n_context") >= F.col("limit")))
     label = (
-        F.when(F.col("bad"), "QUALITY").when(is_("switch"), "SWITCH").when(is_("drift"), "DRIFT")
-        .when(any_flag & (F.col("past") >= rules.site_flags - 1), "SITE").when(is_("transient"), "TRANSIENT").when(wide, "ENVIRONMENT").when(any_flag, "ANOMALY")
+        F.when(F.col("bad"), "QUALITY").when(F.col("switch"), "SWITCH").when(F.col("drift"), "DRIFT")
+        .when(any_flag & F.col("site"), "SITE").when(F.col("transient"), "TRANSIENT").when(wide, "ENVIRONMENT").when(any_flag, "ANOMALY")
     )
-    everywhere = F.when(F.col("bad"), F.col("n_bad") >= threshold(F.col("devices"))).otherwise(wide)
+    is_ = lambda *of: F.col("label").isin(*of)
+    shared = F.when(is_("QUALITY"), F.col("n_bad")).when(is_("SWITCH"), F.col("n_switch")).when(is_("DRIFT"), F.col("n_drift")).when(is_("TRANSIENT"), F.col("n_transient")).when(is_("ENVIRONMENT"), F.col("n_any"))
+    everywhere = F.when(is_("QUALITY"), shared >= threshold(F.col("devices"))).when(is_("SWITCH", "DRIFT", "TRANSIENT"), shared >= F.col("limit")).otherwise(is_("ENVIRONMENT"))
     rows = rows.withColumn("label", label).where(F.col("label").isNotNull())
-    co = F.when(F.col("label") == "QUALITY", F.col("n_bad")).otherwise(F.greatest(F.when(F.col("pflag"), F.col("n_point")).otherwise(0), F.when(F.col("cflag"), F.col("n_context")).otherwise(0)))
+    co = F.when(is_("SITE"), 0).when(is_("ANOMALY"), 1).otherwise(shared)
     return rows.select("device", "tick", "label", F.when(everywhere, "global").otherwise("local").alias("scope"), co.cast("long").alias("co"))
 
 

@@ -93,9 +93,12 @@ def placed(rows: DataFrame, bins: int) -> DataFrame:
 
 
 def cell_of(values: DataFrame, edges: DataFrame, bins: int = 400) -> DataFrame:
-    """Adds cell, see placed; values without edges and nulls are left out. Values are not sorted and meet no row an edge."""
+    """Adds cell, see placed; values without edges and nulls are left out. Values are not sorted.
+
+    The arrays are the side that is looked up: left to sizes on disk, Spark may take the values for the smaller side.
+    """
     lists = edges.groupBy("device", "channel").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
-    return placed(values.where(F.col("x").isNotNull()).join(lists, ["device", "channel"]), bins).drop("edges")
+    return placed(values.where(F.col("x").isNotNull()).join(lists.hint("shuffle_hash"), ["device", "channel"]), bins).drop("edges")
 
 
 def histogram(values: DataFrame, edges: DataFrame, bins: int = 400) -> DataFrame:
@@ -119,9 +122,9 @@ def day_stats(days: DataFrame, model: DataFrame, bins: int = 400) -> DataFrame:
     Values move once, to their device and channel, and are put in order once a day. Between cells that the day
     uses only the reference's share grows, so the distance lies at the first or last value of a cell.
     """
-    rows = placed(days.where(F.col("x").isNotNull()).join(model.select("device", "channel", "edges", "shares"), ["device", "channel"]), bins)
+    rows = placed(days.where(F.col("x").isNotNull()).join(model.hint("shuffle_hash"), ["device", "channel"]), bins)
     share = lambda cell: F.when(cell < 1, 0.0).otherwise(F.coalesce(F.get("shares", cell - 1), F.lit(1.0)))
-    rows = rows.select("device", "day", "channel", "x", "cell", share(F.col("cell")).alias("upto"), share(F.col("cell") - 1).alias("before"))
+    rows = rows.select("device", "day", "channel", "x", "m", "p10", "p50", "p90", "cell", share(F.col("cell")).alias("upto"), share(F.col("cell") - 1).alias("before"))
     part = Window.partitionBy("device", "day", "channel")
     order = part.orderBy("x")
     rows = rows.withColumn("r", F.row_number().over(order)).withColumn("first", F.lag("cell", 1, -1).over(order) != F.col("cell")).withColumn("last", F.lead("cell", 1, -1).over(order) != F.col("cell"))
@@ -130,10 +133,9 @@ def day_stats(days: DataFrame, model: DataFrame, bins: int = 400) -> DataFrame:
     r, n = F.col("r"), F.col("n")
     gap = F.greatest(F.when(F.col("last"), F.abs(r / n - F.col("upto"))), F.when(F.col("first"), F.abs((r - 1) / n - F.col("before"))))
     mass = F.max(F.when(F.col("last"), (r - F.col("begun") + 1) / n))
-    stats = rows.groupBy("device", "day", "channel").agg(
-        F.max("n").alias("n"), F.max(gap).alias("d"), mass.alias("max_cell_mass"), *[at_rank(q / 100, n, r - 1, r - 1, F.col("x")).alias(f"q{q}") for q in (10, 50, 90)]
+    rows = rows.groupBy("device", "day", "channel").agg(
+        *[F.max(c).alias(c) for c in ("m", "p10", "p50", "p90")], F.max("n").alias("n"), F.max(gap).alias("d"), mass.alias("max_cell_mass"), *[at_rank(q / 100, n, r - 1, r - 1, F.col("x")).alias(f"q{q}") for q in (10, 50, 90)]
     )
-    rows = stats.join(model.select("device", "channel", "m", "p10", "p50", "p90"), ["device", "channel"])
     width = F.col("p90") - F.col("p10")
     return rows.select(
         "device", "day", "channel", "n", "d", ks_p(F.col("d"), F.col("n"), F.col("m")).alias("p"),
@@ -142,16 +144,13 @@ def day_stats(days: DataFrame, model: DataFrame, bins: int = 400) -> DataFrame:
 
 
 def ks_exact(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, n, m, d: the two-sample KS distance on the merged values. left and right have keys and x.
-
-    Both sides move once, to their key; totals and running sums use that one exchange.
-    """
-    both = left.select(*keys, "x", F.lit(1).alias("a")).unionByName(right.select(*keys, "x", F.lit(0).alias("a"))).where(F.col("x").isNotNull()).repartition(*keys)
-    totals = both.groupBy(*keys).agg(F.sum("a").alias("n"), F.sum(1 - F.col("a")).alias("m")).where("n > 0 AND m > 0")
-    upto = Window.partitionBy(*keys).orderBy("x")  # equal values count together
-    each = both.select(*keys, F.sum("a").over(upto).alias("ca"), F.sum(1 - F.col("a")).over(upto).alias("cb")).join(totals, keys)
-    gap = F.abs(F.col("ca") / F.col("n") - F.col("cb") / F.col("m"))
-    return each.groupBy(*keys).agg(F.max("n").alias("n"), F.max("m").alias("m"), F.max(gap).alias("d"))
+    """keys, n, m, d: the two-sample KS distance on the merged values. left and right have keys and x."""
+    both = left.select(*keys, "x", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(right.select(*keys, "x", F.lit(0).alias("a"), F.lit(1).alias("b")))
+    each = both.groupBy(*keys, "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    part, upto = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("x")
+    each = each.withColumn("n", F.sum("a").over(part)).withColumn("m", F.sum("b").over(part))
+    gap = F.abs(F.sum("a").over(upto) / F.col("n") - F.sum("b").over(upto) / F.col("m"))
+    return each.where("n > 0 AND m > 0").withColumn("gap", gap).groupBy(*keys).agg(F.max("n").alias("n"), F.max("m").alias("m"), F.max("gap").alias("d"))
 
 
 def g_statistic(left: DataFrame, right: DataFrame, keys: list[str], smooth: float = 0.5) -> DataFrame:

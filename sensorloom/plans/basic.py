@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..config import EVENTS, Guard, Scaler
 from ..functions.arrays import rounded
 from ..operators import ingest, profile, quality, scaling
-from .bindings import CELLS, PERIOD, READINGS, ROUNDS, VALUES, readings, rounds, values
+from .bindings import CELLS, PERIOD, READINGS, ROUNDS, VALUES, readings, rounds, table, values
 
 GUARD = Guard(thresholds=(2, 2, 2, 2, 2), floors={0: (10.0,)}, gap=2 * PERIOD)
 COLD = 4 * PERIOD
@@ -211,7 +211,7 @@ edges AS (SELECT DISTINCT device, channel, x AS edge FROM ranked JOIN (SELECT un
 
 def reference(spark, sf_dir):
     v = values(spark, sf_dir)
-    days = v.withColumn("d", F.col("day") - v.agg(F.min("day")).scalar())
+    days = v.withColumn("d", F.col("day") - table(spark, sf_dir, "lineitem").agg(F.min(F.unix_date(F.col("l_shipdate").cast("date")))).scalar())
     return days.where("d < 400").select("device", "channel", "x"), days.where("d >= 400").select("device", F.floor(F.col("d") / 100).alias("day"), "channel", "x")
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..config import EVENTS, Scaler
-from ..functions.arrays import rounded
+from ..functions.arrays import local_day, local_hour, rounded
 from ..operators import adapt, context, fleet, outliers, scaling, windows
 from .basic import BINS, DAYS, reference
 from .bindings import PERIOD, ROUNDS, rounds
@@ -36,22 +37,28 @@ def seen(spark, sf_dir):
     return fleet.observations(r, found, ctx, RULES)
 
 
-SEEN = f"""{POINTS}, o AS (SELECT device, (ts // {DAY}) * {DAY} AS tick, count(*) AS rounds, count(*) FILTER (WHERE NOT incomplete) AS admitted, count(*) FILTER (WHERE x0 < 5) AS guard_rounds, avg(x0) AS mean0 FROM rounds GROUP BY ALL),
+MEANS = ", ".join(f"sum(x{c}) AS sum{c}, count(x{c}) AS n{c}, avg(x{c}) AS mean{c}" for c in fleet.ACTIVE)
+COLUMNS = ", ".join(f"sum{c}, n{c}, mean{c}" for c in fleet.ACTIVE)
+SEEN = f"""{POINTS}, o AS (SELECT device, (ts // {DAY}) * {DAY} AS tick, count(*) AS rounds, count(*) FILTER (WHERE NOT incomplete) AS admitted, count(*) FILTER (WHERE x0 < 5) AS guard_rounds, {MEANS} FROM rounds GROUP BY ALL),
 po AS (SELECT device, (ts // {DAY}) * {DAY} AS tick, count(DISTINCT ts) AS outlier_rounds FROM found WHERE ts >= window_end - {W.slide} GROUP BY ALL),
 cx AS (SELECT device, (ts // {DAY}) * {DAY} AS tick, count(*) FILTER (WHERE x4 > 150) AS ctx_above, max(x4) AS ctx_max FROM pts GROUP BY ALL),
-seen AS (SELECT device, tick, rounds, admitted, guard_rounds, coalesce(outlier_rounds, 0) AS outlier_rounds, coalesce(ctx_above, 0) AS ctx_above, ctx_max, mean0 FROM o LEFT JOIN po USING (device, tick) LEFT JOIN cx USING (device, tick))"""
+seen AS (SELECT device, tick, rounds, admitted, guard_rounds, coalesce(outlier_rounds, 0) AS outlier_rounds, coalesce(ctx_above, 0) AS ctx_above, ctx_max, {COLUMNS} FROM o LEFT JOIN po USING (device, tick) LEFT JOIN cx USING (device, tick))"""
 
+WIDTHS = ", ".join(f"quantile_cont(x{c}, 0.9) FILTER (WHERE ts // {DAY} < d0 + 10) - quantile_cont(x{c}, 0.1) FILTER (WHERE ts // {DAY} < d0 + 10) AS width{c}" for c in fleet.ACTIVE)
+OFF = " OR ".join(f"coalesce(abs(mean{c} - (sum(sum{c}) FILTER (WHERE early) OVER slot) / (sum(n{c}) FILTER (WHERE early) OVER slot)) > 0.5 * width{c}, false)" for c in fleet.ACTIVE)
 FLAGS = f"""{SEEN}, flagged AS (SELECT *, 1 - rounds / {RULES.nominal} > 0.2 OR guard_rounds / {RULES.nominal} > 0.2 AS bad,
   coalesce(CASE WHEN admitted >= 0.5 * {RULES.nominal} THEN outlier_rounds / admitted END > {P_POINT}, false) AS pflag, ctx_above >= 0.5 AS cflag FROM seen),
 fl AS (SELECT *, count(*) FILTER (WHERE NOT bad) OVER t AS present, count(*) OVER t AS devices, count(*) FILTER (WHERE bad) OVER t AS n_bad,
   count(*) FILTER (WHERE NOT bad AND pflag) OVER t AS n_point, count(*) FILTER (WHERE NOT bad AND cflag) OVER t AS n_context FROM flagged WINDOW t AS (PARTITION BY tick)),
 fleet AS (SELECT *, CAST(greatest(2, ceil(3 * present / 4)) AS BIGINT) AS "limit" FROM fl),
-site AS (SELECT *, CAST(coalesce(sum(CAST(pflag OR cflag AS BIGINT)) OVER (PARTITION BY device, tick % {DAY} ORDER BY tick // {DAY} RANGE BETWEEN 7 PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS past FROM fleet)"""
+refs AS (SELECT device, CAST(min(ts) // {DAY} AS BIGINT) AS frozen, {WIDTHS} FROM (SELECT *, min(ts // {DAY}) OVER (PARTITION BY device) AS d0 FROM rounds) GROUP BY device),
+based AS (SELECT *, tick // {DAY} AS day, tick // {DAY} BETWEEN frozen AND frozen + 9 AS early, CAST(coalesce(sum(CAST(pflag OR cflag AS BIGINT)) OVER (PARTITION BY device, tick % {DAY} ORDER BY tick // {DAY} RANGE BETWEEN 7 PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS past FROM fleet LEFT JOIN refs USING (device)),
+site AS (SELECT *, past >= 2 AND day >= frozen + 10 AND off AS site FROM (SELECT *, {OFF} AS off FROM based WINDOW slot AS (PARTITION BY device, tick % {DAY})))"""
 
 
-@query(f"WITH {SEEN} SELECT device, tick, rounds, admitted, guard_rounds, outlier_rounds, ctx_above, ctx_max, round(mean0, 6) AS mean0 FROM seen")
+@query(f"WITH {SEEN} SELECT device, tick, rounds, admitted, guard_rounds, outlier_rounds, ctx_above, ctx_max, n0, n1, n2, round(mean0, 6) AS mean0, round(mean1, 6) AS mean1, round(mean2, 6) AS mean2 FROM seen")
 def hour_obs(spark, sf_dir):
-    return seen(spark, sf_dir).withColumn("mean0", rounded(F.col("mean0")))
+    return seen(spark, sf_dir).drop("sum0", "sum1", "sum2").withColumns({m: rounded(F.col(m)) for m in ("mean0", "mean1", "mean2")})
 
 
 @query(f"WITH {SEEN} SELECT round(quantile_cont(outlier_rounds / admitted, 0.99), 6) AS p_point FROM seen WHERE 1 - rounds / {RULES.nominal} <= 0.2 AND admitted > 0")
@@ -68,22 +75,35 @@ def fleet_counts(spark, sf_dir):
     return fleet.with_fleet(flagged(spark, sf_dir)).select("device", "tick", "bad", "pflag", "cflag", "present", "devices", "n_bad", "n_point", "n_context", "limit")
 
 
-@query(f"WITH {FLAGS} SELECT device, tick, past FROM site WHERE past > 0")
+def references(spark, sf_dir):
+    """A device's first day, and the spread of its active channels over its first ten days."""
+    r = rounds(spark, sf_dir).withColumn("day", F.floor(F.col("ts") / DAY))
+    r = r.withColumn("frozen", F.min("day").over(Window.partitionBy("device")))
+    q = {c: F.percentile(F.when(F.col("day") < F.col("frozen") + RULES.baseline_days, F.col(f"x{c}")), F.array(F.lit(0.1), F.lit(0.9))) for c in fleet.ACTIVE}
+    return r.groupBy("device").agg(F.min("frozen").alias("frozen"), *[(q[c][1] - q[c][0]).alias(f"width{c}") for c in fleet.ACTIVE])
+
+
+@query(f"WITH {FLAGS} SELECT device, tick, past, off, site FROM site WHERE past > 0 OR off")
 def site_condition(spark, sf_dir):
-    return fleet.site_flags(flagged(spark, sf_dir), RULES).where("past > 0").select("device", "tick", "past")
+    return fleet.site_flags(flagged(spark, sf_dir), references(spark, sf_dir), RULES).where("past > 0 OR off").select("device", "tick", "past", "off", "site")
 
 
-ALERTS = f"""{FLAGS}, marks AS (SELECT *, tick % (5 * {DAY}) = 0 AND device % 8 = 2 AS drift, ctx_max > 300 AS transient, ctx_max > 400 AS switch,
+JUMP = 60.0
+ALERTS = f"""{FLAGS}, marks AS (SELECT *, coalesce(abs(mean0 - lag(mean0) OVER (PARTITION BY device ORDER BY tick)) > {JUMP}, false) AS drift, coalesce(ctx_max > 300, false) AS transient, coalesce(ctx_max > 400, false) AS switch,
   (pflag AND n_point >= "limit") OR (cflag AND n_context >= "limit") AS wide FROM site),
-labelled AS (SELECT device, tick, CASE WHEN bad THEN 'QUALITY' WHEN switch THEN 'SWITCH' WHEN drift THEN 'DRIFT' WHEN (pflag OR cflag) AND past >= 2 THEN 'SITE' WHEN transient THEN 'TRANSIENT' WHEN wide THEN 'ENVIRONMENT' WHEN pflag OR cflag THEN 'ANOMALY' END AS label,
-  CASE WHEN CASE WHEN bad THEN n_bad >= greatest(2, ceil(3 * devices / 4)) ELSE wide END THEN 'global' ELSE 'local' END AS scope, bad, n_bad, pflag, cflag, n_point, n_context FROM marks),
-alerts AS (SELECT device, tick, label, scope, CAST(CASE WHEN bad THEN n_bad ELSE greatest(CASE WHEN pflag THEN n_point ELSE 0 END, CASE WHEN cflag THEN n_context ELSE 0 END) END AS BIGINT) AS co FROM labelled WHERE label IS NOT NULL)"""
+counts AS (SELECT *, count(*) FILTER (WHERE NOT bad AND drift) OVER t AS n_drift, count(*) FILTER (WHERE NOT bad AND transient) OVER t AS n_transient, count(*) FILTER (WHERE NOT bad AND switch) OVER t AS n_switch, count(*) FILTER (WHERE NOT bad AND (pflag OR cflag)) OVER t AS n_any FROM marks WINDOW t AS (PARTITION BY tick)),
+labelled AS (SELECT *, CASE WHEN bad THEN 'QUALITY' WHEN switch THEN 'SWITCH' WHEN drift THEN 'DRIFT' WHEN (pflag OR cflag) AND site THEN 'SITE' WHEN transient THEN 'TRANSIENT' WHEN wide THEN 'ENVIRONMENT' WHEN pflag OR cflag THEN 'ANOMALY' END AS label FROM counts),
+alerts AS (SELECT device, tick, label, CASE label WHEN 'QUALITY' THEN CASE WHEN n_bad >= greatest(2, ceil(3 * devices / 4)) THEN 'global' ELSE 'local' END WHEN 'SWITCH' THEN CASE WHEN n_switch >= "limit" THEN 'global' ELSE 'local' END
+  WHEN 'DRIFT' THEN CASE WHEN n_drift >= "limit" THEN 'global' ELSE 'local' END WHEN 'TRANSIENT' THEN CASE WHEN n_transient >= "limit" THEN 'global' ELSE 'local' END WHEN 'ENVIRONMENT' THEN 'global' ELSE 'local' END AS scope,
+  CAST(CASE label WHEN 'QUALITY' THEN n_bad WHEN 'SWITCH' THEN n_switch WHEN 'DRIFT' THEN n_drift WHEN 'SITE' THEN 0 WHEN 'TRANSIENT' THEN n_transient WHEN 'ENVIRONMENT' THEN n_any ELSE 1 END AS BIGINT) AS co FROM labelled WHERE label IS NOT NULL)"""
 
 
 def labelled(spark, sf_dir):
+    """Drift where a device's daily mean jumps; a high score stands for a confirmed one, a higher one for a burst."""
     f = flagged(spark, sf_dir)
-    drifting = f.where((F.col("tick") % (5 * DAY) == 0) & (F.col("device") % 8 == 2))
-    return fleet.alerts(f, drifting, f.where("ctx_max > 300"), f.where("ctx_max > 400"), RULES)
+    jump = F.abs(F.col("mean0") - F.lag("mean0").over(Window.partitionBy("device").orderBy("tick"))) > JUMP
+    drifting = f.withColumn("jump", jump).where("jump")
+    return fleet.alerts(f, references(spark, sf_dir), drifting, f.where("ctx_max > 300"), f.where("ctx_max > 400"), RULES)
 
 
 @query(f"WITH {ALERTS} SELECT * FROM alerts")
@@ -138,10 +158,16 @@ def alert_days(spark, sf_dir):
     return labelled(spark, sf_dir).groupBy("device", F.floor(F.col("tick") / DAY).alias("day"), "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {STATES} SELECT device, day, 'UNEVALUABLE' AS kind, count(*) AS n FROM states WHERE NOT evaluable AND NOT calibration GROUP BY ALL")
+#: Days of lineitem's states, which begin with 4, meet the days of alerts from the first one on.
+REVIEWED = ALERTS.removeprefix("\n") + ", " + STATES.removeprefix("\n")
+
+
+@query(f"""WITH {REVIEWED}, an AS (SELECT device, (tick - {START}) // {DAY} + 4 AS day FROM alerts WHERE label = 'ANOMALY'), dev AS (SELECT DISTINCT device, day FROM states WHERE transition = 'DEVIATE')
+SELECT device, CAST(day AS BIGINT) AS day, 'UNEVALUABLE' AS kind, count(*) AS n FROM states WHERE NOT evaluable AND NOT calibration GROUP BY ALL
+UNION ALL SELECT device, CAST(day AS BIGINT), 'ANOMALY_TO_SWITCH', count(*) FROM an SEMI JOIN dev USING (device, day) GROUP BY ALL""")
 def reviews(spark, sf_dir):
-    none = labelled(spark, sf_dir).where("label = 'NONE'")
-    return fleet.reviews(none, states(spark, sf_dir)).select("device", "day", "kind", "n")
+    shifted = labelled(spark, sf_dir).withColumn("tick", F.col("tick") - START + 4 * DAY)
+    return fleet.reviews(shifted, states(spark, sf_dir)).select("device", "day", "kind", "n")
 
 
 FAULTS = [(1, 1, START + 2 * DAY, START + 9 * DAY), (2, 4, START + 10 * DAY, START + 14 * DAY), (3, 6, START + 20 * DAY, START + 29 * DAY)]
@@ -207,12 +233,15 @@ def backfill(spark, sf_dir):
     return adapt.backfill(rounds(spark, sf_dir), done, 3 * DAY)
 
 
-@query(f"""WITH {ROUNDS}, v AS (SELECT device, ts, ts // {DAY} AS d FROM rounds) SELECT CAST(DATE '1970-01-01' + CAST(d AS INTEGER) AS VARCHAR) AS day, count(*) AS rounds FROM v GROUP BY ALL""")
-def local_day_window(spark, sf_dir):
-    from ..functions.arrays import local_day
+#: Brings the events to the days around the change to summer time: 65 days later.
+SPRING = 65 * DAY
+
 
-    # In January local time in London is UTC.
-    return rounds(spark, sf_dir).groupBy(local_day(F.col("ts")).cast("string").alias("day")).agg(F.count(F.lit(1)).alias("rounds"))
+@query(f"""WITH {ROUNDS}, v AS (SELECT CAST(to_timestamp(ts + {SPRING}) AT TIME ZONE 'Europe/London' AS DATE) AS d, hour(to_timestamp(ts + {SPRING}) AT TIME ZONE 'Europe/London') AS h FROM rounds)
+SELECT CAST(d AS VARCHAR) AS day, CAST(h AS INTEGER) AS hour, count(*) AS rounds FROM v GROUP BY ALL""")
+def local_day_window(spark, sf_dir):
+    at = F.col("ts") + SPRING
+    return rounds(spark, sf_dir).groupBy(local_day(at).cast("string").alias("day"), local_hour(at).alias("hour")).agg(F.count(F.lit(1)).alias("rounds"))
 
 
 def context_windows(spark, sf_dir):
