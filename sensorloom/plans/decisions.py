@@ -111,7 +111,10 @@ def alert_tick(spark, sf_dir):
     return labelled(spark, sf_dir)
 
 
-STATES = f"""{DAYS}, marked AS (SELECT *, 0.0 AS missing, CASE WHEN day % 5 = 0 AND device % 8 = 1 THEN 0.5 ELSE 0.0 END AS guard, day = 4 AS calibration FROM dayrows),
+#: A fault of every fourth device: channel 0 reads half as much again for three days of six.
+OWN = "SELECT device, CAST(floor(d / 100) AS BIGINT) AS day, channel, x FROM days"
+FAULTY = OWN.replace("channel, x", "channel, CASE WHEN channel = 0 AND device % 4 = 1 AND floor(d / 100) % 6 >= 3 THEN 1.5 * x ELSE x END AS x")
+STATES = f"""{DAYS.replace(OWN, FAULTY)}, marked AS (SELECT *, 0.0 AS missing, CASE WHEN day % 5 = 0 AND device % 8 = 1 THEN 0.5 ELSE 0.0 END AS guard, day = 4 AS calibration FROM dayrows),
 ev AS (SELECT *, NOT calibration AND missing <= 0.2 AND guard <= 0.2 AS evaluable FROM marked),
 mk AS (SELECT *, CASE WHEN evaluable AND p < 0.002 AND d > 0.05 THEN true WHEN evaluable AND d <= 0.05 THEN false END AS mark FROM ev),
 dv AS (SELECT *, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY device, channel ORDER BY day), false) AS deviated FROM mk),
@@ -121,7 +124,8 @@ pers AS (SELECT device, day, channel, CASE WHEN coalesce(prev = day - 1 AND was,
 
 def states(spark, sf_dir):
     ref, own = reference(spark, sf_dir)
-    # A low reference limit makes plain samples deviate now and then.
+    broken = (F.col("channel") == 0) & (F.col("device") % 4 == 1) & (F.col("day") % 6 >= 3)
+    own = own.withColumn("x", F.when(broken, 1.5 * F.col("x")).otherwise(F.col("x")))
     s = scaling.day_stats(own, scaling.reference_model(ref, BINS), BINS)
     s = s.withColumn("missing", F.lit(0.0)).withColumn("guard", F.when((F.col("day") % 5 == 0) & (F.col("device") % 8 == 1), 0.5).otherwise(0.0)).withColumn("calibration", F.col("day") == 4)
     return fleet.day_states(s, LIMITS, RULES)
