@@ -23,6 +23,11 @@ def rounded(x: Column, digits: int = 6) -> Column:
     return F.round(x, digits) + F.lit(0.0)
 
 
+def device_of(key: Column) -> Column:
+    """The device of a key "device#number", as keys are written that spread one device's rows."""
+    return F.substring_index(key, "#", 1)
+
+
 def local_day(ts: Column, zone: str = "Europe/London") -> Column:
     """The local calendar day of epoch seconds."""
     return F.to_date(F.from_utc_timestamp(F.timestamp_seconds(ts), zone))

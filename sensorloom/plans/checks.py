@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import EVENTS, Fleet
-from ..functions.arrays import rounded
+from ..functions.arrays import device_of, rounded
 from ..operators import context, drift, ingest, outliers, review
 from .basic import LINES, lines
 from .bindings import PERIOD, READINGS, ROUNDS, readings, rounds
@@ -34,6 +34,27 @@ def flag_censored(spark, sf_dir):
     return ingest.assemble_rounds(r, CENSORED).groupBy("device").agg(F.count_if("censored").alias("censored"), F.count(F.lit(1)).alias("rounds"))
 
 
+def marked_lines(spark, sf_dir):
+    """Raw lines in the default fleet's names: censored Light, RSSI without a reading, and a sensor it does not know."""
+    seq = F.col("seq")
+    sensor = F.when(seq % 5 == 0, "Light").when(seq % 5 == 1, "RSSI").when(seq % 5 == 2, "Noise").otherwise("Temperature")
+    value = F.when(seq % 15 == 0, "65536").when(seq % 10 == 1, "0").otherwise(F.format_string("%.6f", F.col("value") + 1))
+    return readings(spark, sf_dir).select("seq", F.concat_ws(",", F.col("at").cast("string"), F.col("device").cast("string"), sensor, value).alias("value"))
+
+
+@query("""SELECT count(*) AS lines_in, CAST(0 AS BIGINT) AS malformed, CAST(0 AS BIGINT) AS malformed_no_device, count(*) FILTER (WHERE event_id % 5 = 2) AS unknown_sensor,
+count(*) FILTER (WHERE event_id % 15 = 0) AS censored, count(*) FILTER (WHERE event_id % 10 = 1) AS rssi_sentinel FROM events""")
+def flag_rssi_sentinel(spark, sf_dir):
+    return ingest.parse_counters(ingest.parse_lines(marked_lines(spark, sf_dir), Fleet()), Fleet())
+
+
+@query(f"WITH {READINGS} SELECT CAST(device AS VARCHAR) AS device, count(*) AS n, count(DISTINCT seq % 3) AS keys FROM readings GROUP BY device")
+def surrogate_keys(spark, sf_dir):
+    """A device's rows under three keys of its own, brought together again."""
+    r = readings(spark, sf_dir).withColumn("key", F.concat_ws("#", F.col("device").cast("string"), (F.col("seq") % 3).cast("string")))
+    return r.groupBy(device_of(F.col("key")).alias("device")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("keys"))
+
+
 @query(f"""WITH {LINES} SELECT count(*) AS rows, CAST(0 AS BIGINT) AS rows_bad_time, count(*) FILTER (WHERE device = '' OR seq % 97 = 0) AS rows_bad_key, count(*) FILTER (WHERE NOT good) AS rows_bad_value FROM parsed""")
 def drop_bad_rows(spark, sf_dir):
     return review.bad_rows(lines(spark, sf_dir))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import EVENTS
 from ..functions.arrays import rounded
+from ..operators import profile
 from ..sources import files
 from ..streaming import rounds as streams
 from .basic import LINES, lines
@@ -44,6 +45,12 @@ def src_sniff(spark, sf_dir):
     return found.groupBy("data").agg(F.count_distinct("folder").alias("folders"))
 
 
+@query(f"WITH {READINGS} SELECT 'part=' || CAST(seq % 4 AS VARCHAR) AS folder, count(*) AS lines, CAST(0 AS BIGINT) AS headers FROM readings GROUP BY ALL")
+def src_inventory(spark, sf_dir):
+    found = profile.inventory(spark.read.text(folder(spark, sf_dir))).withColumn("folder", F.element_at(F.split("path", "/"), -2))
+    return found.groupBy("folder").agg(F.sum("lines").alias("lines"), F.sum("headers").alias("headers"))
+
+
 @query(f"WITH {LINES} SELECT CASE WHEN device = '' THEN 'malformed_no_device' WHEN good THEN 'ok' ELSE 'malformed' END AS status, count(*) AS n FROM parsed GROUP BY ALL")
 def src_load_file(spark, sf_dir):
     return files.load(files.numbered_lines(spark, folder(spark, sf_dir)), EVENTS).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
