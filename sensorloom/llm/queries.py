@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_topk, license_scan, line_dedup, mixing, pii_crf, piece_bpe, quality_fm, simhash, substring_dedup, vptree
+from . import exact_topk, license_scan, line_dedup, merkle, mixing, pii_crf, piece_bpe, quality_fm, simhash, substring_dedup, vptree
 
 SPACE = r"[^\x20\x09-\x0D]+"
 
@@ -128,6 +128,16 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    hit = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    tampered = [F.col(c) + 1 if c == "n_chars" else F.col(c) for c in merkle.FIELDS]
+    rows = merkle.manifest(docs, extra={"tampered": F.when(hit, merkle.leaf_of(tampered))})
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("path"))
+    rows = rows.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), folded.alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -140,6 +150,7 @@ def queries() -> dict:
         "op8_quality_fm": op8_quality_fm,
         "op9_line_dedup": op9_line_dedup,
         "op10_sentencepiece": op10_sentencepiece,
+        "op11_merkle": op11_merkle,
     }
 
 
