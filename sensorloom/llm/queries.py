@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_topk, license_scan, line_dedup, merkle, mixing, pii_crf, piece_bpe, quality_fm, simhash, substring_dedup, vptree
+from . import exact_topk, license_scan, line_dedup, merkle, mixing, pii_crf, piece_bpe, quality_fm, simhash, substring_dedup, vptree, word_bpe
 
 SPACE = r"[^\x20\x09-\x0D]+"
 
@@ -138,6 +138,14 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    coded = word_bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
 def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -151,6 +159,7 @@ def queries() -> dict:
         "op9_line_dedup": op9_line_dedup,
         "op10_sentencepiece": op10_sentencepiece,
         "op11_merkle": op11_merkle,
+        "op13_word_bpe": op13_word_bpe,
     }
 
 
