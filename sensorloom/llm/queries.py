@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_topk, license_scan, line_dedup, merkle, mixing, pii_crf, piece_bpe, quality_fm, simhash, substring_dedup, vptree, word_bpe
+from . import exact_topk, hard_negatives, license_scan, line_dedup, merkle, mixing, pii_crf, piece_bpe, quality_fm, simhash, substring_dedup, vptree, word_bpe
 
 SPACE = r"[^\x20\x09-\x0D]+"
 
@@ -138,6 +138,33 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), every=100, positives=5, negatives=5, least=0.8, scale=256.0)
+
+
+OP12_SQL = """
+WITH vectors AS (
+  SELECT vec_id, row_number() OVER () AS n, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), pairs AS (
+  SELECT a.n AS an, a.vec_id AS anchor_id, c.n AS cn, c.vec_id AS vec_id, a.label = c.label AS same, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+  FROM vectors a JOIN vectors c ON a.n <> c.n WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT *, row_number() OVER (PARTITION BY an ORDER BY score DESC, vec_id) AS k FROM pairs WHERE same
+), ranked AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, c.vec_id AS negative_id, p.score AS positive_score, c.score AS negative_score,
+         row_number() OVER (PARTITION BY p.an, p.cn ORDER BY c.score DESC, c.vec_id) AS rank
+  FROM positives p JOIN pairs c ON p.an = c.an AND NOT c.same AND 80 * p.score <= 100 * c.score AND c.score <= p.score
+  WHERE p.k <= 5
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 5
+"""
+
+
 def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -159,9 +186,10 @@ def queries() -> dict:
         "op9_line_dedup": op9_line_dedup,
         "op10_sentencepiece": op10_sentencepiece,
         "op11_merkle": op11_merkle,
+        "op12_hard_negatives": op12_hard_negatives,
         "op13_word_bpe": op13_word_bpe,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_substring_dedup": OP1_SQL, "op2_exact_topk": OP2_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_exact_topk": OP2_SQL, "op9_line_dedup": OP9_SQL, "op12_hard_negatives": OP12_SQL}

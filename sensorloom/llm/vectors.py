@@ -24,14 +24,14 @@ MOST_CELLS, MOST_TASKS = 512, 4096
 QUERY_ROWS = 1024
 
 
-def usable(vectors: DataFrame, zero: bool) -> DataFrame:
-    """vec_id, v (array of double): rows with an id and a vector of finite components; zero: all-zero vectors too."""
+def usable(vectors: DataFrame, zero: bool, also: tuple[str, ...] = ()) -> DataFrame:
+    """vec_id, v (array of double) and the columns of `also`: rows with an id and a vector of finite components; zero: all-zero vectors too."""
     v = F.col("embedding").cast("array<double>")
     good = F.col("vec_id").isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("embedding")).where(F.coalesce(good, F.lit(False)))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("embedding"), *also).where(F.coalesce(good, F.lit(False)))
     if not zero:
         rows = rows.where(F.exists(v, lambda x: x != 0))
-    return rows.select("vec_id", v.alias("v"))
+    return rows.select("vec_id", v.alias("v"), *also)
 
 
 def as_matrix(column: pd.Series, width: int) -> np.ndarray:
