@@ -138,6 +138,54 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def field(value: str) -> str:
+    """SQL of a value as a leaf's digest takes it."""
+    return f"coalesce(octet_length(encode(CAST({value} AS VARCHAR))) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+# The numbers are those of the usual CRC-32: its polynomial and its mask.
+OP11_SQL = f"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, source, lang, n_chars, text, list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda k: CAST(ascii(substr(CAST(doc_id AS VARCHAR), CAST(k AS INTEGER), 1)) AS BIGINT))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))) AS crc
+  FROM documents
+), leaves AS (
+  SELECT doc_id, lang, sha256(head || {field("n_chars")} || {field("text")}) AS leaf,
+         CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN sha256(head || {field("n_chars + 1")} || {field("text")}) END AS tampered
+  FROM (SELECT *, {field("doc_id")} || {field("source")} || {field("lang")} AS head FROM docs)
+), nodes AS (
+  SELECT 0 AS lvl, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, leaf AS hash, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+  UNION ALL
+  SELECT lvl + 1, lang, pos // 2, sha256(string_agg(hash, '' ORDER BY pos)), (any_value(n) + 1) // 2 FROM nodes WHERE n > 1 GROUP BY lvl, lang, pos // 2
+), subroots AS (
+  SELECT lang, hash, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1
+), tops AS (
+  SELECT 0 AS lvl, pos, hash, n FROM subroots
+  UNION ALL
+  SELECT lvl + 1, pos // 2, sha256(string_agg(hash, '' ORDER BY pos)), (any_value(n) + 1) // 2 FROM tops WHERE n > 1 GROUP BY lvl, pos // 2
+), placed AS (
+  SELECT doc_id, l.lang, leaf, tampered, row_number() OVER (PARTITION BY l.lang ORDER BY doc_id) - 1 AS pos, s.hash AS subroot, s.pos AS place
+  FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang
+), steps AS (
+  SELECT doc_id, n.lvl, (p.pos >> n.lvl) & 1 AS own, s.hash AS sibling
+  FROM placed p JOIN nodes n ON n.lang IS NOT DISTINCT FROM p.lang AND n.pos = p.pos >> n.lvl AND n.n > 1
+  LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM p.lang AND s.lvl = n.lvl AND s.pos = xor(n.pos, 1)
+  UNION ALL
+  SELECT doc_id, 1000 + t.lvl, (p.place >> t.lvl) & 1, s.hash
+  FROM placed p JOIN tops t ON t.pos = p.place >> t.lvl AND t.n > 1 LEFT JOIN tops s ON s.lvl = t.lvl AND s.pos = xor(t.pos, 1)
+), paths AS (
+  SELECT doc_id, list({{'own': own, 'sibling': coalesce(sibling, '')}} ORDER BY lvl) AS path FROM steps GROUP BY doc_id
+), folded AS (
+  SELECT placed.*, coalesce(path, []) AS path, (SELECT hash FROM tops WHERE n = 1) AS root,
+         list_reduce(list_prepend({{'own': 0, 'sibling': coalesce(tampered, leaf)}}, coalesce(path, [])),
+           lambda a, s: {{'own': 0, 'sibling': CASE WHEN s.own = 0 THEN sha256(a.sibling || s.sibling) ELSE sha256(s.sibling || a.sibling) END}}).sibling AS folded_root
+  FROM placed LEFT JOIN paths USING (doc_id)
+)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda s: s.sibling), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), every=100, positives=5, negatives=5, least=0.8, scale=256.0)
@@ -192,4 +240,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_substring_dedup": OP1_SQL, "op2_exact_topk": OP2_SQL, "op9_line_dedup": OP9_SQL, "op12_hard_negatives": OP12_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_exact_topk": OP2_SQL, "op9_line_dedup": OP9_SQL, "op11_merkle": OP11_SQL, "op12_hard_negatives": OP12_SQL}

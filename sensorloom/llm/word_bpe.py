@@ -50,20 +50,20 @@ COMMON = r"[\x00-՗Ḁ-῿ -⁠　-鿿가-힣]*+"
 class MergeTable:
     """The merges of a file of the tokenizers library whose kind is that of word_bpe_49k.json."""
 
-    def __init__(self, path_or_json: str, most: int = 200_000):
+    def __init__(self, text: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
-        spec = json.loads(path_or_json)
-        model, norm, cut = spec["model"], spec["normalizer"], spec["pre_tokenizer"]
-        kinds = [(n["type"], n.get("pattern", {}).get("Regex")) for n in norm["normalizers"]]
-        split, level = cut["pretokenizers"]
+        spec = json.loads(text)
+        model, norm, cut = spec["model"], spec["normalizer"] or {}, spec["pre_tokenizer"] or {}
+        kinds = [(n["type"], n.get("pattern", {}).get("Regex")) for n in norm.get("normalizers", [])]
+        split, level = [*cut.get("pretokenizers", []), {}, {}][:2]
         known = model["type"] == "BPE" and model["end_of_word_suffix"] == WORD_END and not model["continuing_subword_prefix"] and not model["dropout"] and not model["byte_fallback"]
-        known = known and kinds == NORMALIZER and split["pattern"]["Regex"] == PATTERN and split["invert"] and not level["add_prefix_space"] and not level["use_regex"]
+        known = known and kinds == NORMALIZER and split.get("pattern") == {"Regex": PATTERN} and split["invert"] and level.get("type") == "ByteLevel" and not level["add_prefix_space"] and not level["use_regex"]
         known = known and spec["decoder"] is None and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
         if not known:
             raise ValueError("only BPE with word ends, its own pattern and no decoder is supported")
         vocab = model["vocab"]
-        library = Tokenizer.from_str(path_or_json)
+        library = Tokenizer.from_str(text)
         self.normalizer, self.cutter = library.normalizer, library.pre_tokenizer
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None

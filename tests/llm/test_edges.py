@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sensorloom.llm import exact_topk, license_scan, line_dedup, mixing, pii_crf, piece_bpe, quality_fm, simhash, substring_dedup, vptree
+from sensorloom.llm import exact_topk, license_scan, line_dedup, merkle, mixing, pii_crf, piece_bpe, quality_fm, simhash, substring_dedup, vptree, word_bpe
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = " ".join(f"word{k}" for k in range(40))
@@ -25,8 +25,8 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def model():
-    return pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
+def model(name="piece_bpe_32k.model"):
+    return pytest.importorskip("public_tokenizers").path(name)
 
 
 def labels(spark):
@@ -42,6 +42,8 @@ OPERATORS = {
     "quality": lambda d: quality_fm.classify(d, labels(d.sparkSession)),
     "lines": lambda d: line_dedup.drop_repeated_lines(d),
     "pieces": lambda d: piece_bpe.digests(d, model()),
+    "manifest": lambda d: merkle.manifest(d),
+    "words": lambda d: word_bpe.encode_decode(d, model("word_bpe_49k.json")),
 }
 
 
