@@ -128,6 +128,15 @@ def dealt(rows: DataFrame, asks: DataFrame, keys: list[str], run, schema: str) -
     return rows.groupBy(*keys).cogroup(asks.groupBy(*ours)).applyInPandas(both, schema)
 
 
+def as_rows(names: list[str], found: list[tuple[tuple, np.ndarray, np.ndarray]], rows: pd.DataFrame) -> pd.DataFrame:
+    """One row a position of `found` (values of the names, positions, scores), with the ids at those positions."""
+    many = [len(at) for _, at, _ in found]
+    at = np.concatenate([np.empty(0, int), *(at for _, at, _ in found)])
+    out = {name: np.repeat(np.array([of[k] for of, _, _ in found], float if name.endswith("score") else np.int64), many) for k, name in enumerate(names)}
+    scores = np.concatenate([np.empty(0), *(s for _, _, s in found)])
+    return pd.DataFrame({**out, "vec_id": rows["vec_id"].to_numpy()[at], "uid": rows["uid"].to_numpy()[at], "score": scores})
+
+
 def best_rows(found: DataFrame, by: list[str], top: int) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(F.desc("score"), "vec_id", "uid")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
@@ -163,8 +172,8 @@ def hard_negatives(vectors: DataFrame, every: int = 100, positives: int = 5, neg
         if len(c) and len(q):
             for v, s, a, u in zip(unpacked(q["v"]), unpacked(q["t"]), q["vec_id"], q["uid"], strict=True):
                 (at,), (scores,), _ = search(m, t, v, s, uid != u, np.array([-np.inf]), np.array([np.inf]), positives)
-                out.append(pd.DataFrame({"anchor_id": a, "anchor_uid": u, "vec_id": c["vec_id"].to_numpy()[at], "uid": uid[at], "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame(columns=["anchor_id", "anchor_uid", "vec_id", "uid", "score"])
+                out.append(((a, u), at, scores))
+        return as_rows(["anchor_id", "anchor_uid"], out, c)
 
     found = dealt(rows, asks, ["label", "part", "grp"], near, "anchor_id long, anchor_uid long, vec_id long, uid long, score double")
     found = best_rows(found, ["anchor_uid"], positives)
@@ -177,7 +186,6 @@ def hard_negatives(vectors: DataFrame, every: int = 100, positives: int = 5, neg
     rows = kept.withColumn("groups", groups.cast("long")).withColumn("part", hashed(3, parts)).withColumn("grp", spread("groups")).drop("groups")
     asks = asked.select("vec_id", "uid", "label", "v", "t", F.col("good.vec_id").alias("ids"), F.col("good.uid").alias("uids"), F.col("good.score").alias("scores"))
     asks = asks.withColumn("parts", parts.cast("long")).withColumn("grp", hashed(7, groups)).withColumn("part", spread("parts")).drop("parts")
-    names = ["anchor_id", "anchor_uid", "positive_id", "positive_uid", "positive_score", "vec_id", "uid", "score"]
 
     def hard(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         c = c.sort_values(["vec_id", "uid"])
@@ -187,9 +195,8 @@ def hard_negatives(vectors: DataFrame, every: int = 100, positives: int = 5, neg
             for v, s, (_, x) in zip(unpacked(q["v"]), unpacked(q["t"]), q.iterrows(), strict=True):
                 high = np.array(x["scores"], float)
                 ats, scores, _ = search(m, t, v, s, label != x["label"], least * high, high, negatives)
-                for pid, puid, p, at, got in zip(x["ids"], x["uids"], high, ats, scores, strict=True):
-                    out.append(pd.DataFrame({"anchor_id": x["vec_id"], "anchor_uid": x["uid"], "positive_id": pid, "positive_uid": puid, "positive_score": p, "vec_id": c["vec_id"].to_numpy()[at], "uid": uid[at], "score": got}))
-        return pd.concat(out)[names] if out else pd.DataFrame(columns=names)
+                out += [((x["vec_id"], x["uid"], *of), at, got) for *of, at, got in zip(x["ids"], x["uids"], high, ats, scores, strict=True)]
+        return as_rows(["anchor_id", "anchor_uid", "positive_id", "positive_uid", "positive_score"], out, c)
 
     found = dealt(rows, asks, ["part", "grp"], hard, "anchor_id long, anchor_uid long, positive_id long, positive_uid long, positive_score double, vec_id long, uid long, score double")
     found = best_rows(found, ["anchor_uid", "positive_uid"], negatives)
