@@ -200,10 +200,15 @@ judged AS (SELECT *, CASE WHEN level NOT IN (0, 1, 2) THEN 'ignored' WHEN effect
 sched AS (SELECT *, CASE WHEN v = 'forwarded' AND row_number() OVER (PARTITION BY device, v, first_ts ORDER BY effective_at DESC, seq DESC) > 1 THEN 'replaced' ELSE v END AS verdict FROM judged)"""
 
 
+def commands_of(r):
+    """Every command for every device of the rounds r."""
+    each = F.array(*[F.struct(F.lit(level).alias("level"), F.lit(START + e).cast("long").alias("effective_at"), F.lit(START + d).cast("long").alias("decided_at"), F.lit(seq).alias("seq")) for level, e, d, seq in COMMANDS])
+    return r.select("device").distinct().select("device", F.explode(each).alias("c")).select("device", "c.*")
+
+
 def scheduled(spark, sf_dir):
     r = rounds(spark, sf_dir)
-    each = F.array(*[F.struct(F.lit(level).alias("level"), F.lit(START + e).cast("long").alias("effective_at"), F.lit(START + d).cast("long").alias("decided_at"), F.lit(seq).alias("seq")) for level, e, d, seq in COMMANDS])
-    return adapt.schedule(r.select("device").distinct().select("device", F.explode(each).alias("c")).select("device", "c.*"), r, WARM, LAG)
+    return adapt.schedule(commands_of(r), r, WARM, LAG)
 
 
 @query(f"WITH {SCHEDULED} SELECT CAST(device AS BIGINT) AS device, seq, level, effective_at, verdict, CASE WHEN verdict IN ('executed', 'forwarded') THEN first_ts END AS executes FROM sched")

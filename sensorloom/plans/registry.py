@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import basic, checks, decisions, moving, windowed
+from . import basic, checks, decisions, moving, streamed, windowed
 
-MODULES = (basic, windowed, decisions, moving, checks)
+MODULES = (basic, windowed, decisions, moving, checks, streamed)
 
 
 def queries():
