@@ -90,6 +90,40 @@ def outliers(points: DataFrame, s: Sliding) -> DataFrame:
     return few.select("device", "ts", F.explode(F.sequence("start", "stop", F.lit(s.slide))).alias("window_end"), F.col("n0").alias("neighbours"))
 
 
+def switched_outliers(points: DataFrame, backfill: DataFrame, s: Sliding) -> DataFrame:
+    """device, ts, window_end, neighbours, version of outliers when a device's parameters change version on the way.
+
+    points(device, ts, version, x0..x4) are scaled by their version, null before the first one is known;
+    backfill(device, version, ts, x0..x4) has rounds before a version's start, scaled by it. A version begins in the
+    slide of its first point: from that slide's window on, the device's points are the version's own and the
+    backfilled ones that this window still holds, and only the version's own are judged; older points, those
+    of the same slide included, count no more. The first version goes on with the points before it. Each
+    version needs a slide of its own.
+
+    Versions are populations of their own, so all come from one pass over marks of pairs: those of backfilled points
+    begin at the first window, those of older points end at the switch.
+    """
+    order = Window.partitionBy("device").orderBy("ts")
+    rows = points.withColumn("own", F.coalesce("version", F.first("version", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    start = F.coalesce(F.min(F.when(F.col("version").isNotNull(), F.col("ts"))), F.min("ts"))
+    turns = rows.groupBy("device", "own").agg(start.alias("start"))
+    by_start = Window.partitionBy("device").orderBy("start")
+    turns = turns.withColumn("opens", first_end(F.col("start"), s))
+    turns = turns.withColumn("first", F.row_number().over(by_start) == 1).withColumn("closes", F.lead("opens").over(by_start)).drop("opens")
+    again = backfill.select("device", F.col("version").alias("own"), "ts", *DIMENSIONS).join(turns.where("NOT first"), ["device", "own"])
+    again = again.where((F.col("ts") >= first_end(F.col("start"), s) - s.window) & (F.col("ts") < F.col("start")))
+    each = rows.select("device", "own", "ts", *DIMENSIONS).unionByName(again.select("device", "own", "ts", *DIMENSIONS))
+    keyed = each.withColumn("device", F.struct("device", "own")).drop("own")
+    few = stretches(keyed, s, [s.radius]).where(F.col("n0") < s.k)
+    few = few.select("device.device", "device.own", "ts", "start", "stop", "n0").withColumnsRenamed({"start": "from", "stop": "upto"}).join(turns, ["device", "own"])
+    few = few.where(F.col("first") | (F.col("ts") >= F.col("start")))
+    upto = F.least(F.col("upto"), F.coalesce(F.col("closes") - s.slide, F.col("upto")))
+    few = few.withColumn("upto", upto).where(F.col("from") <= F.col("upto"))
+    found = few.select("device", "ts", F.explode(F.sequence("from", "upto", F.lit(s.slide))).alias("window_end"), F.col("n0").alias("neighbours"), "own", "first", "start")
+    known = ~F.col("first") | (F.col("window_end") >= first_end(F.col("start"), s))
+    return found.select("device", "ts", "window_end", "neighbours", F.when(known, F.col("own")).alias("version"))
+
+
 def arrival_outliers(found: DataFrame, s: Sliding) -> DataFrame:
     """Only outliers of the slide in which the point arrived."""
     return found.where((F.col("ts") < F.col("window_end")) & (F.col("ts") >= F.col("window_end") - s.slide))

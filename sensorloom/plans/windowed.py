@@ -12,6 +12,7 @@ from .bindings import PERIOD, READINGS, ROUNDS, readings, rounds, table
 W = Sliding(window=8 * PERIOD, slide=PERIOD, radius=60.0, k=3)
 RADII, KS = [30.0, 60.0, 90.0], [2, 3]
 DAY = 86400
+START = 1704067200  # 2024-01-01, when the events begin
 Q, S = {}, {}
 
 
@@ -60,6 +61,35 @@ def sliding_full(spark, sf_dir):
     return outliers.outliers(points(spark, sf_dir).withColumn("ts", F.floor(F.col("ts") / PERIOD) * 10), FULL)
 
 
+#: Slides of four rounds; parameters that change within a slide on the 8th and the 19th day, and are not known before the 3rd.
+SW = Sliding(window=16 * PERIOD, slide=4 * PERIOD, radius=60.0, k=3)
+SWITCHES = [START + 2 * DAY + PERIOD, START + 8 * DAY + 2 * PERIOD, START + 19 * DAY + 3 * PERIOD]
+_SW_OLD = SW.window - SW.slide
+SWITCHED = f"""{ROUNDS}, raw AS (SELECT device, ts, x0, x1, x2, x3, x4 FROM rounds WHERE NOT incomplete),
+pts AS (SELECT *, CASE WHEN ts >= {SWITCHES[2]} THEN 3 WHEN ts >= {SWITCHES[1]} THEN 2 WHEN ts >= {SWITCHES[0]} THEN 1 END AS version FROM raw),
+whole AS (SELECT device, ts, version, coalesce(version, first_value(version IGNORE NULLS) OVER (PARTITION BY device ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS own, x0, x1, x2, x3, x4 FROM pts),
+turns AS (SELECT device, own, coalesce(min(ts) FILTER (WHERE version IS NOT NULL), min(ts)) AS start FROM whole GROUP BY device, own),
+eras AS (SELECT *, row_number() OVER w = 1 AS first, (start // {SW.slide} + 1) * {SW.slide} AS opens, lead((start // {SW.slide} + 1) * {SW.slide}) OVER w AS closes FROM turns WINDOW w AS (PARTITION BY device ORDER BY start)),
+pop AS (SELECT device, own, ts, true AS judged, x0 * (1 + 0.5 * coalesce(version - 1, 0)) AS x0, x1, x2, x3, x4 FROM whole
+        UNION ALL SELECT r.device, e.own, r.ts, false, x0 * (1 + 0.5 * (e.own - 1)), x1, x2, x3, x4 FROM raw r JOIN eras e ON r.device = e.device AND NOT e.first AND r.ts < e.start AND r.ts >= e.opens - {SW.window} AND r.ts >= e.start - {_SW_OLD}),
+live AS (SELECT p.device, p.own, p.ts, w AS window_end, p.x0, p.x1, p.x2, p.x3, p.x4, p.judged, e.first, e.opens
+         FROM (SELECT *, unnest(generate_series((ts // {SW.slide} + 1) * {SW.slide}, ((ts + {SW.window}) // {SW.slide}) * {SW.slide}, {SW.slide})) AS w FROM pop) p JOIN eras e ON p.device = e.device AND p.own IS NOT DISTINCT FROM e.own WHERE e.closes IS NULL OR w < e.closes),
+near AS (SELECT a.device, a.ts, a.window_end, a.own, a.first, a.opens, count(b.ts) AS neighbours FROM live a LEFT JOIN live b ON a.device = b.device AND a.own IS NOT DISTINCT FROM b.own AND a.window_end = b.window_end AND a.ts <> b.ts
+           AND sqrt((a.x0-b.x0)^2+(a.x1-b.x1)^2+(a.x2-b.x2)^2+(a.x3-b.x3)^2+(a.x4-b.x4)^2) <= {SW.radius} WHERE a.judged GROUP BY ALL)"""
+
+
+@query(f"WITH {SWITCHED} SELECT device, ts, window_end, neighbours, CASE WHEN NOT first OR window_end >= opens THEN CAST(own AS INTEGER) END AS version FROM near WHERE neighbours < {SW.k}")
+def mcod_version_switch(spark, sf_dir):
+    p = points(spark, sf_dir)
+    first, second, third = (F.col("ts") >= t for t in SWITCHES)
+    p = p.withColumn("version", F.when(third, 3).when(second, 2).when(first, 1))
+    scaled = lambda v: F.col("x0") * (1 + 0.5 * F.coalesce(v - 1, F.lit(0)))
+    again = p.select("device", F.explode(F.array(F.struct(F.lit(2).alias("version"), F.lit(SWITCHES[1]).alias("at")), F.struct(F.lit(3).alias("version"), F.lit(SWITCHES[2]).alias("at")))).alias("v"), "ts", *outliers.DIMENSIONS)
+    start = p.where("version > 1").groupBy("device", "version").agg(F.min("ts").alias("start"))
+    again = again.select("device", "v.version", "ts", *outliers.DIMENSIONS).join(start, ["device", "version"]).where((F.col("ts") < F.col("start")) & (F.col("ts") >= F.col("start") - _SW_OLD)).drop("start")
+    return outliers.switched_outliers(p.withColumn("x0", scaled(F.col("version"))), again.withColumn("x0", scaled(F.col("version"))), SW)
+
+
 @query(f"WITH {POINTS} SELECT device, ts, window_end FROM found")
 def mcod_slide(spark, sf_dir):
     return outliers.clustered_outliers(points(spark, sf_dir), W).select("device", "ts", "window_end")
@@ -132,7 +162,6 @@ def bins(spark, sf_dir, width=DAY):
     return a.join(o, ["device", "ts"], "full").select("device", "ts", F.coalesce("admitted", F.lit(0)).alias("admitted"), F.coalesce("outliers", F.lit(0)).alias("outliers"))
 
 
-START = 1704067200  # 2024-01-01, when the events begin
 SPECS = f"1:view:{START + 5 * DAY}:{2 * DAY}:step:500;1:view:{START + 6 * DAY}:{2 * DAY}:ramp:100;3:click:{START + 10 * DAY}:{DAY}:stuck:0;5:purchase:{START + 20 * DAY}:{3 * DAY}:spike:250"
 SPEC_ROWS = ", ".join(f"({n}, {d}, '{s}', {a}, {b}, '{k}', {m})" for n, d, s, a, b, k, m in inject.parse_specs(SPECS))
 INJECTED = f"""{READINGS}, specs(spec, device, sensor, start, stop, kind, magnitude) AS (VALUES {SPEC_ROWS}),
