@@ -12,7 +12,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from ..functions.stats import f_ppf, t_ppf
 
@@ -71,8 +72,9 @@ def tables(confidence: float = 0.99, rho: float = 0.5, longest: int = 2016) -> p
 class Detector:
     """The adaptive window: update(x) gives an alarm's statistics or None.
 
-    The window is a stretch of a buffer twice its length, so its parts are views. Sums are taken over them
-    anew: differences of running sums would lose the small spreads that the tests depend on.
+    Running sums of the values and their squares, about the window's first value, decide what is plain. Where a
+    spread is small beside the sums' rounding, or a test is close, the statistics are taken anew from the values;
+    an alarm's always are. The sums begin anew whenever the buffer is cut.
     """
 
     table: dict
@@ -81,28 +83,55 @@ class Detector:
     t_skipped: int = 0
 
     def __post_init__(self):
-        self.buffer, self.lo, self.hi = np.empty(2 * self.longest), 0, 0
+        self.restart([])
+
+    def restart(self, values: list[float]) -> None:
+        self.values, self.lo, self.sums, self.squares = [], 0, [0.0], [0.0]
+        for v in values:
+            self.append(v)
 
     @property
     def window(self) -> np.ndarray:
-        return self.buffer[self.lo : self.hi]
+        return np.array(self.values[self.lo :])
 
     def append(self, x: float) -> None:
-        if self.hi == len(self.buffer):
-            rest = self.window[-self.longest :].copy()
-            self.lo, self.hi = 0, len(rest)
-            self.buffer[: self.hi] = rest
-        self.buffer[self.hi] = x
-        self.hi += 1
-        self.lo = max(self.lo, self.hi - self.longest)
+        if len(self.values) == 2 * self.longest:
+            self.restart(self.values[-self.longest + 1 :])
+        self.values.append(x)
+        d = x - self.values[0]
+        self.sums.append(self.sums[-1] + d)
+        self.squares.append(self.squares[-1] + d * d)
+        self.lo = max(self.lo, len(self.values) - self.longest)
 
     def update(self, x: float) -> dict | None:
         self.append(x)
-        values = self.window
-        n = len(values)
+        n = len(self.values) - self.lo
         if n < LEAST:
             return None
         cut, f_crit, t_crit = self.table[n]
+        plain = self.decided(n, cut, f_crit, t_crit)
+        if plain is not None:
+            self.f_without_rise += plain
+            return None
+        return self.tested(n, cut, f_crit, t_crit)
+
+    def decided(self, n: int, cut: int, f_crit: float, t_crit: float) -> int | None:
+        """How much f_without_rise grows, if it is certain that there is no alarm."""
+        lo, mid, sums, squares = self.lo, self.lo + cut, self.sums, self.squares
+        old, new = sums[mid] - sums[lo], sums[-1] - sums[mid]
+        m, rest = n - cut, 1e-10 * squares[-1]
+        ss_old, ss_new = squares[mid] - squares[lo] - old * old / cut, squares[-1] - squares[mid] - new * new / m
+        if cut < 2 or m < 2 or ss_old <= rest or ss_new <= rest:
+            return None
+        var_old, var_new = ss_old / (cut - 1), ss_new / (m - 1)
+        rise, spread = new / m - old / cut, (var_old / cut + var_new / m) ** 0.5
+        ratio = ((var_new**0.5 + BETA) / (var_old**0.5 + BETA)) ** 2 / f_crit
+        if rise < -1e-6 * spread and abs(ratio - 1) > 1e-5:
+            return int(ratio > 1)
+        return 0 if ratio < 1 - 1e-5 and rise < (t_crit - 1e-5) * spread else None
+
+    def tested(self, n: int, cut: int, f_crit: float, t_crit: float) -> dict | None:
+        values = self.window
         old, new = values[:cut], values[cut:]
         var = [max(0.0, v.var(ddof=1)) if len(v) > 1 else 0.0 for v in (old, new)]
         sd = [v**0.5 for v in var]
@@ -122,7 +151,7 @@ class Detector:
         if test is None:
             return None
         alarm = {"test": test, "window_len": n, "hist_len": len(old), "new_len": len(new), "hist_mean": old.mean(), "hist_sd": sd[0], "new_mean": new.mean(), "new_sd": sd[1], "hist_median": float(np.median(old)), "magnitude": (new.mean() - old.mean()) / (sd[0] + BETA)}
-        self.lo = self.hi = 0
+        self.restart([])
         return alarm
 
 
@@ -134,17 +163,22 @@ class Gate:
     patience: int = 36
     pending: dict | None = None
 
+    def __post_init__(self):
+        if self.patience < 6:
+            raise ValueError("a check takes six elements at least")
+
     def update(self, ts: int, x: float, alarm: dict | None) -> list[dict]:
         events = []
         if self.pending:
             c = self.pending
             c["seen"] += 1
             c["last"].append(x)
-            median = float(np.median(c["last"])) if len(c["last"]) == 6 else None
-            if median is not None and not median > c["threshold"]:
-                events.append(self.event(ts, "REVOKE", median))
-            elif c["seen"] == self.patience:
-                events.append(self.event(ts, "CONFIRM", median if median is not None else float("nan")))
+            if len(c["last"]) == 6:
+                median = float(np.median(c["last"]))
+                if not median > c["threshold"]:
+                    events.append(self.event(ts, "REVOKE", median))
+                elif c["seen"] == self.patience:
+                    events.append(self.event(ts, "CONFIRM", median))
         if alarm:
             during = self.pending is not None
             threshold = alarm["hist_median"] + self.rho * alarm["hist_sd"]
@@ -193,6 +227,25 @@ def drift_events(elements: DataFrame, confidence: float = 0.99, rho: float = 0.5
     return by_device(elements.select("device", "ts", "value", "generation")).applyInPandas(run, SCHEMA)
 
 
+def hourly_medians(scores: DataFrame, hour: int = 3600, fallback: int = 7200) -> DataFrame:
+    """device, ts, value, generation: the median of each hour of scores(device, ts, value, generation), for drift_events().
+
+    An hour is closed by a score of a later hour, or `fallback` seconds after its begin. A change of generation
+    throws the open hour away: a run's last hour counts only if the next generation's first score comes after
+    that time; the new generation may open the same hour anew.
+    """
+    order = Window.partitionBy("device").orderBy("ts")
+    changed = ~F.coalesce(F.lag("generation").over(order).eqNullSafe(F.col("generation")), F.lit(False)) & (F.row_number().over(order) > 1)
+    rows = scores.select("device", "ts", "value", "generation").withColumn("run", F.sum(changed.cast("int")).over(order))
+    at = (F.floor(F.col("ts") / hour) * hour).cast("long")
+    hours = rows.groupBy("device", "run", at.alias("hour")).agg(F.percentile("value", F.lit(0.5)).alias("value"), F.min("ts").alias("first"), F.first("generation").alias("generation"))
+    after = Window.partitionBy("device").orderBy("run", "hour")
+    follows = F.lead(F.struct("run", "first")).over(after)
+    hours = hours.withColumn("follows", follows)
+    kept = F.col("follows").isNull() | (F.col("follows.run") == F.col("run")) | (F.col("follows.first") >= F.col("hour") + fallback)
+    return hours.where(kept).select("device", F.col("hour").alias("ts"), "value", "generation")
+
+
 def detector_counters(elements: DataFrame, confidence: float = 0.99, rho: float = 0.5, longest: int = 2016) -> DataFrame:
     """device, elements, alarms, f_without_rise, t_skipped."""
     table = lookup(confidence, rho, longest)

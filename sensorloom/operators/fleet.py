@@ -240,24 +240,47 @@ def latency(faults: DataFrame, alerted: DataFrame, commanded: DataFrame) -> Data
     return a.join(c, (F.col("c_device") == F.col("device")) & F.col("c_at").between(F.col("start"), F.col("stop")), "left").groupBy("fault", "to_alert").agg((F.min("c_at") - F.min("start")).alias("to_command"))
 
 
-def episodes(confirmations: DataFrame, within: int, least: int) -> DataFrame:
-    """start, devices, n: confirmations(device, ts) gathered from the first one within `within` seconds, with at least `least` devices.
-
-    The anchor is the first of a group, so a long chain of close confirmations is cut; a fleet's confirmations
-    are few (one device a task gives some a month), and meet in one task in order.
+def anchors(confirmations: DataFrame, within: int, keep) -> DataFrame:
+    """at: the times at which episodes begin: the first confirmation, then always the first one more than `within` seconds after the last such time.
+
+    The next anchor of any time is one more than `within` later: it stands in the next bucket of that width, or is the
+    first time of a later bucket. Times after a quiet stretch of more than `within` are anchors for certain; from
+    there pointers of doubled length find the others, in as many rounds as the longest chain has digits.
+    keep(table, name) writes a table and reads it again. Buckets, of which there are as many as `within` goes into the
+    time observed, are the only rows in one window; times and confirmations are not.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, start, members = [], None, []
-        for ts, device in pdf.sort_values(["ts", "device"])[["ts", "device"]].itertuples(index=False):
-            if start is None or ts > start + within:
-                if start is not None:
-                    out.append((start, members))
-                start, members = ts, []
-            members.append(device)
-        if start is not None:
-            out.append((start, members))
-        rows = [(s, ",".join(map(str, sorted(set(m)))), len(m)) for s, m in out if len(set(m)) >= least]
-        return pd.DataFrame(rows, columns=["start", "devices", "n"])
-
-    return confirmations.select("device", "ts").groupBy(F.lit(0).alias("fleet")).applyInPandas(run, "start long, devices string, n long")
+    times = confirmations.select(F.col("ts").cast("long").alias("at")).distinct().withColumn("b", F.floor(F.col("at") / within).cast("long"))
+    times = keep(times, "times")
+    buckets = times.groupBy("b").agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    by_bucket = Window.orderBy("b")
+    buckets = keep(buckets.select("b", "low", F.lag("high").over(by_bucket).alias("before"), F.lead("low").over(by_bucket).alias("later"), F.lead(F.struct("b", "low")).over(by_bucket).alias("n1"), F.lead("low", 2).over(by_bucket).alias("l2")), "buckets")
+    # In the bucket ahead, the first time after at + within; else the first one of the bucket that follows it.
+    asks = times.select((F.col("b") + 1).alias("b"), (F.col("at") + within).alias("at"), F.lit(1).alias("ask"))
+    both = times.select("b", "at", F.lit(0).alias("ask")).unionByName(asks)
+    # Equal times are no later: the ask stands behind them.
+    ahead = Window.partitionBy("b").orderBy("at", "ask").rowsBetween(1, Window.unboundedFollowing)
+    found = both.withColumn("next", F.min(F.when(F.col("ask") == 0, F.col("at"))).over(ahead)).where("ask = 1").select((F.col("at") - within).alias("at"), (F.col("b") - 1).alias("b"), "next")
+    beyond = F.when(F.col("n1.b") == F.col("b") + 1, F.col("l2")).otherwise(F.col("n1.low"))
+    jump = keep(found.join(buckets.select("b", beyond.alias("beyond")), "b").select("at", F.coalesce("next", "beyond").alias("to")).where("to IS NOT NULL"), "jump")
+    sure = buckets.where((F.col("before").isNull()) | (F.col("low") - F.col("before") > within)).select(F.col("low").alias("at"))
+    reached, n = keep(sure, "reached"), -1
+    while True:
+        new = keep(reached.unionByName(reached.join(jump, "at").select(F.col("to").alias("at"))).distinct(), "reached")
+        size = new.count()
+        if size == n:
+            return new
+        reached, n = new, size
+        jump = keep(jump.alias("a").join(jump.withColumnsRenamed({"at": "mid", "to": "end"}), F.col("a.to") == F.col("mid")).select("a.at", F.col("end").alias("to")), "jump")
+
+
+def episodes(confirmations: DataFrame, within: int, least: int, keep=lambda table, name: table) -> DataFrame:
+    """start, devices, n: confirmations(device, ts) gathered from each anchor on, up to `within` seconds after it, with at least `least` devices.
+
+    A bucket of `within` seconds holds one anchor at most, so a confirmation meets those of its own bucket and the one before.
+    """
+    rows = confirmations.select("device", "ts")
+    start = anchors(rows, within, keep).select(F.col("at").alias("start"), F.floor(F.col("at") / within).cast("long").alias("b"))
+    own = F.floor(F.col("ts") / within).cast("long")
+    met = rows.withColumn("b", F.explode(F.array(own, own - 1))).join(start, "b").where((F.col("ts") >= F.col("start")) & (F.col("ts") <= F.col("start") + within))
+    each = met.groupBy("start", "device").agg(F.count(F.lit(1)).alias("n")).groupBy("start").agg(F.array_sort(F.collect_list("device")).alias("devices"), F.sum("n").alias("n"))
+    return each.where(F.size("devices") >= least).select("start", F.array_join(F.col("devices").cast("array<string>"), ",").alias("devices"), "n")

@@ -86,13 +86,6 @@ def model_input(rounds: DataFrame, dark: Column) -> DataFrame:
     return rounds.withColumn(last, F.when(dark, 0.0).otherwise(F.col(last)))
 
 
-def error_calibration(errors: DataFrame) -> DataFrame:
-    """device, median, iqr, cov01: of per-channel errors(device, e0..), population covariance; a small floor under the spread."""
-    total = sum((F.col(f"e{c}") for c in range(1, CHANNELS)), F.col("e0")) / CHANNELS
-    each = errors.withColumn("e", total).groupBy("device").agg(F.percentile("e", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.covar_pop("e0", "e1").alias("cov01"))
-    return each.select("device", F.col("q")[1].alias("median"), F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(1e-12)).alias("iqr"), "cov01")
-
-
 def compare_tables(left: DataFrame, right: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:
     """same, different, only_left, only_right of a value under keys."""
     both = left.select(*keys, F.col(value).alias("a"), F.lit(1).alias("l")).join(right.select(*keys, F.col(value).alias("b"), F.lit(1).alias("r")), keys, "full")

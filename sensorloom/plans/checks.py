@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from ..config import EVENTS, Fleet
 from ..functions.arrays import device_of, rounded
-from ..operators import context, drift, ingest, outliers, review
+from ..operators import drift, ingest, outliers, review, score
 from .basic import LINES, lines
 from .bindings import PERIOD, READINGS, ROUNDS, readings, rounds
-from .decisions import STATES, TRAIN, context_windows, states
-from .windowed import DAY, POINTS, PROBE, START, W, elements, points, probed
+from .decisions import STATES, context_windows, scored, states, undone, upper
+from .windowed import DAY, INJECTED, POINTS, PROBE, START, W, elements, injected, points, probed
 
 Q, S = {}, {}
 
@@ -113,11 +113,16 @@ def zero_g_light(spark, sf_dir):
     return review.model_input(rounds(spark, sf_dir), F.col("device") % 8 == 6).groupBy("device").agg(rounded(F.sum("x4"), 4).alias("total"))
 
 
-@query(f"""WITH {POINTS}, e AS (SELECT device, (x0-50)^2 AS e0, (x1-50)^2 AS e1, ((x0-50)^2+(x1-50)^2+(x2-50)^2+(x3-50)^2+(x4-50)^2) / 5 AS e FROM pts)
-SELECT device, round(quantile_cont(e, 0.5), 4) + 0.0 AS median, round(greatest(quantile_cont(e, 0.75) - quantile_cont(e, 0.25), 1e-12), 4) + 0.0 AS iqr, round(covar_pop(e0, e1), 2) + 0.0 AS cov01 FROM e GROUP BY device""")
+_ERRORS = ", ".join(f"((x{c}-50)/10)^2 AS e{c}" for c in range(5))
+_CALIBRATED = ", ".join(f"round(covar_pop(e{i}, e{j}){' + 1e-4' if i == j else ''}, 3) + 0.0 AS c{i}{j}" for i in range(5) for j in range(i, 5))
+
+
+@query(f"""WITH {POINTS}, e AS (SELECT device, {_ERRORS} FROM pts), t AS (SELECT *, (e0 + e1 + e2 + e3 + e4) / 5 AS e FROM e)
+SELECT device, count(*) AS n, round(quantile_cont(e, 0.5), 4) + 0.0 AS median, round(greatest(quantile_cont(e, 0.75) - quantile_cont(e, 0.25), 1e-12), 4) + 0.0 AS iqr, {_CALIBRATED}, true AS inverted FROM t GROUP BY device""")
 def m3_calibrate(spark, sf_dir):
-    e = points(spark, sf_dir).select("device", *[((F.col(f"x{c}") - 50) * (F.col(f"x{c}") - 50)).alias(f"e{c}") for c in range(5)])
-    return review.error_calibration(e).select("device", rounded(F.col("median"), 4).alias("median"), rounded(F.col("iqr"), 4).alias("iqr"), rounded(F.col("cov01"), 2).alias("cov01"))
+    e = points(spark, sf_dir).select("device", *[(((F.col(f"x{c}") - 50) / 10) * ((F.col(f"x{c}") - 50) / 10)).alias(f"e{c}") for c in range(5)])
+    e = e.withColumn("wmse", (F.col("e0") + F.col("e1") + F.col("e2") + F.col("e3") + F.col("e4")) / 5)
+    return score.calibrate(e).select("device", "n", rounded(F.col("median"), 4).alias("median"), rounded(F.col("iqr"), 4).alias("iqr"), *upper("covariance", 3), undone("covariance", "inverse").alias("inverted"))
 
 
 @query(f"""WITH {PROBE}, l AS (SELECT device, k, mean_rate FROM probe WHERE radius = 30), r AS (SELECT device, k, mean_rate FROM probe WHERE radius = 60 AND device % 8 <> 3)
@@ -148,12 +153,28 @@ def drift_grid_summary(spark, sf_dir):
     return review.setting_grid(elements(spark, sf_dir), SETTINGS)
 
 
+#: The model changes within an hour, so that the open hour is thrown away.
+CHANGES = START + 12 * DAY + 5000
+HOURLY = f"""{INJECTED}, scores AS (SELECT device, sec AS ts, value, CASE WHEN sec >= {CHANGES} THEN 2 ELSE 1 END AS generation FROM changed),
+hours AS (SELECT device, generation, ts // 3600 * 3600 AS hour, quantile_cont(value, 0.5) AS value, min(ts) AS first FROM scores GROUP BY ALL),
+ahead AS (SELECT *, lead(generation) OVER w AS next_generation, lead(first) OVER w AS next_first FROM hours WINDOW w AS (PARTITION BY device ORDER BY generation, hour))"""
+
+
+def scores(spark, sf_dir):
+    """Readings with faults as scores of a model that changes on the way."""
+    e = injected(spark, sf_dir)
+    return e.select("device", F.col("at").cast("long").alias("ts"), "value", F.when(F.col("at") >= CHANGES, 2).otherwise(1).cast("long").alias("generation"))
+
+
+@query(f"WITH {HOURLY} SELECT device, CAST(hour AS BIGINT) AS ts, round(value, 6) + 0.0 AS value, CAST(generation AS BIGINT) AS generation FROM ahead WHERE next_first IS NULL OR next_generation = generation OR next_first >= hour + 7200")
+def hourly_scores(spark, sf_dir):
+    return drift.hourly_medians(scores(spark, sf_dir)).withColumn("value", rounded(F.col("value")))
+
+
 @query()
 def perf_layer(spark, sf_dir):
-    """Drift of the medians of 40 readings each."""
-    e = elements(spark, sf_dir).select("device", (F.floor(F.col("ts") / 40) * 600).alias("ts"), "value")
-    medians = e.groupBy("device", "ts").agg(F.percentile("value", F.lit(0.5)).alias("value")).withColumn("generation", F.lit(1))
-    return drift.drift_events(medians, patience=12)
+    """Drift of hourly medians, cleared when the model's generation changes."""
+    return drift.drift_events(drift.hourly_medians(scores(spark, sf_dir)), patience=12)
 
 
 @query()
@@ -168,21 +189,30 @@ def data_scheme_summary(spark, sf_dir):
     return review.alarm_schemes(states(spark, sf_dir))
 
 
+def again(w):
+    """The windows after a command, split anew for a model of the second generation."""
+    later = w.where(F.col("window") >= 4).withColumn("window", F.col("window") - 4)
+    return later.withColumn("part", F.when(F.col("window") < 3, "train").when(F.col("window") < 4, "early").otherwise("calibrate"))
+
+
 @query()
 def retrain_l1(spark, sf_dir):
-    """Models of a second generation, fitted on windows after a command, beside the first."""
+    """Models of a second generation, fitted on windows after a command, beside the first, each with its calibration."""
     w = context_windows(spark, sf_dir)
-    later = w.where(F.col("window") >= 4).withColumn("window", F.col("window") - 4)
-    again = later.withColumn("part", F.when(F.col("window") < 3, "train").when(F.col("window") < 4, "early").otherwise("calibrate"))
-    first, second = context.train(w, TRAIN), context.train(again, TRAIN)
-    return first.select("device", F.lit(1).alias("generation"), "epochs", "train_loss", "median").unionByName(second.select("device", F.lit(2).alias("generation"), "epochs", "train_loss", "median"))
+    each = []
+    for generation, part in ((1, w), (2, again(w))):
+        models = score.fitted(part)
+        _, calibrated = scored(part, models)
+        each.append(models.join(calibrated, "device").select("device", F.lit(generation).alias("generation"), "rounds", "n", "median", "iqr"))
+    return each[0].unionByName(each[1])
 
 
 @query()
 def shadow_scoring(spark, sf_dir):
-    """Each window scored by the first model as it is and under shifted parameters."""
+    """Each window scored by the first model as it is and, under the same calibration, as other parameters show it."""
     w = context_windows(spark, sf_dir)
-    models = context.train(w, TRAIN)
+    models = score.fitted(w)
+    main, calibrated = scored(w, models)
     shifted = w.withColumn("x", F.transform("x", lambda r: F.transform(r, lambda v: v * 1.1)))
-    main, shadow = context.score(w, models), context.score(shifted, models)
-    return main.select("device", "window", F.col("score").alias("main_score")).join(shadow.select("device", "window", F.col("score").alias("shadow_score")), ["device", "window"])
+    shadow, _ = scored(shifted, models, calibrated)
+    return main.select("device", "window", F.col("z").alias("main_score")).join(shadow.select("device", "window", F.col("z").alias("shadow_score")), ["device", "window"])

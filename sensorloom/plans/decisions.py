@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..config import EVENTS, Scaler
 from ..functions.arrays import local_day, local_hour, rounded
-from ..operators import adapt, context, fleet, outliers, scaling, windows
+from ..operators import adapt, fleet, outliers, scaling, score, windows
 from .basic import BINS, DAYS, reference
 from .bindings import PERIOD, ROUNDS, rounds
+from .shared import kept
 from .windowed import DAY, L, POINTS, START, W, points
 
 Q, S = {}, {}
@@ -183,10 +184,13 @@ def latency_table(spark, sf_dir):
     return fleet.latency(faults, labelled(spark, sf_dir), asked(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE {ALERTS.removeprefix(chr(10))}, hits AS (SELECT device, tick AS ts FROM flagged WHERE cflag),
+starts AS (SELECT min(ts) AS start FROM hits UNION ALL SELECT (SELECT min(ts) FROM hits WHERE ts > start + {2 * DAY}) FROM starts WHERE start IS NOT NULL),
+met AS (SELECT start, device, count(*) AS n FROM starts JOIN hits ON ts BETWEEN start AND start + {2 * DAY} GROUP BY ALL)
+SELECT CAST(start AS BIGINT) AS start, string_agg(CAST(device AS VARCHAR), ',' ORDER BY device) AS devices, CAST(sum(n) AS BIGINT) AS n FROM met GROUP BY start HAVING count(*) >= 3""")
 def episode_cluster(spark, sf_dir):
     marks = flagged(spark, sf_dir).where("cflag").select("device", F.col("tick").alias("ts"))
-    return fleet.episodes(marks, 2 * DAY, 3)
+    return fleet.episodes(marks, 2 * DAY, 3, kept)
 
 
 #: Commands that every device of the fleet gets: level, effective and decided after START, seq. One for each verdict, and some that meet.
@@ -260,28 +264,56 @@ def context_windows(spark, sf_dir):
     return windows.split_windows(windows.count_windows(z, L), 4, L, (9, 12, 18))
 
 
-TRAIN = context.Training(hidden=6, epochs=8, patience=4, batch=16)
+#: Score from which a window is reported, in IQRs above the median.
+LIMIT = 2.22
+_NUM = f"""{POINTS}, num AS (SELECT device, (x0-50)/50 AS x0, (x1-50)/50 AS x1, (x2-50)/50 AS x2, (x3-50)/50 AS x3, (x4-50)/50 AS x4, row_number() OVER (PARTITION BY device ORDER BY ts) AS k FROM pts)"""
+_COV = ", ".join(f"round(covar_pop(x{i}, x{j}){' + 1e-4' if i == j else ''}, 6) + 0.0 AS c{i}{j}" for i in range(5) for j in range(i, 5))
 
 
-@query()
-def lstm_ae(spark, sf_dir):
-    return context.train(context_windows(spark, sf_dir), TRAIN).select("device", "hidden", "epochs", "train_loss", "median", "iqr")
+def upper(column: str, digits: int = 6):
+    """The entries of a symmetric 5 x 5 matrix from the diagonal up, as columns."""
+    return [rounded(F.get(F.get(column, F.lit(i)), F.lit(j)), digits).alias(f"c{i}{j}") for i in range(5) for j in range(i, 5)]
+
+
+def undone(matrix: str, other: str):
+    """Whether two matrices multiply to the unit matrix within 1e-9."""
+    off = F.transform(score.times(F.col(matrix), F.col(other)), lambda row, i: F.array_max(F.transform(row, lambda v, j: F.abs(v - F.when(i == j, 1.0).otherwise(0.0)))))
+    return F.array_max(off) <= 1e-9
+
+
+@query(f"WITH {_NUM} SELECT device, count(*) AS rounds, {_COV}, true AS inverted FROM num WHERE k <= 36 AND (SELECT count(*) FROM num n WHERE n.device = num.device) >= {L} AND (k - 1) // {L} < (SELECT count(*) FROM num n WHERE n.device = num.device) // {L} GROUP BY device")
+def context_model(spark, sf_dir):
+    """The covariance of each device's training rounds, and whether its inverse is one."""
+    m = score.fitted(context_windows(spark, sf_dir))
+    return m.select("device", "rounds", *upper("covariance"), undone("covariance", "precision").alias("inverted"))
+
+
+def scored(w, models, calibrated=None):
+    """Scores of windows under models, calibrated on the windows of that part unless that is given."""
+    errors = score.window_errors(score.reconstructed(w, models)).drop("x", "y", "mask")
+    calibrated = score.calibrate(errors.where("part = 'calibrate'")) if calibrated is None else calibrated
+    return score.score(errors, calibrated, LIMIT), calibrated
 
 
 @query()
 def ctx_score(spark, sf_dir):
     w = context_windows(spark, sf_dir)
-    return context.score(w, context.train(w, TRAIN))
+    return scored(w, score.fitted(w))[0].select("device", "window", "start", "stop", "wmse", F.col("z").alias("score"), "mahalanobis", "above")
 
 
 @query(f"""WITH {POINTS}, num AS (SELECT *, (row_number() OVER (PARTITION BY device ORDER BY ts) - 1) // {L} AS win FROM pts),
 sq AS (SELECT device, win, avg(((x0-50)/50)^2+((x1-50)/50)^2+((x2-50)/50)^2+((x3-50)/50)^2+((x4-50)/50)^2) / 5 AS e FROM num GROUP BY ALL HAVING count(*) = {L})
 SELECT device, CASE WHEN (win + 1) * {L} <= 36 THEN 'train' WHEN (win + 1) * {L} <= 48 THEN 'early' WHEN (win + 1) * {L} <= 72 THEN 'calibrate' ELSE 'online' END AS part, count(*) AS windows, round(avg(e), 6) AS wmse FROM sq GROUP BY ALL""")
 def zero_baseline(spark, sf_dir):
-    return context.zero_baseline(context_windows(spark, sf_dir)).withColumn("wmse", rounded(F.col("wmse")))
+    return score.zero_baseline(context_windows(spark, sf_dir)).withColumn("wmse", rounded(F.col("wmse")))
 
 
 @query()
 def hyper_grid(spark, sf_dir):
-    return context.grid(context_windows(spark, sf_dir), [context.Training(hidden=h, epochs=4, batch=16, rate=r) for h in (4, 6) for r in (1e-3, 1e-2)])
-
+    """Median and spread of the calibration windows' errors, and their share of the zero model's error, for each ridge."""
+    w = context_windows(spark, sf_dir).withColumn("ridge", F.explode(F.array(*[F.lit(r) for r in (1e-6, 1e-4, 1e-2, 1.0)])))
+    models = score.fitted(w, ("ridge", "device"), F.col("ridge"))
+    errors = score.window_errors(score.reconstructed(w, models, ("ridge", "device"))).where("part = 'calibrate'")
+    zero = F.aggregate("x", F.lit(0.0), lambda s, r: s + F.aggregate(r, F.lit(0.0), lambda a, v: a + v * v)) / (F.size("x") * 5)
+    q = F.percentile("wmse", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    return errors.groupBy("ridge", "device").agg(q.alias("q"), (F.avg("wmse") / F.avg(zero)).alias("share")).select("ridge", "device", F.col("q")[1].alias("median"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"), "share")

@@ -152,3 +152,11 @@ def connect_commands(spark, sf_dir):
     """Rounds and commands, two streams in one processor: the verdicts of command_schedule but for commands that wait for their round."""
     r = rounds(spark, sf_dir).select("device", "ts")
     return fed_both(spark, r, commands_of(r), lambda a, b: keyed.command_stream(a, b, WARM, LAG, LATE), LATE, "decided_at")
+
+
+@query()
+def perf_stream(spark, sf_dir):
+    """perf_layer as a stream: hourly medians, a change of generation, detector and gate in state."""
+    from .checks import scores
+
+    return fed(spark, scores(spark, sf_dir), lambda s: streams.performance_stream(s, 3600, patience=12), 3600)

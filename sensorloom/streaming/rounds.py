@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..config import Fleet
 from ..operators import drift
 from ..operators.drift import COLUMNS, SCHEMA, Detector, Gate, lookup
+from . import keyed
 
 #: Out-of-orderness of the sources and the time a round stays open, in seconds: a round is final after both.
 LATE, OPEN = 55, 30
@@ -46,27 +47,28 @@ def sliding_stream(readings: DataFrame, width: int, slide: int, late: int = 0) -
 
 
 class DriftProcessor(StatefulProcessor):
-    """Detector and gate of a device as keyed state; elements of a batch are taken in order of ts."""
+    """Detector and gate of a device as keyed state, cleared by a change of generation; elements of a batch are taken in order of ts."""
 
     def __init__(self, table: dict, longest: int, rho: float, patience: int):
         self.table, self.longest, self.rho, self.patience = table, longest, rho, patience
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("drift", "window array<double>, pending boolean, ts long, threshold double, reference double, seen int, last array<double>")
+        self.state = handle.getValueState("drift", "generation long, window array<double>, pending boolean, ts long, threshold double, reference double, seen int, last array<double>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        detector, gate = Detector(self.table, self.longest), Gate(self.rho, self.patience)
+        detector, gate, generation = Detector(self.table, self.longest), Gate(self.rho, self.patience), None
         if self.state.exists():
-            window, pending, ts, threshold, reference, seen, last = self.state.get()
-            for v in window:
-                detector.append(v)
+            generation, window, pending, ts, threshold, reference, seen, last = self.state.get()
+            detector.restart(list(window))
             if pending:
                 gate.pending = {"ts": ts, "threshold": threshold, "reference": reference, "seen": seen, "last": deque(last, maxlen=6)}
         out = []
-        for ts, x in pd.concat(list(rows)).sort_values("ts", kind="stable")[["ts", "value"]].itertuples(index=False):
+        for ts, x, g in pd.concat(list(rows)).sort_values("ts", kind="stable")[["ts", "value", "generation"]].itertuples(index=False):
+            if g != generation:
+                detector, gate, generation = Detector(self.table, self.longest), Gate(self.rho, self.patience), int(g)
             out += gate.update(int(ts), float(x), detector.update(float(x)))
         p = gate.pending
-        self.state.update(([float(v) for v in detector.window], p is not None, p["ts"] if p else 0, p["threshold"] if p else 0.0, p["reference"] if p else 0.0, p["seen"] if p else 0, [float(v) for v in p["last"]] if p else []))
+        self.state.update((generation, [float(v) for v in detector.window], p is not None, p["ts"] if p else 0, p["threshold"] if p else 0.0, p["reference"] if p else 0.0, p["seen"] if p else 0, [float(v) for v in p["last"]] if p else []))
         if out:
             frame = pd.DataFrame(out).reindex(columns=COLUMNS)
             frame.insert(0, "device", key[0])
@@ -76,8 +78,72 @@ class DriftProcessor(StatefulProcessor):
         pass
 
 
+class PerformanceProcessor(keyed.Ordered):
+    """Hourly medians of a device's scores through detector and gate; a change of the model's generation clears all three.
+
+    An hour is closed by a score of a later hour or, by a timer, `fallback` seconds after its begin.
+    """
+
+    row = "ts long, value double, generation long"
+    out = SCHEMA.removeprefix("device long, ")
+
+    def __init__(self, table: dict, longest: int, rho: float, patience: int, hour: int, fallback: int):
+        self.table, self.longest, self.rho, self.patience, self.hour, self.fallback = table, longest, rho, patience, hour, fallback
+
+    def opened(self, handle: StatefulProcessorHandle) -> None:
+        self.drift = handle.getValueState("drift", "generation long, window array<double>, pending boolean, ts long, threshold double, reference double, seen int, last array<double>")
+        self.bucket = handle.getValueState("bucket", "hour long, x array<double>")
+
+    def fold(self, device, rows: list, watermark: int) -> list[tuple]:
+        detector, gate, generation = Detector(self.table, self.longest), Gate(self.rho, self.patience), None
+        if self.drift.exists():
+            generation, window, pending, ts, threshold, reference, seen, last = self.drift.get()
+            detector.restart(list(window))
+            if pending:
+                gate.pending = {"ts": ts, "threshold": threshold, "reference": reference, "seen": seen, "last": deque(last, maxlen=6)}
+        hour, x = self.bucket.get() if self.bucket.exists() else (None, [])
+        x, out = list(x), []
+
+        def close() -> None:
+            v = float(pd.Series(x).median())
+            out.extend(gate.update(int(hour), v, detector.update(v)))
+
+        for ts, value, g in rows:
+            if hour is not None and ts >= hour + self.fallback:
+                close()
+                hour, x = None, []
+            if g != generation:
+                detector, gate, generation = Detector(self.table, self.longest), Gate(self.rho, self.patience), g
+                hour, x = None, []
+            at = ts // self.hour * self.hour
+            if hour is not None and at != hour:
+                close()
+                hour, x = None, []
+            hour = at
+            x.append(value)
+        if hour is not None and hour + self.fallback <= watermark:
+            close()
+            hour, x = None, []
+        p = gate.pending
+        self.drift.update((generation, [float(v) for v in detector.window], p is not None, p["ts"] if p else 0, p["threshold"] if p else 0.0, p["reference"] if p else 0.0, p["seen"] if p else 0, [float(v) for v in p["last"]] if p else []))
+        if hour is None:
+            self.bucket.clear()
+        else:
+            self.bucket.update((hour, x))
+            self.handle.registerTimer(1000 * (hour + self.fallback))
+        return [tuple(e.get(c) for c in COLUMNS) for e in out]
+
+
+def performance_stream(scores: DataFrame, late: int, confidence: float = 0.99, rho: float = 0.5, longest: int = 2016, patience: int = 36, hour: int = 3600, fallback: int = 7200) -> DataFrame:
+    """The events of drift_events() over hourly_medians() of a stream scores(device, ts, value, generation)."""
+    for module in (sys.modules[__name__], drift):
+        cloudpickle.register_pickle_by_value(module)
+    processor = PerformanceProcessor(lookup(confidence, rho, longest), longest, rho, patience, hour, fallback)
+    return keyed.keyed(scores.select("device", "ts", "value", "generation"), processor, PerformanceProcessor.out, late)
+
+
 def drift_stream(elements: DataFrame, confidence: float = 0.99, rho: float = 0.5, longest: int = 2016, patience: int = 36) -> DataFrame:
-    """Drift events of a stream elements(device, ts, value); needs the RocksDB state store."""
+    """Drift events of a stream elements(device, ts, value, generation); needs the RocksDB state store."""
     # The state's schema is checked by a worker of the driver, which does not see files sent to executors.
     for module in (sys.modules[__name__], drift):
         cloudpickle.register_pickle_by_value(module)

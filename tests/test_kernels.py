@@ -8,7 +8,7 @@ import pytest
 
 from sensorloom.config import Sliding
 from sensorloom.functions import stats
-from sensorloom.operators import context, drift, inject, outliers
+from sensorloom.operators import drift, inject, outliers
 
 
 def test_quantiles():
@@ -61,30 +61,6 @@ def test_clusters_equal_neighbour_counts():
         state.expire(end + 60 - 600)
 
 
-def test_gradients_of_the_autoencoder():
-    rng = np.random.default_rng(0)
-    own, x = context.Autoencoder.fresh(3, 4, 1), rng.normal(0, 1, (5, 6, 3))
-    valid, w = (rng.random(x.shape) > 0.2).astype(float), np.array([1.0, 2.0, 0.5])
-    _, g = own.gradients(x, valid, w)
-    for name, at in (("We", (2, 3)), ("Wd", (5, 9)), ("Wo", (1, 2)), ("bd", (7,))):
-        kept = own.p[name][at]
-        own.p[name][at] = kept + 1e-6
-        up = own.gradients(x, valid, w)[0]
-        own.p[name][at] = kept - 1e-6
-        down = own.gradients(x, valid, w)[0]
-        own.p[name][at] = kept
-        assert math.isclose((up - down) / 2e-6, g[name][at], rel_tol=1e-4, abs_tol=1e-8)
-
-
-def test_training_lowers_the_loss_and_models_survive_packing():
-    rng = np.random.default_rng(0)
-    x = np.sin(np.linspace(0, 6, 12))[None, :, None] + rng.normal(0, 0.1, (40, 12, 2))
-    own = context.Autoencoder.fresh(2, 6, 1)
-    log = own.fit(x, np.ones_like(x), x[:5], context.Training(hidden=6, epochs=30, rate=1e-2, batch=16, weights=(1.0, 1.0)))
-    assert log[-1][1] < 0.6 * log[0][1]
-    assert np.allclose(context.Autoencoder.unpack(own.pack(), 2, 6).reconstruct(x), own.reconstruct(x))
-
-
 @pytest.mark.parametrize("geometry", [(3600, 60, 10, 10), (600, 60, 7, 4), (240, 240, 60, 2), (300, 120, 11, 3)])
 def test_outliers_equal_plain_counts(spark, geometry):
     """Every window of every point, whether or not times are multiples of the slide; dense and sparse stretches, as clusters and as pairs."""
