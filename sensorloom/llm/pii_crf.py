@@ -15,7 +15,9 @@ spans as they stand, the same with typing noise that the patterns miss (other se
 
 from __future__ import annotations
 
+import random
 import re
+from array import array
 from collections import Counter, deque
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,7 +36,8 @@ IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-MOST_TOKENS = 16
+#: Tokens of an entity, and its digits where it holds no address sign.
+MOST_TOKENS, MOST_DIGITS = 16, 19
 TOKEN = re.compile(r"[0-9]+|[^\W0-9_]+|[^\x20\x09-\x0D]")
 #: A spelled-out address sign: in brackets, or before a name with a (spelled) dot.
 SPELLED = re.compile(r"(?i:[(\[][\x20]?at[\x20]?[)\]]|(?<=[\x20])at(?=[\x20][a-z0-9-]+(?:\.[a-z]|[\x20]\(?dot\)?[\x20])))")
@@ -89,31 +92,38 @@ def emails(text: str) -> Iterator[re.Match]:
         at = text.find("@", max(at + 1, done))
 
 
-def stream(text: str) -> Iterator[list[tuple[int, int, bool]]]:
-    """Windows: tokens (start, end, hot) around hot ones, MOST_TOKENS on both sides. Hot tokens hold a digit or an address sign."""
-    signs = {m.start() + m.group().lower().index("at") for m in SPELLED.finditer(text)} if SPELLED.search(text) else ()
-    before: deque = deque(maxlen=MOST_TOKENS)
-    window: list = []
-    since = 0
+def tokens(text: str) -> Iterator[tuple[int, int, bool]]:
+    """start, end and hot of each token; hot tokens hold a digit or an address sign."""
+    signs = {m.start() + m.group().lower().index("at") for m in SPELLED.finditer(text)}
     for m in TOKEN.finditer(text):
         s, e = m.span()
         c = text[s]
-        token = (s, e, "0" <= c <= "9" or c == "@" or s in signs)
+        yield s, e, "0" <= c <= "9" or c == "@" or s in signs
+
+
+def stream(text: str, most: int | None = None) -> Iterator[list[tuple[int, int, bool]]]:
+    """Windows: tokens around hot ones, MOST_TOKENS on both sides. Windows of more than `most` tokens are left out (for fitting alone)."""
+    before: deque = deque(maxlen=MOST_TOKENS)
+    window: list = []
+    since = size = 0
+    for token in tokens(text):
         if token[2]:
-            if not window:
-                window = list(before)
+            if not size:
+                window, size = list(before), len(before)
             since = 0
-        if window or token[2]:
-            window.append(token)
+        if size:
+            size += 1
             since += 1
+            if most is None or size <= most:
+                window.append(token)
+            before.append(token)
             if since > MOST_TOKENS:
-                yield window
-                before.clear()
-                before.extend(window[-MOST_TOKENS:])
-                window = []
+                if most is None or size <= most:
+                    yield window
+                window, size = [], 0
         else:
             before.append(token)
-    if window:
+    if size and (most is None or size <= most):
         yield window
 
 
@@ -126,7 +136,8 @@ def possible(text: str, window: list, i: int, j: int, digits: int, dots: int, si
 
 
 #: Fixed values. Words that announce an entity.
-CUES = {"mail": "mail", "email": "mail", "contact": "any", "address": "any", "tel": "phone", "phone": "phone", "call": "phone", "fax": "phone", "mobile": "phone", "card": "card", "visa": "card", "mastercard": "card", "ip": "ip", "host": "ip", "server": "ip"}
+CUES = {"mail": "mail", "email": "mail", "contact": "any", "address": "any", "tel": "phone", "phone": "phone", "call": "phone", "fax": "phone", "mobile": "phone", "card": "card", "visa": "card", "mastercard": "card", "ip": "ip", "host": "ip", "server": "ip",
+        "order": "number", "id": "number", "no": "number", "ref": "number", "number": "number", "isbn": "number", "invoice": "number", "item": "number", "matrix": "number", "table": "number", "row": "number", "coordinates": "number", "position": "number", "total": "number", "version": "number"}
 ADDRESS = re.compile(r"(?i)[a-z0-9._%+-]+[\x20]?(?:@|[(\[]?[\x20]?at[\x20]?[)\]]?)[\x20]?[a-z0-9-]+(?:[\x20]?(?:\.|[(\[]?[\x20]?dot[\x20]?[)\]]?)[\x20]?[a-z0-9-]+)+")
 
 
@@ -185,72 +196,141 @@ class Field:
         self.weights = weights or {}
         self.cross = cross or [[0.0] * (len(KINDS) + 1) for _ in range(len(KINDS) + 1)]
 
-    def candidates(self, text: str, window: list) -> dict:
-        """Feature tuples of every possible entity segment, by (start, end)."""
-        out, n = {}, len(window)
-        for i in range(n):
-            digits, dots, sign, hot = 0, 0, False, False
-            for j in range(i + 1, min(n, i + MOST_TOKENS) + 1):
-                s, e, own = window[j - 1]
-                if j > i + 1 and ("\n" in text[window[j - 2][1] : s] or s - window[j - 2][1] > 2):
+    def ending(self, text: str, window, j: int, closed=frozenset()) -> list[tuple[int, tuple[str, ...]]]:
+        """Starts and features of every possible entity segment that ends before token j; tokens of `closed` belong to none."""
+        out = []
+        digits, dots, sign, hot = 0, 0, False, False
+        for i in range(j - 1, max(0, j - MOST_TOKENS) - 1, -1):
+            s, e, own = window[i]
+            if i in closed or (i < j - 1 and (window[i + 1][0] - e > 2 or "\n" in text[e : window[i + 1][0]])):
+                break
+            c = text[s]
+            if "0" <= c <= "9":
+                digits += e - s
+                if digits > MOST_DIGITS and not sign:
                     break
-                c = text[s]
-                if "0" <= c <= "9":
-                    digits += e - s
-                elif own:
-                    sign = True
-                dots += c == "."
-                hot = hot or own
-                if hot and possible(text, window, i, j, digits, dots, sign):
-                    out[i, j] = features(text, window, i, j)
+            elif own:
+                sign = True
+            dots += c == "."
+            hot = hot or own
+            if hot and possible(text, window, i, j, digits, dots, sign):
+                out.append((i, features(text, window, i, j)))
         return out
 
-    def scores(self, found: dict) -> dict:
+    def candidates(self, text: str, window: list) -> dict:
+        """Feature tuples of every possible entity segment, by (start, end)."""
+        return {(i, j): found for j in range(1, len(window) + 1) for i, found in self.ending(text, window, j)}
+
+    def score(self, found: tuple[str, ...]) -> list[float]:
         none = [0.0] * len(KINDS)
-        return {at: [sum(x) for x in zip(*[self.weights.get(f, none) for f in fs])] for at, fs in found.items()}
-
-    def best(self, n: int, scores: dict) -> list[tuple[int, int, int]]:
-        """The best cut's entities (start, end, type): dynamic programming over positions and the last segment's type."""
-        types = len(KINDS) + 1  # the last one is plain
-        last, cross = types - 1, self.cross
-        ends: dict[int, list] = {}
-        for (i, j), own in scores.items():
-            ends.setdefault(j, []).append((i, own))
-        alpha = np.full((n + 1, types), -1e18)
-        size, come = np.zeros((n + 1, types), np.int8), np.zeros((n + 1, types), np.int8)
-        alpha[0, last] = 0.0
-        for j in range(1, n + 1):
-            p = max(range(types), key=lambda q: alpha[j - 1][q] + cross[q][last])
-            alpha[j, last], size[j, last], come[j, last] = alpha[j - 1][p] + cross[p][last], 1, p
-            for i, own in ends.get(j, ()):
-                for t in range(last):
-                    p = max(range(types), key=lambda q: alpha[i][q] + cross[q][t])
-                    v = alpha[i][p] + own[t] + cross[p][t]
-                    if v > alpha[j, t]:
-                        alpha[j, t], size[j, t], come[j, t] = v, j - i, p
-        out, j, t = [], n, int(alpha[n].argmax())
+        return [sum(x) for x in zip(*[self.weights.get(f, none) for f in found], strict=True)]
+
+    def added(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """kind, start, end of the entities that no base span touches; none from a field that was fitted on nothing.
+
+        Tokens are read one by one: a window keeps its last tokens, the scores of its last MOST_TOKENS positions and
+        a few bytes a token to trace the best cut back, however long it is.
+        """
+        if not self.weights or not (DIGIT.search(text) or "@" in text or SPELLED.search(text)):
+            return []
+        spans = sorted((a, b) for _, a, b in base)
+        out: list = []
+        before: deque = deque(maxlen=MOST_TOKENS)
+        window, cut, since, at = Tail(), None, 0, 0
+
+        def push(token: tuple[int, int, bool]) -> None:
+            nonlocal at
+            s, e, _ = token
+            while at < len(spans) and spans[at][1] <= s:
+                at += 1
+            window.add(token, at < len(spans) and spans[at][0] < e)
+            cut.push([(i, self.score(f)) for i, f in self.ending(text, window, window.n, window.closed)], s, e)
+
+        for token in tokens(text):
+            if token[2]:
+                if cut is None:
+                    window, cut = Tail(), Cut(self.cross)
+                    for earlier in before:
+                        at = 0 if at and spans[at - 1][1] > earlier[0] else at
+                        push(earlier)
+                since = 0
+            if cut is not None:
+                push(token)
+                since += 1
+                if since > MOST_TOKENS:
+                    out += cut.entities()
+                    cut = None
+            before.append(token)
+        return out + (cut.entities() if cut is not None else [])
+
+
+class Tail:
+    """The last tokens of a window, by their number in it, and which of them belong to base spans."""
+
+    KEPT = 2 * MOST_TOKENS + 4
+
+    def __init__(self):
+        self.n, self.last, self.closed = 0, deque(maxlen=self.KEPT), set()
+
+    def add(self, token: tuple[int, int, bool], closed: bool) -> None:
+        self.last.append(token)
+        if closed:
+            self.closed.add(self.n)
+        self.closed.discard(self.n - self.KEPT)
+        self.n += 1
+
+    def __getitem__(self, k: int) -> tuple[int, int, bool]:
+        return self.last[k - self.n + len(self.last)]
+
+
+class Cut:
+    """The best cut of a window into plain tokens and typed entities: dynamic programming over positions and the last segment's type.
+
+    Equal scores go to plain tokens: an entity has to gain something.
+    """
+
+    def __init__(self, cross: list):
+        self.cross, self.last = cross, len(KINDS)
+        never = [-1e18] * self.last
+        self.frontier: deque = deque([[*never, 0.0]], maxlen=MOST_TOKENS + 1)
+        self.size, self.come, self.starts, self.ends = array("b"), array("b"), array("q"), array("q")
+
+    def push(self, found: list[tuple[int, list[float]]], start: int, end: int) -> None:
+        """One more token, and the entities (start token, score by type) that end with it."""
+        self.starts.append(start)
+        self.ends.append(end)
+        last, cross, j = self.last, self.cross, len(self.ends)
+        alpha, size, come = [-1e18] * (last + 1), [1] * (last + 1), [last] * (last + 1)
+        was = self.frontier[-1]
+        p = max(range(last, -1, -1), key=lambda q: was[q] + cross[q][last])
+        alpha[last], come[last] = was[p] + cross[p][last], p
+        for i, own in found:
+            was = self.frontier[i - j]
+            for t in range(last):
+                p = max(range(last, -1, -1), key=lambda q: was[q] + cross[q][t])  # noqa: B023
+                v = was[p] + own[t] + cross[p][t]
+                if v > alpha[t]:
+                    alpha[t], size[t], come[t] = v, j - i, p
+        self.frontier.append(alpha)
+        self.size.extend(size)
+        self.come.extend(come)
+
+    def best(self) -> list[tuple[int, int, int]]:
+        """Entities as (first token, token after the last, type)."""
+        last, j, out = self.last, len(self.ends), []
+        alpha = self.frontier[-1]
+        t = max(range(last, -1, -1), key=lambda q: alpha[q])
         while j:
+            at = (j - 1) * (last + 1) + t
+            i = j - self.size[at]
             if t < last:
-                out.append((j - int(size[j, t]), j, t))
-            j, t = j - int(size[j, t]), int(come[j, t])
+                out.append((i, j, t))
+            j, t = i, self.come[at]
         return out[::-1]
 
-    def added(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """kind, start, end of the entities that no base span touches."""
-        out = []
-        for window in stream(text) if DIGIT.search(text) or "@" in text or SPELLED.search(text) else ():
-            near = [(a, b) for _, a, b in base if a < window[-1][1] and window[0][0] < b]
-            taken = [any(a < e and s < b for a, b in near) for s, e, _ in window] if near else [False] * len(window)
-            # Where base spans have taken every hot token, the field has nothing to add.
-            if not any(hot and not t for (_, _, hot), t in zip(window, taken)):
-                continue
-            found = self.candidates(text, window)
-            found = {(i, j): f for (i, j), f in found.items() if not any(taken[i:j])} if near else found
-            for i, j, t in self.best(len(window), self.scores(found)) if found else ():
-                s, e = window[i][0], window[j - 1][1]
-                if not out or s >= out[-1][2]:
-                    out.append((t, s, e))
-        return out
+    def entities(self) -> list[tuple[int, int, int]]:
+        """type, start, end in the text."""
+        return [(t, self.starts[i], self.ends[j - 1]) for i, j, t in self.best()]
 
 
 class Trainer:
@@ -353,7 +433,7 @@ def variants(kind: int, own: str, number: int) -> list[tuple[str, bool]]:
         wrong = digits[:5] + str((int(digits[5]) + 1 + number % 8) % 10) + digits[6:]
         four = lambda x, c: c.join(x[p : p + 4] for p in range(0, len(x), 4))
         cue = pick("card", "visa", "card no.", "Mastercard")
-        return [(four(digits, pick(".", "/")), True), (f"{cue} {pick(wrong, four(wrong, ' '), four(wrong, '-'))}", True), (f"{pick('order', 'id', 'no.', 'ref')} {wrong}", False), (wrong, False), (four(wrong, pick(" ", "-")), True)]
+        return [(four(digits, pick(".", "/")), True), (f"{cue} {pick(wrong, four(wrong, ' '), four(wrong, '-'))}", True), (f"{pick('order', 'id', 'no.', 'ref')} {pick(wrong, four(wrong, ' '), four(wrong, '-'))}", False), (pick(wrong, f"{wrong[0]} {wrong[1:8]} {wrong[8:]}", f"{wrong[:6]} {wrong[6:12]} {wrong[12:]}"), False), (four(wrong, pick(" ", "-")), True)]
     short = digits[-10:]
     a, b, c = short[:3], short[3:6], short[6:]
     cue = pick("tel", "phone", "call", "fax")
@@ -361,20 +441,32 @@ def variants(kind: int, own: str, number: int) -> list[tuple[str, bool]]:
 
 
 #: Fixed values. Numbers that are no personal data, shown in place of spans.
-PLAIN = ("12.5", "2024", "35", "1,250", "3.0", "17", "0.5", "10:30", "1999-12-31", "600", "2024-01-01 10:30", "1,234,567,890", "12345678", "978-3-16-148410-0", "3.14159265", "31.12.1999", "f33e61083db5dbdf4bd2369d", "1.2.3", "2024010112", "100 000 000")
+PLAIN = (
+    "12.5", "2024", "35", "1,250", "3.0", "17", "0.5", "10:30", "1999-12-31", "600", "2024-01-01 10:30", "1,234,567,890", "12345678", "978-3-16-148410-0", "3.14159265", "31.12.1999", "f33e61083db5dbdf4bd2369d", "1.2.3", "2024010112", "100 000 000",
+    "48.8566 2.3522", "40.7128, -74.0060", "-33.8688 151.2093", "lat 52.5200 lon 13.4050", "10 20 30 40 50 60 70 80", "101 202 303 404 505 606", "12 345 678", "2023, 1 400 000", "2021 2022 2023 2024", "3 450 000 and 2 100 000", "7 1234567 1234568 1234569", "1.5 2.5 3.5 4.5", "12,500,000",
+    "0.1 0.22 0.333 0.4444", "1990 - 1995", "3 x 4 x 5", "55 1200 78 3400 91", "1000 2000 3000",
+)
+
+
+def figures(number: int) -> str:
+    """A row of numbers as tables have them, of any lengths, which is no personal data."""
+    rng = random.Random(number)
+    most = rng.randrange(2, 8)
+    parts = ["".join(rng.choice("0123456789") for _ in range(rng.randrange(1, most))) for _ in range(rng.randrange(3, 14))]
+    return rng.choice([" ", " ", ", ", " - ", ". ", "-"]).join(parts)
 
 
 def shown(text: str, spans: list[tuple[int, int, int]], number: int) -> Iterator[tuple[str, list[tuple[int, int, int]]]]:
-    """A window's text with its spans as they are, then for each kind of variant with other writings in their place, and with plain numbers."""
+    """A window's text with its spans as they are, then for each kind of variant with other writings in their place, and with plain numbers and rows of them."""
     yield text, spans
     spans = sorted(spans, key=lambda x: x[1])
-    for turn in range(6):
+    for turn in range(8):
         out, moved, at, size = [], [], 0, 0
         for k, (t, s, e) in enumerate(spans):
             if s < at:
                 continue
             forms = variants(t, text[s:e], number + k + turn)
-            own, real = forms[turn] if turn < len(forms) else (PLAIN[(number + k + turn) % len(PLAIN)], False)
+            own, real = forms[turn] if turn < len(forms) else (figures(8 * number + k + turn) if turn > 5 else PLAIN[(number + k + turn) % len(PLAIN)], False)
             out += [text[at:s], own]
             size += s - at
             if real:
@@ -385,27 +477,36 @@ def shown(text: str, spans: list[tuple[int, int, int]], number: int) -> Iterator
         yield "".join([*out, text[at:]]), moved
 
 
+#: What a text with a base span holds for certain (not the other way round), for the JVM to look for.
+MAY_HOLD = r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.[A-Za-z0-9-]|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|[0-9](?:[ -]?[0-9]){15}|\+[0-9][ ().0-9-]+[0-9]"
+
+
 def train(docs: DataFrame, sample: int = 1500, rounds: int = 4, most_windows: int = 160, most_chars: int = 1000) -> Field:
     """Fits on windows of at most `sample` documents with a base span: distinct texts with the smallest hashes.
 
-    Of each document at most four windows of up to `most_chars` characters with a base span reach the driver,
-    and `most_windows` in all: that bounds what it holds. Each is shown as it stands and in seven other ways.
+    Holders of base spans are looked for in all documents, however rare they are; without any the field is empty and
+    adds nothing. Of each at most four windows of up to `most_chars` characters with a base span reach the driver,
+    and `most_windows` in all: that bounds what it holds. Each is shown as it stands and in eight other ways.
     """
-    rows = docs.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("text").alias("h"), "text")
+    rows = docs.where(F.col("text").rlike(MAY_HOLD)).select(F.xxhash64("text").alias("h"), "text")
+
+    def holders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"h": [h for h, text in zip(pdf["h"], pdf["text"], strict=True) if base_spans(text)]}, dtype="int64")
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for h, text in zip(pdf["h"], pdf["text"]):
                 base, n = base_spans(text), 0
-                for k, window in enumerate(stream(text)) if base else ():
+                for k, window in enumerate(stream(text, most_chars)) if base else ():
                     lo, hi = window[0][0], window[-1][1]
                     if n < 4 and hi - lo <= most_chars and any(lo <= s and e <= hi for _, s, e in base):
                         out.append((h, k, text[lo:hi]))
                         n += 1
             yield pd.DataFrame(out, columns=["h", "k", "piece"])
 
-    chosen = small_batches(rows).select("h").distinct().orderBy("h").limit(sample)
+    chosen = small_batches(rows).mapInPandas(holders, "h long").distinct().orderBy("h").limit(sample)
     found = rows.join(F.broadcast(chosen), "h").mapInPandas(pieces, "h long, k int, piece string")
     found = found.dropDuplicates(["h", "k"]).orderBy("h", "k").limit(most_windows).collect()
     ready, field = [], Field()
@@ -416,6 +517,8 @@ def train(docs: DataFrame, sample: int = 1500, rounds: int = 4, most_windows: in
                 own = field.candidates(body, window) if gold is not None else {}
                 if own and all((i, j) in own for i, j, _ in gold):
                     ready.append((len(window), own, gold))
+    if not ready:
+        return Field()
     trainer = Trainer(ready)
     for r in range(rounds):
         for example in trainer.examples:
