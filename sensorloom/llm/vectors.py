@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Rows of the sample that reaches the driver.
-SAMPLE = 4096
+#: Rows of the sample that reaches the driver, and the share of all rows that it has at most.
+SAMPLE, SAMPLE_SHARE = 4096, 0.1
 MOST_CELLS, MOST_TASKS = 512, 4096
 #: Queries of a group.
 QUERY_ROWS = 1024
@@ -75,23 +75,25 @@ class Index:
         pass
 
 
-def sample_of(rows: DataFrame, width: int, size: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sample_of(rows: DataFrame, width: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """ids, uids and vectors of at most `size` rows: those with the smallest hashes."""
     got = rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id", "uid").limit(size).toPandas()
     return got["vec_id"].to_numpy(np.int64), got["uid"].to_numpy(np.int64), as_matrix(got["v"], width)
 
 
 def looked_up(vectors: DataFrame, every: int, top: int, shard_rows: int, index_of, best_first: int) -> DataFrame:
-    """query_id, query_uid, vec_id, uid, score (double or long), looked: what search() of every part found.
+    """query_id, query_uid, vec_id, uid, score (double or long), looked, sampled: what search() of every part found, and first().
 
-    looked counts the rows that a query was compared with in a part; it stands on the first row of each, which
-    has no vec_id where nothing was found. index_of(sample, width) builds the Index on the driver.
+    looked counts the rows that a query was compared with in a part, or in the sample; it stands on the first row of
+    each, which has no vec_id where nothing was found. sampled: whether a row comes from the sample alone, which
+    holds SAMPLE rows and a share of SAMPLE_SHARE at most. index_of(sample, width) builds the Index on the driver.
     """
     kept = materialize(vectors.withColumn("uid", F.monotonically_increasing_id()), "vectors")
     asks = F.coalesce(F.count_if(F.col("vec_id") % every == 0), F.lit(0))
     n, width = kept.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     width = max(1, width)
-    index: Index = index_of(sample_of(kept, width), width, max(1, min(MOST_CELLS, -(-n // shard_rows))))
+    size = min(SAMPLE, int(SAMPLE_SHARE * n))
+    index: Index = index_of(sample_of(kept, width, size), width, max(1, min(MOST_CELLS, -(-n // shard_rows))))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -148,8 +150,10 @@ def looked_up(vectors: DataFrame, every: int, top: int, shard_rows: int, index_o
     rows = rows.select("c", "p", "g", "vec_id", "uid", "v", "t").repartition(tasks, "c", "p", "g")
     sent = sent.repartition(tasks, "cell", "part", "grp")
     found = rows.groupBy("c", "p", "g").cogroup(sent.groupBy("cell", "part", "grp")).applyInPandas(run, f"query_id long, query_uid long, vec_id long, uid long, score {kind}, looked long")
-    seen = own.select(F.col("vec_id").alias("query_id"), F.col("uid").alias("query_uid"), F.explode(F.arrays_zip("ids", "uids", "scores")).alias("s"))
-    return found.unionByName(seen.select("query_id", "query_uid", F.col("s.ids").alias("vec_id"), F.col("s.uids").alias("uid"), F.col("s.scores").cast(kind).alias("score"), F.lit(0).cast("long").alias("looked")))
+    seen = own.select(F.col("vec_id").alias("query_id"), F.col("uid").alias("query_uid"), F.posexplode_outer(F.arrays_zip("ids", "uids", "scores")).alias("k", "s"))
+    looked = F.when(F.coalesce("k", F.lit(0)) == 0, size).otherwise(0).cast("long")
+    seen = seen.select("query_id", "query_uid", F.col("s.ids").alias("vec_id"), F.col("s.uids").alias("uid"), F.col("s.scores").cast(kind).alias("score"), looked.alias("looked"), F.lit(True).alias("sampled"))
+    return found.withColumn("sampled", F.lit(False)).unionByName(seen)
 
 
 def best(found: DataFrame, top: int, best_first: int) -> DataFrame:
