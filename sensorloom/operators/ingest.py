@@ -89,12 +89,28 @@ def attach_malformed(rounds: DataFrame, malformed: DataFrame) -> DataFrame:
     return total.select("device", "ts", (F.col("total") - before).alias("malformed"))
 
 
-def mask_bits(rounds: DataFrame) -> DataFrame:
-    """device, ts, missing_mask: bit c is set where channel c is missing."""
+def missing_bits():
+    """The int whose bit c is set where channel c is missing."""
     bits = F.lit(0)
     for c in range(CHANNELS):
         bits = bits + F.when(F.col(f"x{c}").isNull(), 1 << c).otherwise(0)
-    return rounds.select("device", "ts", bits.cast("int").alias("missing_mask"))
+    return bits.cast("int")
+
+
+def mask_bits(rounds: DataFrame) -> DataFrame:
+    """device, ts, missing_mask: bit c is set where channel c is missing."""
+    return rounds.select("device", "ts", missing_bits().alias("missing_mask"))
+
+
+def degraded(rounds: DataFrame, parameters: DataFrame) -> DataFrame:
+    """Adds bypass_mask and substituted_mask, 0 during warm-up: the channels whose scale is bypassed or replaced.
+
+    parameters(device, channel, bypass, substituted), a row a channel.
+    """
+    bits = lambda c: F.bit_or(F.when(F.col(c), F.expr("shiftleft(1, channel)")).otherwise(0)).cast("int")
+    masks = parameters.groupBy("device").agg(bits("bypass").alias("b"), bits("substituted").alias("s"))
+    own = lambda c: F.when(F.col("warmup"), 0).otherwise(F.coalesce(c, F.lit(0)))
+    return rounds.join(masks, "device", "left").withColumns({"bypass_mask": own("b"), "substituted_mask": own("s")}).drop("b", "s")
 
 
 def unpack_mask(masked: DataFrame) -> DataFrame:
@@ -112,10 +128,13 @@ def guard_masks(cells: DataFrame) -> DataFrame:
 def monitor(rounds: DataFrame, cells: DataFrame, width: int) -> DataFrame:
     """Tumbling windows of `width` seconds: sums, unions of masks, and the last round's incompleteness and runs of equal values.
 
-    rounds(device, ts, incomplete, dup_keys, unknown_sensor, censored, warmup, cold), cells as for guard_masks().
+    rounds(device, ts, x0..x4, incomplete, dup_keys, unknown_sensor, censored, warmup, cold) and, where they are known,
+    malformed, rssi_sentinel, bypass_mask and substituted_mask (else 0); cells as for guard_masks(). A channel is
+    degraded in a window if it is bypassed or substituted in one of its rounds.
     """
     end = ((F.floor(F.col("ts") / width) + 1) * width).alias("window_end")
-    rows = rounds.join(mask_bits(rounds), ["device", "ts"]).join(guard_masks(cells), ["device", "ts"], "left")
+    more = {c: F.lit(0) for c in ("malformed", "rssi_sentinel", "bypass_mask", "substituted_mask") if c not in rounds.columns}
+    rows = rounds.withColumns({**more, "missing_mask": missing_bits()}).join(guard_masks(cells), ["device", "ts"], "left")
     rows = rows.withColumn("stuck_mask", F.coalesce("stuck_mask", F.lit(0))).withColumn("floor_mask", F.coalesce("floor_mask", F.lit(0)))
     none = F.array_repeat(F.lit(0).cast("long"), CHANNELS)
     return rows.groupBy("device", end).agg(
@@ -126,6 +145,11 @@ def monitor(rounds: DataFrame, cells: DataFrame, width: int) -> DataFrame:
         F.count_if("censored").alias("censored"),
         F.count_if("warmup").alias("warmup"),
         F.count_if("cold").alias("cold"),
+        F.sum(F.coalesce("malformed", F.lit(0))).alias("malformed"),
+        F.sum(F.coalesce("rssi_sentinel", F.lit(0))).alias("rssi_sentinel"),
+        F.sum(F.bit_count("bypass_mask")).alias("bypassed"),
+        F.sum(F.bit_count("substituted_mask")).alias("substituted"),
+        F.bit_or(F.col("bypass_mask").bitwiseOR(F.col("substituted_mask"))).alias("degraded_mask"),
         F.bit_or("missing_mask").alias("missing_mask"),
         F.count_if(F.col("stuck_mask") != 0).alias("stuck_rounds"),
         F.bit_or("stuck_mask").alias("stuck_mask"),

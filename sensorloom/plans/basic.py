@@ -13,6 +13,8 @@ GUARD = Guard(thresholds=(2, 2, 2, 2, 2), floors={0: (10.0,)}, gap=2 * PERIOD)
 COLD = 4 * PERIOD
 WARMUP = 40
 SCALER = Scaler(rounds=WARMUP)
+#: So that some channels have too little spread and some have it replaced.
+DEGRADED = Scaler(rounds=WARMUP, epsilon=35.0, relative=0.56)
 Q, S = {}, {}
 
 
@@ -132,18 +134,28 @@ counted AS (SELECT *, row_number() OVER (PARTITION BY device, channel, run ORDER
   SELECT device, ts, CAST(bit_or(CASE WHEN n >= 2 AND NOT (channel = 0 AND x = 10.0) THEN 1 << CAST(channel AS INTEGER) ELSE 0 END) AS INTEGER) AS s, CAST(bit_or(CASE WHEN n >= 2 AND channel = 0 AND x = 10.0 THEN 1 ELSE 0 END) AS INTEGER) AS f,
     {', '.join(f'coalesce(max(CASE WHEN channel = {c} AND n >= 2 THEN n END), 0) AS l{c}, coalesce(max(CASE WHEN channel = {c} AND n >= 2 THEN start END), 0) AS b{c}' for c in range(5))}
   FROM counted GROUP BY device, ts
+), tt AS (SELECT device, channel, CASE WHEN channel = 4 THEN ln(1 + x) ELSE x END AS t FROM cells JOIN (SELECT device, ts FROM (SELECT device, ts, row_number() OVER (PARTITION BY device ORDER BY ts) AS k FROM rounds) WHERE k <= {WARMUP}) USING (device, ts) WHERE x IS NOT NULL
+), qq AS (SELECT device, channel, quantile_cont(t, 0.75) - quantile_cont(t, 0.25) AS iqr, quantile_cont(t, 0.95) - quantile_cont(t, 0.05) AS body FROM tt GROUP BY device, channel
+), masks AS (SELECT device, CAST(bit_or(CASE WHEN iqr <= {DEGRADED.epsilon} THEN 1 << CAST(channel AS INTEGER) ELSE 0 END) AS INTEGER) AS by_,
+    CAST(bit_or(CASE WHEN iqr > {DEGRADED.epsilon} AND iqr < {DEGRADED.relative} * body AND body > {DEGRADED.epsilon} AND body / {DEGRADED.body} > {DEGRADED.epsilon} THEN 1 << CAST(channel AS INTEGER) ELSE 0 END) AS INTEGER) AS su_ FROM qq GROUP BY device
+), lows AS (SELECT device, ts, count(*) FILTER (WHERE sensor = 'view' AND value < 5) AS low FROM readings GROUP BY device, ts
 ), bits AS (
   SELECT m.*, (x0 IS NULL)::INTEGER + 2 * (x1 IS NULL)::INTEGER + 4 * (x2 IS NULL)::INTEGER + 8 * (x3 IS NULL)::INTEGER + 16 * (x4 IS NULL)::INTEGER AS m, coalesce(s, 0) AS s, coalesce(f, 0) AS f,
-    concat_ws(',', {', '.join(f'coalesce(l{c}, 0)' for c in range(5))}) AS lens, concat_ws(',', {', '.join(f'coalesce(b{c}, 0)' for c in range(5))}) AS begins
-  FROM marked m LEFT JOIN g USING (device, ts)
+    concat_ws(',', {', '.join(f'coalesce(l{c}, 0)' for c in range(5))}) AS lens, concat_ws(',', {', '.join(f'coalesce(b{c}, 0)' for c in range(5))}) AS begins,
+    CASE WHEN warmup THEN 0 ELSE coalesce(by_, 0) END AS by_, CASE WHEN warmup THEN 0 ELSE coalesce(su_, 0) END AS su_, coalesce(low, 0) AS low
+  FROM marked m LEFT JOIN g USING (device, ts) LEFT JOIN masks USING (device) LEFT JOIN lows USING (device, ts)
 )
 SELECT device, CAST((floor(ts / 86400) + 1) * 86400 AS BIGINT) AS window_end, count(*) AS rounds, count(*) FILTER (WHERE incomplete) AS incomplete, CAST(sum(dup_keys) AS BIGINT) AS dup_keys,
        CAST(sum(unknown_sensor) AS BIGINT) AS unknown_sensor, count(*) FILTER (WHERE censored) AS censored, count(*) FILTER (WHERE warmup) AS warmup, count(*) FILTER (WHERE cold) AS cold,
+       CAST(0 AS BIGINT) AS malformed, CAST(sum(low) AS BIGINT) AS rssi_sentinel, CAST(sum(bit_count(by_)) AS BIGINT) AS bypassed, CAST(sum(bit_count(su_)) AS BIGINT) AS substituted, CAST(bit_or(by_ | su_) AS INTEGER) AS degraded_mask,
        CAST(bit_or(m) AS INTEGER) AS missing_mask, count(*) FILTER (WHERE s <> 0) AS stuck_rounds, bit_or(s) AS stuck_mask, count(*) FILTER (WHERE f <> 0) AS floor_rounds, bit_or(f) AS floor_mask,
        arg_max(incomplete, ts) AS last_incomplete, arg_max(lens, ts) AS run_len, arg_max(begins, ts) AS run_start
 FROM bits GROUP BY device, window_end""")
 def monitor_60s(spark, sf_dir):
-    m = ingest.monitor(marked(spark, sf_dir), quality.repeat_runs(coarse(spark, sf_dir), GUARD, COLD), 4 * PERIOD)
+    low = readings(spark, sf_dir).groupBy("device", "ts").agg(F.count_if((F.col("sensor") == "view") & (F.col("value") < 5)).alias("rssi_sentinel"))
+    r = marked(spark, sf_dir).join(low, ["device", "ts"], "left")
+    r = ingest.degraded(r, scaling.calibrate(rounds(spark, sf_dir), EVENTS, DEGRADED))
+    m = ingest.monitor(r, quality.repeat_runs(coarse(spark, sf_dir), GUARD, COLD), 4 * PERIOD)
     flat = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
     return m.select(*[flat(c) if c in ("run_len", "run_start") else c for c in m.columns])
 
