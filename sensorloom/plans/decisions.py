@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import EVENTS, Scaler
 from ..functions.arrays import local_day, local_hour, rounded
-from ..operators import adapt, fleet, outliers, scaling, score, windows
+from ..operators import adapt, decide, fleet, outliers, scaling, score, windows
 from .basic import BINS, DAYS, reference
 from .bindings import PERIOD, ROUNDS, rounds
 from .shared import kept
@@ -153,9 +153,47 @@ def asked(spark, sf_dir):
     return fleet.commands(days, RULES)
 
 
+def confirmed(spark, sf_dir):
+    """Spans of confirmed scores and the models' events, for the days of states(): every third device has two spans, the second one of some after a switch."""
+    d = states(spark, sf_dir).select("device").distinct().where("device % 3 = 0")
+    first = F.struct(F.lit(5 * DAY + 72_000).cast("long").alias("since"), F.lit(7 * DAY + 25_200).cast("long").alias("until"))
+    second = F.struct(F.lit(12 * DAY + 43_200).cast("long").alias("since"), F.lit(None).cast("long").alias("until"))
+    spans = d.select("device", F.explode(F.array(first, second)).alias("s")).select("device", "s.since", "s.until")
+    event = lambda at, kind: F.struct(F.lit(at * DAY).cast("long").alias("at"), F.lit(kind).alias("kind"))
+    every = states(spark, sf_dir).select("device").distinct()
+    events = F.when(F.col("device") % 5 == 4, F.array(event(15, "online"))).when(F.col("device") % 2 == 0, F.array(event(4, "online"), event(11, "switch"))).otherwise(F.array(event(4, "online")))
+    return spans, every.select("device", F.explode(events).alias("e")).select("device", "e.at", "e.kind")
+
+
+def decided(spark, sf_dir, rule=decide.Decision(events=True)):
+    spans, models = confirmed(spark, sf_dir)
+    closed = decide.closed_spans(spans, models)
+    return decide.triggers(states(spark, sf_dir).select("device", "day", "channel", "evaluable", "deviated"), closed, rule), models, rule
+
+
+#: The same spans in SQL, and what triggers on each day.
+_TRIGGERED = f"""{STATES}, devs AS (SELECT DISTINCT device FROM states),
+spans AS (SELECT device, {5 * DAY + 72_000} AS since, {7 * DAY + 25_200} AS until FROM devs WHERE device % 3 = 0
+          UNION ALL SELECT device, {12 * DAY + 43_200}, NULL FROM devs WHERE device % 3 = 0),
+pers2 AS (SELECT device, day, channel, evaluable, deviated, coalesce(lag(day) OVER w = day - 1 AND lag(deviated) OVER w, false) AS before FROM states WINDOW w AS (PARTITION BY device, channel ORDER BY day)),
+perday AS (SELECT device, day, bool_or(evaluable) AS ev, bit_or(CASE WHEN deviated THEN 1 << channel ELSE 0 END) AS dev, bit_or(CASE WHEN deviated AND before THEN 1 << channel ELSE 0 END) AS twice FROM pers2 GROUP BY device, day),
+conf AS (SELECT d.*, (SELECT max(since) FROM spans s WHERE s.device = d.device AND since <= (day + 1) * {DAY} AND (until IS NULL OR until > (day + 1) * {DAY})) AS since FROM perday d),
+masks AS (SELECT *, CASE WHEN NOT ev THEN 0 WHEN since IS NOT NULL THEN dev ELSE twice END + CASE WHEN since < day * {DAY} THEN {1 << decide.PERF} ELSE 0 END AS mask FROM conf),
+present AS (SELECT day, count(*) AS n FROM masks WHERE ev GROUP BY day),
+bits AS (SELECT unnest([0, 1, 2, 3, 4, {decide.PERF}]) AS b), counts AS (SELECT day, b, count(*) FILTER (WHERE ev AND (mask >> b) & 1 = 1) AS n FROM masks CROSS JOIN bits GROUP BY ALL)"""
+
+
+@query(f"""WITH {_TRIGGERED} SELECT m.device, CAST(m.day AS BIGINT) AS day, CAST(mask AS BIGINT) AS mask,
+CASE WHEN (SELECT max(n) FROM counts c JOIN bits USING (b) WHERE c.day = m.day AND (m.mask >> b) & 1 = 1) >= greatest(2, ceil(p.n * 0.75)) THEN 'global' ELSE 'local' END AS scope,
+(SELECT count(*) FROM masks o WHERE o.day = m.day AND o.ev AND o.mask & m.mask <> 0) AS co FROM masks m JOIN present p USING (day) WHERE mask <> 0""")
+def cmd_triggers(spark, sf_dir):
+    """What persists at the end of each day, whether it is the fleet's, and how many devices share it."""
+    return decided(spark, sf_dir)[0].where("mask <> 0").select("device", F.col("day").cast("long").alias("day"), "mask", "scope", "co")
+
+
 @query()
 def cmd_tick(spark, sf_dir):
-    return asked(spark, sf_dir)
+    return decide.decisions(*decided(spark, sf_dir))
 
 
 @query(f"""WITH {ALERTS} SELECT device, tick // {DAY} AS day, label, count(*) AS n FROM alerts GROUP BY ALL""")
