@@ -160,6 +160,27 @@ def phases(readings: DataFrame, period: int) -> DataFrame:
     return readings.groupBy("device", F.pmod("at", F.lit(period)).alias("phase")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def shifted_copies(readings: DataFrame, unit: int, period: int, dense: int, least: int, search: int = 90) -> DataFrame:
+    """device, day, phase, n, shift, hits of the streams of a dense day: the shift in days at which most of a stream's times are times of the device too.
+
+    readings(device, at); times are steps of `unit` seconds, a day is dense with more than `dense` of them, a stream has
+    those of one phase (step modulo `period`), `least` or more. Each time votes for the shifts to days within `search` at
+    which it stands again: an equal second of the day is the join's key, so no shift is tried that nothing speaks
+    for. Equal votes go to the later day; a stream without any has a null shift.
+    """
+    step = F.floor(F.col("at") / unit)
+    a_day = 86_400 // unit
+    stamps = readings.select("device", step.alias("step")).distinct().withColumns({"day": F.floor(F.col("step") / a_day), "slot": F.pmod("step", F.lit(a_day))})
+    days = stamps.groupBy("device", "day").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > dense).select("device", "day")
+    own = stamps.join(days, ["device", "day"]).withColumn("phase", F.pmod("step", F.lit(period)))
+    streams = own.groupBy("device", "day", "phase").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    others = stamps.select("device", "slot", F.col("day").alias("other"))
+    votes = own.join(others, ["device", "slot"]).withColumn("shift", F.col("other") - F.col("day")).where((F.col("shift") != 0) & (F.abs("shift") <= search))
+    votes = votes.groupBy("device", "day", "phase", "shift").agg(F.count(F.lit(1)).alias("hits"))
+    best = votes.groupBy("device", "day", "phase").agg(F.max(F.struct("hits", "shift")).alias("b"))
+    return streams.join(best, ["device", "day", "phase"], "left").select("device", "day", "phase", "n", F.col("b.shift").alias("shift"), F.coalesce("b.hits", F.lit(0)).alias("hits"))
+
+
 def inventory(lines: DataFrame) -> DataFrame:
     """path, lines, headers: of text read with the column value, by file."""
     return lines.groupBy(F.input_file_name().alias("path")).agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.lower("value").startswith("time,")).alias("headers"))

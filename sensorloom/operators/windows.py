@@ -8,15 +8,22 @@ from pyspark.sql import functions as F
 from ..config import CHANNELS
 
 
-def count_windows(rounds: DataFrame, length: int) -> DataFrame:
+def count_windows(rounds: DataFrame, length: int, flag: str | None = None) -> DataFrame:
     """device, window, start, stop, x (array of rounds' values) of each full window of `length` consecutive rounds.
 
-    Windows count rounds, not seconds: they go on across gaps.
+    Windows count rounds, not seconds: they go on across gaps. flag: a boolean column of rounds, of which a window
+    keeps whether any of its rounds has it.
     """
     number = F.row_number().over(Window.partitionBy("device").orderBy("ts")) - 1
-    rows = rounds.select("device", "ts", F.array(*[f"x{c}" for c in range(CHANNELS)]).alias("x"), F.floor(number / length).alias("window"))
-    each = rows.groupBy("device", "window").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("start"), F.max("ts").alias("stop"), F.array_sort(F.collect_list(F.struct("ts", "x"))).alias("rows"))
-    return each.where(F.col("n") == length).select("device", "window", "start", "stop", F.col("rows.x").alias("x"))
+    more = [flag] if flag else []
+    rows = rounds.select("device", "ts", F.array(*[f"x{c}" for c in range(CHANNELS)]).alias("x"), F.floor(number / length).alias("window"), *more)
+    each = rows.groupBy("device", "window").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("start"), F.max("ts").alias("stop"), F.array_sort(F.collect_list(F.struct("ts", "x"))).alias("rows"), *[F.max(c).alias(c) for c in more])
+    return each.where(F.col("n") == length).select("device", "window", "start", "stop", F.col("rows.x").alias("x"), *more)
+
+
+def clean_training(windows: DataFrame, flag: str) -> DataFrame:
+    """Windows without the training ones that have the flag: a model must not learn what it is to find."""
+    return windows.where(~((F.col("part") == "train") & F.col(flag)))
 
 
 def split_windows(windows: DataFrame, per_day: int, length: int, days: tuple[int, int, int]) -> DataFrame:
@@ -93,11 +100,16 @@ def intervals_of(events: DataFrame, segments: DataFrame, tail: int) -> DataFrame
     return s.join(events, (events["device"] == s["device"]) & events["ts"].between(s["start"], s["stop"] + tail), "left").groupBy("segment").agg(F.count(events["ts"]).alias("events"))
 
 
-def overlapping(windows: DataFrame, gaps: DataFrame) -> DataFrame:
-    """device, window, gaps: how many gaps(device, start, stop) a window(device, window, start, stop) spans."""
-    g = gaps.select("device", F.col("start").alias("g_start"), F.col("stop").alias("g_stop"))
-    both = windows.select("device", "window", "start", "stop").join(g, "device", "left").where(F.col("g_start").isNull() | ((F.col("g_start") < F.col("stop")) & (F.col("g_stop") > F.col("start"))))
-    return both.groupBy("device", "window").agg(F.count("g_start").alias("gaps")).where("gaps > 0")
+def overlapping(windows: DataFrame, gaps: DataFrame, bucket: int = 7 * 86_400) -> DataFrame:
+    """device, window, gaps: how many gaps(device, start, stop) a window(device, window, start, stop) spans.
+
+    Both sides stand in every bucket of time that they touch; a pair counts in the one where the later of them begins.
+    """
+    touched = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bucket), F.floor(F.col(b) / bucket))).alias("b")
+    g = gaps.select("device", F.col("start").alias("g_start"), F.col("stop").alias("g_stop"), touched("start", "stop"))
+    both = windows.select("device", "window", "start", "stop", touched("start", "stop")).join(g, ["device", "b"])
+    both = both.where((F.col("g_start") < F.col("stop")) & (F.col("g_stop") > F.col("start")) & (F.col("b") == F.floor(F.greatest("start", "g_start") / bucket)))
+    return both.groupBy("device", "window").agg(F.count(F.lit(1)).alias("gaps"))
 
 
 def same_days(readings: DataFrame, channels: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..config import EVENTS, Guard, Scaler
 from ..functions.arrays import rounded
 from ..operators import ingest, profile, quality, scaling
-from .bindings import CELLS, PERIOD, READINGS, ROUNDS, VALUES, readings, rounds, table, values
+from .bindings import CELLS, COPIED, PERIOD, READINGS, ROUNDS, VALUES, copied, readings, rounds, table, values
 
 GUARD = Guard(thresholds=(2, 2, 2, 2, 2), floors={0: (10.0,)}, gap=2 * PERIOD)
 COLD = 4 * PERIOD
@@ -103,9 +103,10 @@ def warmup_freeze(spark, sf_dir):
     return marked(spark, sf_dir).select("device", "ts", F.col("number").cast("long").alias("number"), "warmup", "cold")
 
 
-@query(f"WITH {ROUNDS} SELECT device, ts FROM (SELECT device, ts, ts - lag(ts) OVER (PARTITION BY device ORDER BY ts) AS d FROM rounds) WHERE d > {PERIOD}")
+@query(f"WITH {ROUNDS} SELECT device, ts FROM (SELECT device, ts, ts - lag(ts) OVER (PARTITION BY device ORDER BY ts) AS d FROM rounds WHERE NOT incomplete) WHERE d > {PERIOD}")
 def cold_start(spark, sf_dir):
-    return quality.cold_start(rounds(spark, sf_dir), PERIOD).where("cold").select("device", "ts")
+    """Cold starts of complete rounds: the round before is more than a period away."""
+    return quality.cold_start(rounds(spark, sf_dir).where("NOT incomplete"), PERIOD).where("cold").select("device", "ts")
 
 
 @query(f"""WITH {MARKED} SELECT device, count(*) AS rounds, count(*) FILTER (WHERE warmup) AS warmup, count(*) FILTER (WHERE NOT warmup AND incomplete) AS missing,
@@ -174,9 +175,10 @@ def run_lengths(spark, sf_dir):
 GAPS = f"""{ROUNDS}, g AS (SELECT device, lag(ts) OVER (PARTITION BY device ORDER BY ts) AS start, ts AS stop FROM rounds)"""
 
 
-@query(f"WITH {GAPS} SELECT device, start, stop, stop - start AS seconds FROM g WHERE stop - start > {PERIOD}")
+@query(f"WITH {ROUNDS}, g AS (SELECT device, lag(ts) OVER (PARTITION BY device ORDER BY ts) AS start, ts AS stop FROM rounds WHERE NOT incomplete) SELECT device, start, stop, stop - start AS seconds FROM g WHERE stop - start > {PERIOD}")
 def gaps(spark, sf_dir):
-    return quality.gaps(rounds(spark, sf_dir), PERIOD)
+    """Gaps between complete rounds."""
+    return quality.gaps(rounds(spark, sf_dir).where("NOT incomplete"), PERIOD)
 
 
 @query(f"WITH {GAPS} SELECT device, start, stop, stop - start AS seconds FROM g WHERE stop - start > 0 ORDER BY seconds DESC, device, start LIMIT 100")
@@ -415,6 +417,20 @@ def phase_streams(spark, sf_dir):
     return profile.phases(readings(spark, sf_dir), 600)
 
 
+STEP, PHASES, DENSE, LEAST_STREAM = 600, 6, 30, 4
+
+
+@query(f"""WITH {COPIED}, st AS (SELECT DISTINCT device, sec // {STEP} AS step FROM copied), stamps AS (SELECT device, step, step // {86400 // STEP} AS day, step % {86400 // STEP} AS slot FROM st),
+dense AS (SELECT device, day FROM stamps GROUP BY ALL HAVING count(*) > {DENSE}), own AS (SELECT s.*, step % {PHASES} AS phase FROM stamps s JOIN dense USING (device, day)),
+streams AS (SELECT device, day, phase, count(*) AS n FROM own GROUP BY ALL HAVING count(*) >= {LEAST_STREAM}),
+votes AS (SELECT o.device, o.day, phase, s.day - o.day AS shift, count(*) AS hits FROM own o JOIN stamps s ON s.device = o.device AND s.slot = o.slot AND s.day <> o.day AND abs(s.day - o.day) <= 90 GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY device, day, phase ORDER BY hits DESC, shift DESC) AS k FROM votes)
+SELECT s.device, s.day, s.phase, s.n, b.shift, coalesce(b.hits, 0) AS hits FROM streams s LEFT JOIN best b ON b.device = s.device AND b.day = s.day AND b.phase = s.phase AND k = 1""")
+def shifted_copies(spark, sf_dir):
+    """The best shift in days of each phase's stream on dense days; some days are copies of those a week before."""
+    return profile.shifted_copies(copied(spark, sf_dir), STEP, PHASES, DENSE, LEAST_STREAM)
+
+
 @query(f"WITH {READINGS} SELECT sensor, round(value, 0) + 0.0 AS value, count(*) AS n FROM readings GROUP BY ALL")
 def mic_distribution(spark, sf_dir):
     return profile.value_counts(readings(spark, sf_dir), 0)

@@ -11,6 +11,7 @@ from ..operators import ingest
 PERIOD = EVENTS.period
 #: Users and suppliers that make one device: devices grow with the tables, a device's own series does not.
 USERS, SUPPLIERS = 20, 12
+START = 1704067200  # 2024-01-01, when the events begin
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,3 +65,19 @@ vals AS (
          unnest([0, 1, 2, 3, 4]) AS channel, unnest([l_quantity, l_extendedprice, l_discount, l_tax, l_extendedprice * (1 - l_discount)]) AS x
   FROM lineitem
 )"""
+
+
+#: Every fourth device's days from the tenth on, five of them, replaced by the days a week before.
+_COPIED = f"device % 4 = 0 AND (sec - {START}) // 86400"
+COPIED = f"""{READINGS}, copied AS (
+  SELECT seq, device, sec, sensor, value FROM readings WHERE NOT coalesce({_COPIED} BETWEEN 10 AND 14, false)
+  UNION ALL SELECT seq, device, sec + {7 * 86400}, sensor, value FROM readings WHERE {_COPIED} BETWEEN 3 AND 7
+)"""
+
+
+def copied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """seq, device, at, sensor, value: readings in which some days are copies of others."""
+    r = readings(spark, sf_dir).select("seq", "device", "at", "sensor", "value")
+    day, some = F.floor((F.col("at") - START) / 86400), F.col("device") % 4 == 0
+    again = r.where(some & day.between(3, 7)).withColumn("at", F.col("at") + 7 * 86400)
+    return r.where(~(some & day.between(10, 14))).unionByName(again)

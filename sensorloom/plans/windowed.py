@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 from ..config import Sliding
 from ..functions.arrays import rounded
 from ..operators import drift, inject, outliers, quality, windows
-from .bindings import PERIOD, READINGS, ROUNDS, readings, rounds, table
+from .bindings import COPIED, PERIOD, READINGS, ROUNDS, START, copied, readings, rounds, table
 
 W = Sliding(window=8 * PERIOD, slide=PERIOD, radius=60.0, k=3)
 RADII, KS = [30.0, 60.0, 90.0], [2, 3]
 DAY = 86400
-START = 1704067200  # 2024-01-01, when the events begin
 Q, S = {}, {}
 
 
@@ -208,10 +207,17 @@ def count_window_60(spark, sf_dir):
     return w.select("device", "window", "start", "stop", rounded(F.aggregate("x", F.lit(0.0), lambda s, r: s + r[0])).alias("total"))
 
 
-@query(f"WITH {WINDOWS}, s AS (SELECT device, CASE WHEN (win + 1) * {L} <= 7 * 2 THEN 'train' WHEN (win + 1) * {L} <= 9 * 2 THEN 'early' WHEN (win + 1) * {L} <= 16 * 2 THEN 'calibrate' ELSE 'online' END AS part FROM cw) SELECT device, part, count(*) AS windows FROM s GROUP BY ALL")
+@query(f"""WITH {WINDOWS}, bad AS (SELECT DISTINCT device, ts FROM found WHERE ts >= window_end - {W.slide}),
+hit AS (SELECT DISTINCT c.device, c.win FROM cw c JOIN bad b ON b.device = c.device AND b.ts BETWEEN c.start AND c.stop),
+s AS (SELECT c.device, CASE WHEN (c.win + 1) * {L} <= 7 * 2 THEN 'train' WHEN (c.win + 1) * {L} <= 9 * 2 THEN 'early' WHEN (c.win + 1) * {L} <= 16 * 2 THEN 'calibrate' ELSE 'online' END AS part, h.win IS NOT NULL AS hit FROM cw c LEFT JOIN hit h ON h.device = c.device AND h.win = c.win)
+SELECT device, part, count(*) AS windows, count(*) FILTER (WHERE hit) AS with_outliers FROM s WHERE NOT (part = 'train' AND hit) GROUP BY ALL""")
 def split_by_count(spark, sf_dir):
-    w = windows.split_windows(windows.count_windows(points(spark, sf_dir), L), 2, L, (7, 9, 16))
-    return w.groupBy("device", "part").agg(F.count(F.lit(1)).alias("windows"))
+    """Windows by part, training windows with an outlier left out."""
+    p = points(spark, sf_dir)
+    bad = outliers.arrival_outliers(outliers.outliers(p, W), W).select("device", "ts").distinct().withColumn("outlier", F.lit(True))
+    w = windows.count_windows(p.join(bad, ["device", "ts"], "left").withColumn("outlier", F.coalesce("outlier", F.lit(False))), L, "outlier")
+    w = windows.clean_training(windows.split_windows(w, 2, L, (7, 9, 16)), "outlier")
+    return w.groupBy("device", "part").agg(F.count(F.lit(1)).alias("windows"), F.count_if("outlier").alias("with_outliers"))
 
 
 @query(f"""WITH {POINTS}, f AS (SELECT device, ts, coalesce(ts - lag(ts) OVER w >= {2 * PERIOD}, false) AS after_outage FROM pts WINDOW w AS (PARTITION BY device ORDER BY ts))
@@ -275,17 +281,21 @@ def join_gap_window(spark, sf_dir):
     return windows.overlapping(windows.count_windows(p, L), quality.gaps(p, PERIOD))
 
 
-@query(f"""WITH {READINGS}, c AS (SELECT device, sec // {DAY} AS day, sensor, count(*) AS n FROM readings WHERE sensor = 'click' GROUP BY ALL), v AS (SELECT device, day, string_agg(sensor || '=' || n, ',' ORDER BY sensor) AS v FROM c GROUP BY ALL),
+@query(f"""WITH {COPIED}, c AS (SELECT device, sec // {DAY} AS day, sensor, count(*) AS n FROM copied GROUP BY ALL), v AS (SELECT device, day, string_agg(sensor || '=' || n, ',' ORDER BY sensor) AS v FROM c GROUP BY ALL),
 p AS (SELECT a.device, a.day, b.day AS other FROM v a JOIN v b ON a.device = b.device AND a.v = b.v AND b.day > a.day)
 SELECT device, day, other, day - row_number() OVER (PARTITION BY device, other - day ORDER BY day) AS run FROM p""")
 def date_run_merge(spark, sf_dir):
-    return windows.same_days(readings(spark, sf_dir).where("sensor = 'click'"), 1)
+    return windows.same_days(copied(spark, sf_dir), 5)
+
+
+#: Channels that count as detection here; the other two as quality.
+DETECTION = ("click", "error", "view")
 
 
-@query(f"WITH {READINGS} SELECT DISTINCT device, ts FROM readings r WHERE NOT EXISTS (SELECT 1 FROM readings k WHERE k.device = r.device AND k.ts = r.ts AND k.sensor = 'click')")
+@query(f"WITH {READINGS} SELECT DISTINCT device, ts FROM readings r WHERE NOT EXISTS (SELECT 1 FROM readings k WHERE k.device = r.device AND k.ts = r.ts AND k.sensor IN {DETECTION})")
 def anti_empty_stamps(spark, sf_dir):
     r = readings(spark, sf_dir).select("device", "ts", "sensor")
-    return r.select("device", "ts").distinct().join(r.where("sensor = 'click'").select("device", "ts").distinct(), ["device", "ts"], "left_anti")
+    return r.select("device", "ts").distinct().join(r.where(F.col("sensor").isin(*DETECTION)).select("device", "ts").distinct(), ["device", "ts"], "left_anti")
 
 
 @query(f"""WITH {INJECTED}, l AS (SELECT seq, device, value FROM changed), r AS (SELECT seq, device, original FROM changed)
