@@ -63,8 +63,9 @@ def tables(confidence: float = 0.99, rho: float = 0.5, longest: int = 2016) -> p
     found = coarse > 0
     out = pd.DataFrame({"w": sizes, "cut": np.where(found, fine, sizes // 2), "root_found": found})
     c, w = out["cut"].to_numpy(float), out["w"].to_numpy(float)
-    out["f_crit"] = f_ppf(p, w - c - 1, c - 1)
-    out["t_crit"] = t_ppf(p, welch(c, w, f_ppf(p, c - 1, w - c - 1)))
+    # Both by the history's degrees of freedom first, as the method states them.
+    out["f_crit"] = f_ppf(p, c - 1, w - c - 1)
+    out["t_crit"] = t_ppf(p, welch(c, w, out["f_crit"].to_numpy()))
     return out
 
 

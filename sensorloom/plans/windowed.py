@@ -340,6 +340,6 @@ def burst(spark, sf_dir):
 
 @query()
 def hddm_w(spark, sf_dir):
-    return drift.hoeffding_events(elements(spark, sf_dir).select("device", "ts", (F.col("value") > 150).cast("int").alias("flag")))
+    return drift.hoeffding_events(elements(spark, sf_dir).select("device", "ts", (F.col("value") > 30).cast("int").alias("flag")))
 
 
