@@ -119,27 +119,26 @@ def day_stats(days: DataFrame, model: DataFrame, bins: int = 400) -> DataFrame:
     days(device, day, channel, x), model as of reference_model. The distance is taken over the reference's
     cells; shift and width are in units of the reference's P90 - P10 (null where that is not positive).
 
-    Values move once, to their device and channel, and are put in order once a day. Between cells that the day
-    uses only the reference's share grows, so the distance lies at the first or last value of a cell.
+    Values are counted by cell and by value before anything is put in order, both with partial sums on the map side:
+    the distance is taken over a day's cells, at most bins + 2 rows, and the percentiles over its distinct values.
+    Between cells that the day uses only the reference's share grows, so the distance lies at the first or last
+    value of a cell.
     """
-    rows = placed(days.where(F.col("x").isNotNull()).join(model.hint("shuffle_hash"), ["device", "channel"]), bins)
+    keys = ["device", "day", "channel"]
+    rows = days.where(F.col("x").isNotNull())
+    lists = model.select("device", "channel", "edges")
+    cells = placed(rows.join(lists.hint("shuffle_hash"), ["device", "channel"]), bins).groupBy(*keys, "cell").agg(F.count(F.lit(1)).alias("c"))
+    cells = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("cell", "c"))).alias("cells"))
+    ranks = F.percentile("x", F.array(*map(F.lit, (0.1, 0.5, 0.9))))
+    each = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), ranks.alias("q")).join(cells, keys).join(model.drop("edges"), ["device", "channel"])
     share = lambda cell: F.when(cell < 1, 0.0).otherwise(F.coalesce(F.get("shares", cell - 1), F.lit(1.0)))
-    rows = rows.select("device", "day", "channel", "x", "m", "p10", "p50", "p90", "cell", share(F.col("cell")).alias("upto"), share(F.col("cell") - 1).alias("before"))
-    part = Window.partitionBy("device", "day", "channel")
-    order = part.orderBy("x")
-    rows = rows.withColumn("r", F.row_number().over(order)).withColumn("first", F.lag("cell", 1, -1).over(order) != F.col("cell")).withColumn("last", F.lead("cell", 1, -1).over(order) != F.col("cell"))
-    begun = F.max(F.when(F.col("first"), F.col("r"))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumn("begun", begun).withColumn("n", F.count(F.lit(1)).over(part))
-    r, n = F.col("r"), F.col("n")
-    gap = F.greatest(F.when(F.col("last"), F.abs(r / n - F.col("upto"))), F.when(F.col("first"), F.abs((r - 1) / n - F.col("before"))))
-    mass = F.max(F.when(F.col("last"), (r - F.col("begun") + 1) / n))
-    rows = rows.groupBy("device", "day", "channel").agg(
-        *[F.max(c).alias(c) for c in ("m", "p10", "p50", "p90")], F.max("n").alias("n"), F.max(gap).alias("d"), mass.alias("max_cell_mass"), *[at_rank(q / 100, n, r - 1, r - 1, F.col("x")).alias(f"q{q}") for q in (10, 50, 90)]
-    )
+    start = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0.0).alias("d"))
+    step = lambda a, c: F.struct((a["upto"] + c["c"]).alias("upto"), F.greatest(a["d"], F.abs(a["upto"] / F.col("n") - share(c["cell"] - 1)), F.abs((a["upto"] + c["c"]) / F.col("n") - share(c["cell"]))).alias("d"))
+    each = each.withColumn("d", F.aggregate("cells", start, step)["d"]).withColumn("mass", F.array_max(F.transform("cells", lambda c: c["c"])) / F.col("n"))
     width = F.col("p90") - F.col("p10")
-    return rows.select(
-        "device", "day", "channel", "n", "d", ks_p(F.col("d"), F.col("n"), F.col("m")).alias("p"),
-        F.when(width > 0, (F.col("q50") - F.col("p50")) / width).alias("shift"), F.when(width > 0, (F.col("q90") - F.col("q10")) / width).alias("width_x"), "max_cell_mass",
+    return each.select(
+        *keys, "n", "d", ks_p(F.col("d"), F.col("n"), F.col("m")).alias("p"),
+        F.when(width > 0, (F.col("q")[1] - F.col("p50")) / width).alias("shift"), F.when(width > 0, (F.col("q")[2] - F.col("q")[0]) / width).alias("width_x"), F.col("mass").alias("max_cell_mass"),
     )
 
 
