@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,14 +45,25 @@ def annotate(rounds: DataFrame, found: DataFrame, s: Sliding) -> DataFrame:
     return own.join(marks, ["device", "ts", "window_end"], "left").withColumn("outlier", F.coalesce("outlier", F.lit(False)))
 
 
-def tagged_union(rounds: DataFrame, context: DataFrame, events: DataFrame) -> DataFrame:
-    """One table of inputs by kind, in order of time and kind where it is consumed."""
+def tagged_union(rounds: DataFrame, context: DataFrame, events: DataFrame, states: DataFrame, models: DataFrame, commands: DataFrame, day: int = 86_400) -> DataFrame:
+    """device, ts, kind, flag, score, word: one table of inputs by kind, in order of time and kind where it is consumed.
+
+    Seven kinds: rounds, context scores, outliers, transitions of the data layer and its day records (both from
+    states(device, day, channel, d, evaluable, transition), at the day's end), events of models and commands.
+    """
+    none = {"flag": F.lit(None).cast("boolean"), "score": F.lit(None).cast("double"), "word": F.lit(None).cast("string")}
+    tagged = lambda kind, rows, ts="ts", **own: rows.select("device", F.col(ts).cast("long").alias("ts"), F.lit(kind).alias("kind"), *[own.get(k, v).alias(k) for k, v in none.items()])
+    days = states.withColumn("ts", (F.col("day") + 1) * day)
     parts = [
-        rounds.select("device", "ts", F.lit("round").alias("kind"), F.col("incomplete").alias("flag"), F.lit(None).cast("double").alias("score")),
-        context.select("device", "ts", F.lit("context").alias("kind"), F.col("above").alias("flag"), "score"),
-        events.select("device", "ts", F.lit("event").alias("kind"), F.lit(True).alias("flag"), F.lit(None).cast("double").alias("score")),
+        tagged("round", rounds, flag=F.col("incomplete")),
+        tagged("context", context, flag=F.col("above"), score=F.col("score")),
+        tagged("event", events, flag=F.lit(True)),
+        tagged("drift", days.where("transition IS NOT NULL"), flag=F.lit(True), score=F.col("d"), word=F.col("transition")),
+        tagged("record", days, flag=F.col("evaluable"), score=F.col("d"), word=F.col("channel").cast("string")),
+        tagged("model", models, "at", word=F.col("kind")),
+        tagged("command", commands, "decided_at", flag=F.col("level") > 0, word=F.col("level").cast("string")),
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return reduce(DataFrame.unionByName, parts)
 
 
 def reconcile(rounds: DataFrame, readings: DataFrame, sensors: tuple[str, ...], tolerance: float) -> DataFrame:

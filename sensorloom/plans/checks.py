@@ -9,7 +9,7 @@ from ..functions.arrays import device_of, rounded
 from ..operators import drift, ingest, outliers, review, score
 from .basic import LINES, lines
 from .bindings import PERIOD, READINGS, ROUNDS, readings, rounds
-from .decisions import STATES, context_windows, scored, states, undone, upper
+from .decisions import COMMAND_ROWS, STATES, commands_of, confirmed, context_windows, scored, states, undone, upper
 from .windowed import DAY, INJECTED, POINTS, PROBE, START, W, elements, injected, points, probed
 
 Q, S = {}, {}
@@ -80,12 +80,16 @@ def join_round_outlier(spark, sf_dir):
     return review.annotate(p, outliers.outliers(p, W), W)
 
 
-@query(f"""WITH {POINTS} SELECT kind, count(*) AS n, count(*) FILTER (WHERE flag) AS flagged, round(sum(score), 4) + 0.0 AS score FROM (
-SELECT 'round' AS kind, incomplete AS flag, NULL AS score FROM rounds UNION ALL SELECT 'context', x4 > 150, x4 FROM pts UNION ALL SELECT 'event', true, NULL FROM found) GROUP BY kind""")
+@query(f"""WITH {POINTS}, {STATES.strip()}, mods AS (SELECT DISTINCT device FROM states) SELECT kind, count(*) AS n, count(*) FILTER (WHERE flag) AS flagged, round(sum(score), 4) + 0.0 AS score, count(DISTINCT word) AS words FROM (
+SELECT 'round' AS kind, incomplete AS flag, NULL AS score, NULL AS word FROM rounds UNION ALL SELECT 'context', x4 > 150, x4, NULL FROM pts UNION ALL SELECT 'event', true, NULL, NULL FROM found
+UNION ALL SELECT 'drift', true, d, transition FROM states WHERE transition IS NOT NULL UNION ALL SELECT 'record', evaluable, d, CAST(channel AS VARCHAR) FROM states
+UNION ALL SELECT 'model', NULL, NULL, 'online' FROM mods UNION ALL SELECT 'model', NULL, NULL, 'switch' FROM mods WHERE device % 5 <> 4 AND device % 2 = 0
+UNION ALL SELECT 'command', level > 0, NULL, CAST(level AS VARCHAR) FROM (SELECT DISTINCT device FROM rounds) CROSS JOIN (VALUES {COMMAND_ROWS}) c(level, e, d, seq)) GROUP BY kind""")
 def union_7(spark, sf_dir):
-    p = points(spark, sf_dir)
-    u = review.tagged_union(rounds(spark, sf_dir), p.select("device", "ts", F.col("x4").alias("score"), (F.col("x4") > 150).alias("above")), outliers.outliers(p, W))
-    return u.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if("flag").alias("flagged"), rounded(F.sum("score"), 4).alias("score"))
+    r, p = rounds(spark, sf_dir), points(spark, sf_dir)
+    context = p.select("device", "ts", F.col("x4").alias("score"), (F.col("x4") > 150).alias("above"))
+    u = review.tagged_union(r, context, outliers.outliers(p, W), states(spark, sf_dir), confirmed(spark, sf_dir)[1], commands_of(r))
+    return u.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if("flag").alias("flagged"), rounded(F.sum("score"), 4).alias("score"), F.count_distinct("word").alias("words"))
 
 
 @query(f"""WITH {ROUNDS} SELECT CAST(channel AS INTEGER) AS channel, count(*) AS cells, count(x) AS equal, CAST(0 AS BIGINT) AS off, count(*) - count(x) AS absent FROM (SELECT unnest([0, 1, 2, 3, 4]) AS channel, unnest([x0, x1, x2, x3, x4]) AS x FROM rounds) GROUP BY channel""")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Fleet
+from ..functions.arrays import murmur2
 from ..operators.ingest import parse_lines
 
 NAME_TIME = r"(\d{4})-?(\d{2})-?(\d{2})"
@@ -57,8 +58,11 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def by_device(readings: DataFrame, partitions: int, known: int = 8) -> DataFrame:
-    """Adds partition: a known device has one of its own, others share by hash."""
-    return readings.withColumn("partition", F.when(F.col("device").between(0, known - 1), F.col("device") % partitions).otherwise(F.pmod(F.hash("device"), F.lit(partitions))).cast("int"))
+    """Adds partition: a known device, numbered from 0, has the one of its number if there is such a one; others share by the hash of their name."""
+    name = F.coalesce(F.col("device").cast("string"), F.lit(""))
+    own = F.col("device").between(0, min(known, partitions) - 1)
+    shared = murmur2(name).bitwiseAND(F.lit(2**31 - 1)) % partitions
+    return readings.withColumn("partition", F.when(own, F.col("device")).otherwise(shared).cast("int"))
 
 
 def write_json(rows: DataFrame, path: str, kind: str) -> None:

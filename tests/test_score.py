@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from sensorloom.functions.arrays import murmur2
 from sensorloom.operators import score
 from sensorloom.plans import decisions, registry
 
@@ -68,3 +69,12 @@ def test_context_scores_against_numpy(spark):
     got = {(r["device"], r["window"]): r["score"] for r in registry.queries()["ctx_score"](spark, SF).collect()}
     assert set(got) == set(want) and got
     assert all(got[k] is None if want[k] is None else np.isclose(got[k], want[k], rtol=1e-6) for k in want)
+
+
+#: Hashes that are published with the topic client.
+HASHES = {"21": -973932308, "foobar": -790332482, "a-little-bit-long-string": -985981536, "a-little-bit-longer-string": -1486304829, "lkjh234lh9fiuh90y23oiuhsafujhadof229phr9h19h89h8": -58897971, "abc": 479470107}
+
+
+def test_hash_of_names(spark):
+    rows = spark.createDataFrame([(k,) for k in HASHES], "name string")
+    assert {r["name"]: r["h"] for r in rows.select("name", murmur2(F.col("name")).alias("h")).collect()} == HASHES
