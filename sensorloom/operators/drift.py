@@ -27,7 +27,7 @@ def welch(c, w, f):
     return (1 / c + f / m) ** 2 / (1 / (c**2 * (c - 1)) + f**2 / (m**2 * (m - 1)))
 
 
-@lru_cache(8)
+@lru_cache(32)
 def tables(confidence: float = 0.99, rho: float = 0.5, longest: int = 2016) -> pd.DataFrame:
     """w, cut, root_found, f_crit, t_crit for windows of LEAST to `longest` elements.
 

@@ -121,21 +121,72 @@ def cleared_outliers(points: DataFrame, s: Sliding, gap: int) -> DataFrame:
     return live.where(F.col("closes").isNull() | (F.col("window_end") <= F.col("closes"))).select("device", "ts", "window_end", "neighbours")
 
 
-def setting_grid(elements: DataFrame, settings: list[dict]) -> DataFrame:
-    """setting, candidates, confirms, revokes of drift events under each setting; a (setting, device) is a task."""
+def setting_events(elements: DataFrame, settings: list[dict]) -> DataFrame:
+    """setting, device, ts, level, during_check, candidate_ts of the drift events under each setting; a (setting, device) is a task.
+
+    elements(granularity, device, ts, value); a setting names its granularity, confidence, rho, longest and patience.
+    """
     tables = [drift.lookup(c["confidence"], c["rho"], c["longest"]) for c in settings]
-    rows = elements.select("device", "ts", "value", F.explode(F.array(*[F.lit(k) for k in range(len(settings))])).alias("setting"))
+    own = F.array(*[F.when(F.col("granularity") == c["granularity"], F.lit(k)) for k, c in enumerate(settings)])
+    rows = elements.select("device", "ts", "value", F.explode(F.array_compact(own)).alias("setting"))
+    columns = ["setting", "device", "ts", "level", "during_check", "candidate_ts"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        k = int(pdf["setting"].iloc[0])
-        d, g, n = drift.Detector(tables[k], settings[k]["longest"]), drift.Gate(settings[k]["rho"], settings[k]["patience"]), {"CANDIDATE": 0, "CONFIRM": 0, "REVOKE": 0}
+        k, device, out = int(pdf["setting"].iloc[0]), pdf["device"].iloc[0], []
+        d, g = drift.Detector(tables[k], settings[k]["longest"]), drift.Gate(settings[k]["rho"], settings[k]["patience"])
         for ts, x in pdf.sort_values("ts", kind="stable")[["ts", "value"]].itertuples(index=False):
-            for e in g.update(int(ts), float(x), d.update(float(x))):
-                n[e["level"]] += 1
-        return pd.DataFrame({"setting": [k], "candidates": [n["CANDIDATE"]], "confirms": [n["CONFIRM"]], "revokes": [n["REVOKE"]]})
+            out += [(k, device, e["ts"], e["level"], e["during_check"], e["candidate_ts"]) for e in g.update(int(ts), float(x), d.update(float(x)))]
+        return pd.DataFrame(out, columns=columns).astype({"during_check": "boolean"})
+
+    # Much work on few bytes: as many partitions as the session has for shuffles.
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "setting", "device")
+    return rows.groupBy("setting", "device").applyInPandas(run, "setting int, device long, ts long, level string, during_check boolean, candidate_ts long")
+
 
-    each = rows.groupBy("setting", "device").applyInPandas(run, "setting int, candidates long, confirms long, revokes long")
-    return each.groupBy("setting").agg(F.sum("candidates").alias("candidates"), F.sum("confirms").alias("confirms"), F.sum("revokes").alias("revokes"))
+def segment_report(events: DataFrame, elements: DataFrame, segments: DataFrame, settings: list[dict], tail: int = 21_600, blind: int = 30) -> DataFrame:
+    """setting, segment, candidates, confirmed, blind_miss, and the delays to the first candidate and confirmation, in seconds and in elements.
+
+    segments(segment, device, start, stop) is a short list of the user's. A candidate belongs to a segment from its start to
+    `tail` seconds after its end, a confirmation by its candidate. After a candidate the detector is blind for `blind`
+    elements: a segment that such a stretch touches and that has no candidate is missed for that reason.
+    """
+    order = Window.partitionBy("granularity", "device").orderBy("ts")
+    grain = F.element_at(F.array(*[F.lit(c["granularity"]) for c in settings]), F.col("setting") + 1)
+    numbered = elements.select("granularity", "device", "ts", F.row_number().over(order).alias("k"), F.coalesce(F.lead("ts", blind).over(order), F.max("ts").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("sees_again"))
+    marked = events.where("level <> 'REVOKE'").withColumn("granularity", grain).join(numbered, ["granularity", "device", "ts"])
+    parts = segments.select("segment", F.col("device").alias("s_device"), "start", "stop")
+    # How many elements came up to a segment's start.
+    before = parts.join(numbered.select("granularity", "device", "ts"), F.col("s_device") == F.col("device"), "left").groupBy("segment", "granularity").agg(F.count_if(F.col("ts") <= F.col("start")).alias("k0"))
+    every = parts.crossJoin(F.broadcast(elements.sparkSession.range(len(settings)).select(F.col("id").cast("int").alias("e_setting"))))
+    met = every.join(marked, (F.col("e_setting") == F.col("setting")) & (F.col("s_device") == F.col("device")), "left").join(before, ["segment", "granularity"], "left")
+    inside = F.col("candidate_ts").between(F.col("start"), F.col("stop") + tail)
+    found, confirmed = inside & (F.col("level") == "CANDIDATE"), inside & (F.col("level") == "CONFIRM")
+    dark = (F.col("level") == "CANDIDATE") & (F.col("ts") <= F.col("stop")) & (F.col("sees_again") >= F.col("start"))
+    first = lambda on: F.min(F.when(on, F.struct(F.col("ts"), F.col("k") - F.col("k0"))))
+    each = met.groupBy(F.col("e_setting").alias("setting"), "segment", "start").agg(
+        F.count_if(found).alias("candidates"), F.max(F.coalesce(confirmed, F.lit(False))).alias("confirmed"), F.max(F.coalesce(dark, F.lit(False))).alias("dark"), first(found).alias("c"), first(confirmed).alias("f")
+    )
+    delay = lambda c, name: [(F.col(f"{c}.ts") - F.col("start")).alias(f"{name}_delay"), F.col(c).getField("col2").cast("long").alias(f"{name}_elements")]
+    return each.select("setting", "segment", "candidates", "confirmed", (F.col("dark") & (F.col("candidates") == 0)).alias("blind_miss"), *delay("c", "candidate"), *delay("f", "confirm"))
+
+
+def grid_summary(events: DataFrame, report: DataFrame, settings: list[dict]) -> DataFrame:
+    """A row a setting with its parameters: events by kind, the share of checks that end in a revocation, what it finds of the segments, and chosen.
+
+    chosen is the setting that confirms most segments, of those the one with the fewest other confirmations, then the
+    one with the least delay, then the first.
+    """
+    names = ("granularity", "confidence", "rho", "patience")
+    table = events.sparkSession.createDataFrame([(k, *[c[n] for n in names]) for k, c in enumerate(settings)], "setting int, granularity string, confidence double, rho double, patience int")
+    kinds = events.groupBy("setting").agg(
+        *[F.count_if(F.col("level") == n).alias(c) for n, c in (("CANDIDATE", "candidates"), ("CONFIRM", "confirms"), ("REVOKE", "revokes"))], F.count_if((F.col("level") == "CANDIDATE") & ~F.col("during_check")).alias("checks")
+    )
+    found = report.groupBy("setting").agg(F.count_if(F.col("candidates") > 0).alias("with_candidate"), F.count_if("confirmed").alias("with_confirm"), F.count_if("blind_miss").alias("blind_misses"), F.avg("confirm_delay").alias("mean_delay"))
+    rows = table.join(kinds, "setting", "left").join(found, "setting", "left").fillna(0, ["candidates", "confirms", "revokes", "checks"])
+    rows = rows.withColumn("blocked", F.when(F.col("checks") > 0, F.col("revokes") / F.col("checks")))
+    # One row a setting, of which the caller states the number.
+    order = Window.orderBy(F.desc("with_confirm"), F.col("confirms") - F.col("with_confirm"), F.asc_nulls_last("mean_delay"), "setting")
+    return rows.withColumn("chosen", F.row_number().over(order) == 1)
 
 
 def confirmed_spans(events: DataFrame, elements: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from ..operators import drift, ingest, outliers, review, score
 from .basic import LINES, lines
 from .bindings import PERIOD, READINGS, ROUNDS, readings, rounds
 from .decisions import COMMAND_ROWS, STATES, commands_of, confirmed, context_windows, scored, states, undone, upper
-from .windowed import DAY, INJECTED, POINTS, PROBE, START, W, elements, injected, points, probed
+from .shared import kept
+from .windowed import DAY, INJECTED, POINTS, PROBE, START, W, elements, injected, points, probed, segments
 
 Q, S = {}, {}
 
@@ -149,12 +150,31 @@ def mcod_cold_clear(spark, sf_dir):
     return review.cleared_outliers(points(spark, sf_dir), W, 2 * PERIOD)
 
 
-SETTINGS = [{"confidence": c, "rho": 0.5, "longest": 2016, "patience": k} for c in (0.99, 0.999) for k in (12, 36)]
+#: Elements of forty readings or single ones, windows of a fortnight either way; three settings each of shift and patience, two of confidence.
+SETTINGS = [{"granularity": g, "confidence": c, "rho": r, "longest": 2016, "patience": k} for g in ("single", "hourly") for c in (0.99, 0.999) for r in (0.1, 0.3, 0.5) for k in (18, 36, 72)]
+
+
+def grid(spark, sf_dir):
+    """Elements of both granularities, the injected faults as segments, and the events of every setting."""
+    e = injected(spark, sf_dir).select("device", F.col("at").cast("long").alias("at"), "seq", "value")
+    hourly = drift.hourly_medians(e.select("device", F.col("at").alias("ts"), "value", F.lit(1).alias("generation"))).select(F.lit("hourly").alias("granularity"), "device", "ts", "value")
+    # A device's readings of one second are one element.
+    single = e.groupBy("device", F.col("at").alias("ts")).agg(F.max("value").alias("value")).select(F.lit("single").alias("granularity"), "device", "ts", "value")
+    both = kept(single.unionByName(hourly), "elements")
+    return both, segments(spark), kept(review.setting_events(both, SETTINGS), "events")
+
+
+@query()
+def drift_grid_segments(spark, sf_dir):
+    """What each of 36 settings finds of each injected fault, and how late."""
+    both, parts, events = grid(spark, sf_dir)
+    return review.segment_report(events, both, parts, SETTINGS)
 
 
 @query()
 def drift_grid_summary(spark, sf_dir):
-    return review.setting_grid(elements(spark, sf_dir), SETTINGS)
+    both, parts, events = grid(spark, sf_dir)
+    return review.grid_summary(events, review.segment_report(events, both, parts, SETTINGS), SETTINGS)
 
 
 #: The model changes within an hour, so that the open hour is thrown away.
