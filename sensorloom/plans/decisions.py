@@ -328,14 +328,14 @@ def context_model(spark, sf_dir):
 
 def scored(w, models, calibrated=None):
     """Scores of windows under models, calibrated on the windows of that part unless that is given."""
-    errors = score.window_errors(score.reconstructed(w, models)).drop("x", "y", "mask")
+    errors = kept(score.window_errors(score.reconstructed(w, models)).drop("x", "y", "mask"), "errors")
     calibrated = score.calibrate(errors.where("part = 'calibrate'")) if calibrated is None else calibrated
     return score.score(errors, calibrated, LIMIT), calibrated
 
 
 @query()
 def ctx_score(spark, sf_dir):
-    w = context_windows(spark, sf_dir)
+    w = kept(context_windows(spark, sf_dir), "windows")
     return scored(w, score.fitted(w))[0].select("device", "window", "start", "stop", "wmse", F.col("z").alias("score"), "mahalanobis", "above")
 
 
