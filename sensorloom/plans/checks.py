@@ -89,7 +89,8 @@ UNION ALL SELECT 'command', level > 0, NULL, CAST(level AS VARCHAR) FROM (SELECT
 def union_7(spark, sf_dir):
     r, p = rounds(spark, sf_dir), points(spark, sf_dir)
     context = p.select("device", "ts", F.col("x4").alias("score"), (F.col("x4") > 150).alias("above"))
-    u = review.tagged_union(r, context, outliers.outliers(p, W), states(spark, sf_dir), confirmed(spark, sf_dir)[1], commands_of(r))
+    s = kept(states(spark, sf_dir), "states")
+    u = review.tagged_union(r, context, outliers.outliers(p, W), s, confirmed(s)[1], commands_of(r))
     return u.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if("flag").alias("flagged"), rounded(F.sum("score"), 4).alias("score"), F.count_distinct("word").alias("words"))
 
 

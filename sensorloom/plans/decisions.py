@@ -153,22 +153,23 @@ def asked(spark, sf_dir):
     return fleet.commands(days, RULES)
 
 
-def confirmed(spark, sf_dir):
-    """Spans of confirmed scores and the models' events, for the days of states(): every third device has two spans, the second one of some after a switch."""
-    d = states(spark, sf_dir).select("device").distinct().where("device % 3 = 0")
+def confirmed(states):
+    """Spans of confirmed scores and the models' events, for the devices of states: every third device has two spans, the second one of some after a switch."""
+    every = states.select("device").distinct()
     first = F.struct(F.lit(5 * DAY + 72_000).cast("long").alias("since"), F.lit(7 * DAY + 25_200).cast("long").alias("until"))
     second = F.struct(F.lit(12 * DAY + 43_200).cast("long").alias("since"), F.lit(None).cast("long").alias("until"))
-    spans = d.select("device", F.explode(F.array(first, second)).alias("s")).select("device", "s.since", "s.until")
+    spans = every.where("device % 3 = 0").select("device", F.explode(F.array(first, second)).alias("s")).select("device", "s.since", "s.until")
     event = lambda at, kind: F.struct(F.lit(at * DAY).cast("long").alias("at"), F.lit(kind).alias("kind"))
-    every = states(spark, sf_dir).select("device").distinct()
     events = F.when(F.col("device") % 5 == 4, F.array(event(15, "online"))).when(F.col("device") % 2 == 0, F.array(event(4, "online"), event(11, "switch"))).otherwise(F.array(event(4, "online")))
     return spans, every.select("device", F.explode(events).alias("e")).select("device", "e.at", "e.kind")
 
 
 def decided(spark, sf_dir, rule=decide.Decision(events=True)):
-    spans, models = confirmed(spark, sf_dir)
+    # Devices, spans and days are read off the same states, which are taken once.
+    s = kept(states(spark, sf_dir), "states")
+    spans, models = confirmed(s)
     closed = decide.closed_spans(spans, models)
-    return decide.triggers(states(spark, sf_dir).select("device", "day", "channel", "evaluable", "deviated"), closed, rule), models, rule
+    return decide.triggers(s.select("device", "day", "channel", "evaluable", "deviated"), closed, rule), models, rule
 
 
 #: The same spans in SQL, and what triggers on each day.
