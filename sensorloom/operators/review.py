@@ -122,25 +122,32 @@ def cleared_outliers(points: DataFrame, s: Sliding, gap: int) -> DataFrame:
 
 
 def setting_events(elements: DataFrame, settings: list[dict]) -> DataFrame:
-    """setting, device, ts, level, during_check, candidate_ts of the drift events under each setting; a (setting, device) is a task.
+    """setting, device, ts, level, during_check, candidate_ts of the drift events under each setting; a (granularity, device) is a task's unit.
 
     elements(granularity, device, ts, value); a setting names its granularity, confidence, rho, longest and patience.
+    Elements are not copied for the settings. Alarms hang on confidence, rho and longest alone, so settings that differ
+    only in patience share a detector; a gate sees its alarms and, while a check runs, the elements.
     """
     tables = [drift.lookup(c["confidence"], c["rho"], c["longest"]) for c in settings]
-    own = F.array(*[F.when(F.col("granularity") == c["granularity"], F.lit(k)) for k, c in enumerate(settings)])
-    rows = elements.select("device", "ts", "value", F.explode(F.array_compact(own)).alias("setting"))
+    alike: dict[tuple, list[int]] = {}
+    for k, c in enumerate(settings):
+        alike.setdefault((c["granularity"], c["confidence"], c["rho"], c["longest"]), []).append(k)
     columns = ["setting", "device", "ts", "level", "during_check", "candidate_ts"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        k, device, out = int(pdf["setting"].iloc[0]), pdf["device"].iloc[0], []
-        d, g = drift.Detector(tables[k], settings[k]["longest"]), drift.Gate(settings[k]["rho"], settings[k]["patience"])
-        for ts, x in pdf.sort_values("ts", kind="stable")[["ts", "value"]].itertuples(index=False):
-            out += [(k, device, e["ts"], e["level"], e["during_check"], e["candidate_ts"]) for e in g.update(int(ts), float(x), d.update(float(x)))]
+        granularity, device, out = pdf["granularity"].iloc[0], pdf["device"].iloc[0], []
+        pdf = pdf.sort_values("ts", kind="stable")
+        ts, x = pdf["ts"].to_numpy(), pdf["value"].to_numpy(float)
+        for (grain, _, rho, longest), own in alike.items():
+            if grain == granularity:
+                found = list(drift.Detector(tables[own[0]], longest).alarms(x))
+                for k in own:
+                    out += [(k, device, e["ts"], e["level"], e["during_check"], e["candidate_ts"]) for e in drift.gated(drift.Gate(rho, settings[k]["patience"]), ts, x, found)]
         return pd.DataFrame(out, columns=columns).astype({"during_check": "boolean"})
 
     # Much work on few bytes: as many partitions as the session has for shuffles.
-    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "setting", "device")
-    return rows.groupBy("setting", "device").applyInPandas(run, "setting int, device long, ts long, level string, during_check boolean, candidate_ts long")
+    rows = elements.select("granularity", "device", "ts", "value").repartition(int(elements.sparkSession.conf.get("spark.sql.shuffle.partitions")), "granularity", "device")
+    return rows.groupBy("granularity", "device").applyInPandas(run, "setting int, device long, ts long, level string, during_check boolean, candidate_ts long")
 
 
 def segment_report(events: DataFrame, elements: DataFrame, segments: DataFrame, settings: list[dict], tail: int = 21_600, blind: int = 30) -> DataFrame:
