@@ -144,8 +144,12 @@ def day_stats(days: DataFrame, model: DataFrame, bins: int = 400) -> DataFrame:
 
 def ks_exact(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """keys, n, m, d: the two-sample KS distance on the merged values. left and right have keys and x."""
-    both = left.select(*keys, "x", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(right.select(*keys, "x", F.lit(0).alias("a"), F.lit(1).alias("b")))
-    each = both.groupBy(*keys, "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return ks_split(left.select(*keys, "x", F.lit(True).alias("left")).unionByName(right.select(*keys, "x", F.lit(False).alias("left"))), keys)
+
+
+def ks_split(values: DataFrame, keys: list[str]) -> DataFrame:
+    """ks_exact() of one table values(keys, x, left), read once; where it is dealt by some of the keys, nothing is exchanged."""
+    each = values.groupBy(*keys, "x").agg(F.count_if("left").alias("a"), F.count_if(~F.col("left")).alias("b"))
     part, upto = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("x")
     each = each.withColumn("n", F.sum("a").over(part)).withColumn("m", F.sum("b").over(part))
     gap = F.abs(F.sum("a").over(upto) / F.col("n") - F.sum("b").over(upto) / F.col("m"))

@@ -223,9 +223,13 @@ ranked AS (SELECT device, channel, x, row_number() OVER (PARTITION BY device, ch
 edges AS (SELECT DISTINCT device, channel, x AS edge FROM ranked JOIN (SELECT unnest(generate_series(0, {BINS})) AS j) ON r = CAST(floor(j * (m - 1) / {BINS}) AS BIGINT))"""
 
 
+def dated(spark, sf_dir):
+    """values() with d, the days since the first one."""
+    return values(spark, sf_dir).withColumn("d", F.col("day") - table(spark, sf_dir, "lineitem").agg(F.min(F.unix_date(F.col("l_shipdate").cast("date")))).scalar())
+
+
 def reference(spark, sf_dir):
-    v = values(spark, sf_dir)
-    days = v.withColumn("d", F.col("day") - table(spark, sf_dir, "lineitem").agg(F.min(F.unix_date(F.col("l_shipdate").cast("date")))).scalar())
+    days = dated(spark, sf_dir)
     return days.where("d < 400").select("device", "channel", "x"), days.where("d >= 400").select("device", F.floor(F.col("d") / 100).alias("day"), "channel", "x")
 
 
@@ -271,8 +275,8 @@ def day_stats(spark, sf_dir):
 c AS (SELECT *, sum(a) OVER p AS n, sum(b) OVER p AS m, sum(a) OVER o AS ca, sum(b) OVER o AS cb FROM both_ WINDOW p AS (PARTITION BY device, channel), o AS (PARTITION BY device, channel ORDER BY x))
 SELECT device, CAST(channel AS INTEGER) AS channel, CAST(max(n) AS BIGINT) AS n, CAST(max(m) AS BIGINT) AS m, round(max(abs(ca / n - cb / m)), 6) + 0.0 AS d FROM c GROUP BY device, channel""")
 def ks_exact(spark, sf_dir):
-    ref, own = reference(spark, sf_dir)
-    return scaling.ks_exact(ref, own.select("device", "channel", "x"), ["device", "channel"]).withColumn("d", rounded(F.col("d")))
+    sides = dated(spark, sf_dir).where("d IS NOT NULL").select("device", "channel", "x", (F.col("d") < 400).alias("left"))
+    return scaling.ks_split(sides, ["device", "channel"]).withColumn("d", rounded(F.col("d")))
 
 
 @query(f"""WITH {REFERENCE}{CELL_SQL}, h AS (SELECT device, channel, cell, sum(a) + 0.5 AS a, sum(b) + 0.5 AS b FROM (

@@ -12,6 +12,8 @@ PERIOD = EVENTS.period
 #: Users and suppliers that make one device: devices grow with the tables, a device's own series does not.
 USERS, SUPPLIERS = 20, 12
 START = 1704067200  # 2024-01-01, when the events begin
+#: Rows of lineitem that one task takes at a time, five values each.
+ROWS_A_TASK = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,11 +32,17 @@ def rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """device, day (days since 1970), channel, x: five measures of lineitem by supplier group and ship date."""
+    """device, day (days since 1970), channel, x: five measures of lineitem by supplier group and ship date.
+
+    Rows are dealt by device before they become five values each: what follows is by device, needs no further
+    exchange, and a task's rows stay as many however large the table is.
+    """
     li = table(spark, sf_dir, "lineitem")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-li.count() // ROWS_A_TASK))
     day = F.unix_date(F.col("l_shipdate").cast("date"))
     cells = F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax", F.col("l_extendedprice") * (1 - F.col("l_discount")))
-    return li.select(F.expr(f"l_suppkey div {SUPPLIERS}").alias("device"), day.alias("day"), F.posexplode(cells).alias("channel", "x"))
+    rows = li.select(F.expr(f"l_suppkey div {SUPPLIERS}").alias("device"), day.alias("day"), cells.alias("cells")).repartition(parts, "device")
+    return rows.select("device", "day", F.posexplode("cells").alias("channel", "x"))
 
 
 #: The same in SQL, as the start of a WITH clause.
