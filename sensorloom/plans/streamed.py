@@ -11,7 +11,7 @@ from ..streaming import keyed, rounds as streams
 from .basic import BINS, CALIBRATED, CELL_SQL, CELL_OF, COLD, DAYS, GUARD, RUNS, SCALER, WARMUP, coarse
 from .bindings import PERIOD, READINGS, readings, rounds
 from .decisions import LAG, RULES, SCHEDULED, SPRING, WARM, commands_of
-from .shared import scratch
+from .shared import kept, scratch
 from .windowed import DAY, FULL, FULL_SQL, POINTS, START, W, points
 
 Q, S = {}, {}
@@ -46,6 +46,7 @@ def last_part(rows, late: int, time: str = "ts"):
 def fed(spark, rows, build, late: int):
     """What build(stream of rows) gives: two parts and a last one, each run to its end and started again from the checkpoint."""
     path, out, state = (scratch(spark, x) for x in ("fed", "out", "state"))
+    rows = kept(rows, "rows")
     halves = parted(rows, late)
     with keyed.rocks(spark):
         for part in (halves.where("part = 0").drop("part"), halves.where("part = 1").drop("part"), last_part(rows, late)):
@@ -57,6 +58,7 @@ def fed(spark, rows, build, late: int):
 def fed_both(spark, left, right, build, late: int, time: str):
     """The same for two streams, the right one a part behind the left one."""
     a, b, out, state = (scratch(spark, x) for x in ("left", "right", "out", "state"))
+    left, right = kept(left, "left_rows"), kept(right, "right_rows")
     lefts, rights = parted(left, late), parted(right, late, time)
     half = lambda rows, k: rows.where(F.col("part") == k).drop("part")
     # After a restart Spark knows the watermark of a source only from its next rows, so both end with a heartbeat.

@@ -55,10 +55,18 @@ class Ordered(StatefulProcessor):
     def opened(self, handle: StatefulProcessorHandle) -> None:
         """Further state of the operator."""
 
+    def wanted(self, row: tuple) -> bool:
+        """Whether fold() has a use for a row; others don't wait."""
+        return True
+
     def fold(self, device, rows: list, watermark: int) -> list[tuple]:
         """Result rows of rows in order; watermark in seconds."""
         raise NotImplementedError
 
+    def wake(self) -> int | None:
+        """When fold() must be called again even if no row waits, in seconds; asked after fold()."""
+        return None
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.names = [c.split()[0] for c in self.row.split(", ")]
@@ -82,6 +90,7 @@ class Ordered(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = [self.plain(r) for frame in rows for r in frame[self.names].itertuples(index=False)]
+        new = [r for r in new if self.wanted(r)]
         if new:
             self.waiting.appendList(new)
             self.arm(1000 * min(r[0] for r in new))
@@ -95,10 +104,12 @@ class Ordered(StatefulProcessor):
         self.due.clear()
         if rest:
             self.waiting.put(rest)
-            self.arm(1000 * rest[0][0])
         else:
             self.waiting.clear()
         found = self.fold(key[0], ready, watermark)
+        times = [t for t in (rest[0][0] if rest else None, self.wake()) if t is not None]
+        if times:
+            self.arm(1000 * min(times))
         if found:
             yield self.frame(key[0], found)
 
@@ -305,23 +316,30 @@ class BinProcessor(Ordered):
     def opened(self, handle: StatefulProcessorHandle) -> None:
         self.bins = handle.getMapState("bins", "bin long", "admitted long, outliers long")
 
+    def wanted(self, row: tuple) -> bool:
+        ts, kind, round_ts = row
+        return kind == 0 or ts - self.slide <= round_ts < ts  # a score of the slide in which the round arrived
+
     def fold(self, device, rows: list, watermark: int) -> list[tuple]:
-        for ts, kind, round_ts in rows:
-            if kind == 1 and not ts - self.slide <= round_ts < ts:
-                continue  # not of the slide in which the round arrived
-            at = (round_ts // self.width * self.width,)
-            admitted, outliers = self.bins.getValue(at) if self.bins.containsKey(at) else (0, 0)
-            if kind == 0 and not admitted and not outliers:
-                self.handle.registerTimer(1000 * (at[0] + self.width + self.slide))
-            self.bins.updateValue(at, (admitted + (kind == 0), outliers + (kind == 1)))
-        out = []
-        for (at,) in sorted(tuple(k) for k in self.bins.keys()):
-            if at + self.width + self.slide <= watermark:
-                admitted, outliers = self.bins.getValue((at,))
-                self.bins.removeKey((at,))
-                if admitted:
-                    out.append((at, admitted, outliers, outliers / admitted))
-        return out
+        """The state's bins are read once and only those that stay open are written."""
+        held = {k[0]: tuple(v) for k, v in self.bins.iterator()}
+        bins = dict(held)
+        for _, kind, round_ts in rows:
+            at = round_ts // self.width * self.width
+            admitted, outliers = bins.get(at, (0, 0))
+            bins[at] = (admitted + (kind == 0), outliers + (kind == 1))
+        over = [at for at in sorted(bins) if at + self.width + self.slide <= watermark]
+        done = [(at, *bins.pop(at)) for at in over]
+        for at in held.keys() - bins.keys():
+            self.bins.removeKey((at,))
+        for at, n in bins.items():
+            if held.get(at) != n:
+                self.bins.updateValue((at,), n)
+        self.next = min(bins) + self.width + self.slide if bins else None
+        return [(at, admitted, outliers, outliers / admitted) for at, admitted, outliers in done if admitted]
+
+    def wake(self) -> int | None:
+        return self.next
 
 
 class CommandProcessor(Ordered):
@@ -372,9 +390,9 @@ class CommandProcessor(Ordered):
 class DayProcessor(StatefulProcessor):
     """Statistics and state of each local day of a device against its frozen reference.
 
-    The reference is the processor's initial state. Each (day, channel) holds mergeable counts of the reference's
-    cells beside its values, whatever order they come in; a timer at the local midnight, a day of 23, 24 or 25 hours
-    after the one before, closes the day once the watermark has passed it.
+    The reference is the processor's initial state. A day keeps its values until a timer at the earliest open day's local
+    midnight, a day of 23, 24 or 25 hours after the one before, closes what the watermark has passed. A device's model
+    and latches are a value each and a day is one, so a batch makes a few calls of the state for each day of a device.
     """
 
     out = "day date, channel int, n long, d double, p double, shift double, width_x double, max_cell_mass double, evaluable boolean, deviated boolean, transition string"
@@ -384,14 +402,18 @@ class DayProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.model = handle.getMapState("model", "channel int", "m long, edges array<double>, shares array<double>, p10 double, p50 double, p90 double")
-        self.open = handle.getMapState("open", "day int, channel int", "n long, cells array<long>, x array<double>")
-        self.rows = handle.getMapState("rows", "day int", "n long, guarded long")
-        self.latch = handle.getMapState("latch", "channel int", "deviated boolean")
+        self.model = handle.getValueState("model", "channel array<int>, m array<long>, edges array<array<double>>, shares array<array<double>>, p10 array<double>, p50 array<double>, p90 array<double>")
+        self.days = handle.getMapState("days", "day int", "n long, guarded long, channel array<int>, x array<double>")
+        self.latch = handle.getValueState("latch", "channel array<int>")
+        self.due = handle.getValueState("due", "at long")
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        model = [list(c) for c in self.model.get()] if self.model.exists() else [[] for _ in range(7)]
         for r in initialState.itertuples(index=False):
-            self.model.updateValue((int(r.channel),), (int(r.m), [float(v) for v in r.edges], [float(v) for v in r.shares], float(r.p10), float(r.p50), float(r.p90)))
+            row = int(r.channel), int(r.m), [float(v) for v in r.edges], [float(v) for v in r.shares], float(r.p10), float(r.p50), float(r.p90)
+            for column, v in zip(model, row, strict=True):
+                column.append(v)
+        self.model.update(tuple(model))
 
     def midnight(self, day: int) -> int:
         """The second at which a local day (in days since 1970) begins."""
@@ -402,48 +424,59 @@ class DayProcessor(StatefulProcessor):
         rows = pd.concat(list(rows))
         local = pd.to_datetime(rows["ts"], unit="s", utc=True).dt.tz_convert(self.zone).dt.tz_localize(None)
         rows = rows.assign(day=(local.dt.normalize() - pd.Timestamp(0)).dt.days)
+        held = {k[0]: v for k, v in self.days.iterator()}
         for day, part in rows.groupby("day"):
-            at = (int(day),)
-            n, guarded = self.rows.getValue(at) if self.rows.containsKey(at) else (0, 0)
-            if not n:
-                self.handle.registerTimer(1000 * self.midnight(at[0] + 1))
-            self.rows.updateValue(at, (n + len(part), guarded + int(part["guarded"].sum())))
-            for channel, own in part[part["x"].notna()].groupby("channel"):
-                channel = int(channel)
-                if not self.model.containsKey((channel,)):
-                    continue
-                edges = np.array(self.model.getValue((channel,))[1])
-                x = own["x"].to_numpy(float)
-                # 0 below the first edge, i in (edge i-1, edge i], one more above the last; the first edge itself is in cell 1.
-                cells = np.searchsorted(edges, x, side="left") + 1
-                cells[x < edges[0]] = 0
-                counts = np.bincount(cells, minlength=len(edges) + 2)
-                was = self.open.getValue((at[0], channel)) if self.open.containsKey((at[0], channel)) else (0, [0] * len(counts), [])
-                self.open.updateValue((at[0], channel), (was[0] + len(x), (counts + np.array(was[1])).tolist(), list(was[2]) + x.tolist()))
+            n, guarded, channel, x = held.get(int(day), (0, 0, [], []))
+            there = part[part["x"].notna() & part["channel"].notna()]
+            self.days.updateValue((int(day),), (n + len(part), guarded + int(part["guarded"].sum()), [*channel, *map(int, there["channel"])], [*x, *map(float, there["x"])]))
+        self.arm(1000 * self.midnight(int(rows["day"].min()) + 1))
         return iter(())
 
+    def arm(self, at: int) -> None:
+        """One timer a key, at the end of the earliest open day."""
+        was = self.due.get()[0] if self.due.exists() else None
+        if was is None or at < was:
+            if was is not None:
+                self.handle.deleteTimer(was)
+            self.handle.registerTimer(at)
+            self.due.update((at,))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs() // 1000
+        held = {k[0]: v for k, v in self.days.iterator()}
+        columns = self.model.get() if self.model.exists() else [[]] * 7
+        model = {c: m for c, *m in zip(*columns, strict=True)}
+        deviated = set(self.latch.get()[0]) if self.latch.exists() else set()
         out = []
-        # The latch goes from day to day: all days that are over are closed in order, whichever timer came first.
-        for (day,) in sorted(tuple(k) for k in self.rows.keys()):
-            if self.midnight(day + 1) <= watermark:
-                out += self.closed(day)
+        # The latch goes from day to day: all days that are over are closed in order.
+        over = [day for day in sorted(held) if self.midnight(day + 1) <= watermark]
+        for day in over:
+            out += self.closed(day, held[day], model, deviated)
+            self.days.removeKey((day,))
+        self.latch.update((sorted(deviated),))
+        self.due.clear()
+        if rest := set(held) - set(over):
+            self.arm(1000 * self.midnight(min(rest) + 1))
         if out:
             frame = pd.DataFrame(out, columns=[c.split()[0] for c in self.out.split(", ")])
             frame.insert(0, "device", key[0])
             yield frame.astype({"evaluable": "boolean", "deviated": "boolean"})
 
-    def closed(self, day: int) -> list[tuple]:
-        rows, guarded = self.rows.getValue((day,))
-        self.rows.removeKey((day,))
+    def closed(self, day: int, state: tuple, model: dict, deviated: set) -> list[tuple]:
+        """Result rows of a day; deviated holds the channels that deviate and is brought up to the day."""
+        rows, guarded, channels, values = state
         expected = (self.midnight(day + 1) - self.midnight(day)) // self.period
         evaluable = 1.0 - rows / expected <= self.missing and guarded / expected <= self.guard
         out = []
-        for channel in sorted(k[1] for k in self.open.keys() if k[0] == day):
-            n, cells, x = self.open.getValue((day, channel))
-            self.open.removeKey((day, channel))
-            m, _, shares, p10, p50, p90 = self.model.getValue((channel,))
+        channels, values = np.array(channels, int), np.array(values, float)
+        for channel in sorted(set(channels.tolist()) & set(model)):
+            m, edges, shares, p10, p50, p90 = model[channel]
+            edges, x = np.array(edges), values[channels == channel]
+            n = len(x)
+            # 0 below the first edge, i in (edge i-1, edge i], one more above the last; the first edge itself is in cell 1.
+            cells = np.searchsorted(edges, x, side="left") + 1
+            cells[x < edges[0]] = 0
+            cells = np.bincount(cells, minlength=len(edges) + 2)
             upto = np.array([0.0, *shares, 1.0])
             d = float(np.abs(np.cumsum(cells) / n - upto).max())
             lam = np.sqrt(n * m / (n + m)) * d
@@ -451,14 +484,14 @@ class DayProcessor(StatefulProcessor):
             p = 1.0 if lam < 1e-3 else float(min(1.0, max(0.0, 2 * (np.where(k % 2, 1.0, -1.0) * np.exp(-2.0 * k * k * lam * lam)).sum())))
             q10, q50, q90 = np.percentile(x, [10, 50, 90])
             width = p90 - p10
-            was = self.latch.getValue((channel,))[0] if self.latch.containsKey((channel,)) else False
+            was = channel in deviated
             now = was
             if evaluable:
                 now = (p < self.alpha and d > self.limits[channel]) if not was else d > self.limits[channel]
-            self.latch.updateValue((channel,), (bool(now),))
+            (deviated.add if now else deviated.discard)(channel)
             shift, ratio = ((q50 - p50) / width, (q90 - q10) / width) if width > 0 else (None, None)
             turn = "DEVIATE" if now and not was else "RECOVER" if was and not now else None
-            out.append((date(1970, 1, 1) + timedelta(days=day), channel, n, d, p, shift, ratio, max(cells) / n, bool(evaluable), bool(now), turn))
+            out.append((date(1970, 1, 1) + timedelta(days=day), channel, n, d, p, shift, ratio, float(cells.max() / n), bool(evaluable), bool(now), turn))
         return out
 
     def close(self) -> None:
