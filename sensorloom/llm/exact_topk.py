@@ -16,9 +16,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .vectors import WHOLE as LIMIT
 from .vectors import Index, best, looked_up, usable
 
-LIMIT = 2.0**53  # whole numbers up to here are exact in a double
 SHARD_ROWS = 8192
 EVEN = 0.05  # pivots stand at least this share of the first one's distance off the flat of those before
 
@@ -35,6 +35,8 @@ def exact_products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 class PivotTable(Index):
     """Pivots out of a sample, each as far as can be from the flat of those before it."""
 
+    sharpens = True
+
     def __init__(self, sample: tuple, width: int, cells: int, top: int, pivots: int, chunk: int):
         _, self.uids, self.points = sample
         self.top, self.chunk = top, chunk
@@ -98,17 +100,27 @@ class PivotTable(Index):
         slack = 1e-6 * (norm[:, None] ** 2 + (self.centers**2).sum(1)[None] + self.radius[None] ** 2) + 1
         return [np.flatnonzero(b >= v).astype(np.int32) for b, v in zip(bound + slack, limits)]
 
-    def search(self, c, c_table, q, q_table, itself, limits, top):
-        origin, most = self.pivots[0], (self.pivots**2).sum(1).max()
-        c_square, q_square = (c * c).sum(1), (q * q).sum(1)
+    def opened(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows, and what asking() is multiplied with."""
+        origin = self.pivots[0]
+        return m, np.column_stack([self.table_of(m), np.ones(len(m)), m @ origin - origin @ origin + 1e-6 * (m * m).sum(1)])
+
+    def asking(self, m: np.ndarray) -> np.ndarray:
+        """q.x = (q - o).(x - o) + q.o + x.o - o.o; the first term is at most that of the tables."""
+        most = (self.pivots**2).sum(1).max()
+        return np.column_stack([self.table_of(m), m @ self.pivots[0] + 1e-6 * ((m * m).sum(1) + most) + 1, np.ones(len(m))])
+
+    def search(self, part, q, numbers, itself, limits, top):
+        c, table = part
+        least = np.maximum(limits, np.finfo(float).min)
         for lo in range(0, len(q), 64):
-            # q.x = (q - o).(x - o) + q.o + x.o - o.o; the first term is at most that of the tables.
-            bound = q_table[lo : lo + 64] @ c_table.T + (q[lo : lo + 64] @ origin)[:, None] + (c @ origin - origin @ origin)[None]
-            bound += 1e-6 * (c_square[None] + q_square[lo : lo + 64, None] + most) + 1
-            for k, line in enumerate(bound, lo):
-                if itself[k] >= 0:
-                    line[itself[k]] = -np.inf
-                at = np.flatnonzero(line >= limits[k]) if limits[k] > -np.inf else np.flatnonzero(line > -np.inf)
+            bound = numbers[lo : lo + 64] @ table.T
+            own = np.flatnonzero(itself[lo : lo + 64] >= 0)
+            bound[own, itself[lo + own]] = -np.inf
+            reached = bound >= least[lo : lo + 64, None]
+            for k in (lo + np.flatnonzero(reached.any(1))).tolist():
+                line = bound[k - lo]
+                at = np.flatnonzero(reached[k - lo])
                 order = at[np.argsort(-line[at], kind="stable")]
                 kept, scores, looked, step = np.empty(0, np.int64), np.empty(0, np.int64), 0, self.chunk
                 while looked < len(order):

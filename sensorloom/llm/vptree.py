@@ -156,8 +156,11 @@ class Forest(Index):
         down(self.root, np.arange(len(m)))
         return [np.array(x, np.int32) for x in out]
 
-    def search(self, c, c_table, q, q_table, itself, limits, top):
-        found, looked = Tree(c, self.leaf).search(q, top, self.factor, itself, limits)
+    def opened(self, m: np.ndarray) -> Tree:
+        return Tree(m, self.leaf)
+
+    def search(self, part, q, numbers, itself, limits, top):
+        found, looked = part.search(q, top, self.factor, itself, limits)
         for k, (rows, far) in enumerate(found):
             yield k, rows, far, int(looked[k])
 
