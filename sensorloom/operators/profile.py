@@ -81,10 +81,25 @@ def round_sizes(readings: DataFrame) -> DataFrame:
 
 
 def degenerate(readings: DataFrame, epsilon: float) -> DataFrame:
-    """device, sensor, n, iqr of channels without spread."""
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.75)))
-    each = readings.groupBy("device", "sensor").agg(F.count("value").alias("n"), q.alias("q"))
-    return each.select("device", "sensor", "n", (F.col("q")[1] - F.col("q")[0]).alias("iqr")).where(F.col("iqr") <= epsilon)
+    """device, sensor, n, iqr of channels without spread.
+
+    Quartiles weigh the two values around their place and are rounded once, by a fused multiply-add, as DuckDB has them.
+    percentile() rounds both products, which may differ in the last bit, and an IQR may be as large as epsilon exactly.
+    Equal values are counted before they are put in order.
+    """
+    own = Window.partitionBy("device", "sensor")
+    rows = readings.where(F.col("value").isNotNull()).groupBy("device", "sensor", "value").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.withColumn("after", F.sum("n").over(own.orderBy("value"))).withColumn("m", F.sum("n").over(own))
+
+    def quartile(p: float):
+        place = p * (F.col("m") - 1)
+        at = lambda rank: F.max(F.when((rank >= F.col("after") - F.col("n")) & (rank < F.col("after")), F.col("value")))
+        low, high, share = at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))
+        weighed = F.reflect(F.lit("java.lang.Math"), F.lit("fma"), low, 1 - share, high * share).cast("double")
+        return F.when(share > 0, weighed).otherwise(low)
+
+    each = rows.groupBy("device", "sensor").agg(F.sum("n").alias("n"), (quartile(0.75) - quartile(0.25)).alias("iqr"))
+    return each.where(F.col("iqr") <= epsilon)
 
 
 def unit_sanity(readings: DataFrame, low: float, high: float, sentinels: tuple[float, ...]) -> DataFrame:
