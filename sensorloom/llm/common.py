@@ -26,11 +26,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: it cuts the lineage, and a lost executor loses none of it."""
+def materialize(df: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
+    """Writes a table to the shared folder and reads it back: it cuts the lineage, and a lost executor loses none of it.
+
+    row_group: bytes of a row group, for tables with large rows: a reader takes thousands of rows at once, but not
+    beyond a row group, and a writer looks at its size after a hundred rows only unless it is told to look at each.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    checks = {f"parquet.{of}.row.check.{end}": 1 for of in ("block.size", "page.size") for end in ("min", "max")}
+    df.write.options(**({"parquet.block.size": row_group, **checks} if row_group else {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -20,6 +20,9 @@ from .vectors import WHOLE as LIMIT
 from .vectors import Index, best, looked_up, usable
 
 SHARD_ROWS = 8192
+#: What bounds are raised by, as a share of the squares of a query, a row and the farthest pivot: the error of a sum of
+#: up to 63 products in single precision, 65 * 6e-8 of terms that are at most four times these squares, is smaller.
+SLACK = 2e-5
 EVEN = 0.05  # pivots stand at least this share of the first one's distance off the flat of those before
 
 
@@ -100,34 +103,50 @@ class PivotTable(Index):
         slack = 1e-6 * (norm[:, None] ** 2 + (self.centers**2).sum(1)[None] + self.radius[None] ** 2) + 1
         return [np.flatnonzero(b >= v).astype(np.int32) for b, v in zip(bound + slack, limits)]
 
-    def opened(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rows, and what asking() is multiplied with."""
+    def opened(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """The rows, what asking() is multiplied with, and the largest component."""
         origin = self.pivots[0]
-        return m, np.column_stack([self.table_of(m), np.ones(len(m)), m @ origin - origin @ origin + 1e-6 * (m * m).sum(1)])
+        return m, short(np.column_stack([self.table_of(m), np.ones(len(m)), m @ origin - origin @ origin + SLACK * (m * m).sum(1)])), np.abs(m).max(initial=0)
 
     def asking(self, m: np.ndarray) -> np.ndarray:
         """q.x = (q - o).(x - o) + q.o + x.o - o.o; the first term is at most that of the tables."""
         most = (self.pivots**2).sum(1).max()
-        return np.column_stack([self.table_of(m), m @ self.pivots[0] + 1e-6 * ((m * m).sum(1) + most) + 1, np.ones(len(m))])
-
-    def search(self, part, q, numbers, itself, limits, top):
-        c, table = part
-        least = np.maximum(limits, np.finfo(float).min)
+        return short(np.column_stack([self.table_of(m), m @ self.pivots[0] + SLACK * ((m * m).sum(1) + most) + 1, np.ones(len(m))]))
+
+    def search(self, part, q, numbers, itself, limits, top, looked):
+        c, table, most = part
+        whole = np.abs(q).max(initial=0) * most * max(1, q.shape[1]) < LIMIT
+        kind = np.result_type(numbers, table)
+        with np.errstate(over="ignore"):
+            least = np.maximum(np.nextafter(limits.astype(kind), kind.type(-np.inf)), np.finfo(kind).min)
         for lo in range(0, len(q), 64):
             bound = numbers[lo : lo + 64] @ table.T
             own = np.flatnonzero(itself[lo : lo + 64] >= 0)
             bound[own, itself[lo + own]] = -np.inf
             reached = bound >= least[lo : lo + 64, None]
-            for k in (lo + np.flatnonzero(reached.any(1))).tolist():
-                line = bound[k - lo]
-                at = np.flatnonzero(reached[k - lo])
+            some = np.flatnonzero(reached.any(1))
+            row, col = np.nonzero(reached[some])
+            many, row = np.bincount(row, minlength=len(some)), some[row]
+            few = whole & (many <= self.chunk)
+            # A first step would take all of these: they are scored together.
+            light = np.isin(row, some[few])
+            at_row, at_col = row[light], col[light]
+            looked[lo + some[few]] += many[few]
+            value = np.einsum("ij,ij->i", c[at_col], q[lo + at_row])
+            good = value >= limits[lo + at_row]
+            at_row, at_col, value = at_row[good], at_col[good], value[good].astype(np.int64)
+            for k in np.unique(at_row).tolist():
+                at = at_row == k
+                yield lo + k, at_col[at], value[at]
+            for k in (lo + some[~few]).tolist():
+                line, at = bound[k - lo], np.flatnonzero(reached[k - lo])
                 order = at[np.argsort(-line[at], kind="stable")]
-                kept, scores, looked, step = np.empty(0, np.int64), np.empty(0, np.int64), 0, self.chunk
-                while looked < len(order):
-                    at = order[looked : looked + step]
+                kept, scores, step, done = np.empty(0, np.int64), np.empty(0, np.int64), self.chunk, 0
+                while done < len(order):
+                    at = order[done : done + step]
                     if len(kept) == top and line[at[0]] < scores[-1]:
                         break
-                    looked, step = looked + len(at), 2 * step
+                    done, step = done + len(at), 2 * step
                     both = np.concatenate([kept, at])
                     value = np.concatenate([scores, exact_products(c[at], q[k])])
                     if (value > -(2**63)).all():
@@ -135,7 +154,13 @@ class PivotTable(Index):
                     else:
                         pick = np.array(sorted(range(len(both)), key=lambda j: (-int(value[j]), both[j]))[:top])
                     kept, scores = both[pick], value[pick]
-                yield k, kept, scores, looked
+                looked[k] += done
+                yield k, kept, scores
+
+
+def short(table: np.ndarray) -> np.ndarray:
+    """In single precision, whose error SLACK covers, unless products could leave its range."""
+    return table.astype(np.float32) if np.abs(table).max(initial=0) < 1e15 else table
 
 
 def far_from(m: np.ndarray, points: np.ndarray) -> np.ndarray:

@@ -28,6 +28,8 @@ MOST_CELLS, MOST_TASKS = 512, 4096
 QUERY_ROWS = 1024
 #: Bytes of the vectors of a part or a group, as doubles.
 BLOCK_BYTES = 8 << 20
+#: Bytes of parts, or of groups, that a task reads at once.
+ROW_GROUP = 8 << 20
 #: Tasks that pairs of parts and groups make at least, if there are so many; parts that a task goes through at most.
 TASKS, TASK_PARTS = 64, 256
 
@@ -103,9 +105,9 @@ class Index:
     cells: their number. cell_of(m): each row's cell. reach_of(m, cells): how far rows are from their cells' centres;
     learn(reach): the farthest of each cell. limits(uids, m): what a query's result is certain to reach. wanted(m,
     limits): the cells that may still hold results of each query. opened(m): a part's rows, as search() takes them;
-    asking(m): numbers of each query that are computed once, or nothing. search(...): yields (query, positions, scores,
-    rows looked at) for each query. sharpens: whether what a query has found in other parts is a limit too, and what
-    does not reach its limit is left out.
+    asking(m): numbers of each query that are computed once, or nothing. search(...): yields (query, positions, scores)
+    for queries that find something, and adds to `looked` the rows that each was compared with. sharpens: whether what
+    a query has found in other parts is a limit too, and what does not reach its limit is left out.
     """
 
     cells: int = 1
@@ -160,10 +162,10 @@ class Group:
         here = np.flatnonzero(self.wanted[:, part.cell])
         if not len(here):
             return
-        for k, at, scores, looked in self.index.search(part.rows, self.m[here], self.numbers[here], part.places(self.uids[here]), self.limits[here], self.top):
-            self.looked[here[k]] += looked
-            if len(at):
-                self.add(here[k], part.ids[at], part.uids[at], scores)
+        looked = np.zeros(len(here), np.int64)
+        for k, at, scores in self.index.search(part.rows, self.m[here], self.numbers[here], part.places(self.uids[here]), self.limits[here], self.top, looked):
+            self.add(here[k], part.ids[at], part.uids[at], scores)
+        self.looked[here] += looked
 
     def add(self, k: int, *new: np.ndarray) -> None:
         ids, uids, scores = (np.concatenate(x) for x in zip(self.found[k], new))
@@ -250,7 +252,7 @@ def looked_up(vectors: DataFrame, every: int, top: int, shard_rows: int, index_o
     routed = kept.mapInPandas(route, "vec_id long, uid long, v binary, cell int")
     routed = routed.withColumn("block", (before(parts) + hashed(3, in_cell(parts))).cast("int"))
     routed = routed.withColumn("slot", F.col("block") % slots).repartitionById(slots, "slot")
-    blocks = materialize(routed.groupBy("slot", "block").applyInPandas(part_of, "block int, cell int, ids binary, uids binary, v binary"), "parts")
+    blocks = materialize(routed.groupBy("slot", "block").applyInPandas(part_of, "block int, cell int, ids binary, uids binary, v binary"), "parts", ROW_GROUP)
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -276,7 +278,7 @@ def looked_up(vectors: DataFrame, every: int, top: int, shard_rows: int, index_o
         return pd.DataFrame({"grp": pdf["grp"].iloc[:1].to_numpy(), **row, "cells": [np.flatnonzero(bits.any(0)).tolist()]})
 
     asked = own.drop("ids", "uids", "scores").withColumn("portion", F.col("grp") % portions).repartitionById(portions, "portion")
-    asked = materialize(asked.groupBy("portion", "grp").applyInPandas(group_of, "grp int, q_ids binary, q_uids binary, q_v binary, q_limits binary, q_wanted binary, cells array<int>"), "groups")
+    asked = materialize(asked.groupBy("portion", "grp").applyInPandas(group_of, "grp int, q_ids binary, q_uids binary, q_v binary, q_limits binary, q_wanted binary, cells array<int>"), "groups", ROW_GROUP)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, found = None, {}

@@ -159,10 +159,12 @@ class Forest(Index):
     def opened(self, m: np.ndarray) -> Tree:
         return Tree(m, self.leaf)
 
-    def search(self, part, q, numbers, itself, limits, top):
-        found, looked = part.search(q, top, self.factor, itself, limits)
+    def search(self, part, q, numbers, itself, limits, top, looked):
+        found, compared = part.search(q, top, self.factor, itself, limits)
+        looked += compared
         for k, (rows, far) in enumerate(found):
-            yield k, rows, far, int(looked[k])
+            if len(rows):
+                yield k, rows, far
 
 
 def found_near(vectors: DataFrame, every: int = 100, top: int = 10, factor: float = 1.0, leaf: int = LEAF, shard_rows: int = SHARD_ROWS) -> DataFrame:

@@ -1,7 +1,10 @@
 """Parts and groups of the vector searches: what is shuffled does not grow with their pairs, and results hold for any of their sizes."""
 
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 
 from sensorloom.llm import exact_topk, vectors, vptree
@@ -46,3 +49,15 @@ def test_narrow_rows():
     rows = [r for m in (whole, single, double, np.array([[7.0]]), np.zeros((1, 0))) for r in vectors.narrow_rows(m)]
     assert (vectors.wide_rows(pd.Series(rows), 2) == np.vstack([whole, single, double, [[7.0, 0.0]], [[0.0, 0.0]]])).all()
     assert (vectors.wide_block(vectors.narrow_block(single), 2) == single).all()
+
+
+def test_readers_of_parts_take_few_at_once(spark, monkeypatch):
+    """A reader takes thousands of rows at once, each of which may be a part of a megabyte: row groups end before that."""
+    for name, value in (("ROW_GROUP", 2000), ("TASKS", 1)):
+        monkeypatch.setattr(vectors, name, value)
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = set(folder.iterdir())
+    exact_topk.found_products(some(spark)[1], shard_rows=64)
+    files = [pq.ParquetFile(f) for p in set(folder.iterdir()) - before if p.name.startswith("parts-") for f in p.glob("*.parquet")]
+    groups = [f.metadata.row_group(k) for f in files for k in range(f.metadata.num_row_groups)]
+    assert sum(g.num_rows for g in groups) >= 15 and max(g.total_byte_size for g in groups) < 5000
